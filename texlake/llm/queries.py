@@ -8,6 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .jaccard_join import jaccard_groups
 from .packing import pack_documents
 from .token_counts import token_counts
 from .token_output import read_tokens, write_tokens
@@ -32,10 +33,14 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), limit=4096)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_output, op7_best_fit_packing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_token_output, op7_best_fit_packing, op9_jaccard_join, op10_token_counts)}
 
 ORACLES: dict[str, str] = {}
