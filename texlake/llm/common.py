@@ -40,8 +40,8 @@ def partitions(spark: SparkSession) -> int:
 
 
 def text_key(text: str = "text"):
-    """128-bit identity of a text (null counts as empty), as hex."""
-    return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    """128-bit identity of a text (null counts as empty), as 16 bytes."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
 def distinct_texts(docs: DataFrame, name: str, text: str = "text") -> DataFrame:

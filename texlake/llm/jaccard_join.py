@@ -187,7 +187,7 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     kind = docs.schema["doc_id"].dataType
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text_key().alias("key"), text.cast("binary").alias("body"))
-    sets = written(rows.mapInArrow(_sets(width, num, den), f"doc_id {kind.simpleString()}, key string, node long, n_shingles long, signs array<long>"), "sets")
+    sets = written(rows.mapInArrow(_sets(width, num, den), f"doc_id {kind.simpleString()}, key binary, node long, n_shingles long, signs array<long>"), "sets")
     signs = sets.select("node", F.explode("signs").alias("sign"))
     dealt = signs.repartition(n, "sign").sortWithinPartitions("sign", "node")
     members = written(dealt.mapInArrow(_members, "sign long, node long"), "members")

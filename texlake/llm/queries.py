@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .jaccard_join import jaccard_groups
 from .packing import pack_documents
+from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 from .token_output import read_tokens, write_tokens
 
@@ -24,6 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"), length=400)
+
+
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, manifest = write_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
     return read_tokens(spark, path, manifest, with_ids=False)
@@ -41,6 +46,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), limit=4096)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_output, op7_best_fit_packing, op9_jaccard_join, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_output, op7_best_fit_packing, op9_jaccard_join, op10_token_counts)}
 
 ORACLES: dict[str, str] = {}
