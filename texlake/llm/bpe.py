@@ -12,6 +12,8 @@ import numpy as np
 #: Pre-tokens of a piece without white space but a leading blank, where it has only these letters and ASCII.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 _PLAIN = re.compile(f"[\x21-\x7e{_LETTERS}]+")
+#: A comma or full stop that doesn't follow a letter or number.
+_LOOSE = re.compile(r"(?<![^\W_])[,.]")
 _PARTS = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[0-9]+| ?[^ 0-9{_LETTERS}]+")
 
 
@@ -27,18 +29,16 @@ class PieceEncoder:
 
     A byte-level BPE never merges over the borders of its pre-tokens, and a single blank or line feed between
     other characters always begins one. So a text is cut there, each different piece is encoded once by the
-    library, and its ids are looked up for every later place. Pieces of plain letters and ASCII are cut further,
-    into pre-tokens. Texts with runs of white space, or other white space, go to the library whole. ``most``
-    bounds the memory: a table is emptied when it is full.
+    library, and its ids are looked up for every later place. Texts with runs of white space, or other white space, go to the library whole. ``most``
+    bounds the memory: the table is emptied when it is full.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.chars, self.model, self.code = _byte_chars(), self.tokenizer.model, "H" if self.kind.itemsize == 2 else "I"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -46,19 +46,11 @@ class PieceEncoder:
     def _library(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            if len(self.parts) >= self.most:
-                self.parts.clear()
-            tokens = self.model.tokenize(part.encode().decode("latin-1").translate(self.chars))
-            ids = self.parts[part] = array(self.code, [t.id for t in tokens]).tobytes()
-        return ids
-
     def _piece(self, piece: str) -> bytes:
-        if _PLAIN.fullmatch(piece, piece[:1] == " ") and not any(s in piece for s in self.special):
-            return b"".join(map(self._part, _PARTS.findall(piece)))
-        return self._library(piece)
+        if not _PLAIN.fullmatch(piece, piece[:1] == " ") or any(s in piece for s in self.special):
+            return self._library(piece)
+        written = (p.encode().decode("latin-1").translate(self.chars) for p in _PARTS.findall(piece))
+        return array(self.code, [t.id for w in written for t in self.model.tokenize(w)]).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
@@ -67,6 +59,8 @@ class PieceEncoder:
         cuts = text.count(" ") + text.count("\n")
         if len(words) != cuts + 1 or len("".join(words)) + cuts != len(text):  # other white space, or runs of it
             return np.frombuffer(self._library(text), self.kind)
+        if not _LOOSE.search(text):
+            text = text.replace(",", "\x1f,").replace(".", "\x1f.")
         pieces = text.replace(" ", "\x1f ").replace("\n", "\x1f\n\x1f").split("\x1f")
         ids = list(map(self.known.get, pieces))
         if None in ids:
@@ -75,8 +69,7 @@ class PieceEncoder:
             gc.disable()  # many small objects, no cycles
             for k, x in enumerate(ids):
                 if x is None:
-                    piece = pieces[k]
-                    ids[k] = self.known[piece] = self._piece(piece)
+                    ids[k] = self.known[pieces[k]] = self._piece(pieces[k])
             gc.enable()
         return np.frombuffer(b"".join(ids), self.kind)
 
