@@ -8,11 +8,13 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import contaminated
 from .jaccard_join import jaccard_groups
 from .packing import pack_documents
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 from .token_output import read_tokens, write_tokens
+from .toxicity import toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -34,6 +36,14 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path, manifest, with_ids=False)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
@@ -46,6 +56,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), limit=4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_output, op7_best_fit_packing, op9_jaccard_join, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_output, op3_decontamination, op6_toxicity, op7_best_fit_packing, op9_jaccard_join, op10_token_counts)}
 
 ORACLES: dict[str, str] = {}
