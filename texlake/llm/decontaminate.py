@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import hashing
 from .common import batches_of
@@ -86,6 +87,32 @@ class Index:
         return hashing.distinct_pairs(np.concatenate(items), np.concatenate(docs))[::-1]
 
 
+def _found(index: Index, batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Verified (document, item, shared shingles) of a batch."""
+    before, sets, words = None, {}, []
+    for d, k in zip(*(x.tolist() for x in index.candidates(data, offsets))):
+        if d != before:
+            before, sets = d, {}
+            words = words_of(data[offsets[d] : offsets[d + 1]].tobytes().decode())
+        n = len(next(iter(index.sets[k])))
+        if n not in sets:
+            sets[n] = {tuple(words[j : j + n]) for j in range(len(words) - n + 1)}
+        shared = len(index.sets[k] & sets[n])
+        if shared >= index.needed[k]:
+            yield d, k, shared
+
+
+def _blocks(benchmark: DataFrame, block: int) -> Iterator[list[tuple[int, str]]]:
+    """The items, in bounded blocks."""
+    items = benchmark.where("text IS NOT NULL").select("item_id", F.col("text").cast("string").alias("text"))
+    blocks = max(1, -(-items.count() // block))
+    number = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    for b in range(blocks):
+        rows = items.where(number == b).collect()
+        if rows:
+            yield [(r["item_id"], r["text"]) for r in rows]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, num: int = 80, den: int = 100, block: int = 50_000) -> DataFrame:
     """Pairs (doc_id, item_id, n_shared, n_shingles, containment) of documents and the benchmark items they contain.
 
@@ -98,34 +125,43 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, num: int
     spark = docs.sparkSession
     kinds = [frame.schema[c].dataType.simpleString() for frame, c in ((docs, "doc_id"), (benchmark, "item_id"))]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, n_shared long, n_shingles long"
-    items = benchmark.where(F.length(F.trim("text")) > 0).select("item_id", F.col("text").cast("string").alias("text"))
-    number = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, -(-items.count() // block)))).alias("block")
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     found = None
-    for b in [r["block"] for r in items.select(number).distinct().collect()]:
-        rows = [(r["item_id"], r["text"]) for r in items.where(number == b).select("item_id", "text").collect()]
+    for rows in _blocks(benchmark, block):
         held = spark.sparkContext.broadcast(rows)
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = Index(held.value, width, num, den)
             for whole in batches:
                 for batch, data, offsets in batches_of(whole, "body"):
-                    out: list[tuple] = []
-                    before, sets = None, {}
-                    for d, k in zip(*(x.tolist() for x in index.candidates(data, offsets))):
-                        if d != before:
-                            before, sets = d, {}
-                            words = words_of(data[offsets[d] : offsets[d + 1]].tobytes().decode())
-                        n = len(next(iter(index.sets[k])))
-                        if n not in sets:
-                            sets[n] = {tuple(words[j : j + n]) for j in range(len(words) - n + 1)}
-                        shared = len(index.sets[k] & sets[n])
-                        if shared >= index.needed[k]:
-                            out.append((batch.column("doc_id")[d].as_py(), index.ids[k], shared, len(index.sets[k])))
-                    types = (batch.column("doc_id").type, None, pa.int64(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t or pa.int64()) for j, t in enumerate(types)], names=["doc_id", "item_id", "n_shared", "n_shingles"])
-
-        part = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("body")).mapInArrow(search, schema)
+                    out = [(batch.column("doc_id")[d].as_py(), index.ids[k], shared, len(index.sets[k])) for d, k, shared in _found(index, batch, data, offsets)]
+                    types = (batch.column("doc_id").type, item_type, pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate(types)], names=["doc_id", "item_id", "n_shared", "n_shingles"])
+
+        part = _bodies(docs, "doc_id").mapInArrow(search, schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], schema)
     return found.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
+
+
+def _bodies(docs: DataFrame, *columns: str) -> DataFrame:
+    return docs.select(*columns, F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("body"))
+
+
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 5, num: int = 80, den: int = 100, block: int = 50_000) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that contain no item of ``benchmark``, as ``contaminated`` finds them."""
+    out = docs
+    for rows in _blocks(benchmark, block):
+        held = docs.sparkSession.sparkContext.broadcast(rows)
+
+        def keep(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            index = Index(held.value, width, num, den)
+            for whole in batches:
+                for batch, data, offsets in batches_of(whole, "body"):
+                    good = np.ones(batch.num_rows, bool)
+                    good[[d for d, _, _ in _found(index, batch, data, offsets)]] = False
+                    yield batch.filter(pa.array(good)).drop_columns(["body"])
+
+        out = _bodies(out, *docs.columns).mapInArrow(keep, docs.schema)
+    return out

@@ -199,6 +199,17 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each_group(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose doc_id is the smallest of its group in ``jaccard_groups``.
+
+    Rows that share a doc_id stand or fall together; rows of null doc_id stay.
+    """
+    gone = written(jaccard_groups(docs, **parameters).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    if gone.count() <= 1_000_000:  # sixteen bytes each
+        gone = F.broadcast(gone)
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
 def _links(docs: DataFrame, sets: DataFrame, members: DataFrame, width: int, num: int, den: int, rounds: int) -> DataFrame:
     spark = docs.sparkSession
     candidates = members.select("node").distinct()

@@ -207,8 +207,8 @@ def _cut(length: int):
     """Rows (key, body, copies, spans): the digest of each text, and what is left of it."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+        names = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "whole"]
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
         for batch in batches:
             rows = []
             for key, body, copies, spans in zip(*(batch.column(c) for c in ("key", "body", "copies", "spans"))):
@@ -223,19 +223,21 @@ def _cut(length: int):
                             merged[-1][1] = max(merged[-1][1], z)
                         else:
                             merged.append([a, z])
-                at, kept = 0, []
+                at, pieces = 0, []
                 for a, z in merged:
-                    kept.append(body[at:a])
+                    pieces.append(body[at:a])
                     at = z
-                kept = b"".join([*kept, body[at:]])
-                rows.append((key.as_py(), n, n - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept))
+                pieces.append(body[at:])
+                kept = b"".join(pieces)
+                whole = b"".join(part.decode("utf-8", "ignore").encode() for part in pieces)
+                rows.append((key.as_py(), n, n - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept, whole.decode()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
     return read
 
 
 def dedup_texts(docs: DataFrame, length: int = 400) -> DataFrame:
-    """key, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) of each different text of ``docs``.
+    """key, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) and whole (its whole characters) of each different text of ``docs``.
 
     A byte goes if a ``length``-byte string that covers it starts at another place, too, in any text or its own; strings
     are judged on the input. ``length`` is at least 288 and at most 512.
@@ -260,16 +262,29 @@ def dedup_texts(docs: DataFrame, length: int = 400) -> DataFrame:
     hot = hot.select("key", "low", F.array_sort("ks").alias("ks")).select("key", "low", "ks", F.filter(F.transform("ks", lambda k, i: F.when((i == 0) | (F.get("ks", i - 1) != k - 1), i)), lambda i: i.isNotNull()).alias("heads"))
     hot = hot.select("key", "low", "ks", "heads", F.posexplode("heads").alias("j", "head")).select("key", (F.col("low") + F.get("ks", F.col("head"))).alias("start"), (F.col("low") + F.get("ks", F.coalesce(F.get("heads", F.col("j") + 1), F.size("ks")) - 1) + length).alias("end"))
     per_text = spans.unionByName(hot).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return texts.join(per_text, "key", "left").mapInArrow(_cut(length), "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return texts.join(per_text, "key", "left").mapInArrow(_cut(length), "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, whole string")
 
 
 def suffix_dedup(docs: DataFrame, length: int = 400, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes) of every row of ``docs`` (doc_id, text).
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes, and whole, their whole characters) of every row of ``docs`` (doc_id, text).
 
     Null and empty texts have 0 bytes and nothing to remove; rows with equal texts of at least ``length`` bytes lose
     everything; repeated rows and null doc_ids keep their rows; extra columns are ignored; an empty table gives an empty result.
     """
     digest = dedup_texts(docs, length)
     if not with_text:
-        digest = written(digest.drop("kept"), "suffix-digest")
+        digest = written(digest.drop("kept", "whole"), "suffix-digest")
     return docs.select("doc_id", text_key().alias("key")).join(digest, "key").drop("key")
+
+
+def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+    """The rows of ``docs`` with the columns they have, ``text`` without repeated passages and n_chars, if any, to match.
+
+    Characters that a passage's border cuts go, too. Null texts stay null.
+    """
+    digest = dedup_texts(docs, length).select(F.col("key").alias("_key"), F.col("whole").alias("_kept"))
+    text = F.when(F.col("_null"), None).otherwise(F.col("_kept"))
+    joined = docs.withColumn("_key", text_key()).withColumn("_null", F.col("text").isNull()).drop("text").join(digest, "_key").withColumn("text", text)
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return joined.select(docs.columns)

@@ -157,6 +157,11 @@ def fit(docs: DataFrame, labels: DataFrame, terms: int = 256, examples: int = 20
     return NearestExamples(kept, idf, np.repeat(counts, repeat, axis=0), np.repeat(np.array([r["toxic"] for r in got]), repeat), k, block)
 
 
+def _fold(doc_id):
+    """Whether a document is held out: crc32 of its id as text, modulo 5, is 0."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs`` (doc_id, text), learnt from ``labels`` (doc_id, toxic).
 
@@ -165,8 +170,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
     Rows that repeat score alike; null doc_ids are scored, too (held_out null); extra columns are ignored; without any
     label all scores are 0.5; an empty table gives an empty result.
     """
-    fold = lambda c: F.crc32(c.cast("string").cast("binary")) % 5 == 0
-    model = fit(docs, labels.where(~fold(F.col("doc_id"))), **parameters)
+    model = fit(docs, labels.where(~_fold(F.col("doc_id"))), **parameters)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batch: pa.RecordBatch, hashes: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
@@ -174,4 +178,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = _rows(score, _bodies(docs, "doc_id"), f"doc_id {kind}, score double")
-    return scored.select("doc_id", fold(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", _fold(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **parameters) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that score below ``threshold``; learning as in ``toxicity``."""
+    model = fit(docs, labels.where(~_fold(F.col("doc_id"))), **parameters)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batch: pa.RecordBatch, hashes: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
+        good = held.value.scores(np.minimum(_vectors(hashes, owner, held.value.terms, batch.num_rows), 255)) < threshold
+        return batch.filter(pa.array(good)).drop_columns(["body"])
+
+    return _rows(keep, _bodies(docs, *docs.columns), docs.schema)
