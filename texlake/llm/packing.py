@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import written
+from .common import partitions, written
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -46,7 +46,7 @@ def local_search(bins: list[list[int]], sizes: list[int], capacity: int, most_ro
     """Exchange one for one, two for one, or move items between underfull bins while the squared fill grows.
 
     The sum of squared fills rises with every step, so it ends; emptied bins go. It stops at the lower bound
-    (total size over capacity), after a round without a step, or after ``most_rounds``. The emptiest bins give first.
+    (total size over capacity), after a round without a step, or after ``most_rounds``. Only the emptiest bins give.
     """
     total = sum(sizes[i] for b in bins for i in b)
     bound = -(-total // capacity)
@@ -56,7 +56,7 @@ def local_search(bins: list[list[int]], sizes: list[int], capacity: int, most_ro
         fill = [sum(sizes[i] for i in b) for b in bins]
         under = sorted((k for k in range(len(bins)) if fill[k] < capacity), key=lambda k: fill[k])
         stepped = False
-        for source in under:
+        for source in under[: len(bins) - bound + 2]:  # the emptiest bins, a few more than must go
             if not bins[source]:
                 continue
             # moves: every item of an emptying bin goes to the fullest other bin with room
@@ -161,6 +161,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity:
         n = left.count()
         groups = -(-n // group)
         dealt = left.withColumn("deal", F.pmod(F.xxhash64("item", F.lit(turn)), F.lit(max(1, groups)))) if n else left.withColumn("deal", F.lit(0).cast("long"))
+        if groups > 1:
+            dealt = dealt.repartition(min(groups, partitions(docs.sparkSession)), "deal")
         packed = written(dealt.groupBy("deal").applyInPandas(_pack_group(capacity), f"{names}, item long, deal long, sequence_id long, offset long, fill long"), "packed")
         last = turn == rounds - 1 or groups <= 1
         done.append((packed if last else packed.where(F.col("fill") == capacity)).select(*columns))
