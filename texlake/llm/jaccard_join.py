@@ -4,12 +4,13 @@ Two sets of sizes a and b that reach the threshold differ in at most H = (a + b)
 universe (the shingle hashes) is dealt into m segments, so the H differences cannot touch all of them:
 
 * sets fall into size bands; a band and all sets that may match one of its sets use the same m;
-* larger bands: m = H + 1 + e segments. At least e + 1 segments are equal, and each set leaves out its e cheapest-to-say
-  ones (fewest elements, then by hash): that order looks at the segment alone, so what two sets leave out of their equal
-  segments is a common prefix of at most e, and one equal segment stays. Nearly empty segments, which many sets share by
-  chance, are what goes;
-* small bands: m = (H + 1) / 2 segments, each with its one-deletion neighbourhood: one segment differs in at most one
-  element. The segments are twice as large, which short texts need to be told apart.
+* larger bands: m = H + 1 + e segments, so at least e + 1 are equal;
+* small bands: m = H / 2 + 1 + e segments, each with its one-deletion neighbourhood: at least e + 1 of them differ in at
+  most one element, and share a signature. Their segments are twice as large, which short texts need to be told apart.
+
+Signatures cost what they match: once all are counted, each set drops the e most frequent of its own in each band. That
+order (count, then signature) is the same for every set, so what two sets drop of their common signatures is a common
+prefix of at most e, and one is left. What goes is what boilerplate, shared passages and empty segments cause.
 
 The choice is by cost: the deletion form writes as many signatures as the set has elements, the other one a sixth of
 that. Sets that share a signature are candidates and are verified on their texts.
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing
@@ -41,8 +42,19 @@ def _bands(most: int) -> np.ndarray:
     return np.array(ends, np.int64)
 
 
+def spare(apart, deletes):
+    """How many common signatures more than one there are at least, and how many of its own a set may drop."""
+    return np.where(deletes, 2, 2 + apart // 5)
+
+
+def _spare_of_bands(num: int, den: int) -> list[int]:
+    """``spare`` of each band, up to sets of 2**31."""
+    ends = _bands(1 << 31)
+    return spare(2 * ends * (den - num) // (den + num), ends <= DELETION_BAND).tolist()
+
+
 def signatures(values: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of sets laid end to end (``sizes`` elements each), and the set of each signature."""
+    """Signatures of sets laid end to end (``sizes`` elements each), their band in the low 6 bits, and the set of each."""
     none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if not len(sizes) or not sizes.max():
         return none
@@ -58,8 +70,7 @@ def signatures(values: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tup
         return none
     apart = most_apart[scheme]
     deletes = ends[scheme] <= DELETION_BAND
-    spare = np.where(deletes, 0, 1 + (apart + 1) // 12)
-    m = np.where(deletes, (apart + 2) // 2, apart + 1 + spare)
+    m = np.where(deletes, apart // 2, apart) + 1 + spare(apart, deletes)
     base = np.cumsum(m) - m
     first = np.cumsum(sizes) - sizes
     n = sizes[owner]
@@ -74,13 +85,10 @@ def signatures(values: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tup
     place = hashing.mix((scheme[of].astype(np.uint64) << np.uint64(40)) + (np.arange(len(of)) - base[of]).astype(np.uint64))
     spread = np.uint64(0x9E3779B97F4A7C15)
     whole = hashing.mix(total + place + count.astype(np.uint64) * spread)
-    order = np.lexsort((whole, count, of))
-    rank = np.empty(len(of), np.int64)
-    rank[order] = np.arange(len(of))
-    kept = rank - base[of] >= spare[of]
     one_less = deletes[row]
     near = hashing.mix((total[slot] - weight + place[slot] + (count[slot] - 1).astype(np.uint64) * spread)[one_less])
-    return np.concatenate([whole[kept], near]), np.concatenate([owner[of[kept]], owner[row[one_less]]])
+    signs, by = np.concatenate([whole, near]), np.concatenate([of, row[one_less]])
+    return signs & ~np.uint64(63) | scheme[by].astype(np.uint64), owner[by]
 
 
 def _sets(width: int, num: int, den: int):
@@ -190,7 +198,8 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     sets = written(rows.mapInArrow(_sets(width, num, den), f"doc_id {kind.simpleString()}, key binary, node long, n_shingles long, signs array<long>"), "sets")
     signs = sets.select("node", F.explode("signs").alias("sign"))
     dealt = signs.repartition(n, "sign").sortWithinPartitions("sign", "node")
-    members = written(dealt.mapInArrow(_members, "sign long, node long"), "members")
+    shared = written(dealt.mapInArrow(_members, "sign long, node long"), "shared")
+    members = written(_cheapest(shared, _spare_of_bands(num, den)), "members")
     links = _links(docs, sets, members, width, num, den, rounds)
     nodes = sets.select("doc_id", "node", "n_shingles")
     named = nodes.join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -199,6 +208,15 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _cheapest(shared: DataFrame, spares: list[int]) -> DataFrame:
+    """Without the most frequent signatures of each node and band, as many as may be dropped."""
+    counts = shared.groupBy("sign").agg(F.count(F.lit(1)).alias("n"))
+    band = F.col("sign").bitwiseAND(F.lit(63)).cast("int")
+    rank = F.row_number().over(Window.partitionBy("node", "band").orderBy(F.desc("n"), "sign"))
+    rows = shared.join(counts, "sign").withColumn("band", band).withColumn("r", rank)
+    return rows.where(F.col("r") > F.get(F.array(*map(F.lit, spares)), F.col("band"))).select("sign", "node")
+
+
 def one_of_each_group(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose doc_id is the smallest of its group in ``jaccard_groups``.
 
