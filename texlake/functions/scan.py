@@ -181,5 +181,5 @@ def nodes_of(spans: DataFrame) -> DataFrame:
 
 def argument(nodes: DataFrame, name: str, index: int = -1) -> DataFrame:
     """Trusted commands of a name with their argument ``index`` (from 0; the last by default) as ``arg``, trimmed."""
-    pick = F.element_at("arguments", -1 if index < 0 else index + 1)
+    pick = F.try_element_at("arguments", F.lit(-1 if index < 0 else index + 1))
     return nodes.where((F.col("kind") == "command") & (F.col("name") == name) & F.col("complete") & ~F.col("opaque")).withColumn("arg", F.trim(pick["text"]))

@@ -109,7 +109,7 @@ def packages(nodes: DataFrame) -> DataFrame:
     """paper_id, package, ord: distinct names of package lists in first-seen order (of a file, usepackage comes first)."""
     rank = F.when(F.col("name") == "usepackage", 0).otherwise(1)
     rows = nodes.where(f"kind = 'command' AND name IN ('usepackage', 'RequirePackage') AND {TRUSTED}")
-    items = rows.select("paper_id", "file_ord", rank.alias("rank"), "start", F.posexplode(F.split(F.element_at("arguments", -1)["text"], ",")).alias("pos", "package"))
+    items = rows.select("paper_id", "file_ord", rank.alias("rank"), "start", F.posexplode(F.split(F.try_element_at("arguments", F.lit(-1))["text"], ",")).alias("pos", "package"))
     items = items.withColumn("package", F.trim("package")).where("package <> ''")
     first = items.groupBy("paper_id", "package").agg(F.min(F.struct("file_ord", "rank", "start", "pos")).alias("f"))
     return first.select("paper_id", "package", F.row_number().over(Window.partitionBy("paper_id").orderBy("f")).alias("ord"))
@@ -147,7 +147,7 @@ def theorem_names(nodes: DataFrame, papers: DataFrame) -> DataFrame:
 def paper_title(nodes: DataFrame, papers: DataFrame, macros: DataFrame) -> DataFrame:
     """paper_id, title: the first complete title of the main file, cleaned, with macros without parameters expanded."""
     main = papers.select("paper_id", F.col("main_path").alias("path"))
-    first = argument(nodes, "title").join(main, FILE).groupBy("paper_id").agg(F.min_by(F.element_at("arguments", -1)["text"], "start").alias("title"))
+    first = argument(nodes, "title").join(main, FILE).groupBy("paper_id").agg(F.min_by(F.try_element_at("arguments", F.lit(-1))["text"], "start").alias("title"))
     simple = macros.where("parameter_count = 0").groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("name", "body"))).alias("macros"))
     text = F.regexp_replace("title", r"\\(?:footnote|thanks)\{[^{}]*\}", "")
     grown = F.aggregate("macros", text, lambda t, m: F.regexp_replace(t, F.concat(F.lit("\\"), m["name"], F.lit("(?![A-Za-z@])")), F.regexp_replace(m["body"], r"([\\$])", r"\\$1")))
@@ -157,7 +157,7 @@ def paper_title(nodes: DataFrame, papers: DataFrame, macros: DataFrame) -> DataF
 def paper_authors(nodes: DataFrame, papers: DataFrame) -> DataFrame:
     """paper_id, ord, author: names of the first author command of the main file."""
     main = papers.select("paper_id", F.col("main_path").alias("path"))
-    first = argument(nodes, "author").join(main, FILE).groupBy("paper_id").agg(F.min_by(F.element_at("arguments", -1)["text"], "start").alias("a"))
+    first = argument(nodes, "author").join(main, FILE).groupBy("paper_id").agg(F.min_by(F.try_element_at("arguments", F.lit(-1))["text"], "start").alias("a"))
     line = F.regexp_replace(F.split("a", r"\\\\", 2)[0], r"\$?\^\{[^{}]*\}\$?|\\[A-Za-z@]+\*?(?:\{[^{}]*\})?|[{}$]", "")
     names = F.filter(F.transform(F.split(line, ","), lambda n: F.trim(n)), lambda n: n.rlike(r"\p{L}"))
     return first.select("paper_id", F.posexplode(names).alias("ord", "author"))

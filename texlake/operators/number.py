@@ -46,7 +46,7 @@ def number_chapters(nodes: DataFrame) -> DataFrame:
     starred ones change nothing. Each change begins a group.
     """
     rows = nodes.where(f"kind = 'command' AND name = 'chapter' AND {TRUSTED}").join(numbering_scope(nodes).where("scope = 'chapter'"), "paper_id", "left_semi")
-    starred, explicit = F.get("arguments", F.lit(0)).isNotNull(), F.regexp_extract(F.element_at("arguments", -1)["text"], r"^([A-Z]+)\s+", 1)
+    starred, explicit = F.get("arguments", F.lit(0)).isNotNull(), F.regexp_extract(F.try_element_at("arguments", F.lit(-1))["text"], r"^([A-Z]+)\s+", 1)
     rows = rows.select(*FILE, "file_ord", "start", (~starred).cast("int").alias("counted"), F.when(starred & (explicit != ""), explicit).alias("explicit"))
     rows = rows.withColumn("count", F.sum("counted").over(_upto("paper_id"))).withColumn("changed", F.when((F.col("counted") == 1) | F.col("explicit").isNotNull(), 1).otherwise(0))
     own = F.when(F.col("counted") == 1, F.col("count").cast("string")).otherwise(F.col("explicit"))
@@ -158,7 +158,7 @@ def number_algorithms(nodes: DataFrame) -> DataFrame:
     parts = _inside(nodes.where("(kind = 'environment' AND name = 'algorithmic') OR kind = 'command'").select(*FILE, "start", "end", "kind", "name", "complete", "opaque", "arguments"), outer)
     good = parts.groupBy(*FILE, "o_start").agg(
         F.bool_and(F.expr(TRUSTED)).alias("ok"), F.bool_or(F.expr(f"kind = 'environment' AND {TRUSTED}")).alias("has"),
-        F.min_by(F.when(F.col("name") == "label", F.element_at("arguments", -1)["text"]), F.when(F.col("name") == "label", F.col("start"))).alias("label"),
+        F.min_by(F.when(F.col("name") == "label", F.try_element_at("arguments", F.lit(-1))["text"]), F.when(F.col("name") == "label", F.col("start"))).alias("label"),
     )
     rows = outer.join(good.withColumnRenamed("o_start", "start").where("ok AND has"), [*FILE, "start"])
     return rows.select(*FILE, "file_ord", "start", "end", F.row_number().over(_order("paper_id")).alias("n"), F.trim("label").alias("label"))
@@ -207,7 +207,7 @@ def number_headings_explicit(headings: DataFrame) -> DataFrame:
 
 def heading_labels(headings: DataFrame, labels: DataFrame) -> DataFrame:
     """The label right after each numbered heading, with its number."""
-    l = labels.select(*FILE, F.col("start").alias("end"), F.col("start").alias("at"), F.trim(F.element_at("arguments", -1)["text"]).alias("label"))  # noqa: E741
+    l = labels.select(*FILE, F.col("start").alias("end"), F.col("start").alias("at"), F.trim(F.try_element_at("arguments", F.lit(-1))["text"]).alias("label"))  # noqa: E741
     return headings.join(l, [*FILE, "end"]).select("paper_id", "file_ord", F.col("at").alias("start"), "label", "number", F.lit("Section").alias("prefix"))
 
 
@@ -226,7 +226,7 @@ def references(nodes: DataFrame) -> DataFrame:
     """Trusted references: paper_id, path, file_ord, start, type, label."""
     kinds = F.create_map(*map(F.lit, ("ref", "ref", "eqref", "eqref", "autoref", "lower", "cref", "lower", "Autoref", "upper", "Cref", "upper")))
     rows = nodes.where(f"kind = 'command' AND name IN ('ref', 'eqref', 'autoref', 'cref', 'Autoref', 'Cref') AND {TRUSTED}")
-    return rows.select(*FILE, "file_ord", "start", F.element_at(kinds, F.col("name")).alias("type"), F.trim(F.element_at("arguments", -1)["text"]).alias("label"))
+    return rows.select(*FILE, "file_ord", "start", F.element_at(kinds, F.col("name")).alias("type"), F.trim(F.try_element_at("arguments", F.lit(-1))["text"]).alias("label"))
 
 
 def resolve_refs(nodes: DataFrame, numbers: DataFrame) -> DataFrame:

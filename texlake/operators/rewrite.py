@@ -64,7 +64,7 @@ def untrusted(nodes: DataFrame, names, name: str) -> DataFrame:
 
 
 def _last(nodes: DataFrame) -> Column:
-    return F.element_at("arguments", -1)
+    return F.try_element_at("arguments", F.lit(-1))
 
 
 def plan_remove(nodes: DataFrame, sources: DataFrame) -> DataFrame:

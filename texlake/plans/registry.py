@@ -44,7 +44,7 @@ def _(c):
 @query("n01_scan_commands", sql(f"SELECT {KEY}, name, a AS arg, stop FROM arg WHERE name IN {FLAT}"))
 def _(c):
     rows = c.spans.where(f"kind = 'command' AND name IN {FLAT}")
-    return rows.select("paper_id", "path", F.col("start").cast("long"), "name", F.element_at("arguments", -1)["text"].alias("arg"), F.col("end").cast("long").alias("stop"))
+    return rows.select("paper_id", "path", F.col("start").cast("long"), "name", F.try_element_at("arguments", F.lit(-1))["text"].alias("arg"), F.col("end").cast("long").alias("stop"))
 
 
 @query("n01_scan_environments", sql(f"SELECT {KEY}, name, stop, begin_end FROM env"))
@@ -105,12 +105,12 @@ IN = "EXISTS (SELECT 1 FROM env e WHERE e.name IN ('figure*', 'table') AND e.pap
 
 @query("v03_contained_in", sql(f"SELECT {KEY}, a AS label FROM arg l WHERE name = 'label' AND {IN}"))
 def _(c):
-    return V.contained_in(c.commands("label"), c.environments.where("name IN ('figure*', 'table')")).select("paper_id", "path", F.col("start").cast("long"), F.element_at("arguments", -1)["text"].alias("label"))
+    return V.contained_in(c.commands("label"), c.environments.where("name IN ('figure*', 'table')")).select("paper_id", "path", F.col("start").cast("long"), F.try_element_at("arguments", F.lit(-1))["text"].alias("label"))
 
 
 @query("v03_not_contained_in", sql(f"SELECT {KEY}, a AS label FROM arg l WHERE name = 'label' AND NOT {IN}"))
 def _(c):
-    return V.not_contained_in(c.commands("label"), c.environments.where("name IN ('figure*', 'table')")).select("paper_id", "path", F.col("start").cast("long"), F.element_at("arguments", -1)["text"].alias("label"))
+    return V.not_contained_in(c.commands("label"), c.environments.where("name IN ('figure*', 'table')")).select("paper_id", "path", F.col("start").cast("long"), F.try_element_at("arguments", F.lit(-1))["text"].alias("label"))
 
 
 @query("v04_not_overlapping", sql(f"SELECT {KEY}, name FROM env l WHERE NOT EXISTS (SELECT 1 FROM env e WHERE e.name IN ('table', 'algorithm') AND e.paper_id = l.paper_id AND e.path = l.path AND l.start < e.stop AND l.stop > e.start)"))
@@ -304,7 +304,7 @@ def _(c):
 
 @query("w11_explicit_headings", sql("SELECT paper_id, path, start, CAST(NULL AS VARCHAR) AS number FROM arg WHERE name = 'section' AND NOT regexp_matches(a, '^[A-Z]+[.0-9]*\\s') UNION ALL SELECT paper_id, path, start, regexp_extract(a, '^([A-Z]+[.0-9]*)\\s', 1) FROM arg WHERE name = 'section' AND regexp_matches(a, '^[A-Z]+[.0-9]*\\s')"))
 def _(c):
-    heads = c.commands("section").select("paper_id", "path", F.col("start").cast("long").alias("start"), F.element_at("arguments", -1)["text"].alias("text"), F.lit(False).alias("strong"))
+    heads = c.commands("section").select("paper_id", "path", F.col("start").cast("long").alias("start"), F.try_element_at("arguments", F.lit(-1))["text"].alias("text"), F.lit(False).alias("strong"))
     return W.number_headings_explicit(heads).select("paper_id", "path", "start", "number")
 
 
@@ -331,3 +331,6 @@ def _(c):
 @query("w15_dangling_refs", sql("SELECT r.paper_id, r.path, r.start, r.label FROM rf r WHERE NOT EXISTS (SELECT 1 FROM acmd l WHERE l.name = 'label' AND l.paper_id = r.paper_id AND l.a = r.label)", O.REFS))
 def _(c):
     return W.dangling_refs(c.included).select("paper_id", "path", F.col("start").cast("long"), "label")
+
+
+from . import texts  # noqa: E402, F401  adds its queries here

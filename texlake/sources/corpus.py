@@ -99,7 +99,7 @@ def derive_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def paper_key(df: DataFrame, column: str) -> DataFrame:
     """``paper_id`` from an identifier or an abs/pdf URL, without version: ``2402.08954v2`` gives ``2402.08954``; else null."""
-    found = F.regexp_extract(F.trim(F.col(column)), r"(?:^|/)((?:[a-z\-]+(?:\.[A-Z]{2})?/)?\d{4}\.?\d{3,5})(?:v\d+)?(?:\.pdf)?/?$", 1)
+    found = F.regexp_extract(F.trim(F.col(column)), r"([a-z\-]+(?:\.[A-Z]{2})?/\d{7}|\d{4}\.\d{4,5})(?:v\d+)?(?:\.pdf)?/?$", 1)
     return df.withColumn("paper_id", F.nullif(found, F.lit("")))
 
 
