@@ -9,7 +9,7 @@
    suffixes that span the rest, and the bytes after them. Neighbours that tie in all of this are repeats, byte for byte.
 
 Memory is bounded by one block of buckets. A bucket of more than HOT rows is split into its windows, each of which is a
-key of its own, counted with map-side combines. Equal texts are one text.
+key of its own, counted within batches and then with map-side combines. Equal texts are one text.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import hashing
 from .common import batches_of, distinct_texts, list_column, partitions, text_key, written
 
-GRAM, HOT, BLOCK_ROWS = 64, 4096, 4096
+GRAM, HOT, BLOCK_ROWS = 128, 4096, 4096
 #: Every difference modulo 16 is one of two elements of the cover.
 COVER_SIZE, COVER = 16, (0, 1, 2, 5, 8)
 #: Two ranks of suffixes of so many bytes span a window.
@@ -77,29 +77,63 @@ def _anchors(length: int):
 
 
 def _contexts(length: int):
-    """Rows (key, body, places): the bytes around each anchor, or the window hashes of hot ones."""
+    """Rows (key, body, places): the bytes around each anchor. Hot anchors' windows are counted within the batch first:
+    those that repeat in it are spans at once (at -1, low and high the bytes) and, without a key, one row for the others;
+    the rest are rows of window hashes."""
+    names = ["key", "gram", "at", "low", "high", "bytes", "windows"]
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+
+    def laid(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+
+    def hot_rows(hot: list[tuple]) -> Iterator[tuple]:
+        size = [len(h) for *_, h in hot]
+        which = np.repeat(np.arange(len(hot)), size)
+        start = np.concatenate([low + np.arange(n) for (_, _, low, _), n in zip(hot, size)])
+        grams = np.array([g for _, g, _, _ in hot], np.int64)[which]
+        hashes = np.concatenate([h for *_, h in hot])
+        order = np.lexsort((start, which, hashes, grams))
+        g, h = grams[order], hashes[order]
+        new = np.concatenate([[True], (g[1:] != g[:-1]) | (h[1:] != h[:-1])])
+        group = np.cumsum(new) - 1
+        often = (np.bincount(group) > 1)[group]
+        heads = order[new & often]
+        for gram in np.unique(grams[heads]):
+            yield (None, int(gram), None, None, None, None, hashes[heads[grams[heads] == gram]])
+        repeated = np.zeros(len(order), bool)
+        repeated[order] = often
+        cut = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (repeated[1:] != repeated[:-1]), [True]]))
+        for a, z in zip(cut[:-1], cut[1:]):
+            key, gram = hot[which[a]][:2]
+            if repeated[a]:
+                yield (key, gram, -1, int(start[a]), int(start[z - 1]) + length, None, None)
+            else:
+                yield (key, gram, None, int(start[a]), None, None, hashes[a:z])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "gram", "at", "low", "high", "bytes", "windows"]
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
         for batch in batches:
-            rows, held = [], 0
+            rows, hot, held, hot_held = [], [], 0, 0
             for key, body, places in zip(batch.column("key"), batch.column("body"), batch.column("places")):
                 key, body, hashes = key.as_py(), body.as_py(), None
                 for p in places.as_py():
                     if p["hot"]:
                         if hashes is None:
                             hashes = hashing.Prefix(np.frombuffer(body, np.uint8)).all_of(length).view(np.int64)
-                        rows.append((key, p["gram"], p["at"], p["low"], p["high"], None, hashes[p["low"] : p["high"] + 1]))
-                        held += 8 * (p["high"] - p["low"])
+                        hot.append((key, p["gram"], p["low"], hashes[p["low"] : p["high"] + 1]))
+                        hot_held += p["high"] - p["low"] + 1
                     else:
                         rows.append((key, p["gram"], p["at"], p["low"], p["high"], body[p["low"] : p["high"] + length], None))
                         held += length
-                    if held > 8_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
-                        rows, held = [], 0
+                if held > 8_000_000:
+                    yield laid(rows)
+                    rows, held = [], 0
+                if hot_held > 2_000_000:
+                    yield laid(list(hot_rows(hot)))
+                    hot, hot_held = [], 0
+            if hot:
+                rows += hot_rows(hot)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+                yield laid(rows)
 
     return read
 
@@ -115,11 +149,11 @@ def _rank(*keys: np.ndarray) -> np.ndarray:
     return out.reshape(keys[0].shape)
 
 
-def repeated_windows(rows: list[bytes], at: np.ndarray, length: int) -> np.ndarray:
+def repeated_windows(rows: list[bytes], at: np.ndarray, length: int, maybe: np.ndarray | None = None) -> np.ndarray:
     """For rows of bytes around anchors (anchor ``at`` bytes into each): whether the window that starts at a column repeats.
 
     Columns are places before the anchor, the last one being the anchor's own; rows hold the windows from their first
-    byte to ``length`` bytes before their end.
+    byte to ``length`` bytes before their end. ``maybe`` (windows of all rows, in order) leaves out those that surely don't.
     """
     left = length - GRAM
     left += -left % COVER_SIZE
@@ -152,6 +186,8 @@ def repeated_windows(rows: list[bytes], at: np.ndarray, length: int) -> np.ndarr
     last = first + sizes - length
     who = np.repeat(np.arange(m), last - first + 1)
     start = np.arange(len(who)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1) + first[who]
+    if maybe is not None:
+        who, start = who[maybe], start[maybe]
     up = np.array([min((c - r) % COVER_SIZE for c in COVER) for r in range(COVER_SIZE)])
     down = np.array([min((r - c) % COVER_SIZE for c in COVER) for r in range(COVER_SIZE)])
     ahead = up[start % COVER_SIZE]
@@ -167,18 +203,66 @@ def repeated_windows(rows: list[bytes], at: np.ndarray, length: int) -> np.ndarr
     return out
 
 
+def _candidates(rows: list[bytes], length: int) -> np.ndarray:
+    """Which windows of the rows have a hash that another one has, too: all repeats and, rarely, others."""
+    sizes = np.array([len(r) for r in rows], np.int64)
+    count = sizes - length + 1
+    base = np.cumsum(sizes) - sizes
+    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(base, count)
+    hashes = hashing.Prefix(np.frombuffer(b"".join(rows), np.uint8)).all_of(length)[at]
+    order = np.argsort(hashes)
+    same = np.zeros(len(order) + 1, bool)
+    same[1:-1] = hashes[order[1:]] == hashes[order[:-1]]
+    out = np.zeros(len(order), bool)
+    out[order] = same[1:] | same[:-1]
+    return out
+
+
+def block_repeats(grams: np.ndarray, at: np.ndarray, rows: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of repeated windows of the rows of some whole buckets: row, first and last window start within it.
+
+    Equal rows of a bucket are one row whose windows all repeat; a bucket with one row then needs no sort. Of the others,
+    only rows with windows whose hash occurs twice are sorted.
+    """
+    known: dict[tuple, int] = {}
+    of = np.array([known.setdefault(k, len(known)) for k in zip(grams.tolist(), at.tolist(), rows)], np.int64)
+    first = np.full(len(known), -1)
+    first[of[::-1]] = np.arange(len(rows))[::-1]
+    often = np.bincount(of) > 1
+    distinct_in = np.bincount(np.unique(grams[first], return_inverse=True)[1])
+    alone = distinct_in[np.unique(grams[first], return_inverse=True)[1]] == 1
+    sizes = np.array([len(rows[k]) for k in first], np.int64) - length + 1
+    found = [np.full(n, bool(o)) for n, o in zip(sizes, often)]
+    tried = np.flatnonzero(~alone)
+    if len(tried):
+        maybe = _candidates([rows[first[k]] for k in tried], length)
+        cuts = np.cumsum(sizes[tried])
+        parts = np.split(maybe, cuts[:-1])
+        some = [j for j, part in enumerate(parts) if part.any()]
+        if some:
+            picked = tried[some]
+            left = length - GRAM
+            left += -left % COVER_SIZE
+            exact = repeated_windows([rows[first[k]] for k in picked], at[first[picked]], length, np.concatenate([parts[j] for j in some]))
+            for k, row in zip(picked, exact):
+                begin = left - at[first[k]]
+                found[k] |= row[begin : begin + sizes[k]]
+    who, starts, ends = [], [], []
+    edges = [np.flatnonzero(np.diff(np.concatenate([[False], f, [False]]).astype(np.int8))) for f in found]
+    for k, e in enumerate(of):
+        for a, z in zip(edges[e][::2], edges[e][1::2]):
+            who.append(k)
+            starts.append(a)
+            ends.append(z - 1)
+    return np.array(who, np.int64), np.array(starts, np.int64), np.array(ends, np.int64)
+
+
 def _bucket_repeats(length: int):
     """Rows sorted by gram (key, gram, at, low, high, bytes): intervals of bytes that repeated windows cover."""
 
-    def repeats(keys, at, low, rows) -> pa.RecordBatch:
-        left = length - GRAM
-        left += -left % COVER_SIZE
-        found = np.pad(repeated_windows(rows, at - low, length), ((0, 0), (1, 1)))
-        edges = np.diff(found.astype(np.int8), axis=1)
-        r, a = np.nonzero(edges == 1)
-        _, z = np.nonzero(edges == -1)
-        start = a - (left - (at - low)[r]) + low[r]
-        return pa.RecordBatch.from_arrays([pa.array([keys[k] for k in r], pa.binary()), pa.array(start, pa.int64()), pa.array(start + (z - a) - 1 + length, pa.int64())], names=["key", "start", "end"])
+    def repeats(keys, grams, at, low, rows) -> pa.RecordBatch:
+        r, a, z = block_repeats(grams, at - low, rows, length)
+        return pa.RecordBatch.from_arrays([pa.array([keys[k] for k in r], pa.binary()), pa.array(low[r] + a, pa.int64()), pa.array(low[r] + z + length, pa.int64())], names=["key", "start", "end"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, grams, at, low, rows = [], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
@@ -190,14 +274,14 @@ def _bucket_repeats(length: int):
             while len(ends) and len(rows) >= BLOCK_ROWS:
                 fit = ends[ends <= BLOCK_ROWS]
                 z = int(fit[-1] if len(fit) else ends[0])
-                yield repeats(keys[:z], at[:z], low[:z], rows[:z])
+                yield repeats(keys[:z], grams[:z], at[:z], low[:z], rows[:z])
                 keys, rows, grams, at, low = keys[z:], rows[z:], grams[z:], at[z:], low[z:]
                 ends = ends[ends > z] - z
         while rows:
             ends = np.concatenate([np.flatnonzero(grams[1:] != grams[:-1]) + 1, [len(rows)]])
             fit = ends[ends <= BLOCK_ROWS]
             z = int(fit[-1] if len(fit) else ends[0])
-            yield repeats(keys[:z], at[:z], low[:z], rows[:z])
+            yield repeats(keys[:z], grams[:z], at[:z], low[:z], rows[:z])
             keys, rows, grams, at, low = keys[z:], rows[z:], grams[z:], at[z:], low[z:]
 
     return read
@@ -255,13 +339,16 @@ def dedup_texts(docs: DataFrame, length: int = 400) -> DataFrame:
     around = written(around, "contexts")
     calm = around.where("bytes IS NOT NULL").repartition(n, "gram").sortWithinPartitions("gram")
     spans = calm.mapInArrow(_bucket_repeats(length), "key binary, start long, end long")
-    windows = around.where("windows IS NOT NULL").select("key", "gram", "low", F.posexplode("windows").alias("k", "window"))
-    twice = windows.groupBy("gram", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "window")
+    counted = around.where("windows IS NOT NULL").select("key", "gram", "low", F.posexplode("windows").alias("k", "window"))
+    # a row without a key stands for at least two places of its batch
+    twice = counted.groupBy("gram", "window").agg(F.sum(F.when(F.col("key").isNull(), 2).otherwise(1)).alias("n")).where("n > 1").select("gram", "window")
+    windows = counted.where("key IS NOT NULL")
+    known = around.where("at = -1").select("key", F.col("low").alias("start"), F.col("high").alias("end"))
     hot = windows.join(twice, ["gram", "window"], "left_semi").groupBy("key", "gram", "low").agg(F.collect_list("k").alias("ks"))
     # a row per anchor and step between window starts that do not follow each other
     hot = hot.select("key", "low", F.array_sort("ks").alias("ks")).select("key", "low", "ks", F.filter(F.transform("ks", lambda k, i: F.when((i == 0) | (F.get("ks", i - 1) != k - 1), i)), lambda i: i.isNotNull()).alias("heads"))
     hot = hot.select("key", "low", "ks", "heads", F.posexplode("heads").alias("j", "head")).select("key", (F.col("low") + F.get("ks", F.col("head"))).alias("start"), (F.col("low") + F.get("ks", F.coalesce(F.get("heads", F.col("j") + 1), F.size("ks")) - 1) + length).alias("end"))
-    per_text = spans.unionByName(hot).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    per_text = spans.unionByName(hot).unionByName(known).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return texts.join(per_text, "key", "left").mapInArrow(_cut(length), "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, whole string")
 
 
