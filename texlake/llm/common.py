@@ -92,3 +92,11 @@ def batches_of(batch: pa.RecordBatch, column: str, most: int = 3_000_000) -> Ite
 def list_column(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
     """An Arrow list column from concatenated values and the length of each list."""
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values, kind))
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with underscores until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import hashing
-from .common import batches_of
+from .common import batches_of, free_name
 
 _SPACE = " \t\n\x0b\x0c\r"
 
@@ -145,23 +145,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, num: int
     return found.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
 
 
-def _bodies(docs: DataFrame, *columns: str) -> DataFrame:
-    return docs.select(*columns, F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("body"))
+def _bodies(docs: DataFrame, *columns: str, name: str = "body") -> DataFrame:
+    return docs.select(*columns, F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias(name))
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 5, num: int = 80, den: int = 100, block: int = 50_000) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that contain no item of ``benchmark``, as ``contaminated`` finds them."""
-    out = docs
+    out, name = docs, free_name(docs.columns, "body")
     for rows in _blocks(benchmark, block):
         held = docs.sparkSession.sparkContext.broadcast(rows)
 
         def keep(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = Index(held.value, width, num, den)
             for whole in batches:
-                for batch, data, offsets in batches_of(whole, "body"):
+                for batch, data, offsets in batches_of(whole, name):
                     good = np.ones(batch.num_rows, bool)
                     good[[d for d, _, _ in _found(index, batch, data, offsets)]] = False
-                    yield batch.filter(pa.array(good)).drop_columns(["body"])
+                    yield batch.filter(pa.array(good)).drop_columns([name])
 
-        out = _bodies(out, *docs.columns).mapInArrow(keep, docs.schema)
+        out = _bodies(out, *docs.columns, name=name).mapInArrow(keep, docs.schema)
     return out

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import batches_of, distinct_texts, list_column, partitions, text_key, written
+from .common import batches_of, distinct_texts, free_name, list_column, partitions, text_key, written
 
 GRAM, HOT, BLOCK_ROWS = 128, 4096, 4096
 #: Every difference modulo 16 is one of two elements of the cover.
@@ -369,9 +369,10 @@ def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
 
     Characters that a passage's border cuts go, too. Null texts stay null.
     """
-    digest = dedup_texts(docs, length).select(F.col("key").alias("_key"), F.col("whole").alias("_kept"))
-    text = F.when(F.col("_null"), None).otherwise(F.col("_kept"))
-    joined = docs.withColumn("_key", text_key()).withColumn("_null", F.col("text").isNull()).drop("text").join(digest, "_key").withColumn("text", text)
+    key, null, kept = (free_name(docs.columns, name) for name in ("_key", "_null", "_kept"))
+    digest = dedup_texts(docs, length).select(F.col("key").alias(key), F.col("whole").alias(kept))
+    rows = docs.withColumns({key: text_key(), null: F.col("text").isNull()}).drop("text").join(digest, key)
+    rows = rows.withColumn("text", F.when(~F.col(null), F.col(kept)))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return joined.select(docs.columns)
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(docs.columns)

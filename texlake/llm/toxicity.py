@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import batches_of
+from .common import batches_of, free_name
 
 STEM = 5
 #: Everything but ASCII letters, digits and non-ASCII bytes separates words here.
@@ -40,14 +40,14 @@ def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(hashes), np.concatenate(owners)
 
 
-def _bodies(docs: DataFrame, *more: str) -> DataFrame:
-    return docs.select(*more, F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("body"))
+def _bodies(docs: DataFrame, *more: str, name: str = "body") -> DataFrame:
+    return docs.select(*more, F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias(name))
 
 
-def _rows(make, source: DataFrame, schema: str) -> DataFrame:
+def _rows(make, source: DataFrame, schema, name: str = "body") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch, data, offsets in batches_of(whole, "body"):
+            for batch, data, offsets in batches_of(whole, name):
                 yield make(batch, *_terms(data, offsets))
 
     return source.mapInArrow(run, schema)
@@ -153,8 +153,8 @@ def fit(docs: DataFrame, labels: DataFrame, terms: int = 256, examples: int = 20
     # equal vectors meet before they come to the driver: at most ``examples`` of ``terms`` bytes
     got = _rows(vectors, _bodies(rows, "toxic"), "v binary, toxic int").groupBy("v", "toxic").agg(F.count(F.lit(1)).alias("n")).orderBy("v", "toxic").collect()
     counts = np.array([np.frombuffer(r["v"], np.uint8) for r in got], np.int64).reshape(len(got), len(kept))
-    repeat = np.array([r["n"] for r in got])
-    return NearestExamples(kept, idf, np.repeat(counts, repeat, axis=0), np.repeat(np.array([r["toxic"] for r in got]), repeat), k, block)
+    repeat = np.array([r["n"] for r in got], np.int64)
+    return NearestExamples(kept, idf, np.repeat(counts, repeat, axis=0), np.repeat(np.array([r["toxic"] for r in got], np.int64), repeat), k, block)
 
 
 def _fold(doc_id):
@@ -184,10 +184,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **parameters) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that score below ``threshold``; learning as in ``toxicity``."""
     model = fit(docs, labels.where(~_fold(F.col("doc_id"))), **parameters)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held, name = docs.sparkSession.sparkContext.broadcast(model), free_name(docs.columns, "body")
 
     def keep(batch: pa.RecordBatch, hashes: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
         good = held.value.scores(np.minimum(_vectors(hashes, owner, held.value.terms, batch.num_rows), 255)) < threshold
-        return batch.filter(pa.array(good)).drop_columns(["body"])
+        return batch.filter(pa.array(good)).drop_columns([name])
 
-    return _rows(keep, _bodies(docs, *docs.columns), docs.schema)
+    return _rows(keep, _bodies(docs, *docs.columns, name=name), docs.schema, name)
