@@ -44,7 +44,7 @@ def _bands(most: int) -> np.ndarray:
 
 def spare(apart, deletes):
     """How many common signatures more than one there are at least, and how many of its own a set may drop."""
-    return np.where(deletes, 2, 2 + apart // 5)
+    return np.where(deletes, 2, 2 + apart // 2)
 
 
 def _spare_of_bands(num: int, den: int) -> list[int]:
@@ -140,7 +140,7 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verify(width: int, num: int, den: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (lead, node, body) by lead, the lead's own row first; out come the pairs that link."""
+        """Rows (lead, node, body) by lead, the lead's own row first; out come how far the others are from it."""
         own = np.zeros(0, np.uint64)
         for whole in batches:
             for batch, data, offsets in batches_of(whole, "body"):
@@ -149,7 +149,7 @@ def _verify(width: int, num: int, den: int):
                 sizes = np.bincount(who, minlength=batch.num_rows)
                 ends = np.cumsum(sizes)
                 leads, nodes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("lead", "node"))
-                found = np.zeros(batch.num_rows, bool)
+                found, apart = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows, np.int64)
                 cuts = np.flatnonzero(np.concatenate([[True], (nodes == leads)[1:], [True]]))
                 for a, z in zip(cuts[:-1], cuts[1:]):
                     if nodes[a] == leads[a]:
@@ -158,15 +158,17 @@ def _verify(width: int, num: int, den: int):
                     place = np.minimum(np.searchsorted(own, values[part]), max(0, len(own) - 1))
                     hit = own[place] == values[part] if len(own) else np.zeros(len(place), bool)
                     common = np.bincount(who[part][hit] - a, minlength=z - a)
+                    apart[a:z] = len(own) + sizes[a:z] - 2 * common
                     found[a:z] = (common > 0) & (den * common >= num * (len(own) + sizes[a:z] - common))
-                found &= nodes != leads
-                yield pa.RecordBatch.from_arrays([pa.array(leads[found], pa.int64()), pa.array(nodes[found], pa.int64())], names=["a", "b"])
+                out = nodes != leads
+                columns = (leads, nodes, apart, sizes.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[out], pa.int64()) for x in columns), pa.array(found[out])], names=["lead", "node", "apart", "size", "linked"])
 
     return verify
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The candidate pairs (lead, node) whose texts reach the threshold; a lead's text moves once."""
+def _measured(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The candidate pairs (lead, node) with their symmetric difference, the node's size and whether they link."""
     n = partitions(pairs.sparkSession)
     # a lead of very many pairs is dealt over parts of some hundreds, each with the lead's text
     parts = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / 400).cast("int").alias("parts"))
@@ -174,10 +176,10 @@ def _linked(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int)
     others = pairs.join(parts, "lead").select("lead", "node", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
     rows = others.unionByName(own).join(texts, "node").select("lead", "part", "node", "body")
     dealt = rows.repartition(n, "lead", "part").sortWithinPartitions("lead", "part", F.col("node") != F.col("lead"), "node")
-    return dealt.mapInArrow(_verify(width, num, den), "a long, b long")
+    return dealt.mapInArrow(_verify(width, num, den), "lead long, node long, apart long, size long, linked boolean")
 
 
-def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, rounds: int = 4) -> DataFrame:
+def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, rounds: int = 2) -> DataFrame:
     """Groups of documents linked by Jaccard similarity of their word shingles of at least num / den.
 
     Takes doc_id (any integer type) and text; returns one row per input row: doc_id, n_shingles (size of its set of
@@ -188,7 +190,8 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     empty result. Shingles are compared by 64-bit hashes of whole words, equal sets are one node.
 
     No pair is left out: members of a signature are compared with a lead in each of some ``rounds``, and all pairs that
-    then still stand in different components are compared, too. Only pairs that are already connected are skipped.
+    then still stand in different components are compared, too, unless their distances from the first lead differ by more
+    than two linked sets can. Only pairs that are already connected are skipped.
     """
     spark = docs.sparkSession
     n = partitions(spark)
@@ -238,26 +241,27 @@ def _links(docs: DataFrame, sets: DataFrame, members: DataFrame, width: int, num
     bodies = docs.select(text_key().alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("body"))
     bodies = bodies.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("body").alias("body"))
     texts = written(picked.join(bodies, "key").select("node", "body"), "texts")
-    found = None
+    found = far = None
     labels = spark.createDataFrame([], "node long, component long")
     for turn in range(rounds + 1):
-        now = members if found is None else _unsettled(members, labels)
-        if found is None:
-            now = now.withColumn("component", F.col("node"))
+        now = members.withColumn("component", F.col("node")) if found is None else _unsettled(members, labels)
         now = written(now, "open")
-        size = now.groupBy("sign").agg(F.count(F.lit(1)).alias("n"))
-        load = size.agg(F.sum(F.col("n") * F.col("n")).alias("pairs"), F.sum("n").alias("rows")).first()
+        load = now.groupBy("sign").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") * F.col("n")).alias("pairs"), F.sum("n").alias("rows")).first()
         if not load["rows"]:
             break
         last = turn == rounds or (turn and load["pairs"] <= 64 * load["rows"])
         if last:
-            left, right = (now.select("sign", F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-            pairs = left.join(right, "sign").where("ca <> cb AND a < b").select(F.col("a").alias("lead"), F.col("b").alias("node")).distinct()
+            # the first lead of a signature is measured against all its nodes: a and b differ in at least the difference
+            # of their distances from it
+            near = now.join(_leads(now, 0), "sign").where("node <> l.node").withColumn("lead", F.col("l.node")).join(far, ["lead", "node"])
+            left, right = (near.select("sign", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "apart", "size")]) for x in "ab")
+            close = F.abs(F.col("apart_a") - F.col("apart_b")) * (den + num) <= (F.col("size_a") + F.col("size_b")) * (den - num)
+            pairs = left.join(right, "sign").where("component_a <> component_b AND node_a < node_b").where(close).select(F.col("node_a").alias("lead"), F.col("node_b").alias("node")).distinct()
         else:
-            order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node"), F.col("component"))
-            leads = now.groupBy("sign").agg(F.min(order).alias("l"))
-            pairs = now.join(leads, "sign").where("node <> l.node AND component <> l.component").select(F.col("l.node").alias("lead"), "node").distinct()
-        more = written(_linked(written(pairs, "pairs"), texts, width, num, den), "verified")
+            pairs = now.join(_leads(now, turn), "sign").where("node <> l.node AND component <> l.component").select(F.col("l.node").alias("lead"), "node").distinct()
+        measured = written(_measured(written(pairs, "pairs"), texts, width, num, den), "measured")
+        far = measured.select("lead", "node", "apart", "size") if far is None else far
+        more = measured.where("linked").select(F.col("lead").alias("a"), F.col("node").alias("b"))
         found = more if found is None else more.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
         labels = components(found)
         if last:
@@ -265,6 +269,12 @@ def _links(docs: DataFrame, sets: DataFrame, members: DataFrame, width: int, num
     return labels
 
 
+def _leads(members: DataFrame, turn: int) -> DataFrame:
+    """sign, l (h, node, component): the node of each signature that the others are compared with in a turn."""
+    order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node"), F.col("component"))
+    return members.groupBy("sign").agg(F.min(order).alias("l"))
+
+
 def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of the signatures whose nodes lie in more than one component."""
     named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
