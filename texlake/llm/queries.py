@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import importlib.util
 import os
+import string
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import licenses
 from .decontaminate import contaminated
 from .jaccard_join import jaccard_groups
 from .language_id import identify
@@ -77,4 +79,41 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_output, op3_decontamination, op4_topk_search, op5_language_id, op6_toxicity, op7_best_fit_packing, op8_license_scan, op9_jaccard_join, op10_token_counts)}
 
-ORACLES: dict[str, str] = {}
+_LOW = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+_WORDS = f"list_filter(string_split_regex({_LOW}, '[ \\x09-\\x0D]+'), lambda x: x <> '')"
+
+
+def _templates() -> str:
+    rows = [(label, phrase, base) for group, base in ((licenses.BASE, True), (licenses.MORE, False)) for label, phrase in group]
+    return ", ".join(f"({k}, '{label}', string_split('{phrase}', ' '), {base})" for k, (label, phrase, base) in enumerate(rows))
+
+
+ORACLES: dict[str, str] = {
+    "op3_decontamination": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents), b AS (SELECT row_number() OVER () AS q, item_id, {_WORDS} AS w FROM benchmark),
+ bs AS (SELECT DISTINCT q, item_id, least(len(w), 5) AS n, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM b WHERE len(w) > 0)),
+ ds AS (SELECT DISTINCT r, doc_id, n, array_to_string(w[i : i + n - 1], ' ') AS s FROM (SELECT r, doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bs) WHERE len(w) >= n)),
+ z AS (SELECT q, count(*) AS n_shingles FROM bs GROUP BY q)
+ SELECT doc_id, item_id, count(*) AS n_shared, any_value(n_shingles) AS n_shingles, count(*) / any_value(n_shingles) AS containment FROM ds JOIN bs USING (n, s) JOIN z USING (q) GROUP BY r, doc_id, q, item_id HAVING 100 * count(*) >= 80 * any_value(n_shingles)""",
+    "op4_topk_search": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+ WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(coalesce(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 5""",
+    "op8_license_scan": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex({_LOW}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
+ tpl(t, label, ws, base) AS (VALUES {_templates()}), tw AS (SELECT t, unnest(ws) AS x, generate_subscripts(ws, 1) - 1 AS k FROM tpl),
+ dw AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM d WHERE len(w) > 0),
+ df AS (SELECT v.x, (SELECT count(DISTINCT r) FROM dw WHERE dw.x = v.x) AS n FROM (SELECT DISTINCT x FROM tw) v),
+ idf AS (SELECT x, ln(((SELECT count(*) FROM d) + 1) / (n + 1)) + 1e-9 AS idf FROM df),
+ anchor AS (SELECT t, x, k FROM tw JOIN idf USING (x) QUALIFY row_number() OVER (PARTITION BY t ORDER BY idf DESC, k) = 1),
+ c AS (SELECT DISTINCT dw.r, a.t, dw.i - a.k AS s FROM dw JOIN anchor a USING (x) WHERE dw.i >= a.k),
+ e AS (SELECT c.r, c.t, c.s, bool_and(coalesce(dw.x = tw.x, false)) AS whole, sum(CASE WHEN dw.x = tw.x THEN idf ELSE 0 END) / sum(idf) AS share FROM c JOIN tw USING (t) JOIN idf ON idf.x = tw.x LEFT JOIN dw ON dw.r = c.r AND dw.i = c.s + tw.k GROUP BY c.r, c.t, c.s),
+ f AS (SELECT e.*, label, base FROM e JOIN tpl USING (t))
+ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, count(*) FILTER (WHERE whole AND base) AS n_base, CAST(min(s) FILTER (WHERE whole AND base) AS BIGINT) AS first_word, CAST(max(s) FILTER (WHERE whole AND base) AS BIGINT) AS last_word,
+ coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE whole AND base), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE whole), '') AS labels,
+ round(coalesce(max(CASE WHEN whole THEN 1.0::DOUBLE ELSE share END), 0), 6) AS score FROM d LEFT JOIN f USING (r) GROUP BY d.r, d.doc_id, d.w""",
+    "op9_jaccard_join": f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+ s AS (SELECT DISTINCT r, array_to_string(w[i : i + 3], ' ') AS s FROM (SELECT r, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS i FROM d WHERE len(w) > 0)),
+ z AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+ l AS (SELECT a.r AS a, b.r AS b FROM s a JOIN s b ON a.s = b.s AND a.r <> b.r JOIN z x ON x.r = a.r JOIN z y ON y.r = b.r GROUP BY a.r, b.r HAVING 100 * count(*) >= 85 * (any_value(x.n) + any_value(y.n) - count(*))),
+ reach AS (SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b)
+ SELECT d.doc_id, coalesce(any_value(z.n), 0) AS n_shingles, least(d.doc_id, min(o.doc_id)) AS component_id FROM d LEFT JOIN z USING (r) LEFT JOIN reach ON reach.a = d.r LEFT JOIN d o ON o.r = reach.b GROUP BY d.r, d.doc_id""",
+}
