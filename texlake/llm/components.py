@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import written
 
 
+#: Links of sixteen bytes that one task takes at once.
+FEW = 200_000
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step: each node's (smaller or larger) neighbours are tied to its least neighbour."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -23,13 +27,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame, most_steps: int = 60) -> DataFrame:
     """node, component (its least node) for every node of ``links`` (a, b long; null ends and loops are ignored).
 
-    Every step is a written table. Hot nodes cost map-side combines and joins that Spark splits. An empty link table
+    A link table of at most FEW rows (some megabytes) is worked through in one task, without shuffles; a larger one in
+    all of them. Every step is a written table. Hot nodes cost map-side combines and joins that Spark splits. An empty link table
     gives an empty result; repeated links count once.
     """
     edges = written(links.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct(), "links")
+    few = edges.count() <= FEW
     before = None
     for _ in range(most_steps):
-        edges = written(_star(_star(edges, True), False), "stars")
+        edges = written(_star(_star(edges.coalesce(1) if few else edges, True), False), "stars")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break
