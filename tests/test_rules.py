@@ -31,7 +31,7 @@ def ordered(spark, nodes):
     [
         ("remove", "a\n\\hypersetup{x}\nb \\noindent c\\vspace*{1em} \\lstset{y} d", "a\nb  c  d"),
         ("remove", "\\vspace{1em", "\\vspace{1em"),
-        ("unwrap", "\\hyperref[l]{see \\emph{x}} \\texorpdfstring{a}{b} \\makecell{a\\\\b}", "see \\emph{x} b a b"),
+        ("unwrap", "\\hyperref[l]{see \\emph{x}} \\texorpdfstring{a}{b} \\makecell{a\\\\b}", "see \\emph{x} a a b"),
         ("environments", "\\begin{minipage}[t]{1cm}in\\end{minipage}", "in"),
         ("rename", "\\begin{wrapfigure}{r}{1cm}x\\end{wrapfigure}\\begin{table*}y\\end{table*}", "\\begin{figure}[H]x\\end{figure}\\begin{table}y\\end{table}"),
         ("rename", "\\begin{minted}{py}x\\end{minted}", "\\begin{verbatim}x\\end{verbatim}"),

@@ -59,17 +59,18 @@ def include_order(edges: DataFrame, papers: DataFrame, most: int = 64) -> DataFr
     """
     hop = edges.withColumn("n", F.row_number().over(Window.partitionBy(*FILE).orderBy("start")))
     hop = hop.select("paper_id", F.col("path").alias("source"), "target", "n")
-    best = papers.select("paper_id", F.col("main_path").alias("path"), F.array().cast("array<int>").alias("order_path"), F.array("main_path").alias("seen"))
-    frontier = best
+    empty = F.array().cast("array<int>")
+    state = papers.select("paper_id", F.col("main_path").alias("path"), empty.alias("order_path"), F.array("main_path").alias("seen"), F.lit(True).alias("fresh"))
     for _ in range(most):
-        grown = frontier.withColumnRenamed("path", "source").join(hop, ["paper_id", "source"]).where(~F.array_contains("seen", F.col("target")))
-        grown = grown.select("paper_id", F.col("target").alias("path"), F.concat("order_path", F.array("n")).alias("order_path"), F.concat("seen", F.array("target")).alias("seen"))
-        now = first_by(best.unionByName(grown), FILE, "order_path")
-        frontier = now.join(best.select(*FILE, F.col("order_path").alias("_o")), FILE, "left").where("_o IS NULL OR order_path <> _o").drop("_o")
-        frontier, best = cut(frontier), cut(now)
-        if frontier.isEmpty():
+        grown = state.where("fresh").withColumnRenamed("path", "source").join(hop, ["paper_id", "source"]).where(~F.array_contains("seen", F.col("target")))
+        grown = grown.select("paper_id", F.col("target").alias("path"), F.concat("order_path", F.array("n")).alias("order_path"), F.concat("seen", F.array("target")).alias("seen"), "fresh")
+        # of equal paths the old one stays, so a round without a better path leaves nothing fresh
+        state = cut(first_by(state.withColumn("fresh", F.lit(False)).unionByName(grown), FILE, "order_path", "fresh"), "order")
+        if state.where("fresh").isEmpty():
             break
-    return best.select(*FILE, F.row_number().over(Window.partitionBy("paper_id").orderBy("order_path")).alias("file_ord"))
+    else:
+        raise RuntimeError(f"includes nest deeper than {most}")
+    return state.select(*FILE, F.row_number().over(Window.partitionBy("paper_id").orderBy("order_path")).alias("file_ord"))
 
 
 def file_order(files: DataFrame, sources: DataFrame) -> DataFrame:
