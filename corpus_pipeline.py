@@ -31,9 +31,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of at least 400 bytes that stand elsewhere, too, go from the texts."""
+    """Passages of over 50 words, or of at least 400 bytes, that stand elsewhere, too, go from the texts."""
     ship(spark)
-    return without_repeats(docs, length=400)
+    return without_repeats(docs, length=400, words=51)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -72,6 +72,36 @@ def test_suffix_stage_and_empty(spark):
         suffix_dedup.dedup_texts(docs(spark, texts), 100)
 
 
+@pytest.mark.parametrize("hot, block", [(4096, 4096), (2, 16)])
+def test_suffix_stage_by_words(spark, monkeypatch, hot, block):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_ROWS", block)
+    r = random.Random(12)
+    short = [r.choice("abcdefgh") + str(r.randrange(10)) for _ in range(120)]  # 51 words are 152 bytes
+    texts = [f"{prose(k, 60)} x{k} {' '.join(short[:n])} y{k} {prose(k + 50, 60)}" for k, n in ((60, 51), (61, 51), (62, 80), (63, 80))]
+    texts += ["p " + " ".join(short[90:]) + " p" + " " + prose(70, 20), "q " + " ".join(short[90:]) + "\n q", "é" * 300 + " 1", "é" * 300 + " 2"]
+    texts += ["  ".join(short[30:] + short[:30])] * 2 + ["a b " * 15, None]
+    texts += [f"m{k} " + " ".join(short[100:] + short[20:70]) + f" n{k}" for k in range(3)]
+    words = [(t or "").split() for t in texts]
+    count = collections.Counter(tuple(w[k : k + 51]) for w in words for k in range(len(w) - 50))
+    size = collections.Counter((t or "").encode()[k : k + 400] for t in texts for k in range(len((t or "").encode()) - 399))
+    want = []
+    for t in texts:
+        body = (t or "").encode()
+        at = [(m.start(), m.end()) for m in re.finditer(rb"\S+", body)]
+        cover = bytearray(len(body))
+        for k in range(len(at) - 50):
+            if count[tuple((t or "").split()[k : k + 51])] > 1:
+                cover[at[k][0] : at[k + 50][1]] = b"\1" * (at[k + 50][1] - at[k][0])
+        for k in range(len(body) - 399):
+            if size[body[k : k + 400]] > 1:
+                cover[k : k + 400] = b"\1" * 400
+        want.append(None if t is None else bytes(b for b, c in zip(body, cover) if not c).decode("utf-8", "ignore"))
+    got = {x["doc_id"]: x["text"] for x in suffix_dedup.without_repeats(docs(spark, texts), 400, 51).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+    assert all(" ".join(short[:51]) not in got[k] for k in range(4)) and got[4] == texts[4] and got[8] == got[9] == ""
+
+
 def test_difference_cover():
     c, n = suffix_dedup.COVER, suffix_dedup.COVER_SIZE
     assert {(a - b) % n for a in c for b in c} == set(range(n))

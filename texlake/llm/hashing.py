@@ -68,19 +68,21 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SP
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(offsets, starts, "right") - 1
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, chunk: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the lower-cased words of documents laid end to end, and each word's document.
+def word_hashes(data: np.ndarray, offsets: np.ndarray, chunk: int = 4_000_000, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the (lower-cased) words of documents laid end to end, and each word's document.
 
     A document longer than ``chunk`` is worked through in parts that end at white space.
     """
     starts, ends, owner = word_spans(data, offsets)
+    if lower:
+        data = LOWER[data]
     if len(data) <= chunk:
-        return Prefix(LOWER[data]).of(starts, ends), owner
+        return Prefix(data).of(starts, ends), owner
     out, i = [], 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + chunk, "right")))
         low = starts[i]
-        out.append(Prefix(LOWER[data[low : ends[j - 1]]]).of(starts[i:j] - low, ends[i:j] - low))
+        out.append(Prefix(data[low : ends[j - 1]]).of(starts[i:j] - low, ends[i:j] - low))
         i = j
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), owner
 

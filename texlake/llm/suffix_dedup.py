@@ -10,6 +10,8 @@
 
 Memory is bounded by one block of buckets. A bucket of more than HOT rows is split into its windows, each of which is a
 key of its own, counted within batches and then with map-side combines. Equal texts are one text.
+
+Passages can be judged by words, too: each word becomes WORD bytes of hash, and the same search runs over these.
 """
 
 from __future__ import annotations
@@ -30,9 +32,18 @@ GRAM, HOT, BLOCK_ROWS = 128, 4096, 4096
 COVER_SIZE, COVER = 16, (0, 1, 2, 5, 8)
 #: Two ranks of suffixes of so many bytes span a window.
 REACH = 256
+#: Bytes that stand for a word where passages are judged by words.
+WORD = 8
 _CHUNK = 4_000_000
 
 
+def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of texts laid end to end as WORD bytes of hash each, laid end to end, and the offsets of the texts in them."""
+    words, owner = hashing.word_hashes(data, offsets, lower=False)
+    counts = np.bincount(owner, minlength=len(offsets) - 1)
+    return words.view(np.uint8), np.concatenate([[0], np.cumsum(counts)]) * WORD
+
+
 def _anchors_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Anchor hash, place, first and last window start of each anchor, for texts laid end to end (places in ``data``)."""
     parts = []
@@ -62,10 +73,13 @@ def _anchors_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def _anchors(length: int):
+def _anchors(length: int, by_word: bool):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch, data, offsets in batches_of(whole, "body"):
+            # codes can be four times as long as the words
+            for batch, data, offsets in batches_of(whole, "body", 750_000 if by_word else 3_000_000):
+                if by_word:
+                    data, offsets = word_codes(data, offsets)
                 gram, at, low, high = _anchors_of(data, offsets, length)
                 owner = np.searchsorted(offsets, low, "right") - 1
                 counts = np.bincount(owner, minlength=batch.num_rows)
@@ -76,7 +90,7 @@ def _anchors(length: int):
     return read
 
 
-def _contexts(length: int):
+def _contexts(length: int, by_word: bool):
     """Rows (key, body, places): the bytes around each anchor. Hot anchors' windows are counted within the batch first:
     those that repeat in it are spans at once (at -1, low and high the bytes) and, without a key, one row for the others;
     the rest are rows of window hashes."""
@@ -115,6 +129,8 @@ def _contexts(length: int):
             rows, hot, held, hot_held = [], [], 0, 0
             for key, body, places in zip(batch.column("key"), batch.column("body"), batch.column("places")):
                 key, body, hashes = key.as_py(), body.as_py(), None
+                if by_word:
+                    body = word_codes(np.frombuffer(body, np.uint8), np.array([0, len(body)]))[0].tobytes()
                 for p in places.as_py():
                     if p["hot"]:
                         if hashes is None:
@@ -287,22 +303,29 @@ def _bucket_repeats(length: int):
     return read
 
 
-def _cut(length: int):
-    """Rows (key, body, copies, spans): the digest of each text, and what is left of it."""
+def _cut(length: int, words: int | None):
+    """Rows (key, body, copies, spans, word_spans): the digest of each text, and what is left of it."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "whole"]
         kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
         for batch in batches:
             rows = []
-            for key, body, copies, spans in zip(*(batch.column(c) for c in ("key", "body", "copies", "spans"))):
+            for key, body, copies, spans, word_spans in zip(*(batch.column(c) for c in ("key", "body", "copies", "spans", "word_spans"))):
                 body = body.as_py()
                 n = len(body)
                 merged: list[list[int]] = []
-                if copies.as_py() > 1 and n >= length:
+                found = [(s["start"], s["end"]) for s in spans.as_py() or ()]
+                long = n >= length
+                if words and (word_spans.is_valid or copies.as_py() > 1):
+                    starts, ends, _ = hashing.word_spans(np.frombuffer(body, np.uint8), np.array([0, n]))
+                    long = long or len(starts) >= words
+                    # whole words only: at a border, hashes of different words may share some bytes
+                    found += [(int(starts[-(-s["start"] // WORD)]), int(ends[s["end"] // WORD - 1])) for s in word_spans.as_py() or ()]
+                if copies.as_py() > 1 and long:
                     merged = [[0, n]]
                 else:
-                    for a, z in sorted((s["start"], s["end"]) for s in spans.as_py() or ()):
+                    for a, z in sorted(found):
                         if merged and a <= merged[-1][1]:
                             merged[-1][1] = max(merged[-1][1], z)
                         else:
@@ -320,22 +343,37 @@ def _cut(length: int):
     return read
 
 
-def dedup_texts(docs: DataFrame, length: int = 400) -> DataFrame:
+def dedup_texts(docs: DataFrame, length: int = 400, words: int | None = None) -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) and whole (its whole characters) of each different text of ``docs``.
 
     A byte goes if a ``length``-byte string that covers it starts at another place, too, in any text or its own; strings
-    are judged on the input. ``length`` is at least 288 and at most 512.
+    are judged on the input. ``length`` is at least 288 and at most 512. With ``words`` (36 to 64), what stands from the
+    first to the last of so many words (between ASCII white space, compared by 64-bit hashes) goes as well if the same
+    words follow each other at another place, however short they are.
     """
-    if not REACH + 2 * COVER_SIZE <= length <= 2 * REACH:
-        raise ValueError("length must lie between 288 and 512 bytes")
-    spark = docs.sparkSession
-    n = partitions(spark)
+    for n_bytes in (length, *([WORD * words] if words else [])):
+        if not REACH + 2 * COVER_SIZE <= n_bytes <= 2 * REACH:
+            raise ValueError("length must lie between 288 and 512 bytes, words between 36 and 64")
     texts = distinct_texts(docs, "suffix_texts")
-    found = written(texts.select("key", "body").mapInArrow(_anchors(length), "key binary, gram array<long>, at array<long>, low array<long>, high array<long>"), "anchors")
+    spans = _spans(texts, length, False).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    if words:
+        # one search after the other, so that both don't hold memory at once
+        spans = written(spans, "spans")
+        by_word = written(_spans(texts, WORD * words, True).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("word_spans")), "word-spans")
+        spans = spans.join(by_word, "key", "full")
+    else:
+        spans = spans.withColumn("word_spans", F.lit(None).cast("array<struct<start:bigint,end:bigint>>"))
+    return texts.join(spans, "key", "left").mapInArrow(_cut(length, words), "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, whole string")
+
+
+def _spans(texts: DataFrame, length: int, by_word: bool) -> DataFrame:
+    """key, start, end: what windows of ``length`` bytes that repeat in ``texts`` cover; of word codes if ``by_word``."""
+    n = partitions(texts.sparkSession)
+    found = written(texts.select("key", "body").mapInArrow(_anchors(length, by_word), "key binary, gram array<long>, at array<long>, low array<long>, high array<long>"), "anchors")
     places = found.select("key", F.explode(F.arrays_zip("gram", "at", "low", "high")).alias("p")).select("key", "p.*")
     again = places.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     kept = places.join(again, "gram").groupBy("key").agg(F.collect_list(F.struct("gram", "at", "low", "high", (F.col("n") > HOT).alias("hot"))).alias("places"))
-    around = texts.select("key", "body").join(kept, "key").mapInArrow(_contexts(length), "key binary, gram long, at long, low long, high long, bytes binary, windows array<long>")
+    around = texts.select("key", "body").join(kept, "key").mapInArrow(_contexts(length, by_word), "key binary, gram long, at long, low long, high long, bytes binary, windows array<long>")
     around = written(around, "contexts")
     calm = around.where("bytes IS NOT NULL").repartition(n, "gram").sortWithinPartitions("gram")
     spans = calm.mapInArrow(_bucket_repeats(length), "key binary, start long, end long")
@@ -348,8 +386,7 @@ def dedup_texts(docs: DataFrame, length: int = 400) -> DataFrame:
     # a row per anchor and step between window starts that do not follow each other
     hot = hot.select("key", "low", F.array_sort("ks").alias("ks")).select("key", "low", "ks", F.filter(F.transform("ks", lambda k, i: F.when((i == 0) | (F.get("ks", i - 1) != k - 1), i)), lambda i: i.isNotNull()).alias("heads"))
     hot = hot.select("key", "low", "ks", "heads", F.posexplode("heads").alias("j", "head")).select("key", (F.col("low") + F.get("ks", F.col("head"))).alias("start"), (F.col("low") + F.get("ks", F.coalesce(F.get("heads", F.col("j") + 1), F.size("ks")) - 1) + length).alias("end"))
-    per_text = spans.unionByName(hot).unionByName(known).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return texts.join(per_text, "key", "left").mapInArrow(_cut(length), "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, whole string")
+    return spans.unionByName(hot).unionByName(known)
 
 
 def suffix_dedup(docs: DataFrame, length: int = 400, with_text: bool = False) -> DataFrame:
@@ -364,13 +401,13 @@ def suffix_dedup(docs: DataFrame, length: int = 400, with_text: bool = False) ->
     return docs.select("doc_id", text_key().alias("key")).join(digest, "key").drop("key")
 
 
-def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 400, words: int | None = None) -> DataFrame:
     """The rows of ``docs`` with the columns they have, ``text`` without repeated passages and n_chars, if any, to match.
 
-    Characters that a passage's border cuts go, too. Null texts stay null.
+    Passages are those of ``dedup_texts``. Characters that a passage's border cuts go, too. Null texts stay null.
     """
     key, null, kept = (free_name(docs.columns, name) for name in ("_key", "_null", "_kept"))
-    digest = dedup_texts(docs, length).select(F.col("key").alias(key), F.col("whole").alias(kept))
+    digest = dedup_texts(docs, length, words).select(F.col("key").alias(key), F.col("whole").alias(kept))
     rows = docs.withColumns({key: text_key(), null: F.col("text").isNull()}).drop("text").join(digest, key)
     rows = rows.withColumn("text", F.when(~F.col(null), F.col(kept)))
     if "n_chars" in docs.columns:
