@@ -368,6 +368,19 @@ def test_jaccard_stage_and_edges(spark):
     assert jaccard_join.jaccard_groups(docs(spark, [])).count() == 0
 
 
+def test_jaccard_stage_keeps_one_row_of_each_group(spark):
+    a, b, c, d = (prose(k, 50) for k in (1, 2, 3, 4))
+    near = " ".join(c.split()[:-1])
+    texts = [(1, a)] * 3 + [(None, a), (None, b), (None, b), (4, c), (4, c), (4, near), (3, near), (7, d), (8, None), (8, None), (None, " "), (None, " "), (9, d), (7, "other words here")]
+    t = spark.createDataFrame([(k, x, "_k", n) for n, (k, x) in enumerate(texts)], "doc_id long, text string, _key string, _gone_id int")
+    kept = jaccard_join.one_of_each_group(t)
+    want = [(1, a), (None, b), (3, near), (7, d), (8, None), (None, " "), (None, " "), (7, "other words here")]
+    assert kept.columns == t.columns and rows(kept, "doc_id", "text") == sorted(want, key=repr)
+    assert jaccard_join.one_of_each_group(t.where("false")).count() == 0
+    # what one row of each group leaves is not cut as a copy by the next stage
+    assert {x["text"] for x in suffix_dedup.without_repeats(kept, 400, 51).collect() if x["doc_id"] == 1} == {a}
+
+
 # 10 token counts
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import batches_of, list_column, partitions, text_key, written
+from .common import batches_of, free_name, list_column, partitions, text_key, written
 from .components import components
 
 #: Bands up to this size use one-deletion neighbourhoods.
@@ -193,8 +193,15 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     then still stand in different components are compared, too, unless their distances from the first lead differ by more
     than two linked sets can. Only pairs that are already connected are skipped.
     """
-    spark = docs.sparkSession
-    n = partitions(spark)
+    named = _named(docs, width, num, den, rounds)
+    least = named.where("node IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    out = named.join(least, "component", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _named(docs: DataFrame, width: int, num: int, den: int, rounds: int) -> DataFrame:
+    """doc_id, key (text_key), node, n_shingles, component (the least node reachable; null without words) of every row."""
+    n = partitions(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text_key().alias("key"), text.cast("binary").alias("body"))
@@ -204,11 +211,8 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     shared = written(dealt.mapInArrow(_members, "sign long, node long"), "shared")
     members = written(_cheapest(shared, _spare_of_bands(num, den)), "members")
     links = _links(docs, sets, members, width, num, den, rounds)
-    nodes = sets.select("doc_id", "node", "n_shingles")
-    named = nodes.join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.where("node IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(least, "component", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    nodes = sets.select("doc_id", "key", "node", "n_shingles")
+    return nodes.join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def _cheapest(shared: DataFrame, spares: list[int]) -> DataFrame:
@@ -220,15 +224,34 @@ def _cheapest(shared: DataFrame, spares: list[int]) -> DataFrame:
     return rows.where(F.col("r") > F.get(F.array(*map(F.lit, spares)), F.col("band"))).select("sign", "node")
 
 
-def one_of_each_group(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose doc_id is the smallest of its group in ``jaccard_groups``.
+def one_of_each_group(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, rounds: int = 2) -> DataFrame:
+    """Exactly one row of ``docs``, all columns as they are, of each group of ``jaccard_groups``.
 
-    Rows that share a doc_id stand or fall together; rows of null doc_id stay.
+    It is one of the smallest doc_id and, of these, of the least text_key; null doc_ids come last. Of repeated rows (same
+    doc_id, same text) any one stays. Rows without words have no group: repeated ones become one, those of null doc_id stay.
     """
-    gone = written(jaccard_groups(docs, **parameters).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    if gone.count() <= 1_000_000:  # sixteen bytes each
-        gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    named = _named(docs, width, num, den, rounds)
+    # repeated rows are one row from here on
+    counted = written(named.groupBy("component", "doc_id", "key").agg(F.count(F.lit(1)).alias("n")), "counted")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    least = counted.where("component IS NOT NULL").groupBy("component").agg(F.min(place).alias("l"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    later = counted.join(least, "component").where(~(F.col("doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("key") == F.col("l.key"))))
+    gone = later.select("doc_id", "key")
+    repeated = counted.where("n > 1 AND (doc_id IS NOT NULL OR component IS NOT NULL)").select("doc_id", "key")
+    gone, repeated = written(gone, "gone"), written(repeated, "repeated")
+    key, row, gone_id, gone_key = (free_name(docs.columns, name) for name in ("_key", "_row", "_gone_id", "_gone_key"))
+    keyed = docs.withColumn(key, text_key())
+
+    def same(table: DataFrame) -> tuple:
+        t = table.select(F.col("doc_id").alias(gone_id), F.col("key").alias(gone_key))
+        if table.count() <= 1_000_000:  # some fifty bytes each
+            t = F.broadcast(t)
+        return t, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(key) == F.col(gone_key))
+
+    once = keyed.join(*same(gone.unionByName(repeated)), "left_anti").select(docs.columns)
+    again = keyed.join(*same(repeated.exceptAll(gone)), "left_semi")
+    one = again.select("doc_id", key, F.struct(*docs.columns).alias(row)).groupBy("doc_id", key).agg(F.first(row).alias(row))
+    return once.unionByName(one.select(f"{row}.*"))
 
 
 def _links(docs: DataFrame, sets: DataFrame, members: DataFrame, width: int, num: int, den: int, rounds: int) -> DataFrame:
