@@ -233,6 +233,16 @@ def test_language(spark):
     assert {x["lang_pred"] for x in language_id.identify(table, train.where("false")).collect()} == {"und"}
 
 
+def test_language_sample_counts_different_usable_texts(spark):
+    de, en = "der hund und die katze über die straße", "the dog and that cat with the thing"
+    rows_of = [(de, "de")] * 400 + [(f"{en} {chr(97 + k)}", "en") for k in range(6)]
+    rows_of += [("1 2 3", "xx"), ("", "xx")] + [(str(k), "en") for k in range(400)] + [("x" * 300, "en")] * 400
+    train = spark.createDataFrame(rows_of, "text string, lang string")
+    got = [x["lang_pred"] for x in language_id.identify(docs(spark, [de, en]), train, per_language=2, longest=200).orderBy("doc_id").collect()]
+    assert got == ["de", "en"]
+    assert language_id.train([(de, "de"), (en, "en"), ("1 2", "xx")]).labels == ["de", "en"]
+
+
 # 6 toxicity
 
 

@@ -137,19 +137,20 @@ def _laid(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def train(examples: list[tuple[str, str]], steps: int = 25, words: int = 200, length: int = 128, seed: int = 7) -> Crf | None:
     """Learn from (text, language) pairs, ``words`` words from the middle of each; None without any word.
 
+    Languages without any word are left out.
+
     Half of the sequences switch languages every 10 to 40 words, so transitions are learnt, too.
     """
-    model = Crf(sorted({lang for _, lang in examples}))
-    k = len(model.labels)
-    laid, sizes = _laid([t.lower().encode() for t, _ in examples]), None
-    f = Features(*laid)
+    f = Features(*_laid([t.lower().encode() for t, _ in examples]))
     if not f.n:
         return None
     sizes = np.bincount(f.owner, minlength=len(examples))
+    model = Crf(sorted({lang for (_, lang), n in zip(examples, sizes) if n}))
+    k = len(model.labels)
     rank = np.arange(f.n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     skip = np.maximum(0, (sizes - words) // 2)
     taken = np.flatnonzero((rank >= skip[f.owner]) & (rank < skip[f.owner] + words))
-    label = np.array([model.labels.index(lang) for _, lang in examples])[f.owner]
+    label = np.array([model.labels.index(lang) if n else -1 for (_, lang), n in zip(examples, sizes)])[f.owner]
     # the lexicon: words of which nine tenths, and at least three, stand in one language
     known, place = np.unique(f.words[taken], return_inverse=True)
     by = np.bincount(place * k + label[taken], minlength=len(known) * k).reshape(-1, k)
@@ -207,19 +208,21 @@ def identify(docs: DataFrame, training: DataFrame, per_language: int = 250, long
     """doc_id, lang_pred, score of every row of ``docs`` (doc_id, text), learnt from ``training`` (text, lang).
 
     At most ``per_language`` training rows of a language are used, those with the least hash of
-    their texts among the different ones of at most ``longest`` characters; every text is predicted whole. Null and
+    their texts among the different ones that have a word and at most ``longest`` characters; every text is predicted whole. Null and
     letterless texts are ``und`` with score 0, as is everything where nothing can be learnt; ties go to the language
     that sorts first; rows that repeat repeat; extra columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     usable = training.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("text").cast("string").alias("text"), "lang")
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    usable = usable.where(F.length("text") <= longest).where(F.col("text").rlike(r"[A-Za-z]|[^\x00-\x7F]"))
+    different = usable.select("lang", F.xxhash64("text").alias("h")).distinct()
+    counts = {r["lang"]: r["n"] for r in different.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     examples: list[tuple[str, str]] = []
     if counts:
         # a hash threshold for each language, twice as wide as needed, then the least hashes
         share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2 * per_language / n))])
         chance = (F.xxhash64("text").bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)).alias("chance")
-        near = usable.select("text", "lang", chance).where(F.col("chance") < F.element_at(share, F.col("lang"))).where(F.length("text") <= longest).distinct()
+        near = usable.select("text", "lang", chance).where(F.col("chance") < F.element_at(share, F.col("lang"))).distinct()
         for lang in sorted(counts):
             few = near.where(F.col("lang") == lang).orderBy("chance", "text").limit(per_language).collect()
             examples += [(r["text"], lang) for r in few]
