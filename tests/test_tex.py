@@ -197,6 +197,20 @@ def test_archives(spark, tmp_path):
     assert [tuple(r) for r in S.read_archives(spark, str(tmp_path)).collect()] == [("2401.1", "main.tex", "x")]
 
 
+def test_archives_large_members(spark, tmp_path):
+    import io
+    import tarfile
+
+    sizes = {"a.tex": 3, "b.tex": 16_000_001, "c.tex": 5}
+    with tarfile.open(tmp_path / "2401.2.tar.gz", "w:gz", compresslevel=1) as t:
+        for name, n in sizes.items():
+            info = tarfile.TarInfo(name)
+            info.size = n
+            t.addfile(info, io.BytesIO(b"x" * n))
+    got = S.read_archives(spark, str(tmp_path)).select("path", F.length("content").alias("n")).collect()
+    assert {r["path"]: r["n"] for r in got} == sizes
+
+
 def test_stream_queues_once(spark, tmp_path):
     from texlake.streaming.pending import stream_pending
 

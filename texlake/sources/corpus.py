@@ -26,18 +26,25 @@ def read_sources(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def read_archives(spark: SparkSession, root: str, largest: int = 16_000_000) -> DataFrame:
-    """The same from ``.tar.gz`` archives, one a paper; members are read in memory, up to ``largest`` bytes each."""
+def read_archives(spark: SparkSession, root: str) -> DataFrame:
+    """The same from ``.tar.gz`` archives, one a paper; every member is read, in memory (one of over 2 GB is an error)."""
+
+    def laid(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["paper_id", "path", "content"])
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column("name"), batch.column("content")):
-                rows = []
+                rows, held = [], 0
                 with tarfile.open(fileobj=io.BytesIO(data.as_py()), mode="r:*") as archive:
                     for member in archive:
-                        if member.isfile() and member.name.endswith(".tex") and member.size <= largest:
+                        if member.isfile() and member.name.endswith(".tex"):
                             rows.append((name.as_py(), member.name.removeprefix("./"), archive.extractfile(member).read().decode("utf-8", "replace")))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["paper_id", "path", "content"])
+                            held += member.size
+                            if held > 16_000_000:
+                                yield laid(rows)
+                                rows, held = [], 0
+                yield laid(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar.gz").option("recursiveFileLookup", True).load(root)
     return files.select(F.regexp_extract("path", r"([^/]+)\.tar\.gz$", 1).alias("name"), "content").mapInArrow(unpack, SOURCES)
