@@ -371,6 +371,23 @@ def test_jaccard_signatures_miss_nothing():
             assert len(a) == len(b) or len(shared) >= 1
 
 
+@pytest.mark.parametrize("num, den", [(1, 2), (1, 4), (85, 100)])
+def test_jaccard_signatures_of_low_thresholds(num, den):
+    r = np.random.default_rng(13)
+    for size in (6, 12, 40, 130, 500):
+        a = r.integers(0, 2**63, size).astype(np.uint64)
+        b = a[: -(-size * num // den)]
+        signs, by = jaccard_join.signatures(np.concatenate([a, b]), np.array([len(a), len(b)]), num, den)
+        assert len(a) == len(b) or set(signs[by == 0].tolist()) & set(signs[by == 1].tolist())
+
+
+def test_jaccard_of_low_threshold(spark):
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words[a:z]) for a, z in ((0, 6), (0, 12), (20, 30), (20, 41), (44, 60), (44, 52), (50, 53))]
+    got = rows(jaccard_join.jaccard_groups(docs(spark, texts), 1, 50, 100), "doc_id", "n_shingles", "component_id")
+    assert got == sorted(brute_groups(texts, 1, 50, 100), key=repr)
+
+
 def test_jaccard_stage_and_edges(spark):
     t = docs(spark, [prose(1, 50), prose(1, 50), None, "x"])
     kept = jaccard_join.one_of_each_group(t)

@@ -61,9 +61,11 @@ def signatures(values: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tup
     ends = _bands(int(sizes.max()) * den // num + 1)
     most_apart = 2 * ends * (den - num) // (den + num)
     band = np.searchsorted(ends, sizes)
-    above = (sizes * den // num > ends[band]) & (sizes > 0)
-    owner = np.concatenate([np.flatnonzero(sizes), np.flatnonzero(above)])
-    scheme = np.concatenate([band[sizes > 0], band[above] + 1])
+    # a set signs its own band and every further one up to that of the largest set it may match
+    further = np.where(sizes > 0, np.searchsorted(ends, sizes * den // num) - band, -1)
+    steps = [(np.flatnonzero(further >= k), k) for k in range(int(further.max()) + 1)]
+    owner = np.concatenate([who for who, _ in steps])
+    scheme = np.concatenate([band[who] + k for who, k in steps])
     use = most_apart[scheme] > 0  # no difference allowed: equal sets only, and those are one node
     owner, scheme = owner[use], scheme[use]
     if not len(owner):
