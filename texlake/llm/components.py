@@ -9,7 +9,7 @@ from .common import written
 
 
 #: Links of sixteen bytes that one task takes at once.
-FEW = 200_000
+FEW = 50_000
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -24,23 +24,21 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("a") != F.col("b")).distinct()
 
 
-def components(links: DataFrame, most_steps: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, component (its least node) for every node of ``links`` (a, b long; null ends and loops are ignored).
 
-    A link table of at most FEW rows (some megabytes) is worked through in one task, without shuffles; a larger one in
+    A link table of at most FEW rows (a megabyte) is worked through in one task, without shuffles; a larger one in
     all of them. Every step is a written table. Hot nodes cost map-side combines and joins that Spark splits. An empty link table
     gives an empty result; repeated links count once.
     """
     edges = written(links.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct(), "links")
     few = edges.count() <= FEW
     before = None
-    for _ in range(most_steps):
+    while True:  # the steps grow with the logarithm of the longest chain
         edges = written(_star(_star(edges.coalesce(1) if few else edges, True), False), "stars")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {most_steps} steps")
     named = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return named.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

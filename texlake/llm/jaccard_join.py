@@ -13,7 +13,8 @@ order (count, then signature) is the same for every set, so what two sets drop o
 prefix of at most e, and one is left. What goes is what boilerplate, shared passages and empty segments cause.
 
 The choice is by cost: the deletion form writes as many signatures as the set has elements, the other one a sixth of
-that. Sets that share a signature are candidates and are verified on their texts.
+that. Sets that share a signature are candidates and are verified on their texts. What thousands of near copies of one
+text share says nothing; they are told apart by a second index, of their differences from the text in their middle.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing
@@ -31,6 +32,8 @@ from .components import components
 
 #: Bands up to this size use one-deletion neighbourhoods.
 DELETION_BAND = 64
+#: Bytes of text that are worked on at once.
+SLICE = 1_000_000
 _GROWTH = 1.5
 
 
@@ -97,7 +100,7 @@ def _sets(width: int, num: int, den: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             seen: set[int] = set()
-            for batch, data, offsets in batches_of(whole, "body"):
+            for batch, data, offsets in batches_of(whole, "body", SLICE):
                 words, owner = hashing.word_hashes(data, offsets)
                 values, who = hashing.distinct_pairs(*hashing.shingles(words, owner, width))
                 sizes = np.bincount(who, minlength=batch.num_rows).astype(np.int64)
@@ -140,37 +143,51 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(sign), pa.array(node)], names=["sign", "node"])
 
 
-def _verify(width: int, num: int, den: int):
+def _verify(width: int, num: int, den: int, with_elements: bool):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (lead, node, body) by lead, the lead's own row first; out come how far the others are from it."""
         own = np.zeros(0, np.uint64)
         for whole in batches:
-            for batch, data, offsets in batches_of(whole, "body"):
+            for batch, data, offsets in batches_of(whole, "body", SLICE):
                 words, owner = hashing.word_hashes(data, offsets)
                 values, who = hashing.distinct_pairs(*hashing.shingles(words, owner, width))
                 sizes = np.bincount(who, minlength=batch.num_rows)
                 ends = np.cumsum(sizes)
                 leads, nodes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("lead", "node"))
-                found, apart = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows, np.int64)
+                found, apart, lead_size = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+                elements: list[np.ndarray] = []
                 cuts = np.flatnonzero(np.concatenate([[True], (nodes == leads)[1:], [True]]))
                 for a, z in zip(cuts[:-1], cuts[1:]):
                     if nodes[a] == leads[a]:
                         own = values[ends[a] - sizes[a] : ends[a]]
-                    part = slice(ends[a] - sizes[a], ends[z - 1])
-                    place = np.minimum(np.searchsorted(own, values[part]), max(0, len(own) - 1))
-                    hit = own[place] == values[part] if len(own) else np.zeros(len(place), bool)
-                    common = np.bincount(who[part][hit] - a, minlength=z - a)
+                    begin = ends[a] - sizes[a]
+                    part = values[begin : ends[z - 1]]
+                    place = np.minimum(np.searchsorted(own, part), max(0, len(own) - 1))
+                    hit = own[place] == part if len(own) else np.zeros(len(place), bool)
+                    common = np.bincount(who[begin : ends[z - 1]][hit] - a, minlength=z - a)
+                    lead_size[a:z] = len(own)
                     apart[a:z] = len(own) + sizes[a:z] - 2 * common
                     found[a:z] = (common > 0) & (den * common >= num * (len(own) + sizes[a:z] - common))
+                    for k in range(a, z) if with_elements else ():
+                        if nodes[k] != leads[k]:
+                            mine = slice(ends[k] - sizes[k] - begin, ends[k] - begin)
+                            left = np.ones(len(own), bool)
+                            left[place[mine][hit[mine]]] = False
+                            elements += [own[left], part[mine][~hit[mine]]]
                 out = nodes != leads
-                columns = (leads, nodes, apart, sizes.astype(np.int64))
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[out], pa.int64()) for x in columns), pa.array(found[out])], names=["lead", "node", "apart", "size", "linked"])
+                columns = [pa.array(x[out], pa.int64()) for x in (leads, nodes, apart, sizes.astype(np.int64), lead_size)]
+                names = ["lead", "node", "apart", "size", "lead_size", "linked"]
+                columns.append(pa.array(found[out]))
+                if with_elements:
+                    names.append("elements")
+                    columns.append(list_column(np.concatenate([*elements, np.zeros(0, np.uint64)]).view(np.int64), apart[out], pa.int64()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return verify
 
 
-def _measured(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The candidate pairs (lead, node) with their symmetric difference, the node's size and whether they link."""
+def _measured(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int, with_elements: bool = False) -> DataFrame:
+    """The pairs (lead, node) with the size of their symmetric difference (and its elements), both sizes and whether they link."""
     n = partitions(pairs.sparkSession)
     # a lead of very many pairs is dealt over parts of some hundreds, each with the lead's text
     parts = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / 400).cast("int").alias("parts"))
@@ -178,10 +195,11 @@ def _measured(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int
     others = pairs.join(parts, "lead").select("lead", "node", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
     rows = others.unionByName(own).join(texts, "node").select("lead", "part", "node", "body")
     dealt = rows.repartition(n, "lead", "part").sortWithinPartitions("lead", "part", F.col("node") != F.col("lead"), "node")
-    return dealt.mapInArrow(_verify(width, num, den), "lead long, node long, apart long, size long, linked boolean")
+    schema = "lead long, node long, apart long, size long, lead_size long, linked boolean" + ", elements array<long>" * with_elements
+    return dealt.mapInArrow(_verify(width, num, den, with_elements), schema)
 
 
-def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, rounds: int = 2) -> DataFrame:
+def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, rounds: int = 1) -> DataFrame:
     """Groups of documents linked by Jaccard similarity of their word shingles of at least num / den.
 
     Takes doc_id (any integer type) and text; returns one row per input row: doc_id, n_shingles (size of its set of
@@ -191,9 +209,8 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     texts share a component; null doc_ids are ignored in minima; extra columns are ignored; an empty table gives an
     empty result. Shingles are compared by 64-bit hashes of whole words, equal sets are one node.
 
-    No pair is left out: members of a signature are compared with a lead in each of some ``rounds``, and all pairs that
-    then still stand in different components are compared, too, unless their distances from the first lead differ by more
-    than two linked sets can. Only pairs that are already connected are skipped.
+    No pair is left out: members of a signature are compared with a lead in each of some ``rounds``, and those that then
+    still stand in different components by what they have and lack against a common lead (``_further``).
     """
     named = _named(docs, width, num, den, rounds)
     least = named.where("node IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -226,7 +243,7 @@ def _cheapest(shared: DataFrame, spares: list[int]) -> DataFrame:
     return rows.where(F.col("r") > F.get(F.array(*map(F.lit, spares)), F.col("band"))).select("sign", "node")
 
 
-def one_of_each_group(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, rounds: int = 2) -> DataFrame:
+def one_of_each_group(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, rounds: int = 1) -> DataFrame:
     """Exactly one row of ``docs``, all columns as they are, of each group of ``jaccard_groups``.
 
     It is one of the smallest doc_id and, of these, of the least text_key; null doc_ids come last. Of repeated rows (same
@@ -257,7 +274,7 @@ def one_of_each_group(docs: DataFrame, width: int = 5, num: int = 80, den: int =
 
 
 def _links(docs: DataFrame, sets: DataFrame, members: DataFrame, width: int, num: int, den: int, rounds: int) -> DataFrame:
-    spark = docs.sparkSession
+    """node, component of every node that links with another one."""
     candidates = members.select("node").distinct()
     picked = written(sets.join(candidates, "node").groupBy("node").agg(F.min("key").alias("key")), "picked")
     wanted = picked.select("key")
@@ -266,31 +283,19 @@ def _links(docs: DataFrame, sets: DataFrame, members: DataFrame, width: int, num
     bodies = docs.select(text_key().alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("body"))
     bodies = bodies.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("body").alias("body"))
     texts = written(picked.join(bodies, "key").select("node", "body"), "texts")
-    found = far = None
-    labels = spark.createDataFrame([], "node long, component long")
+    labels = docs.sparkSession.createDataFrame([], "node long, component long")
+    now = members.withColumn("component", F.col("node"))
     for turn in range(rounds + 1):
-        now = members.withColumn("component", F.col("node")) if found is None else _unsettled(members, labels)
-        now = written(now, "open")
-        load = now.groupBy("sign").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") * F.col("n")).alias("pairs"), F.sum("n").alias("rows")).first()
-        if not load["rows"]:
-            break
-        last = turn == rounds or (turn and load["pairs"] <= 64 * load["rows"])
-        if last:
-            # the first lead of a signature is measured against all its nodes: a and b differ in at least the difference
-            # of their distances from it
-            near = now.join(_leads(now, 0), "sign").where("node <> l.node").withColumn("lead", F.col("l.node")).join(far, ["lead", "node"])
-            left, right = (near.select("sign", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "apart", "size")]) for x in "ab")
-            close = F.abs(F.col("apart_a") - F.col("apart_b")) * (den + num) <= (F.col("size_a") + F.col("size_b")) * (den - num)
-            pairs = left.join(right, "sign").where("component_a <> component_b AND node_a < node_b").where(close).select(F.col("node_a").alias("lead"), F.col("node_b").alias("node")).distinct()
-        else:
+        if turn < rounds:
             pairs = now.join(_leads(now, turn), "sign").where("node <> l.node AND component <> l.component").select(F.col("l.node").alias("lead"), "node").distinct()
-        measured = written(_measured(written(pairs, "pairs"), texts, width, num, den), "measured")
-        far = measured.select("lead", "node", "apart", "size") if far is None else far
-        more = measured.where("linked").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-        found = more if found is None else more.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        labels = components(found)
-        if last:
-            break
+            found = _measured(written(pairs, "pairs"), texts, width, num, den).where("linked").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+        else:
+            found = _further(now, texts, width, num, den)
+        labels = components(written(found, "found").unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        if turn < rounds:
+            now = written(_unsettled(members, labels), "open")
+            if now.isEmpty():
+                break
     return labels
 
 
@@ -305,3 +310,46 @@ def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = named.groupBy("sign").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sign")
     return named.join(mixed, "sign", "left_semi").select("sign", "node", "component")
+
+
+def _further(now: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The links (a, b) that members of the same signature have, but those that other links of theirs imply.
+
+    Of each signature the node with the most company is the lead, which near copies of one text mostly share. A set is its
+    difference from the lead: |A - B| = |dA| + |dB| - 2 |dA & dB| (symmetric differences), so with
+    u = |d| (den + num) - |set| (den - num), two sets link if and only if 2 (den + num) |dA & dB| >= uA + uB. Sets that
+    link with the lead need no further comparison among each other. Of any other pair, the one of larger u doesn't link
+    with the lead; they must share so many elements of their differences that the rarest ones of either, as many as can
+    be without a share, have one in common. Elements that only one set of the lead has in its difference don't count.
+    """
+    s, d = num + den, den - num
+    company = now.join(now.groupBy("sign").agg(F.count(F.lit(1)).alias("n")), "sign").groupBy("node").agg(F.sum("n").alias("company"))
+    led = now.join(company, "node")
+    lead = led.groupBy("sign").agg(F.max(F.struct("company", "node")).alias("l"))
+    pairs = written(led.join(lead, "sign").select(F.col("l.node").alias("lead"), "node", "component").where("node <> lead").distinct(), "pairs")
+    apart = written(_measured(pairs.select("lead", "node"), texts, width, num, den, with_elements=True), "apart")
+    near = apart.where("linked").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    u = (F.col("apart") * s - F.col("size") * d).alias("u")
+    rated = apart.select("lead", "node", u, (F.col("lead_size") * d).alias("edge"), "linked", "elements")
+    far = rated.where("NOT linked").select("lead").distinct()
+    elements = rated.join(far, "lead", "left_semi").select("lead", "node", F.explode("elements").alias("e"))
+    common = elements.groupBy("lead", "e").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    lists = elements.join(common, ["lead", "e"]).groupBy("lead", "node").agg(F.array_sort(F.collect_list(F.struct("n", "e"))).alias("es"))
+    sized = lists.join(rated.drop("elements"), ["lead", "node"]).join(pairs, ["lead", "node"])
+    sized = written(sized.select("lead", "node", "component", "u", "edge", "linked", F.size("es").cast("long").alias("k"), F.transform("es", lambda x: x["e"]).alias("es")), "sized")
+
+    def rare(sets: DataFrame, least: Column, side: str) -> DataFrame:
+        """The elements of which one is shared with every set that shares at least ``least``."""
+        rows = sets.withColumn("least", F.ceil(least / (2 * s))).where("k >= least")
+        first = F.slice("es", F.lit(1), (F.col("k") - F.col("least") + 1).cast("int"))
+        named = rows.select("lead", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "u", "k")], F.posexplode(first).alias("at", "e"))
+        return named.withColumn(f"rest_{side}", F.col(f"k_{side}") - F.col("at")).drop("at", f"k_{side}")
+
+    low = rare(sized, F.col("u") + F.greatest(F.col("u"), F.col("edge") + 1), "a")
+    high = rare(sized.where("NOT linked"), F.greatest(F.lit(1), F.col("u") + 2 * num - F.col("edge")), "b")
+    ordered = (F.col("u_a") < F.col("u_b")) | ((F.col("u_a") == F.col("u_b")) & (F.col("node_a") < F.col("node_b")))
+    enough = 2 * s * F.least("rest_a", "rest_b") >= F.col("u_a") + F.col("u_b")
+    found = low.join(high, ["lead", "e"]).where(ordered & enough & (F.col("component_a") != F.col("component_b")))
+    last = written(found.select(F.col("node_a").alias("lead"), F.col("node_b").alias("node")).distinct(), "last")
+    exact = _measured(last, texts, width, num, den).where("linked").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    return near.unionByName(exact)
