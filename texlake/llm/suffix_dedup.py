@@ -1,23 +1,24 @@
 """Removal of long repeated substrings by a sparse suffix array, built bucket by bucket with a difference cover.
 
-1. Winnowing: of every ``length``-byte window, the GRAM-byte substring with the least hash is the window's anchor. Equal
+1. Winnowing: of every ``length``-byte window, the 128-byte substring with the least hash is the window's anchor. Equal
    windows have equal anchors at equal places, so a window whose anchor substring occurs once cannot repeat. All others
    are suffixes to sort: they fall into buckets, one for each anchor substring.
-2. A bucket's rows are laid under each other, anchor over anchor, on a stride of COVER_SIZE. Ranks of the suffixes at the
-   positions of a difference cover modulo COVER_SIZE are computed first, by doubling from 16 to 256 bytes.
+2. A bucket's rows are laid under each other, anchor over anchor, on a stride of the cover's modulus. Ranks of the suffixes
+   at the positions of a difference cover are computed first, by doubling (of bytes, modulo 16, from 16 to 256).
 3. Windows are then sorted by their bytes up to the next cover position and, for the long ties, by the ranks of two cover
    suffixes that span the rest, and the bytes after them. Neighbours that tie in all of this are repeats, byte for byte.
 
 Memory is bounded by one block of buckets. A bucket of more than HOT rows is split into its windows, each of which is a
 key of its own, counted within batches and then with map-side combines. Equal texts are one text.
 
-Passages can be judged by words, too: each word becomes WORD bytes of hash, and the same search runs over these.
+Passages can be judged by words, too: the same search then runs over the 64-bit hashes of the words, in the same passes.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,30 +28,42 @@ from pyspark.sql import functions as F
 from . import hashing
 from .common import batches_of, distinct_texts, free_name, list_column, partitions, text_key, written
 
-GRAM, HOT, BLOCK_ROWS = 128, 4096, 4096
-#: Every difference modulo 16 is one of two elements of the cover.
-COVER_SIZE, COVER = 16, (0, 1, 2, 5, 8)
-#: Two ranks of suffixes of so many bytes span a window.
-REACH = 256
-#: Bytes that stand for a word where passages are judged by words.
-WORD = 8
-_CHUNK = 4_000_000
+HOT, BLOCK_ROWS = 4096, 4096
+#: Elements that are worked on at once, and bytes of text.
+_CHUNK, SLICE = 4_000_000, 1_500_000
 
 
-def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words of texts laid end to end as WORD bytes of hash each, laid end to end, and the offsets of the texts in them."""
+class Scheme(NamedTuple):
+    """How sequences of one kind of element are searched."""
+
+    #: Elements of an anchor.
+    gram: int
+    #: Every difference modulo cover_size is one of two elements of the cover.
+    cover_size: int
+    cover: tuple[int, ...]
+    #: Two ranks of suffixes of so many elements span a window.
+    reach: int
+    #: Elements that fit into a key of 64 bits; twice as many are the first span of the ranks, a multiple of cover_size.
+    pack: int
+
+
+#: Of bytes and of words; the lowest bit of an anchor's hash tells which.
+BYTES, WORDS = SCHEMES = (Scheme(128, 16, (0, 1, 2, 5, 8), 256, 8), Scheme(17, 4, (0, 1, 2), 32, 2))
+
+
+def _word_elements(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of texts laid end to end, and the offsets of the texts in them."""
     words, owner = hashing.word_hashes(data, offsets, lower=False)
-    counts = np.bincount(owner, minlength=len(offsets) - 1)
-    return words.view(np.uint8), np.concatenate([[0], np.cumsum(counts)]) * WORD
+    return words, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(offsets) - 1))]).astype(np.int64)
 
 
-def _anchors_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def _anchors_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """Anchor hash, place, first and last window start of each anchor, for texts laid end to end (places in ``data``)."""
     parts = []
     for begin in range(0, max(1, len(data) - length + 1), _CHUNK):
         piece = data[begin : begin + _CHUNK + length - 1]
-        hashes = hashing.Prefix(piece).all_of(GRAM)
-        w = length - GRAM + 1
+        hashes = hashing.Prefix(piece).all_of(gram)
+        w = length - gram + 1
         n = len(piece) - length + 1
         if n <= 0:
             continue
@@ -73,27 +86,28 @@ def _anchors_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def _anchors(length: int, by_word: bool):
+def _anchors(lengths: tuple[int, ...]):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            # codes can be four times as long as the words
-            for batch, data, offsets in batches_of(whole, "body", 750_000 if by_word else 3_000_000):
-                if by_word:
-                    data, offsets = word_codes(data, offsets)
-                gram, at, low, high = _anchors_of(data, offsets, length)
-                owner = np.searchsorted(offsets, low, "right") - 1
-                counts = np.bincount(owner, minlength=batch.num_rows)
-                base = offsets[owner]
-                lists = [list_column(x, counts, pa.int64()) for x in (gram.view(np.int64), at - base, low - base, high - base)]
-                yield pa.RecordBatch.from_arrays([batch.column("key"), *lists], names=["key", "gram", "at", "low", "high"])
+            for batch, data, offsets in batches_of(whole, "body", SLICE):
+                for kind, length in enumerate(lengths):
+                    if kind:
+                        data, offsets = _word_elements(data, offsets)
+                    gram, at, low, high = _anchors_of(data, offsets, length, SCHEMES[kind].gram)
+                    owner = np.searchsorted(offsets, low, "right") - 1
+                    counts = np.bincount(owner, minlength=batch.num_rows)
+                    base = offsets[owner]
+                    named = (gram & ~np.uint64(1) | np.uint64(kind)).view(np.int64)
+                    lists = [list_column(x, counts, pa.int64()) for x in (named, at - base, low - base, high - base)]
+                    yield pa.RecordBatch.from_arrays([batch.column("key"), *lists], names=["key", "gram", "at", "low", "high"])
 
     return read
 
 
-def _contexts(length: int, by_word: bool):
-    """Rows (key, body, places): the bytes around each anchor. Hot anchors' windows are counted within the batch first:
-    those that repeat in it are spans at once (at -1, low and high the bytes) and, without a key, one row for the others;
-    the rest are rows of window hashes."""
+def _contexts(lengths: tuple[int, ...]):
+    """Rows (key, body, places): the elements around each anchor, as bytes. Hot anchors' windows are counted within the
+    batch first: those that repeat in it are spans at once (at -1, low and high the span) and, without a key, one row for
+    the others; the rest are rows of window hashes."""
     names = ["key", "gram", "at", "low", "high", "bytes", "windows"]
     kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
 
@@ -120,7 +134,7 @@ def _contexts(length: int, by_word: bool):
         for a, z in zip(cut[:-1], cut[1:]):
             key, gram = hot[which[a]][:2]
             if repeated[a]:
-                yield (key, gram, -1, int(start[a]), int(start[z - 1]) + length, None, None)
+                yield (key, gram, -1, int(start[a]), int(start[z - 1]) + lengths[gram & 1], None, None)
             else:
                 yield (key, gram, None, int(start[a]), None, None, hashes[a:z])
 
@@ -128,22 +142,26 @@ def _contexts(length: int, by_word: bool):
         for batch in batches:
             rows, hot, held, hot_held = [], [], 0, 0
             for key, body, places in zip(batch.column("key"), batch.column("body"), batch.column("places")):
-                key, body, hashes = key.as_py(), body.as_py(), None
-                if by_word:
-                    body = word_codes(np.frombuffer(body, np.uint8), np.array([0, len(body)]))[0].tobytes()
+                key, data = key.as_py(), np.frombuffer(body.as_py(), np.uint8)
+                elements: dict[int, np.ndarray] = {0: data}
+                hashes: dict[int, np.ndarray] = {}
                 for p in places.as_py():
+                    kind = p["gram"] & 1
+                    if kind not in elements:
+                        elements[kind] = _word_elements(data, np.array([0, len(data)]))[0]
                     if p["hot"]:
-                        if hashes is None:
-                            hashes = hashing.Prefix(np.frombuffer(body, np.uint8)).all_of(length).view(np.int64)
-                        hot.append((key, p["gram"], p["low"], hashes[p["low"] : p["high"] + 1]))
+                        if kind not in hashes:
+                            hashes[kind] = hashing.Prefix(elements[kind]).all_of(lengths[kind]).view(np.int64)
+                        hot.append((key, p["gram"], p["low"], hashes[kind][p["low"] : p["high"] + 1]))
                         hot_held += p["high"] - p["low"] + 1
                     else:
-                        rows.append((key, p["gram"], p["at"], p["low"], p["high"], body[p["low"] : p["high"] + length], None))
-                        held += length
-                if held > 8_000_000:
+                        around = elements[kind][p["low"] : p["high"] + lengths[kind]].tobytes()
+                        rows.append((key, p["gram"], p["at"], p["low"], p["high"], around, None))
+                        held += len(around)
+                if held > 4_000_000:
                     yield laid(rows)
                     rows, held = [], 0
-                if hot_held > 2_000_000:
+                if hot_held > 1_000_000:
                     yield laid(list(hot_rows(hot)))
                     hot, hot_held = [], 0
             if hot:
@@ -165,67 +183,69 @@ def _rank(*keys: np.ndarray) -> np.ndarray:
     return out.reshape(keys[0].shape)
 
 
-def repeated_windows(rows: list[bytes], at: np.ndarray, length: int, maybe: np.ndarray | None = None) -> np.ndarray:
-    """For rows of bytes around anchors (anchor ``at`` bytes into each): whether the window that starts at a column repeats.
+def repeated_windows(rows: list[np.ndarray], at: np.ndarray, length: int, maybe: np.ndarray, scheme: Scheme) -> np.ndarray:
+    """For rows of elements around anchors (anchor ``at`` elements into each): whether the window that starts at a column repeats.
 
     Columns are places before the anchor, the last one being the anchor's own; rows hold the windows from their first
-    byte to ``length`` bytes before their end. ``maybe`` (windows of all rows, in order) leaves out those that surely don't.
+    element to ``length`` elements before their end. ``maybe`` (windows of all rows, in order) leaves out those that surely
+    don't.
     """
-    left = length - GRAM
-    left += -left % COVER_SIZE
-    width = left + length + 2 * COVER_SIZE
-    width += -width % COVER_SIZE
+    step, pack, bits = scheme.cover_size, scheme.pack, np.uint64(64 // scheme.pack)
+    left = length - scheme.gram
+    left += -left % step
+    width = left + length + 2 * step
+    width += -width % step
     m = len(rows)
     sizes = np.array([len(r) for r in rows], np.int64)
-    flat = np.frombuffer(b"".join(rows), np.uint8)
+    flat = np.concatenate(rows)
+    if flat.itemsize > 1:
+        flat = np.unique(flat, return_inverse=True)[1].astype(np.uint32) + np.uint32(1)
     row = np.repeat(np.arange(m), sizes)
     column = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + (left - at)[row]
-    text = np.zeros((m, width), np.uint8)
+    text = np.zeros((m, width), flat.dtype)
     text[row, column] = flat
-    words = np.zeros((m, width - 7), np.uint64)
-    for k in range(8):
-        words = words << np.uint64(8) | text[:, k : k + width - 7].astype(np.uint64)
-    # ranks of the cover suffixes by doubling: first the bytes that two suffixes differ in early, then ranks of ranks
-    cover = np.array([c for c in range(width) if c % COVER_SIZE in COVER])
+    keys = np.zeros((m, width - pack + 1), np.uint64)
+    for k in range(pack):
+        keys = keys << bits | text[:, k : k + width - pack + 1].astype(np.uint64)
+    # ranks of the cover suffixes by doubling: first the elements that two suffixes differ in early, then ranks of ranks
+    cover = np.array([c for c in range(width) if c % step in scheme.cover])
     place = np.full(width, -1)
-    here = cover[cover + 8 < words.shape[1]]
+    here = cover[cover + pack < keys.shape[1]]
     place[here] = np.arange(len(here))
-    ranks, span = _rank(words[:, here], words[:, here + 8]), 16
-    while span < REACH:
+    ranks, span = _rank(keys[:, here], keys[:, here + pack]), 2 * pack
+    while span < scheme.reach:
         further = here[(here + span < width) & (place[np.minimum(here + span, width - 1)] >= 0)]
         ranks = _rank(ranks[:, place[further]], ranks[:, place[further + span]])
         place = np.full(width, -1)
         place[further] = np.arange(len(further))
         here, span = further, span * 2
-    # windows, by the bytes before a cover position, the ranks, and the bytes after them
+    # windows, by the elements before a cover position, the ranks, and the elements after them
     first = left - at
     last = first + sizes - length
     who = np.repeat(np.arange(m), last - first + 1)
     start = np.arange(len(who)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1) + first[who]
-    if maybe is not None:
-        who, start = who[maybe], start[maybe]
-    up = np.array([min((c - r) % COVER_SIZE for c in COVER) for r in range(COVER_SIZE)])
-    down = np.array([min((r - c) % COVER_SIZE for c in COVER) for r in range(COVER_SIZE)])
-    ahead = up[start % COVER_SIZE]
+    who, start = who[maybe], start[maybe]
+    up = np.array([min((c - r) % step for c in scheme.cover) for r in range(step)])
+    down = np.array([min((r - c) % step for c in scheme.cover) for r in range(step)])
+    ahead = up[start % step]
     tail_end = start + length
-    behind = down[(tail_end - span) % COVER_SIZE]
-    head = np.where(ahead > 0, words[who, start] >> (np.uint64(8) * (8 - np.maximum(ahead, 1)).astype(np.uint64)), np.uint64(0))
-    tail = np.where(behind > 0, words[who, tail_end - behind] >> (np.uint64(8) * (8 - np.maximum(behind, 1)).astype(np.uint64)), np.uint64(0))
-    keys = [ranks[who, place[start + ahead]].astype(np.uint64) << np.uint64(4) | (start % COVER_SIZE).astype(np.uint64)]
-    keys += [ranks[who, place[tail_end - behind - span]].astype(np.uint64), head, tail]
-    group = _rank(*keys)
+    behind = down[(tail_end - span) % step]
+    part = lambda places, n: np.where(n > 0, keys[who, places] >> (bits * (pack - np.maximum(n, 1)).astype(np.uint64)), np.uint64(0))
+    order = [ranks[who, place[start + ahead]].astype(np.uint64) << np.uint64(4) | (start % step).astype(np.uint64)]
+    order += [ranks[who, place[tail_end - behind - span]].astype(np.uint64), part(start, ahead), part(tail_end - behind, behind)]
+    group = _rank(*order)
     out = np.zeros((m, left + 1), bool)
     out[who, start] = np.bincount(group)[group] > 1
     return out
 
 
-def _candidates(rows: list[bytes], length: int) -> np.ndarray:
+def _candidates(rows: list[np.ndarray], length: int) -> np.ndarray:
     """Which windows of the rows have a hash that another one has, too: all repeats and, rarely, others."""
     sizes = np.array([len(r) for r in rows], np.int64)
     count = sizes - length + 1
     base = np.cumsum(sizes) - sizes
     at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(base, count)
-    hashes = hashing.Prefix(np.frombuffer(b"".join(rows), np.uint8)).all_of(length)[at]
+    hashes = hashing.Prefix(np.concatenate(rows)).all_of(length)[at]
     order = np.argsort(hashes)
     same = np.zeros(len(order) + 1, bool)
     same[1:-1] = hashes[order[1:]] == hashes[order[:-1]]
@@ -234,7 +254,7 @@ def _candidates(rows: list[bytes], length: int) -> np.ndarray:
     return out
 
 
-def block_repeats(grams: np.ndarray, at: np.ndarray, rows: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def block_repeats(grams: np.ndarray, at: np.ndarray, rows: list[bytes], length: int, scheme: Scheme) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of repeated windows of the rows of some whole buckets: row, first and last window start within it.
 
     Equal rows of a bucket are one row whose windows all repeat; a bucket with one row then needs no sort. Of the others,
@@ -245,21 +265,21 @@ def block_repeats(grams: np.ndarray, at: np.ndarray, rows: list[bytes], length:
     first = np.full(len(known), -1)
     first[of[::-1]] = np.arange(len(rows))[::-1]
     often = np.bincount(of) > 1
-    distinct_in = np.bincount(np.unique(grams[first], return_inverse=True)[1])
-    alone = distinct_in[np.unique(grams[first], return_inverse=True)[1]] == 1
-    sizes = np.array([len(rows[k]) for k in first], np.int64) - length + 1
+    bucket = np.unique(grams[first], return_inverse=True)[1]
+    alone = np.bincount(bucket)[bucket] == 1
+    laid = [np.frombuffer(rows[k], np.uint8 if scheme == BYTES else np.uint64) for k in first]
+    sizes = np.array([len(r) for r in laid], np.int64) - length + 1
     found = [np.full(n, bool(o)) for n, o in zip(sizes, often)]
     tried = np.flatnonzero(~alone)
     if len(tried):
-        maybe = _candidates([rows[first[k]] for k in tried], length)
-        cuts = np.cumsum(sizes[tried])
-        parts = np.split(maybe, cuts[:-1])
+        maybe = _candidates([laid[k] for k in tried], length)
+        parts = np.split(maybe, np.cumsum(sizes[tried])[:-1])
         some = [j for j, part in enumerate(parts) if part.any()]
         if some:
             picked = tried[some]
-            left = length - GRAM
-            left += -left % COVER_SIZE
-            exact = repeated_windows([rows[first[k]] for k in picked], at[first[picked]], length, np.concatenate([parts[j] for j in some]))
+            left = length - scheme.gram
+            left += -left % scheme.cover_size
+            exact = repeated_windows([laid[k] for k in picked], at[first[picked]], length, np.concatenate([parts[j] for j in some]), scheme)
             for k, row in zip(picked, exact):
                 begin = left - at[first[k]]
                 found[k] |= row[begin : begin + sizes[k]]
@@ -273,12 +293,16 @@ def block_repeats(grams: np.ndarray, at: np.ndarray, rows: list[bytes], length:
     return np.array(who, np.int64), np.array(starts, np.int64), np.array(ends, np.int64)
 
 
-def _bucket_repeats(length: int):
-    """Rows sorted by gram (key, gram, at, low, high, bytes): intervals of bytes that repeated windows cover."""
+def _bucket_repeats(lengths: tuple[int, ...]):
+    """Rows sorted by gram (key, gram, at, low, bytes): intervals of elements that repeated windows cover."""
 
-    def repeats(keys, grams, at, low, rows) -> pa.RecordBatch:
-        r, a, z = block_repeats(grams, at - low, rows, length)
-        return pa.RecordBatch.from_arrays([pa.array([keys[k] for k in r], pa.binary()), pa.array(low[r] + a, pa.int64()), pa.array(low[r] + z + length, pa.int64())], names=["key", "start", "end"])
+    def repeats(keys, grams, at, low, rows) -> Iterator[pa.RecordBatch]:
+        for kind, length in enumerate(lengths):
+            mine = np.flatnonzero((grams & 1) == kind)
+            if len(mine):
+                r, a, z = block_repeats(grams[mine], (at - low)[mine], [rows[k] for k in mine], length, SCHEMES[kind])
+                r = mine[r]
+                yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in r], pa.binary()), pa.array(np.full(len(r), kind, np.int32)), pa.array(low[r] + a, pa.int64()), pa.array(low[r] + z + length, pa.int64())], names=["key", "kind", "start", "end"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, grams, at, low, rows = [], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
@@ -290,46 +314,51 @@ def _bucket_repeats(length: int):
             while len(ends) and len(rows) >= BLOCK_ROWS:
                 fit = ends[ends <= BLOCK_ROWS]
                 z = int(fit[-1] if len(fit) else ends[0])
-                yield repeats(keys[:z], grams[:z], at[:z], low[:z], rows[:z])
+                yield from repeats(keys[:z], grams[:z], at[:z], low[:z], rows[:z])
                 keys, rows, grams, at, low = keys[z:], rows[z:], grams[z:], at[z:], low[z:]
                 ends = ends[ends > z] - z
         while rows:
             ends = np.concatenate([np.flatnonzero(grams[1:] != grams[:-1]) + 1, [len(rows)]])
             fit = ends[ends <= BLOCK_ROWS]
             z = int(fit[-1] if len(fit) else ends[0])
-            yield repeats(keys[:z], grams[:z], at[:z], low[:z], rows[:z])
+            yield from repeats(keys[:z], grams[:z], at[:z], low[:z], rows[:z])
             keys, rows, grams, at, low = keys[z:], rows[z:], grams[z:], at[z:], low[z:]
 
     return read
 
 
-def _cut(length: int, words: int | None):
+def _merged(found: list[tuple[int, int]]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for a, z in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], z)
+        else:
+            out.append([a, z])
+    return out
+
+
+def _cut(length: int, words: int | None, cut_words: bool):
     """Rows (key, body, copies, spans, word_spans): the digest of each text, and what is left of it."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "whole"]
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
+        names = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_words", "kept", "whole"]
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
         for batch in batches:
             rows = []
             for key, body, copies, spans, word_spans in zip(*(batch.column(c) for c in ("key", "body", "copies", "spans", "word_spans"))):
                 body = body.as_py()
-                n = len(body)
-                merged: list[list[int]] = []
+                n, copied = len(body), copies.as_py() > 1
                 found = [(s["start"], s["end"]) for s in spans.as_py() or ()]
+                passages = _merged([(s["start"], s["end"]) for s in word_spans.as_py() or ()])
                 long = n >= length
-                if words and (word_spans.is_valid or copies.as_py() > 1):
+                if words and (passages or copied):
                     starts, ends, _ = hashing.word_spans(np.frombuffer(body, np.uint8), np.array([0, n]))
-                    long = long or len(starts) >= words
-                    # whole words only: at a border, hashes of different words may share some bytes
-                    found += [(int(starts[-(-s["start"] // WORD)]), int(ends[s["end"] // WORD - 1])) for s in word_spans.as_py() or ()]
-                if copies.as_py() > 1 and long:
-                    merged = [[0, n]]
-                else:
-                    for a, z in sorted(found):
-                        if merged and a <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], z)
-                        else:
-                            merged.append([a, z])
+                    if copied and len(starts) >= words:
+                        passages = [[0, len(starts)]]
+                    if cut_words:
+                        long = long or len(starts) >= words
+                        found += [(int(starts[a]), int(ends[z - 1])) for a, z in passages]
+                merged = [[0, n]] if copied and long else _merged(found)
                 at, pieces = 0, []
                 for a, z in merged:
                     pieces.append(body[at:a])
@@ -337,65 +366,69 @@ def _cut(length: int, words: int | None):
                 pieces.append(body[at:])
                 kept = b"".join(pieces)
                 whole = b"".join(part.decode("utf-8", "ignore").encode() for part in pieces)
-                rows.append((key.as_py(), n, n - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept, whole.decode()))
+                rows.append((key.as_py(), n, n - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), len(passages), sum(z - a for a, z in passages), kept, whole.decode()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
     return read
 
 
-def dedup_texts(docs: DataFrame, length: int = 400, words: int | None = None) -> DataFrame:
-    """key, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) and whole (its whole characters) of each different text of ``docs``.
+def dedup_texts(docs: DataFrame, length: int = 400, words: int | None = None, cut_words: bool = True) -> DataFrame:
+    """key, n_bytes, n_removed, n_spans, kept_sha256, n_passages, n_passage_words, kept (bytes) and whole (its whole characters) of each different text of ``docs``.
 
     A byte goes if a ``length``-byte string that covers it starts at another place, too, in any text or its own; strings
-    are judged on the input. ``length`` is at least 288 and at most 512. With ``words`` (36 to 64), what stands from the
-    first to the last of so many words (between ASCII white space, compared by 64-bit hashes) goes as well if the same
-    words follow each other at another place, however short they are.
+    are judged on the input. ``length`` is at least 288 and at most 512. With ``words`` (40 to 64), passages of so many
+    words (between ASCII white space, compared by 64-bit hashes) that stand at another place as well, however short they
+    are, are counted (maximal runs and the words in them; else 0) and, with ``cut_words``, go from their first word to
+    their last.
     """
-    for n_bytes in (length, *([WORD * words] if words else [])):
-        if not REACH + 2 * COVER_SIZE <= n_bytes <= 2 * REACH:
-            raise ValueError("length must lie between 288 and 512 bytes, words between 36 and 64")
+    lengths = (length, words) if words else (length,)
+    for size, scheme in zip(lengths, SCHEMES):
+        if not scheme.reach + 2 * scheme.cover_size <= size <= 2 * scheme.reach:
+            raise ValueError("length must lie between 288 and 512 bytes, words between 40 and 64")
     texts = distinct_texts(docs, "suffix_texts")
-    spans = _spans(texts, length, False).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    if words:
-        # one search after the other, so that both don't hold memory at once
-        spans = written(spans, "spans")
-        by_word = written(_spans(texts, WORD * words, True).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("word_spans")), "word-spans")
-        spans = spans.join(by_word, "key", "full")
-    else:
-        spans = spans.withColumn("word_spans", F.lit(None).cast("array<struct<start:bigint,end:bigint>>"))
-    return texts.join(spans, "key", "left").mapInArrow(_cut(length, words), "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, whole string")
-
-
-def _spans(texts: DataFrame, length: int, by_word: bool) -> DataFrame:
-    """key, start, end: what windows of ``length`` bytes that repeat in ``texts`` cover; of word codes if ``by_word``."""
+    span = F.struct("start", "end")
+    spans = _spans(texts, lengths).groupBy("key").agg(F.collect_list(F.when(F.col("kind") == 0, span)).alias("spans"), F.collect_list(F.when(F.col("kind") == 1, span)).alias("word_spans"))
+    schema = "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_words long, kept binary, whole string"
+    return texts.join(spans, "key", "left").mapInArrow(_cut(length, words, cut_words), schema)
+
+
+def _spans(texts: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """key, kind, start, end: what windows that repeat in ``texts`` cover, of bytes (kind 0) and of words (kind 1)."""
     n = partitions(texts.sparkSession)
-    found = written(texts.select("key", "body").mapInArrow(_anchors(length, by_word), "key binary, gram array<long>, at array<long>, low array<long>, high array<long>"), "anchors")
+    found = written(texts.select("key", "body").mapInArrow(_anchors(lengths), "key binary, gram array<long>, at array<long>, low array<long>, high array<long>"), "anchors")
     places = found.select("key", F.explode(F.arrays_zip("gram", "at", "low", "high")).alias("p")).select("key", "p.*")
-    again = places.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # written, so that Spark can split the partitions of frequent anchors in the join
+    again = written(places.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "again")
     kept = places.join(again, "gram").groupBy("key").agg(F.collect_list(F.struct("gram", "at", "low", "high", (F.col("n") > HOT).alias("hot"))).alias("places"))
-    around = texts.select("key", "body").join(kept, "key").mapInArrow(_contexts(length, by_word), "key binary, gram long, at long, low long, high long, bytes binary, windows array<long>")
+    around = texts.select("key", "body").join(kept, "key").mapInArrow(_contexts(lengths), "key binary, gram long, at long, low long, high long, bytes binary, windows array<long>")
     around = written(around, "contexts")
     calm = around.where("bytes IS NOT NULL").repartition(n, "gram").sortWithinPartitions("gram")
-    spans = calm.mapInArrow(_bucket_repeats(length), "key binary, start long, end long")
+    spans = calm.mapInArrow(_bucket_repeats(lengths), "key binary, kind int, start long, end long")
     counted = around.where("windows IS NOT NULL").select("key", "gram", "low", F.posexplode("windows").alias("k", "window"))
     # a row without a key stands for at least two places of its batch
     twice = counted.groupBy("gram", "window").agg(F.sum(F.when(F.col("key").isNull(), 2).otherwise(1)).alias("n")).where("n > 1").select("gram", "window")
     windows = counted.where("key IS NOT NULL")
-    known = around.where("at = -1").select("key", F.col("low").alias("start"), F.col("high").alias("end"))
+    kind = F.col("gram").bitwiseAND(F.lit(1)).cast("int").alias("kind")
+    known = around.where("at = -1").select("key", kind, F.col("low").alias("start"), F.col("high").alias("end"))
     hot = windows.join(twice, ["gram", "window"], "left_semi").groupBy("key", "gram", "low").agg(F.collect_list("k").alias("ks"))
     # a row per anchor and step between window starts that do not follow each other
-    hot = hot.select("key", "low", F.array_sort("ks").alias("ks")).select("key", "low", "ks", F.filter(F.transform("ks", lambda k, i: F.when((i == 0) | (F.get("ks", i - 1) != k - 1), i)), lambda i: i.isNotNull()).alias("heads"))
-    hot = hot.select("key", "low", "ks", "heads", F.posexplode("heads").alias("j", "head")).select("key", (F.col("low") + F.get("ks", F.col("head"))).alias("start"), (F.col("low") + F.get("ks", F.coalesce(F.get("heads", F.col("j") + 1), F.size("ks")) - 1) + length).alias("end"))
+    hot = hot.select("key", kind, "low", F.array_sort("ks").alias("ks")).select("key", "kind", "low", "ks", F.filter(F.transform("ks", lambda k, i: F.when((i == 0) | (F.get("ks", i - 1) != k - 1), i)), lambda i: i.isNotNull()).alias("heads"))
+    size = F.get(F.array(*map(F.lit, lengths)), F.col("kind"))
+    hot = hot.select("key", "kind", "low", "ks", "heads", F.posexplode("heads").alias("j", "head")).select("key", "kind", (F.col("low") + F.get("ks", F.col("head"))).alias("start"), (F.col("low") + F.get("ks", F.coalesce(F.get("heads", F.col("j") + 1), F.size("ks")) - 1) + size).alias("end"))
     return spans.unionByName(hot).unionByName(known)
 
 
-def suffix_dedup(docs: DataFrame, length: int = 400, with_text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 400, with_text: bool = False, words: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes, and whole, their whole characters) of every row of ``docs`` (doc_id, text).
 
-    Null and empty texts have 0 bytes and nothing to remove; rows with equal texts of at least ``length`` bytes lose
-    everything; repeated rows and null doc_ids keep their rows; extra columns are ignored; an empty table gives an empty result.
+    With ``words``, n_passages and n_passage_words follow: repeated passages of so many words or more, which are only
+    counted. Null and empty texts have 0 bytes and nothing to remove; rows with equal texts of at least ``length`` bytes
+    lose everything; repeated rows and null doc_ids keep their rows; extra columns are ignored; an empty table gives an
+    empty result.
     """
-    digest = dedup_texts(docs, length)
+    digest = dedup_texts(docs, length, words, cut_words=False)
+    if not words:
+        digest = digest.drop("n_passages", "n_passage_words")
     if not with_text:
         digest = written(digest.drop("kept", "whole"), "suffix-digest")
     return docs.select("doc_id", text_key().alias("key")).join(digest, "key").drop("key")
