@@ -13,13 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing
 from .common import batches_of
 
 BUCKETS, SEGMENT = 1 << 16, 64
+#: Words of a training sequence.
+WINDOW = 128
 #: Words are runs of ASCII letters and non-ASCII bytes.
 _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -130,16 +132,38 @@ class Crf:
         return out / out.sum(axis=1, keepdims=True)
 
 
+def chain_marginals(scores: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of chains of equal length (chains x words x labels): the posterior of each label at each word, and the expected
+    number of each pair of neighbouring labels over all chains, by forward-backward."""
+    rows, length, k = scores.shape
+    e = np.exp(scores - scores.max(axis=2, keepdims=True)).astype(np.float64)
+    a = np.exp(transition - transition.max()).astype(np.float64)
+    ahead, back = np.empty((rows, length, k)), np.empty((rows, length, k))
+    ahead[:, 0] = e[:, 0] / e[:, 0].sum(axis=1, keepdims=True)
+    for t in range(1, length):
+        v = (ahead[:, t - 1] @ a) * e[:, t]
+        ahead[:, t] = v / v.sum(axis=1, keepdims=True)
+    back[:, -1] = 1.0 / k
+    pairs = np.zeros((k, k))
+    for t in range(length - 2, -1, -1):
+        further = e[:, t + 1] * back[:, t + 1]
+        joint = ahead[:, t, :, None] * a * further[:, None, :]
+        pairs += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        v = further @ a.T
+        back[:, t] = v / v.sum(axis=1, keepdims=True)
+    post = ahead * back
+    return post / post.sum(axis=2, keepdims=True), pairs
+
+
 def _laid(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
 
 
-def train(examples: list[tuple[str, str]], steps: int = 25, words: int = 200, length: int = 128, seed: int = 7) -> Crf | None:
-    """Learn from (text, language) pairs, ``words`` words from the middle of each; None without any word.
-
-    Languages without any word are left out.
+def train(examples: list[tuple[str, str]], steps: int = 25, length: int = WINDOW, seed: int = 7) -> Crf | None:
+    """Learn from (text, language) pairs, all words of each; None without any word. Languages without any are left out.
 
-    Half of the sequences switch languages every 10 to 40 words, so transitions are learnt, too.
+    Half of the sequences of ``length`` words switch languages every 10 to 40 words, so transitions are learnt, too. The
+    gradient is that of the conditional likelihood: what the chains hold less what they are expected to hold.
     """
     f = Features(*_laid([t.lower().encode() for t, _ in examples]))
     if not f.n:
@@ -147,42 +171,38 @@ def train(examples: list[tuple[str, str]], steps: int = 25, words: int = 200, le
     sizes = np.bincount(f.owner, minlength=len(examples))
     model = Crf(sorted({lang for (_, lang), n in zip(examples, sizes) if n}))
     k = len(model.labels)
-    rank = np.arange(f.n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    skip = np.maximum(0, (sizes - words) // 2)
-    taken = np.flatnonzero((rank >= skip[f.owner]) & (rank < skip[f.owner] + words))
     label = np.array([model.labels.index(lang) if n else -1 for (_, lang), n in zip(examples, sizes)])[f.owner]
     # the lexicon: words of which nine tenths, and at least three, stand in one language
-    known, place = np.unique(f.words[taken], return_inverse=True)
-    by = np.bincount(place * k + label[taken], minlength=len(known) * k).reshape(-1, k)
+    known, place = np.unique(f.words, return_inverse=True)
+    by = np.bincount(place * k + label, minlength=len(known) * k).reshape(-1, k)
     sure = (by.max(axis=1) >= 3) & (by.max(axis=1) >= 0.9 * by.sum(axis=1))
     model.lexicon, model.lexicon_label = known[sure], by.argmax(axis=1)[sure]
-    # sequences: runs of one document's words, whole or switching
+    # sequences: runs of one language's words, whole or switching
     rng = np.random.default_rng(seed)
-    per_label = [taken[label[taken] == c] for c in range(k)]
+    per_label = [np.flatnonzero(label == c) for c in range(k)]
     rows = []
-    for r in range(max(1, len(taken) // length)):
-        row = []
+    for r in range(max(k, f.n // length)):
+        row: list[int] = []
         while len(row) < length:
-            pool = per_label[rng.integers(k)]
+            pool = per_label[(r // 2) % k if r % 2 and not row else rng.integers(k)]
             run = length if r % 2 else int(rng.integers(10, 41))
             at = int(rng.integers(len(pool)))
             row += pool[at : at + run].tolist()
         rows.append(row[:length])
-    rows = np.array(rows)
-    y = label[rows]
-    owner = np.repeat(np.arange(len(rows)), length)
-    flat = rows.reshape(-1)
+    chains = np.array(rows)
+    y = label[chains]
+    flat = chains.reshape(-1)
     entry = model._entry(f)[flat]
     n_grams = f.size[flat]
     gram_at = np.arange(n_grams.sum()) - np.repeat(np.cumsum(n_grams) - n_grams, n_grams) + np.repeat(f.first[flat], n_grams)
     gram, gram_word = f.grams[gram_at], np.repeat(np.arange(len(flat)), n_grams)
     one = np.eye(k)[y.reshape(-1)]
+    held = np.bincount((y[:, :-1] * k + y[:, 1:]).reshape(-1), minlength=k * k).reshape(k, k)
     parts = [model.affix, model.gram, model.lexicon_weight, model.bias, model.transition]
     seen = [np.full(p.shape, 1e-6, np.float32) for p in parts]
     for _ in range(steps):
-        scores = model.emissions(f)[flat]
-        post = model.posteriors(scores, owner)
-        residual = (one - post).astype(np.float32)
+        post, pairs = chain_marginals(model.emissions(f)[chains], model.transition)
+        residual = (one - post.reshape(-1, k)).astype(np.float32)
         grads = [np.zeros_like(p) for p in parts]
         for a in f.affixes:
             for c in range(k):
@@ -192,11 +212,7 @@ def train(examples: list[tuple[str, str]], steps: int = 25, words: int = 200, le
             grads[1][:, c] += np.bincount(gram, shared[gram_word, c], BUCKETS)
             grads[2][:, c] += np.bincount(entry, residual[:, c], k + 1)
         grads[3] += residual.sum(axis=0)
-        # pairs: the expectation from neighbouring posteriors through the transition matrix
-        p = post.reshape(len(rows), length, k)
-        joint = np.sqrt(p[:, :-1, :, None] * p[:, 1:, None, :]) * np.exp(model.transition - model.transition.max())
-        joint /= joint.sum(axis=(2, 3), keepdims=True)
-        grads[4] += (np.bincount((y[:, :-1] * k + y[:, 1:]).reshape(-1), minlength=k * k).reshape(k, k) - joint.sum(axis=(0, 1))).astype(np.float32)
+        grads[4] += (held - pairs).astype(np.float32)
         for p, g, s in zip(parts, grads, seen):
             g -= 1e-3 * p
             s += g * g
@@ -204,37 +220,56 @@ def train(examples: list[tuple[str, str]], steps: int = 25, words: int = 200, le
     return model
 
 
-def identify(docs: DataFrame, training: DataFrame, per_language: int = 250, longest: int = 100_000, **parameters) -> DataFrame:
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, text) to rows of WINDOW words, from the first word of a text to its last, and a hash of each."""
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            data = np.frombuffer(text.encode(), np.uint8)
+            starts, ends, _ = hashing.word_spans(data, np.array([0, len(data)]), _SEPARATOR)
+            cuts = range(0, len(starts), WINDOW)
+            parts = [data[starts[a] : ends[min(a + WINDOW, len(starts)) - 1]].tobytes().decode() for a in cuts]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(parts), pa.string()), pa.array(parts, pa.string())], names=["lang", "part"])
+
+
+def sample(training: DataFrame, per_language: int, windows: int) -> list[tuple[str, str]]:
+    """Training windows (text, lang): of each language at most ``per_language`` of its different texts, those of the least
+    hash, and of these at most ``windows`` different runs of WINDOW words, again those of the least hash."""
+    usable = training.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    usable = usable.where(F.col("text").rlike(r"[A-Za-z]|[^\x00-\x7F]"))
+
+    def least(rows: DataFrame, most: int) -> DataFrame:
+        order = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+        return rows.withColumn("r", order).where(F.col("r") <= most).drop("r")
+
+    picked = least(usable.select("lang", F.xxhash64("text").alias("h")).distinct(), per_language)
+    # two numbers for each of at most per_language rows a language
+    texts = usable.withColumn("h", F.xxhash64("text")).join(F.broadcast(picked), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    parts = texts.select("lang", "text").mapInArrow(_windows, "lang string, part string").select("lang", "part", F.xxhash64("part").alias("h")).distinct()
+    return [(r["part"], r["lang"]) for r in least(parts, windows).orderBy("lang", "h").collect()]
+
+
+def identify(docs: DataFrame, training: DataFrame, per_language: int = 250, windows: int = 400, with_runs: bool = False, **parameters) -> DataFrame:
     """doc_id, lang_pred, score of every row of ``docs`` (doc_id, text), learnt from ``training`` (text, lang).
 
-    At most ``per_language`` training rows of a language are used, those with the least hash of
-    their texts among the different ones that have a word and at most ``longest`` characters; every text is predicted whole. Null and
-    letterless texts are ``und`` with score 0, as is everything where nothing can be learnt; ties go to the language
-    that sorts first; rows that repeat repeat; extra columns are ignored; an empty table gives an empty result.
+    The model is fitted on a bounded ``sample`` of the training rows (``per_language``, ``windows``), in which repeated
+    rows count once and texts of any length take part; every text is predicted whole. With ``with_runs`` an array
+    ``runs`` (lang, first_word, n_words) follows: the labels of the words one by one, equal neighbours together, which
+    tells the languages of code-switched text. Null and letterless texts are ``und`` with score 0, as is everything where
+    nothing can be learnt; ties go to the language that sorts first; rows that repeat repeat; extra columns are ignored;
+    an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    usable = training.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("text").cast("string").alias("text"), "lang")
-    usable = usable.where(F.length("text") <= longest).where(F.col("text").rlike(r"[A-Za-z]|[^\x00-\x7F]"))
-    different = usable.select("lang", F.xxhash64("text").alias("h")).distinct()
-    counts = {r["lang"]: r["n"] for r in different.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    examples: list[tuple[str, str]] = []
-    if counts:
-        # a hash threshold for each language, twice as wide as needed, then the least hashes
-        share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2 * per_language / n))])
-        chance = (F.xxhash64("text").bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)).alias("chance")
-        near = usable.select("text", "lang", chance).where(F.col("chance") < F.element_at(share, F.col("lang"))).distinct()
-        for lang in sorted(counts):
-            few = near.where(F.col("lang") == lang).orderBy("chance", "text").limit(per_language).collect()
-            examples += [(r["text"], lang) for r in few]
+    examples = sample(training, per_language, windows)
     model = train(examples, **parameters) if examples else None
     held = spark.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = held.value
         for whole in batches:
-            for batch, data, offsets in batches_of(whole, "body", 1_500_000):
+            for batch, data, offsets in batches_of(whole, "body", 750_000):
                 lang, score = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows)
                 letters = batch.column("letters").to_numpy(zero_copy_only=False).astype(bool)
+                runs: list[list[dict]] = [[] for _ in range(batch.num_rows)]
                 if crf is not None:
                     f = Features(data, offsets)
                     post = crf.posteriors(crf.emissions(f), f.owner)
@@ -242,8 +277,17 @@ def identify(docs: DataFrame, training: DataFrame, per_language: int = 250, long
                     some = letters & (mass.sum(axis=1) > 0)
                     lang[some] = np.array(crf.labels, object)[mass[some].argmax(axis=1)]
                     score[some] = mass[some].max(axis=1) / mass[some].sum(axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1))], names=["doc_id", "lang_pred", "score"])
+                    if with_runs and f.n:
+                        best = post.argmax(axis=1)
+                        cuts = np.flatnonzero(np.concatenate([[True], (best[1:] != best[:-1]) | (f.owner[1:] != f.owner[:-1]), [True]]))
+                        begins = np.searchsorted(f.owner, np.arange(batch.num_rows))
+                        for a, z in zip(cuts[:-1], cuts[1:]):
+                            runs[f.owner[a]].append({"lang": crf.labels[best[a]], "first_word": int(a - begins[f.owner[a]]), "n_words": int(z - a)})
+                columns = {"doc_id": batch.column("doc_id"), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(np.clip(score, 0, 1))}
+                if with_runs:
+                    columns["runs"] = pa.array(runs, pa.list_(pa.struct({"lang": pa.string(), "first_word": pa.int64(), "n_words": pa.int64()})))
+                yield pa.RecordBatch.from_pydict(columns)
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text.rlike(r"\p{L}").alias("letters"), F.lower(text).cast("binary").alias("body")).mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double")
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double" + ", runs array<struct<lang: string, first_word: long, n_words: long>>" * with_runs
+    return docs.select("doc_id", text.rlike(r"\p{L}").alias("letters"), F.lower(text).cast("binary").alias("body")).mapInArrow(predict, schema)
