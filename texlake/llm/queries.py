@@ -33,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(table(spark, sf_dir, "documents"), length=400)
+    return suffix_dedup(table(spark, sf_dir, "documents"), length=400, words=51)
 
 
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,11 +83,14 @@ _LOW = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.asci
 _WORDS = f"list_filter(string_split_regex({_LOW}, '[ \\x09-\\x0D]+'), lambda x: x <> '')"
 
 
-def _templates() -> str:
-    rows = [(label, phrase, base) for group, base in ((licenses.BASE, True), (licenses.MORE, False)) for label, phrase in group]
-    return ", ".join(f"({k}, '{label}', string_split('{phrase}', ' '), {base})" for k, (label, phrase, base) in enumerate(rows))
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in row) + ")" for row in rows)
 
 
+_TEMPLATES = _values((t, text) for t, text in enumerate([phrase for _, phrase in licenses.BASE] + [m.text for m in licenses.MORE]))
+_BASE = _values(licenses.BASE)
+_KEYS = _values((m.label, len(m.keys), key) for m in licenses.MORE for key in m.keys)
+
 ORACLES: dict[str, str] = {
     "op3_decontamination": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents), b AS (SELECT row_number() OVER () AS q, item_id, {_WORDS} AS w FROM benchmark),
  bs AS (SELECT DISTINCT q, item_id, least(len(w), 5) AS n, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM b WHERE len(w) > 0)),
@@ -99,17 +102,22 @@ ORACLES: dict[str, str] = {
  s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(coalesce(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 5""",
     "op8_license_scan": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex({_LOW}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
- tpl(t, label, ws, base) AS (VALUES {_templates()}), tw AS (SELECT t, unnest(ws) AS x, generate_subscripts(ws, 1) - 1 AS k FROM tpl),
- dw AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM d WHERE len(w) > 0),
- df AS (SELECT v.x, (SELECT count(DISTINCT r) FROM dw WHERE dw.x = v.x) AS n FROM (SELECT DISTINCT x FROM tw) v),
- idf AS (SELECT x, ln(((SELECT count(*) FROM d) + 1) / (n + 1)) + 1e-9 AS idf FROM df),
- anchor AS (SELECT t, x, k FROM tw JOIN idf USING (x) QUALIFY row_number() OVER (PARTITION BY t ORDER BY idf DESC, k) = 1),
- c AS (SELECT DISTINCT dw.r, a.t, dw.i - a.k AS s FROM dw JOIN anchor a USING (x) WHERE dw.i >= a.k),
- e AS (SELECT c.r, c.t, c.s, bool_and(coalesce(dw.x = tw.x, false)) AS whole, sum(CASE WHEN dw.x = tw.x THEN idf ELSE 0 END) / sum(idf) AS share FROM c JOIN tw USING (t) JOIN idf ON idf.x = tw.x LEFT JOIN dw ON dw.r = c.r AND dw.i = c.s + tw.k GROUP BY c.r, c.t, c.s),
- f AS (SELECT e.*, label, base FROM e JOIN tpl USING (t))
- SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, count(*) FILTER (WHERE whole AND base) AS n_base, CAST(min(s) FILTER (WHERE whole AND base) AS BIGINT) AS first_word, CAST(max(s) FILTER (WHERE whole AND base) AS BIGINT) AS last_word,
- coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE whole AND base), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE whole), '') AS labels,
- round(coalesce(max(CASE WHEN whole THEN 1.0::DOUBLE ELSE share END), 0), 6) AS score FROM d LEFT JOIN f USING (r) GROUP BY d.r, d.doc_id, d.w""",
+ whole AS (SELECT r, ' ' || array_to_string(w, ' ') || ' ' AS body FROM d WHERE len(w) > 0),
+ base(label, phrase) AS (VALUES {_BASE}), keys(label, n, phrase) AS (VALUES {_KEYS}), tpl(t, body) AS (VALUES {_TEMPLATES}),
+ tw AS (SELECT t, unnest(string_split(body, ' ')) AS x, generate_subscripts(string_split(body, ' '), 1) AS k FROM tpl),
+ dw AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d WHERE len(w) > 0),
+ df AS (SELECT v.x, coalesce(n, 0) AS n FROM (SELECT DISTINCT x FROM tw) v LEFT JOIN (SELECT x, count(DISTINCT r) AS n FROM dw GROUP BY x) c USING (x)),
+ rare AS (SELECT x, n, ln(((SELECT count(*) FROM d) + 1) / (n + 1)) + 1e-9 AS idf FROM df WHERE n <= 0.05 * (SELECT count(*) FROM d)),
+ top AS (SELECT t, sum(idf) AS z FROM (SELECT t, idf FROM (SELECT DISTINCT t, x FROM tw) JOIN rare USING (x) QUALIFY row_number() OVER (PARTITION BY t ORDER BY idf DESC) <= 8) GROUP BY t),
+ own AS (SELECT r, x, idf FROM (SELECT DISTINCT r, x FROM dw) JOIN rare USING (x) QUALIFY row_number() OVER (PARTITION BY r ORDER BY n, x) <= 8),
+ part AS (SELECT r, max(share) AS share FROM (SELECT r, sum(idf) / any_value(z) AS share FROM own JOIN dw USING (r, x) JOIN tw USING (x) JOIN top USING (t) GROUP BY r, t, i - k) GROUP BY r),
+ first AS (SELECT DISTINCT string_split(phrase, ' ')[1] AS x, phrase, label FROM base),
+ places AS (SELECT dw.r, label, dw.i - 1 AS s FROM dw JOIN first USING (x) JOIN d USING (r) WHERE array_to_string(d.w[dw.i : dw.i + len(string_split(phrase, ' ')) - 1], ' ') = phrase),
+ b AS (SELECT r, count(*) AS n, min(s) AS lo, max(s) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY r),
+ found AS (SELECT r, label FROM places UNION SELECT r, label FROM whole JOIN keys ON contains(body, ' ' || phrase || ' ') GROUP BY r, label HAVING count(*) = any_value(keys.n)),
+ l AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM found GROUP BY r)
+ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(b.n, 0) AS BIGINT) AS n_base, CAST(b.lo AS BIGINT) AS first_word, CAST(b.hi AS BIGINT) AS last_word, coalesce(b.labels, '') AS base_labels, coalesce(l.labels, '') AS labels,
+ round(CASE WHEN l.labels IS NOT NULL THEN 1.0::DOUBLE ELSE least(coalesce(part.share, 0.0::DOUBLE), 0.99::DOUBLE) END, 6) AS score FROM d LEFT JOIN b USING (r) LEFT JOIN l USING (r) LEFT JOIN part USING (r)""",
     "op9_jaccard_join": f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
  s AS (SELECT DISTINCT r, array_to_string(w[i : i + 3], ' ') AS s FROM (SELECT r, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS i FROM d WHERE len(w) > 0)),
  z AS (SELECT r, count(*) AS n FROM s GROUP BY r),
