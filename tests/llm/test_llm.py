@@ -103,8 +103,17 @@ def test_suffix_stage_by_words(spark, monkeypatch, hot, block):
 
 
 def test_difference_cover():
-    c, n = suffix_dedup.COVER, suffix_dedup.COVER_SIZE
-    assert {(a - b) % n for a in c for b in c} == set(range(n))
+    for scheme in suffix_dedup.SCHEMES:
+        c, n = scheme.cover, scheme.cover_size
+        assert {(a - b) % n for a in c for b in c} == set(range(n)) and 2 * scheme.pack % n == 0
+
+
+def test_suffix_digest_counts_passages(spark):
+    r = random.Random(21)
+    short = [r.choice("abcdefgh") + str(r.randrange(10)) for _ in range(60)]
+    texts = ["x " + " ".join(short) + " y", "z " + " ".join(short[:55]), " ".join(short[:50]), " ".join(short[::-1]), " ".join(short[::-1]), None, ""]
+    got = rows(suffix_dedup.suffix_dedup(docs(spark, texts), 400, words=51), "doc_id", "n_removed", "n_passages", "n_passage_words")
+    assert got == [(0, 0, 1, 55), (1, 0, 1, 55), (2, 0, 0, 0), (3, 0, 1, 60), (4, 0, 1, 60), (5, 0, 0, 0), (6, 0, 0, 0)]
 
 
 # 2 token output
@@ -236,24 +245,99 @@ def test_language(spark):
 def test_language_sample_counts_different_usable_texts(spark):
     de, en = "der hund und die katze über die straße", "the dog and that cat with the thing"
     rows_of = [(de, "de")] * 400 + [(f"{en} {chr(97 + k)}", "en") for k in range(6)]
-    rows_of += [("1 2 3", "xx"), ("", "xx")] + [(str(k), "en") for k in range(400)] + [("x" * 300, "en")] * 400
+    rows_of += [("1 2 3", "xx"), ("", "xx")] + [(str(k), "en") for k in range(400)]
     train = spark.createDataFrame(rows_of, "text string, lang string")
-    got = [x["lang_pred"] for x in language_id.identify(docs(spark, [de, en]), train, per_language=2, longest=200).orderBy("doc_id").collect()]
+    got = [x["lang_pred"] for x in language_id.identify(docs(spark, [de, en]), train, per_language=2).orderBy("doc_id").collect()]
     assert got == ["de", "en"]
     assert language_id.train([(de, "de"), (en, "en"), ("1 2", "xx")]).labels == ["de", "en"]
 
 
+def test_language_of_repeated_rows_and_long_texts_only(spark):
+    words = {"en": "the of and to that".split(), "de": "der und die ein schen".split(), "fr": "le de que eau être".split()}
+    r = random.Random(6)
+    text = lambda lang, n: " ".join(r.choice(words[lang]) + r.choice(words[lang]) for _ in range(n))
+    few = [text("de", 40) for _ in range(3)]
+    train = [(t, "de") for t in few for _ in range(300)] + [(text("en", 40), "en") for _ in range(100)] + [(text("fr", 30_000), "fr") for _ in range(2)]
+    parts = language_id.sample(spark.createDataFrame(train, "text string, lang string"), 250, 50)
+    count = collections.Counter(lang for _, lang in parts)
+    assert count["de"] == 3 and count["fr"] == 50 and count["en"] == 50
+    got = language_id.identify(docs(spark, [text(lang, 60) for lang in ("de", "en", "fr")]), spark.createDataFrame(train, "text string, lang string"))
+    assert [x["lang_pred"] for x in got.orderBy("doc_id").collect()] == ["de", "en", "fr"]
+
+
+def test_language_runs_of_code_switched_text(spark):
+    words = {"en": "the of and to that with shall ing".split(), "de": "der und die ein schen keit ung für".split()}
+    r = random.Random(8)
+    text = lambda lang, n: " ".join(r.choice(words[lang]) + r.choice(words[lang]) for _ in range(n))
+    train = spark.createDataFrame([(text(lang, 60), lang) for lang in words for _ in range(30)], "text string, lang string")
+    got = language_id.identify(docs(spark, [text("en", 30) + " " + text("de", 50), None]), train, with_runs=True).orderBy("doc_id").collect()
+    runs = got[0]["runs"]
+    assert [x["lang"] for x in runs] == ["en", "de"] and abs(runs[1]["first_word"] - 30) <= 2 and sum(x["n_words"] for x in runs) == 80
+    assert got[0]["lang_pred"] == "de" and got[1]["runs"] == []
+
+
+def test_chain_marginals_equal_enumeration():
+    r = np.random.default_rng(3)
+    scores, transition = r.normal(size=(2, 3, 2)), r.normal(size=(2, 2))
+    post, pairs = np.zeros((2, 3, 2)), np.zeros((2, 2))
+    for c in range(2):
+        weight = {y: np.exp(sum(scores[c, t, y[t]] for t in range(3)) + transition[y[0], y[1]] + transition[y[1], y[2]]) for y in np.ndindex(2, 2, 2)}
+        for y, w in weight.items():
+            p = w / sum(weight.values())
+            for t in range(3):
+                post[c, t, y[t]] += p
+            pairs[y[0], y[1]] += p
+            pairs[y[1], y[2]] += p
+    got = language_id.chain_marginals(scores, transition)
+    assert np.allclose(got[0], post) and np.allclose(got[1], pairs)
+
+
 # 6 toxicity
 
 
-def test_nearest_examples_equal_all_pairs():
+@pytest.mark.parametrize("block", [3, 1000])
+def test_nearest_examples_equal_all_pairs(block):
     r = np.random.default_rng(4)
-    counts = np.where(r.random((300, 12)) < 0.15, r.integers(1, 4, (300, 12)), 0)
-    labels = (counts[:, :3].sum(axis=1) > 0).astype(int)
-    idf = r.random(12) + 1
-    few, whole = (toxicity.NearestExamples(np.arange(12, dtype=np.uint64), idf, counts, labels, 15, b) for b in (4, 1000))
-    queries = np.where(r.random((80, 12)) < 0.2, 1, 0)
-    assert np.allclose(few.scores(queries), whole.scores(queries))
+    hashes, weights = np.arange(2, 26, 2).astype(np.uint64), r.random(12) + 1
+    draw = lambda n: [np.repeat(np.concatenate([hashes, [100, 102]]), r.integers(0, 400, 14) * (r.random(14) < 0.25)) for _ in range(n)]
+    terms = toxicity.Terms(hashes, weights)
+
+    def dense(texts):
+        out = np.zeros((len(texts), 12))
+        for k, t in enumerate(texts):
+            count = {int(h): int(c) for h, c in zip(*np.unique(t, return_counts=True))}
+            v = np.array([(1 + np.log(count[int(h)])) * w if int(h) in count else 0 for h, w in zip(hashes, weights)])
+            rest = sum((toxicity.REST * (1 + np.log(c))) ** 2 for h, c in count.items() if h >= 100)
+            out[k] = v / max(np.sqrt((v**2).sum() + rest), 1e-30)
+        return out
+
+    laid = lambda texts: (np.concatenate(texts), np.repeat(np.arange(len(texts)), [len(t) for t in texts]), len(texts))
+    examples, queries = draw(200), draw(60) + [np.zeros(0, np.uint64)]
+    examples[50:60] = [examples[0]] * 10  # ties
+    labels, ids = r.integers(0, 2, 200), r.permutation(200)
+    model = toxicity.NearestExamples(terms, ids, labels, *terms.vectors(*laid(examples)), 15, block)
+    share, found = model.votes(*terms.vectors(*laid(queries)), len(queries))
+    cosine = dense(queries) @ dense(examples).T
+    for q in range(len(queries)):
+        best = [e for e in np.lexsort((ids, -np.round(cosine[q], 12))) if cosine[q, e] > 0][:15]
+        assert model.ids[found[q][0]].tolist() == ids[best].tolist() and np.allclose(found[q][1], cosine[q, best])
+        if best:
+            vote = cosine[q, best] ** 2
+            assert np.isclose(share[q], ((vote * labels[best]).sum() + 0.02 * model.prior) / (vote.sum() + 0.02))
+        else:
+            assert np.isnan(share[q])
+    own = [model.nearest(*[x[terms.vectors(*laid(examples))[0] == 7] for x in terms.vectors(*laid(examples))[1:]], own=np.flatnonzero(model.ids == ids[7])[0])[0]]
+    assert ids[7] not in model.ids[own[0]]
+
+
+def test_calibration():
+    model = toxicity.NearestExamples(toxicity.Terms(np.zeros(0, np.uint64), np.zeros(0)), np.arange(4), np.array([0, 0, 1, 1]), *[np.zeros(0, np.int64)] * 2, np.zeros(0), 15, 64)
+    r = np.random.default_rng(2)
+    share = np.concatenate([r.uniform(0.05, 0.95, 4000), np.full(100, np.nan)])
+    truth = 1 / (1 + np.exp(-(3 * np.log(share / (1 - share)) - 2)))
+    labels = (r.random(4100) < np.where(np.isnan(truth), 0.1, truth)).astype(int)
+    model.calibrate(share, labels)
+    assert abs(model.slope - 3) < 0.4 and abs(model.shift + 2) < 0.4 and 0.03 < model.none < 0.2
 
 
 def test_toxicity(spark):
@@ -266,6 +350,9 @@ def test_toxicity(spark):
     assert all(got[k]["held_out"] for k in held)
     assert sum(got[k]["predicted"] == int(k % 4 == 0) for k in held) >= 0.95 * len(held)
     assert got[200]["predicted"] == got[201]["predicted"] == 0 and got[202]["predicted"] == 1
+    proof = {x["doc_id"]: x["evidence"] for x in toxicity.toxicity(table, labels, with_evidence=True).collect()}
+    assert all(0 < e["cosine"] <= 1 + 1e-9 and zlib.crc32(str(e["doc_id"]).encode()) % 5 for x in proof.values() for e in x) and proof[201] == []
+    assert any(e["toxic"] for e in proof[202]) and [e["cosine"] for e in proof[202]] == sorted((e["cosine"] for e in proof[202]), reverse=True)
     kept = toxicity.without_toxic(table, labels)
     assert kept.columns == table.columns and {x["doc_id"] for x in kept.collect()} == {k for k, x in got.items() if not x["predicted"]}
     assert {x["score"] for x in toxicity.toxicity(table, labels.where("false")).collect()} == {0.5}
@@ -303,17 +390,23 @@ def test_packing(spark):
 
 
 def test_licences(spark):
-    texts = EDGES + ["Released UNDER the-MIT License. under the mit license", "apache license, version 2.0 cc by-nc", "GNU General Public License, version 3", "the mit licence", "under the mit", "cc by KNC nc by cc by nc"]
-    got = {r["doc_id"]: r for r in licenses.scan(docs(spark, texts)).collect()}
+    texts = EDGES + ["Released UNDER the-MIT License. under the mit license", "apache license, version 2.0 cc by-nc", "GNU General Public License, version 3", "the mit licence", "under the mit", "cc by KNC nc by cc by nc"]
+    mit = next(t for t in licenses.MORE if t.label == "mit" and "hereby" in t.text)
+    texts += [mit.text, "x " + mit.text.replace("sublicense", "lease") + " y", mit.text[: mit.text.index("without")], "redistribution and use in source and binary forms with or without modification", "lesser merge sublicense public"]
+    texts += ["mit license " * 3000 + "under the mit license", None, "x", "y"]
+    got = {r["doc_id"]: r for r in licenses.scan(docs(spark, texts), common=0.2).collect()}
     for k, t in enumerate(texts):
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        places = lambda table: [(label, i) for label, p in table for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]  # noqa: B023, E731
-        base, more = places(licenses.BASE), places(licenses.MORE)
+        at = lambda p: [i for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]  # noqa: B023, E731
+        base = [(label, i) for label, p in licenses.BASE for i in at(p)]
+        more = {t.label for t in licenses.MORE if all(at(key) for key in t.keys)}
         r = got[k]
         assert (r["n_words"], r["n_base"]) == (len(w), len(base))
         assert (r["first_word"], r["last_word"]) == (min((i for _, i in base), default=None), max((i for _, i in base), default=None))
-        assert r["base_labels"] == ",".join(sorted({x for x, _ in base})) and r["labels"] == ",".join(sorted({x for x, _ in base + more}))
+        assert r["base_labels"] == ",".join(sorted({x for x, _ in base})) and r["labels"] == ",".join(sorted({x for x, _ in base} | more))
         assert r["score"] == 1.0 if r["labels"] else 0 <= r["score"] < 1
+    n = len(EDGES) + 6
+    assert got[n]["labels"] == got[n + 1]["labels"] == "mit" and got[n + 2]["labels"] == "" and 0.3 < got[n + 2]["score"] < 1 and got[n + 3]["labels"] == ""
     assert licenses.scan(docs(spark, [])).count() == 0
 
 
@@ -388,6 +481,34 @@ def test_jaccard_of_low_threshold(spark):
     assert got == sorted(brute_groups(texts, 1, 50, 100), key=repr)
 
 
+def test_jaccard_of_thousands_of_near_copies(spark):
+    r = random.Random(17)
+    base = prose(50, 100, 90).split()
+    texts = []
+    for k in range(2000):
+        words = list(base)
+        for _ in range(k % 9):
+            words[r.randrange(len(words))] = "changed%d" % r.randrange(10**6)
+        if k % 7 == 0:  # some share a change
+            words[10:14] = ["other", "words", "stand", "here"]
+        texts.append(" ".join(words))
+    sets = [{tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)} for t in texts]
+    names = {x: n for n, x in enumerate(set().union(*sets))}
+    m = np.zeros((len(texts), len(names)), np.float32)
+    for k, x in enumerate(sets):
+        m[k, [names[y] for y in x]] = 1
+    size, common = m.sum(axis=1), m @ m.T
+    linked = 100 * common >= 85 * (size[:, None] + size[None, :] - common)
+    root = np.arange(len(texts))
+    while True:
+        new = np.array([root[row].min() for row in linked])
+        if (new == root).all():
+            break
+        root = new
+    got = {x["doc_id"]: x["component_id"] for x in jaccard_join.jaccard_groups(docs(spark, texts), 4, 85, 100).collect()}
+    assert [got[k] for k in range(len(texts))] == root.tolist() and len(set(root.tolist())) > 100
+
+
 def test_jaccard_stage_and_edges(spark):
     t = docs(spark, [prose(1, 50), prose(1, 50), None, "x"])
     kept = jaccard_join.one_of_each_group(t)
