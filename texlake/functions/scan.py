@@ -39,7 +39,8 @@ ENV_ARGS = {
 #: Bodies that are text, not TeX.
 _RAW = {"verbatim", "lstlisting", "minted", "comment"}
 _DEFINES = {"newcommand", "renewcommand", "providecommand", "DeclareRobustCommand", "DeclareMathOperator", "newenvironment", "renewenvironment", "def"}
-_TOKEN = re.compile(r"%[^\r\n]*|\\[A-Za-z@]+|\\(?s:.)|\\\Z|\$\$?|[{}\[\]]")
+_TOKEN = re.compile(r"%[^\r\n]*|\\verb(?![A-Za-z@])\*?(?P<d>[^A-Za-z\s*])[^\r\n]*?(?P=d)|\\[A-Za-z@]+|\\(?s:.)|\\\Z|\$\$?|[{}\[\]]")
+_OPTION, _GROUP = re.compile(r"[^\S\r\n]*\[[^\]]*\]"), re.compile(r"\s*\{[^{}]*\}")
 _NAME = re.compile(r"\s*\{([^{}\\]*)\}")
 _BLANK = re.compile(r"(?:[^\S\r\n]|\r?\n(?!\s*?\n))*")
 
@@ -68,9 +69,35 @@ def _pairs(text: str, tokens: list[tuple[int, int, str]]) -> dict[int, int]:
     return out
 
 
+def _tokens(text: str, env_args: dict[str, str]) -> list[tuple[int, int, str]]:
+    """Tokens by start. Bodies that are text have none: after the arguments of their environment the search goes on at its
+    end (or stops, without one)."""
+    out: list[tuple[int, int, str]] = []
+    at, body, until = 0, -1, -1
+    while True:
+        m = _TOKEN.search(text, at)
+        if body >= 0 and (m is None or m.start() >= body):
+            at, body = until, -1
+            continue
+        if m is None:
+            return out
+        out.append((m.start(), m.end(), m.group()))
+        at = m.end()
+        if m.group() == "\\begin" and body < 0:
+            named = _NAME.match(text, at)
+            name = named.group(1).strip() if named else ""
+            if name in _RAW:
+                body = named.end()
+                for kind in env_args.get(name, ""):
+                    arg = (_OPTION if kind == "[" else _GROUP).match(text, body)
+                    body = arg.end() if arg else body
+                until = text.find("\\end{" + name + "}", body)
+                until = len(text) if until < 0 else until
+
+
 def scan_text(text: str, macro_args: dict[str, str] = MACRO_ARGS, env_args: dict[str, str] = ENV_ARGS) -> list[dict]:
     """Spans of one file: commands, environments, math, comments and environment tokens, by start."""
-    tokens = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(text)]
+    tokens = _tokens(text, env_args)
     closing = _pairs(text, [t for t in tokens if len(t[2]) == 1])
     by_start = {t[0]: k for k, t in enumerate(tokens)}
     spans: list[dict] = []
@@ -106,10 +133,8 @@ def scan_text(text: str, macro_args: dict[str, str] = MACRO_ARGS, env_args: dict
 
     open_envs: list[dict] = []
     math: tuple[str, int] | None = None
-    masked = raw_until = 0
+    masked = 0
     for start, end, t in tokens:
-        if start < raw_until:
-            continue
         if t[0] == "%":
             spans.append(dict(kind="comment", start=start, end=end, complete=True))
         elif t in ("$", "$$", "\\(", "\\[", "\\)", "\\]"):
@@ -133,14 +158,13 @@ def scan_text(text: str, macro_args: dict[str, str] = MACRO_ARGS, env_args: dict
                 env = dict(kind="environment", name=name, start=start, end=n, arguments=args, begin_token_end=m.end(), body_start=stop, body_end=n, complete=False, args_whole=whole)
                 spans.append(env)
                 open_envs.append(env)
-                if name in _RAW:
-                    stop_at = text.find("\\end{" + name + "}", stop)
-                    raw_until = n if stop_at < 0 else stop_at
             elif any(e["name"] == name for e in open_envs):
                 while open_envs[-1]["name"] != name:
                     open_envs.pop()
                 env = open_envs.pop()
                 env |= dict(end=m.end(), end_token_start=start, body_end=start, complete=env["args_whole"])
+        elif t.startswith("\\verb") and not t[-1].isalpha():
+            spans.append(dict(kind="command", name="verb", start=start, end=end, arguments=[], command_token_end=end, command_post_space_end=end, complete=True))
         elif t[0] == "\\" and len(t) > 1 and (t[1].isalpha() or t[1] == "@"):
             args, stop = arguments(end, macro_args.get(t[1:], ""))
             if t[1:] in _DEFINES:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,31 +60,89 @@ def not_overlapping(df: DataFrame, ranges: DataFrame, keys: list[str] = FILE) ->
     return _ranges(df, merge_ranges(ranges, keys), keys, "left_anti", "overlapping")
 
 
+def _kinds(df: DataFrame, columns: list[str]) -> str:
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
+def texts_of(ranges: DataFrame, contents: DataFrame, keys: list[str] = FILE, cuts: DataFrame | None = None) -> DataFrame:
+    """``ranges`` (different ones) with ``text``: their characters of the file, without what merged ``cuts`` cover.
+
+    A file's content meets all its ranges at once, so a file costs its length and its ranges' lengths. Null contents are
+    empty; ranges beyond a file's end stop there.
+    """
+    listed = lambda df, name: df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("s"), F.col("end").cast("int").alias("e")))).alias(name))
+    files = listed(ranges.select(*keys, "start", "end").distinct(), "_r").join(contents.select(*keys, F.col("content").alias("_text")), keys)
+    files = files.join(listed(cuts, "_c"), keys, "left") if cuts is not None else files.withColumn("_c", F.expr("cast(null as array<struct<s:int,e:int>>)"))
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                text = row.column("_text")[0].as_py() or ""
+                holes = [(c["s"], c["e"]) for c in row.column("_c")[0].as_py() or ()]
+                ends = [e for _, e in holes]
+                starts, stops, found = [], [], []
+                for r in row.column("_r")[0].as_py():
+                    at, parts = r["s"], []
+                    j = bisect.bisect_right(ends, r["s"])
+                    while j < len(holes) and holes[j][0] < r["e"]:
+                        parts.append(text[at : max(at, holes[j][0])])
+                        at = max(at, holes[j][1])
+                        j += 1
+                    parts.append(text[at : max(at, r["e"])])
+                    starts.append(r["s"])
+                    stops.append(r["e"])
+                    found.append("".join(parts))
+                named = [row.column(c).take(pa.array([0] * len(found), pa.int32())) for c in keys]
+                yield pa.RecordBatch.from_arrays([*named, pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), pa.array(found, pa.string())], names=[*keys, "start", "end", "text"])
+
+    return files.select(*keys, "_text", "_r", "_c").mapInArrow(pieces, f"{_kinds(ranges, keys)}, start int, end int, text string")
+
+
 def slice_without(df: DataFrame, contents: DataFrame, ranges: DataFrame, keys: list[str] = FILE) -> DataFrame:
     """``df`` with ``text``: the file's characters of each row's range, with ``ranges`` cut out."""
-    cut = merge_ranges(ranges, keys).select(*keys, F.col("start").alias("_s"), F.col("end").alias("_e"))
-    pieces = (
-        df.select(*keys, "start", "end").distinct().join(cut, keys).where("_s < end AND _e > start")
-        .groupBy(*keys, "start", "end").agg(F.array_sort(F.collect_list(F.struct(F.greatest("_s", "start").alias("s"), F.least("_e", "end").alias("e")))).alias("_cuts"))
-    )
-    rows = df.join(pieces, [*keys, "start", "end"], "left").join(contents.select(*keys, "content"), keys)
-    ends = F.concat(F.array(F.col("start")), F.transform("_cuts", lambda c: c["e"]))
-    begins = F.concat(F.transform("_cuts", lambda c: c["s"]), F.array(F.col("end")))
-    kept = F.transform(F.arrays_zip(ends.alias("a"), begins.alias("b")), lambda p: F.substring(F.col("content"), p["a"] + 1, p["b"] - p["a"]))
-    whole = F.substring(F.col("content"), F.col("start") + 1, F.col("end") - F.col("start"))
-    return rows.withColumn("text", F.when(F.col("_cuts").isNull(), whole).otherwise(F.array_join(kept, ""))).drop("_cuts", "content")
+    return df.join(texts_of(df, contents, keys, merge_ranges(ranges, keys)), [*keys, "start", "end"])
 
 
 def smallest_container(df: DataFrame, ranges: DataFrame, keys: list[str] = FILE, strict: bool = False) -> DataFrame:
-    """``df`` with ``container``: the shortest range (start, end, name) around each row, null without one."""
-    r = ranges.select(*[F.col(k).alias(f"_{k}") for k in keys], F.struct(F.col("start"), F.col("end"), F.col("name")).alias("_r"))
-    inside = (F.col("_r.start") <= F.col("start")) & (F.col("end") <= F.col("_r.end"))
-    if strict:
-        inside &= (F.col("_r.start") < F.col("start")) | (F.col("end") < F.col("_r.end"))
-    for k in keys:
-        inside = (F.col(k) == F.col(f"_{k}")) & inside
-    found = df.select(*keys, "start", "end").distinct().join(r, inside).groupBy(*keys, "start", "end").agg(F.min_by("_r", F.struct(F.col("_r.end") - F.col("_r.start"), F.col("_r.start"))).alias("container"))
-    return df.join(found, [*keys, "start", "end"], "left")
+    """``df`` with ``container``: the shortest range (start, end, name) around each row, null without one.
+
+    One pass over the rows and ranges of a file in order, with a stack of the ranges that are open; of equally short ones
+    the first counts. ``strict`` leaves out ranges equal to the row.
+    """
+    kind = f"struct<{', '.join(f'{c}:{ranges.schema[c].dataType.simpleString()}' for c in ('start', 'end', 'name'))}>"
+    rows = df.select(*keys, "start", "end").distinct().select(*keys, "start", "end", F.lit(1).alias("_q"), F.expr(f"cast(null as {kind})").alias("_r"))
+    around = ranges.select(*keys, "start", "end", F.lit(0).alias("_q"), F.struct("start", "end", "name").alias("_r"))
+    ordered = rows.unionByName(around).repartition(*keys).sortWithinPartitions(*keys, "start", F.desc("end"), "_q")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, open_ranges = None, []
+        for batch in batches:
+            of = list(zip(*(batch.column(c).to_pylist() for c in keys)))
+            asked, found = [], []
+            for k, (name, start, end, q, r) in enumerate(zip(of, *(batch.column(c).to_pylist() for c in ("start", "end", "_q", "_r")))):
+                if name != file:
+                    file, open_ranges = name, []
+                while open_ranges and open_ranges[-1]["end"] < start:
+                    open_ranges.pop()
+                if not q:
+                    open_ranges.append(r)
+                    continue
+                best = None
+                for o in reversed(open_ranges):
+                    if o["end"] < end or (strict and (o["start"], o["end"]) == (start, end)):
+                        continue
+                    if best is None or (o["end"] - o["start"], o["start"]) < (best["end"] - best["start"], best["start"]):
+                        best = o
+                    if best is not None and o["start"] < end - (best["end"] - best["start"]):
+                        break  # those below began so early that they are longer
+                asked.append(k)
+                found.append(best)
+            columns = [batch.column(c).take(pa.array(asked, pa.int64())) for c in (*keys, "start", "end")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, batch.schema.field("_r").type)], names=[*keys, "start", "end", "container"])
+
+    held = ordered.mapInArrow(find, f"{_kinds(df, [*keys, 'start', 'end'])}, container {kind}")
+    return df.join(held, [*keys, "start", "end"], "left")
 
 
 def parent_environment(nodes: DataFrame) -> DataFrame:
@@ -92,22 +154,27 @@ def parent_environment(nodes: DataFrame) -> DataFrame:
 def until_next(events: DataFrame, contents: DataFrame, keys: list[str] = FILE, body_end: Column | None = None) -> DataFrame:
     """``events`` with ``until`` and ``tail``: the characters from an event's end to the next event (or the body's end)."""
     following = F.lead("start").over(Window.partitionBy(*keys).orderBy("start", "end"))
-    rows = events.withColumn("until", following).join(contents.select(*FILE, "content"), FILE)
-    rows = rows.withColumn("until", F.coalesce("until", body_end if body_end is not None else F.length("content")))
-    return rows.withColumn("tail", F.substring(F.col("content"), F.col("end") + 1, F.col("until") - F.col("end"))).drop("content")
+    rows = events.withColumn("until", following)
+    if body_end is None:
+        rows = rows.join(contents.select(*FILE, F.length("content").alias("_n")), FILE).withColumn("until", F.coalesce("until", "_n")).drop("_n")
+    else:
+        rows = rows.withColumn("until", F.coalesce("until", body_end))
+    tails = texts_of(rows.select(*FILE, F.col("end").alias("start"), F.col("until").alias("end")), contents)
+    return rows.join(tails.select(*FILE, F.col("start").alias("end"), F.col("end").alias("until"), F.col("text").alias("tail")), [*FILE, "end", "until"])
 
 
 def adjacent_label(headings: DataFrame, labels: DataFrame, contents: DataFrame) -> DataFrame:
     """``headings`` with ``attach``: where text goes that follows a heading and its label, if only blanks and comments
     stand between the two and the label is trusted; else the heading's own end."""
     both = headings.select(*FILE, "start", "end", F.lit(0).alias("_l"), F.lit(True).alias("_ok")).unionByName(labels.select(*FILE, "start", "end", F.lit(1).alias("_l"), (F.col("complete") & ~F.col("opaque")).alias("_ok")))
-    ahead = Window.partitionBy(*FILE).orderBy("start", "_l").rowsBetween(1, Window.unboundedFollowing)
-    nearest = F.first(F.when(F.col("_l") == 1, F.struct("start", "end", F.col("_ok"))), ignorenulls=True).over(ahead)
-    near = both.withColumn("_n", nearest).where("_l = 0").select(*FILE, "start", "end", "_n")
-    gap = F.substring(F.col("content"), F.col("end") + 1, F.col("_n.start") - F.col("end"))
-    touching = (F.col("_n.start") >= F.col("end")) & F.col("_n._ok") & F.regexp_replace(gap, r"%[^\r\n]*", "").rlike(r"\A\s*\z")
-    found = near.join(contents.select(*FILE, "content"), FILE).select(*FILE, "start", "end", F.when(touching, F.col("_n.end")).otherwise(F.col("end")).alias("attach"))
-    return headings.join(found, [*FILE, "start", "end"])
+    # a label behind another heading doesn't touch this one, so the next row tells
+    following = F.lead(F.struct("start", "end", "_l", "_ok")).over(Window.partitionBy(*FILE).orderBy("start", "_l"))
+    near = both.withColumn("_n", following).where("_l = 0").select(*FILE, "start", "end", "_n")
+    held = near.where("_n._l = 1 AND _n._ok AND _n.start >= end").select(*FILE, "start", "end", "_n")
+    gaps = texts_of(held.select(*FILE, F.col("end").alias("start"), F.col("_n.start").alias("end")), contents)
+    gaps = gaps.where(F.regexp_replace("text", r"%[^\r\n]*", "").rlike(r"\A\s*\z")).select(*FILE, F.col("start").alias("end"), F.col("end").alias("_to"))
+    touching = held.withColumn("_to", F.col("_n.start")).join(gaps, [*FILE, "end", "_to"]).select(*FILE, "start", "end", F.col("_n.end").alias("attach"))
+    return headings.join(touching, [*FILE, "start", "end"], "left").withColumn("attach", F.coalesce("attach", "end"))
 
 
 def cut_points_to_ranges(points: DataFrame, forbid: DataFrame, keys: list[str] = FILE) -> DataFrame:

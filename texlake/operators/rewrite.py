@@ -6,6 +6,7 @@ Every plan returns edits (paper_id, path, start, end, replacement, pass_name, sa
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import pandas as pd
@@ -16,7 +17,7 @@ from ..functions.scan import argument, nodes_of, scan_spans
 from ..functions.shared import cut
 from . import discover, number
 from .discover import TRUSTED, first_by
-from .intervals import FILE, contained_in, mark_opaque, not_contained_in, outermost, smallest_container
+from .intervals import FILE, contained_in, mark_opaque, not_contained_in, outermost, smallest_container, texts_of
 
 SAFETY = {"safe": 0, "lossy": 1, "fallback": 2}
 
@@ -71,9 +72,11 @@ def plan_remove(nodes: DataFrame, sources: DataFrame) -> DataFrame:
     """Noise commands, configuration and drawing environments go; configuration alone on its line takes the line."""
     gone = outermost(_named(nodes, "command", NO_ARG + WITH_ARG).unionByName(_named(nodes, "environment", REMOVED_ENVIRONMENTS)), FILE, "node_id")
     config = outermost(_named(nodes, "command", CONFIG), FILE, "node_id").join(sources, FILE)
-    before = F.regexp_extract(F.substring(F.col("content"), F.lit(1), F.col("start")), r"(?:^|\n)([ \t]*)\z", 1)
-    alone = F.substring(F.col("content"), F.lit(1), F.col("start")).rlike(r"(?:\A|\n)[ \t]*\z")
-    after = F.regexp_extract(F.substring(F.col("content"), F.col("end") + 1, F.lit(200)), r"\A([ \t]*\r?\n)", 1)
+    # what stands before and behind it on its own line, line end included
+    before = F.substring_index(F.substring(F.col("content"), F.lit(1), F.col("start")), "\n", -1)
+    alone = before.rlike(r"\A[ \t]*\z")
+    feed = F.expr("locate(chr(10), content, end + 1)")
+    after = F.when(feed > 0, F.regexp_extract(F.substring(F.col("content"), F.col("end") + 1, feed - F.col("end")), r"\A([ \t]*\r?\n)\z", 1)).otherwise("")
     line = alone & (after != "")
     lines = _edits(config, F.when(line, F.col("start") - F.length(before)).otherwise(F.col("start")), F.when(line, F.col("end") + F.length(after)).otherwise(F.col("end")), "", "remove")
     return _edits(gone, "start", "end", "", "remove").unionByName(not_contained_in(lines, gone.select(*FILE, "start", "end")))
@@ -107,42 +110,51 @@ def plan_rename_environments(nodes: DataFrame) -> DataFrame:
 
 
 def column_spec(spec: str) -> str | None:
-    """A table's column specification without @{..} and !{..}, S[..] as r, nested braces likewise; None if unbalanced."""
+    """A table's column specification without @{..}, S and S [..] as r, nested braces likewise; None if unbalanced.
+
+    Commands stand as they are, whatever letters they have.
+    """
     out, k = [], 0
 
     def group(at: int, opening: str, closing: str) -> int | None:
-        depth = 0
-        for j in range(at, len(spec)):
+        depth, j = 0, at
+        while j < len(spec):
+            if spec[j] == "\\":
+                j += 2
+                continue
             depth += (spec[j] == opening) - (spec[j] == closing)
             if depth == 0:
                 return j
+            j += 1
         return None
 
     while k < len(spec):
-        c = spec[k]
-        if c in "@!" and spec[k + 1 : k + 2] == "{":
+        command = re.compile(r"\\(?:[A-Za-z]+|(?s:.))").match(spec, k)
+        option = re.compile(r"S\s*(?=\[)").match(spec, k)
+        if spec.startswith("@{", k):
             end = group(k + 1, "{", "}")
             if end is None:
                 return None
-            k = end + 1
-        elif c == "S":
-            end = group(k + 1, "[", "]") if spec[k + 1 : k + 2] == "[" else k
+        elif command:
+            end = command.end() - 1
+            out.append(command.group())
+        elif option:
+            end = group(option.end(), "[", "]")
             if end is None:
                 return None
             out.append("r")
-            k = end + 1
-        elif c == "{":
+        elif spec[k] == "{":
             end = group(k, "{", "}")
             inner = None if end is None else column_spec(spec[k + 1 : end])
             if inner is None:
                 return None
             out.append("{" + inner + "}")
-            k = end + 1
-        elif c == "}":
+        elif spec[k] == "}":
             return None
         else:
-            out.append(c)
-            k += 1
+            end = k
+            out.append("r" if spec[k] == "S" else spec[k])
+        k = end + 1
     return "".join(out)
 
 
@@ -215,12 +227,60 @@ def plan_captionof(nodes: DataFrame) -> DataFrame:
     return _both_ends(wraps, begin, finish, F.col("body_start"), "captionof").unionByName(captions)
 
 
-def plan_theorems(nodes: DataFrame, ordered: DataFrame, names: DataFrame) -> DataFrame:
-    """Theorems as quotes that begin with their bold heading and number."""
-    rows = number.number_theorems(ordered, names).select(*FILE, "start", "heading", "n")
-    envs = nodes.where("kind = 'environment'").join(rows, [*FILE, "start"])
-    begin = F.concat(F.lit("\\begin{quote}\\textbf{"), "heading", F.lit(" "), F.col("n").cast("string"), F.lit(".} "))
-    return _both_ends(envs, begin, F.lit("\\end{quote}"), F.col("body_start"), "theorems")
+#: Stands at the head of the quotes that theorems and proofs become.
+THEOREM_MARK = "% TEXLAKE_THEOREM"
+
+
+def plan_theorems(nodes: DataFrame, ordered: DataFrame, names: DataFrame, sources: DataFrame) -> DataFrame:
+    """Theorems as marked quotes that begin with their bold heading, number and title, proofs as quotes that end in a square.
+
+    What already stands in a marked quote stays.
+    """
+    numbered = number.number_theorems(ordered, names).select(*FILE, "start", "heading", "n")
+    proofs = _named(nodes, "environment", ("proof",)).select(*FILE, "start", F.lit(None).cast("string").alias("heading"), F.lit(None).cast("int").alias("n"))
+    rows = nodes.where("kind = 'environment'").join(numbered.unionByName(proofs), [*FILE, "start"])
+    quotes = texts_of(nodes.where(f"kind = 'environment' AND name = 'quote' AND {TRUSTED}").select(*FILE, F.col("body_start").alias("start"), F.col("body_end").alias("end")), sources)
+    marked = quotes.where(F.ltrim("text").startswith(THEOREM_MARK)).select(*FILE, "start", "end")
+    rows = not_contained_in(outermost(rows, FILE, "node_id"), marked)
+    bodies = texts_of(rows.select(*FILE, F.col("begin_token_end").alias("start"), F.col("body_end").alias("end")), sources).withColumnsRenamed({"start": "begin_token_end", "end": "body_end", "text": "_body"})
+    rows = rows.join(bodies, [*FILE, "begin_token_end", "body_end"])
+    option = F.regexp_extract("_body", r"\A(\s*\[(?:[^\[\]{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\])", 1)
+    title = F.trim(F.regexp_replace(option, r"(?s)\A\s*\[(.*)\]\z", "$1"))
+    lead = F.concat(F.lit("\\begin{quote}\n" + THEOREM_MARK + "\n"))
+    named = F.when(title != "", F.concat(F.lit(" \\textit{("), title, F.lit(")}"))).otherwise(F.lit(""))
+    theorem = F.concat(lead, F.lit("\\textbf{"), "heading", F.lit(" "), F.col("n").cast("string"), F.lit("}"), named, F.lit("\\textbf{.} "))
+    proof = F.concat(lead, F.lit("\\textit{"), F.when(title != "", title).otherwise(F.lit("Proof")), F.lit(".} "))
+    finish = F.when(F.col("n").isNull(), F.lit(" \\hfill$\\square$\n\\end{quote}")).otherwise(F.lit("\n\\end{quote}"))
+    return _both_ends(rows, F.when(F.col("n").isNull(), proof).otherwise(theorem), finish, F.col("begin_token_end") + F.length(option), "theorems")
+
+
+def calls_replaced(text: str) -> str:
+    """``\\Call{name}{arguments}`` as an operator name and its arguments in brackets, inner calls likewise; incomplete ones stay."""
+
+    def group(at: int) -> int | None:
+        depth, k = 0, at
+        while k < len(text):
+            if text[k] == "\\":
+                k += 2
+                continue
+            depth += (text[k] == "{") - (text[k] == "}")
+            if depth == 0:
+                return k
+            k += 1
+        return None
+
+    out, at = [], 0
+    for m in re.finditer(r"\\Call(?![A-Za-z@])\s*(?=\{)", text):
+        if m.start() < at:
+            continue
+        name = group(m.end())
+        second = None if name is None else re.compile(r"\s*(?=\{)").match(text, name + 1)
+        end = group(second.end()) if second else None
+        if end is None:
+            continue
+        out.append(f"{text[at : m.start()]}\\operatorname{{{calls_replaced(text[m.end() + 1 : name])}}}({calls_replaced(text[second.end() + 1 : end])})")
+        at = end + 1
+    return "".join(out) + text[at:]
 
 
 def plan_algorithms(nodes: DataFrame, ordered: DataFrame, sources: DataFrame) -> DataFrame:
@@ -230,6 +290,12 @@ def plan_algorithms(nodes: DataFrame, ordered: DataFrame, sources: DataFrame) ->
     bold = lambda m: F.try_element_at(F.create_map(*[F.lit(x) for k, v in m.items() for x in (k, f"\\textbf{{{v}}}")]), F.col("command"))
     lines = number.algorithm_lines(ordered, sources)
     shown = F.array_join(F.array_compact(F.array(bold(words), F.nullif(F.coalesce("arg", F.lit("")), F.lit("")), bold(after), F.nullif("text", F.lit("")))), " ")
+
+    @F.pandas_udf("string")
+    def called(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else calls_replaced(t))
+
+    shown = F.when(F.contains(shown, F.lit("\\Call")), called(shown)).otherwise(shown)
     text = F.concat(F.col("line").cast("string"), F.lit(": "), F.repeat(F.lit("~~~~"), F.col("indent").cast("int")), shown)
     whole = lines.select(*FILE, "body", "line", text.alias("t")).groupBy(*FILE, "body").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "t"))), lambda x: x["t"]).alias("ts"))
     algorithms = number.number_algorithms(ordered).select(*FILE, F.col("start").alias("a_start"), F.col("end").alias("a_end"))
@@ -334,10 +400,10 @@ def settle(edits: DataFrame) -> DataFrame:
     return kept.unionByName(inserts.join(ranges, inside, "left_anti")).drop("_o")
 
 
-def rewrite_corpus(sources: DataFrame, rounds: int = 5, nested: int = 4) -> tuple[DataFrame, DataFrame]:
+def rewrite_corpus(sources: DataFrame, rounds: int = 5) -> tuple[DataFrame, DataFrame]:
     """The cleaned sources, and a log: pass_name, paper_id, path of every file that a pass changed, over ``rounds`` rounds.
 
-    Each round scans what the one before left. Wrappers inside wrappers go in up to ``nested`` turns of their round.
+    Each round scans what the one before left. Wrappers inside wrappers go in turns of their round until none changes a file.
     """
     now, logs = sources, []
 
@@ -362,7 +428,7 @@ def rewrite_corpus(sources: DataFrame, rounds: int = 5, nested: int = 4) -> tupl
 
     def fourth(nodes: DataFrame, current: DataFrame) -> DataFrame:
         papers, _, ordered = context(nodes, current)
-        parts = [plan_symbols(nodes, current), plan_theorems(nodes, ordered, discover.theorem_names(ordered, papers)), plan_listings(nodes), plan_algorithms(nodes, ordered, current)]
+        parts = [plan_symbols(nodes, current), plan_theorems(nodes, ordered, discover.theorem_names(ordered, papers), current), plan_listings(nodes), plan_algorithms(nodes, ordered, current)]
         return reduce(DataFrame.unionByName, parts)
 
     plans = [
@@ -376,7 +442,7 @@ def rewrite_corpus(sources: DataFrame, rounds: int = 5, nested: int = 4) -> tupl
         now = turn(now, plan)
         if k == 2:
             now = turn(now, lambda n, s: plan_rename_environments(n))
-            for _ in range(nested):
+            while True:
                 before = now
                 now = turn(now, lambda n, s: plan_unwrap_commands(n).unionByName(plan_unwrap_environments(n)))
                 if now.join(before.withColumnRenamed("content", "_c"), FILE).where("content <> _c").isEmpty():

@@ -25,14 +25,14 @@ SKIPPED = (
     "thebibliography", "tabular", "tabular*", "tabularx", "longtable", "wrapfigure", "subfigure", "tabu", "tabulary", "tblr", "xltabular",
     "ltablex", "NiceTabular", "NiceTabular*", "adjustbox", "tikzpicture",
 )
-#: Commands whose arguments are no prose.
+#: Commands whose arguments are no prose.
 STRUCTURAL = (
     *HEADINGS, "label", "caption", "includegraphics", "input", "include", "bibliography", "bibliographystyle", "documentclass", "usepackage", "RequirePackage",
     "title", "author", "date", "keywords", "newcommand", "renewcommand", "providecommand", "DeclareRobustCommand", "DeclareMathOperator", "setlength", "setcounter",
     "addtocounter", "addtolength", "newcounter", "graphicspath", "definecolor", "captionsetup", "fancyhead", "fancyfoot", "pagestyle", "cite", "parencite", "textcite",
     "autocite", "fullcite", "footcite", "citeauthor", "citetitle", "citep", "citet", "Citet", "Citep", "citealt", "citealp", "citenum", "citeyear",
 )
-#: Commands that a chunk is shown without.
+#: Commands that a chunk is shown without.
 CUT = (*HEADINGS, "label", "input", "include", "item")
 BEGIN, END = "% TEXLAKE_TRANSLATION_BEGIN ", "% TEXLAKE_TRANSLATION_END "
 PROSE_LETTERS = 20
@@ -65,15 +65,16 @@ def skip_ranges(spans: DataFrame) -> DataFrame:
     return merge_ranges(envs.unionByName(spans.where("kind = 'math' AND (display OR NOT complete)").select(*FILE, "start", "end")))
 
 
-def paragraph_ranges(sources: DataFrame) -> DataFrame:
-    """Paragraphs: what stands between blank lines."""
+def paragraph_ranges(sources: DataFrame, with_text: bool = False) -> DataFrame:
+    """Paragraphs: what stands between blank lines; with their text, if asked for."""
     gap = r"(?:\r\n|\n)[^\S\r\n]*(?:\r\n|\n)(?:[^\S\r\n]*(?:\r\n|\n))*"
-    parts = F.split("content", gap)
     gaps = F.transform(F.regexp_extract_all("content", F.lit(f"({gap})"), 1), lambda g: F.length(g))
-    rows = sources.select(*FILE, F.posexplode(parts).alias("k", "part"), gaps.alias("gaps"))
-    lengths = rows.select(*FILE, "k", F.length("part").alias("n"), F.coalesce(F.get("gaps", F.col("k")), F.lit(0)).alias("g"))
+    # each part with its own gap before they become rows: a row holds no more than its paragraph
+    rows = sources.select(*FILE, F.posexplode(F.arrays_zip(F.split("content", gap).alias("text"), gaps.alias("gap"))).alias("k", "p"))
+    lengths = rows.select(*FILE, "k", F.col("p.text").alias("text"), F.length("p.text").alias("n"), F.coalesce("p.gap", F.lit(0)).alias("g"))
     ahead = F.coalesce(F.sum(F.col("n") + F.col("g")).over(Window.partitionBy(*FILE).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return lengths.withColumn("start", ahead.cast("int")).withColumn("end", (F.col("start") + F.col("n")).cast("int")).where("n > 0").select(*FILE, "start", "end")
+    found = lengths.withColumn("start", ahead.cast("int")).withColumn("end", (F.col("start") + F.col("n")).cast("int")).where("n > 0")
+    return found.select(*FILE, "start", "end", *(["text"] if with_text else []))
 
 
 def chunks(sources: DataFrame, spans: DataFrame) -> DataFrame:
@@ -123,30 +124,53 @@ def pending_chunks(rows: DataFrame, memory: DataFrame) -> DataFrame:
 
 
 def pack_batches(rows: DataFrame, most: int = 24_000) -> DataFrame:
-    """``rows`` (chunk_id, text) with ``batch``: greedy in order per file; a new one when the sum would pass ``most`` characters."""
+    """``rows`` (chunk_id, text) with ``batch``: greedy in order per file; a new one when the sum would pass ``most`` characters.
+
+    Lengths alone are sorted by file and run through once, whatever a file's size; a null text has none.
+    """
     if most <= 0:
         raise ValueError("the limit must be positive")
-    listed = rows.groupBy(*FILE).agg(F.array_sort(F.collect_list(F.struct("chunk_id", F.length("text").alias("n")))).alias("l"))
-    start = F.expr("struct(0 AS batch, 0 AS held, cast(array() AS array<struct<chunk_id:int,batch:int>>) AS out)")
-    fits = lambda s, x: (s["held"] == 0) | (s["held"] + x["n"] <= most)
+    lengths = rows.select(*FILE, "chunk_id", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, batch_of, held = None, 0, 0
+        for part in batches:
+            out = []
+            for paper, path, n in zip(*(part.column(c).to_pylist() for c in ("paper_id", "path", "n"))):
+                if (paper, path) != file:
+                    file, batch_of, held = (paper, path), 0, 0
+                if held and held + n > most:
+                    batch_of, held = batch_of + 1, 0
+                held += n
+                out.append(batch_of)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("paper_id", "path", "chunk_id")), pa.array(out, pa.int32())], names=["paper_id", "path", "chunk_id", "batch"])
+
+    kinds = ", ".join(f"{c} {lengths.schema[c].dataType.simpleString()}" for c in (*FILE, "chunk_id"))
+    dealt = lengths.repartition(*FILE).sortWithinPartitions(*FILE, "chunk_id").mapInArrow(deal, f"{kinds}, batch int")
+    return rows.join(dealt, [*FILE, "chunk_id"])
 
-    def step(s: Column, x: Column) -> Column:
-        batch = F.when(fits(s, x), s["batch"]).otherwise(s["batch"] + 1)
-        held = F.when(fits(s, x), s["held"] + x["n"]).otherwise(x["n"])
-        return F.struct(batch.alias("batch"), held.alias("held"), F.concat(s["out"], F.array(F.struct(x["chunk_id"].alias("chunk_id"), batch.alias("batch")))).alias("out"))
 
-    dealt = listed.select(*FILE, F.explode(F.aggregate("l", start, step, lambda s: s["out"])).alias("o")).select(*FILE, "o.chunk_id", "o.batch")
-    return rows.join(dealt, [*FILE, "chunk_id"])
+#: Math, and what hides dollars and brackets: escaped characters, inline code and comments.
+_MATH = r"\\verb(?![A-Za-z@])\*?([^A-Za-z\s*])[^\r\n]*?\1|%[^\r\n]*|\$\$(?:[^$\\]|\\[\s\S])+\$\$|\$(?:[^$\\]|\\[\s\S])+\$|\\\([\s\S]*?\\\)|\\\[[\s\S]*?\\\]|\\[\\$%]"
+
+
+def _is_math(found: Column) -> Column:
+    return found.startswith("$") | found.startswith("\\(") | found.startswith("\\[")
 
 
 def protect_math(rows: DataFrame) -> DataFrame:
-    """``rows`` (text) with prompt_text, inline math as marked tokens, and replacements array<struct<token, math>>."""
-    pattern = F.lit(r"(?<!\\)(\$[^$]+\$|\\\([\s\S]*?\\\))")
-    found = F.regexp_extract_all("text", pattern, 1)
+    """``rows`` (text) with prompt_text, complete math as marked tokens, and replacements array<struct<token, math>>.
+
+    Escaped dollars, ``\\\\`` before a dollar or bracket, inline code and comments are no math.
+    """
     token = lambda m, i: F.concat(F.lit("⟦TL_MATH_"), i.cast("string"), F.lit("_"), F.left(F.sha2(m, 256), F.lit(12)), F.lit("⟧"))
-    pieces = F.split("text", r"(?<!\\)(?:\$[^$]+\$|\\\([\s\S]*?\\\))")
-    marked = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get("replacements", i)["token"], F.lit("")))), "")
-    return rows.withColumn("replacements", F.transform(found, lambda m, i: F.struct(token(m, i).alias("token"), m.alias("math")))).withColumn("prompt_text", marked)
+    found = rows.withColumn("_found", F.regexp_extract_all("text", F.lit(_MATH), 0))
+    marked = found.withColumn("replacements", F.transform(F.filter("_found", _is_math), lambda m, i: F.struct(token(m, i).alias("token"), m.alias("math"))))
+    # the tokens in the order of what was found, hidden characters as they are
+    number = F.transform("_found", lambda m, i: F.size(F.filter(F.slice("_found", F.lit(1), i), _is_math)))
+    put = F.zip_with("_found", number, lambda m, n: F.when(_is_math(m), F.get("replacements", n)["token"]).otherwise(m))
+    pieces = F.zip_with(F.split("text", _MATH), put, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))
+    return marked.withColumn("prompt_text", F.array_join(pieces, "")).drop("_found")
 
 
 def build_prompts(rows: DataFrame) -> DataFrame:
@@ -156,10 +180,13 @@ def build_prompts(rows: DataFrame) -> DataFrame:
 
 
 def parse_responses(raw: DataFrame) -> DataFrame:
-    """paper_id, path, batch, chunk_id, translation from numbered answers; of a repeated number the last one counts."""
+    """paper_id, path, batch, chunk_id, translation from numbered answers; of a repeated number the last one counts.
+
+    Zeros before a number don't matter; numbers beyond an int name no chunk.
+    """
     parts = raw.select(*FILE, "batch", F.posexplode(F.split("raw", r"(?=\[\d+\]\s*\n)")).alias("pos", "part"))
-    rows = parts.select(*FILE, "batch", "pos", F.regexp_extract("part", r"(?s)\A\[(\d+)\]\s*\n(.*)\z", 1).alias("id"), F.regexp_replace(F.regexp_extract("part", r"(?s)\A\[(\d+)\]\s*\n(.*)\z", 2), r"\A\s+|\s+\z", "").alias("translation"))
-    rows = rows.where("id <> '' AND length(id) < 10 AND translation <> ''").withColumn("chunk_id", F.col("id").cast("int"))
+    rows = parts.select(*FILE, "batch", "pos", F.regexp_replace(F.regexp_extract("part", r"(?s)\A\[(\d+)\]\s*\n(.*)\z", 1), r"\A0+(?=\d)", "").alias("id"), F.regexp_replace(F.regexp_extract("part", r"(?s)\A\[(\d+)\]\s*\n(.*)\z", 2), r"\A\s+|\s+\z", "").alias("translation"))
+    rows = rows.withColumn("chunk_id", F.col("id").try_cast("int")).where("chunk_id IS NOT NULL AND translation <> ''")
     return first_by(rows, [*FILE, "batch", "chunk_id"], F.desc("pos")).select(*FILE, "batch", "chunk_id", "translation")
 
 
@@ -171,7 +198,7 @@ def validate_translations(protected: DataFrame, responses: DataFrame) -> DataFra
         F.when(F.col("translation").isNull(), "missing")
         .when(~balanced_braces(F.col("translation")), "unbalanced-braces")
         .when(tokens != F.array_sort(F.transform("replacements", lambda r: r["token"])), "placeholders")
-        .when(F.col("translation").rlike(r"(?<!\\)\$|\\\(|\\\["), "raw-math")
+        .when(F.regexp_replace("translation", r"\\[\\$%]|%[^\r\n]*", "").rlike(r"\$|\\\(|\\\["), "raw-math")
     )
     return rows.withColumn("reason", reason)
 
@@ -248,10 +275,15 @@ def translate_batches(prompts: DataFrame, fn: Callable[[str], str], parallel: in
 
 
 def expand(text: str, macros: dict[str, tuple[str, int, str | None, bool]], depth: int = 5) -> str:
-    """``text`` with known macros expanded, the outermost first, until nothing changes or ``depth`` rounds are done."""
+    """``text`` with known macros expanded, the outermost first, until nothing changes or ``depth`` rounds are done.
+
+    Calls with too few arguments stay, as do those of macros whose body asks for more parameters than they have.
+    Comments and what follows ``\\\\`` are no calls.
+    """
     if not macros:
         return text
-    names = re.compile("|".join(re.escape(n) + r"(?![A-Za-z@])" for n in sorted(macros, key=len, reverse=True)))
+    token = re.compile(r"%[^\r\n]*|(?P<name>" + "|".join(re.escape(n) + r"(?![A-Za-z@])" for n in sorted(macros, key=len, reverse=True)) + r")|\\(?s:.)")
+    single = re.compile(r"\\[A-Za-z@]+|\\(?s:.)|[^{}\[\]%\\]")
 
     def group(at: int, opening: str, closing: str) -> int | None:
         level, k = 0, at
@@ -265,35 +297,44 @@ def expand(text: str, macros: dict[str, tuple[str, int, str | None, bool]], dept
             k += 1
         return None
 
-    for _ in range(depth):
-        out, at, changed = [], 0, False
-        for m in names.finditer(text):
-            if m.start() < at:
-                continue
-            body, count, default, operator = macros[m.group()]
-            k, values = m.end(), []
-            if count and default is not None:
-                end = group(k, "[", "]") if text[k : k + 1] == "[" else None
-                values.append(default if end is None else text[k + 1 : end])
-                k = k if end is None else end + 1
-            whole = True
-            while len(values) < count:
-                while text[k : k + 1].isspace():
-                    k += 1
-                end = group(k, "{", "}") if text[k : k + 1] == "{" else None
-                if end is None:
-                    whole = False
-                    break
+    def values_of(k: int, count: int, default: str | None) -> tuple[list[str], int]:
+        """The arguments after a name (fewer than ``count`` if one is missing), and where they end."""
+        values: list[str] = []
+        if count and default is not None:
+            end = group(k, "[", "]") if text[k : k + 1] == "[" else None
+            values.append(default if end is None else text[k + 1 : end])
+            k = k if end is None else end + 1
+        while len(values) < count:
+            while text[k : k + 1].isspace():
+                k += 1
+            one = single.match(text, k)
+            end = group(k, "{", "}") if text[k : k + 1] == "{" else None
+            if end is not None:
                 values.append(text[k + 1 : end])
                 k = end + 1
-            if not whole:
+            elif one:
+                values.append(one.group())
+                k = one.end()
+            else:
+                break
+        return values, k
+
+    for _ in range(depth):
+        out, at = [], 0
+        for m in token.finditer(text):
+            if m.start() < at or m.group("name") is None:
+                continue
+            body, count, default, operator = macros[m.group("name")]
+            values, k = values_of(m.end(), count, default)
+            if len(values) < count or any(int(n) > count for n in re.findall(r"#([1-9])", body.replace("##", ""))):
                 continue
-            new = "\\operatorname{" + body + "}" if operator else re.sub(r"##|#([1-9])", lambda r: "#" if r.group() == "##" else values[int(r.group(1)) - 1] if int(r.group(1)) <= len(values) else r.group(), body)  # noqa: B023
-            out += [text[at : m.start()], new]
-            at, changed = k, True
-        text = "".join(out) + text[at:]
-        if not changed:
+            new = re.sub(r"##|#([1-9])", lambda r: "#" if r.group() == "##" else values[int(r.group(1)) - 1], body)  # noqa: B023
+            out += [text[at : m.start()], "\\operatorname{" + new + "}" if operator else new]
+            at = k
+        grown = "".join(out) + text[at:]
+        if grown == text:
             break
+        text = grown
     return text
 
 

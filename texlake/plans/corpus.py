@@ -18,7 +18,14 @@ class Corpus:
     """Scan once, clustered by paper, then everything else from the written spans."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, sources: DataFrame | None = None):
-        self.spark, self.sources = spark, derive_sources(spark, sf_dir) if sources is None else sources
+        self.spark, self.sf_dir, self.sources = spark, sf_dir, derive_sources(spark, sf_dir) if sources is None else sources
+
+    def variant(self, *pairs: tuple[str, str]) -> Corpus:
+        """The corpus with other constructs: regular expressions and what they give way to (``oracles.sql`` takes the same)."""
+        text = F.col("content")
+        for old, new in pairs:
+            text = F.regexp_replace(text, old, new)
+        return Corpus(self.spark, self.sf_dir, self.sources.withColumn("content", text))
 
     @cached_property
     def spans(self) -> DataFrame:

@@ -6,10 +6,11 @@ pieces before it. Environments end at the next end of their name.
 
 from __future__ import annotations
 
+import re
+
 from ..sources.corpus import derive_sql
 
-_BASE = f"""src AS ({derive_sql(False)}),
-pc AS (SELECT paper_id, path, k, p, CAST(sum(length(p) + 1) OVER (PARTITION BY paper_id, path ORDER BY k) - length(p) - 2 AS BIGINT) AS spot
+_TABLES = f"""pc AS (SELECT paper_id, path, k, p, CAST(sum(length(p) + 1) OVER (PARTITION BY paper_id, path ORDER BY k) - length(p) - 2 AS BIGINT) AS spot
  FROM (SELECT paper_id, path, unnest(string_split(content, '\\')) AS p, generate_subscripts(string_split(content, '\\'), 1) AS k FROM src)),
 cmd AS (SELECT paper_id, path, spot AS start, p, regexp_extract(p, '^[A-Za-z@]+') AS name FROM pc WHERE k > 1 AND regexp_extract(p, '^[A-Za-z@]+') <> ''),
 arg AS (SELECT *, regexp_extract(p, '^[A-Za-z@]+(\\[[^\\]]*\\])?\\{{([^{{}}]*)\\}}', 2) AS a,
@@ -28,9 +29,21 @@ acmd AS (SELECT a.*, f.file_ord FROM arg a JOIN fo f USING (paper_id, path)),
 aenv AS (SELECT e.*, f.file_ord FROM env e JOIN fo f USING (paper_id, path))"""
 
 
-def sql(body: str, *more: str) -> str:
-    """A query over the base tables, with further ones (``name AS (...)``) before it."""
-    return "WITH RECURSIVE " + ",\n".join([_BASE, *more]) + "\n" + body
+def _rewrite(new: str) -> str:
+    """Spark's replacement text (``$1``, escaped dollars and backslashes) as DuckDB's."""
+    return re.sub(r"\\\\|\\\$|\$(\d)", lambda m: "$" if m[0] == "\\$" else "\\" + m[1] if m[1] else m[0], new)
+
+
+def sql(body: str, *more: str, variant: tuple[tuple[str, str], ...] = ()) -> str:
+    """A query over the base tables, with further ones (``name AS (...)``) before it.
+
+    With ``variant`` (as in ``Corpus.variant``), ``src`` is the changed corpus and ``plain`` the one before.
+    """
+    text = "content"
+    for old, new in variant:
+        text = f"regexp_replace({text}, '{old}', '{_rewrite(new)}', 'g')"
+    source = f"plain AS ({derive_sql(False)}),\nsrc AS (SELECT paper_id, path, {text} AS content FROM plain)"
+    return "WITH RECURSIVE " + ",\n".join([source, _TABLES, *more]) + "\n" + body
 
 
 #: Chapters of each paper: the prefix is their number; all papers of chapter scope have one.

@@ -57,6 +57,18 @@ def _(c):
     return c.spans.where("kind = 'math'").groupBy("paper_id", "path").agg(F.count(F.lit(1)).alias("n_math"))
 
 
+#: Inline code and verbatim text full of what would begin math, comments and groups.
+RAW = ((r"\\textsc\{", r"\\verb|%\$ {|\\textsc{"), (r"\\begin\{itemize\}", r"\\begin{verbatim}\$ } 50% \\end{verbatim}\\begin{itemize}"))
+
+
+@query("n01_scan_raw_bodies", sql("""SELECT p.paper_id, p.path, length(regexp_replace(p.content, '[^$]', '', 'g')) // 2 AS n_math, length(regexp_replace(p.content, '[^%]', '', 'g')) AS n_comments,
+ len(regexp_extract_all(p.content, '[\\\\]textsc')) AS n_verb, len(regexp_extract_all(p.content, '[\\\\]begin')) + len(regexp_extract_all(p.content, '[\\\\]begin[{]itemize')) AS n_environments FROM plain p""", variant=RAW))
+def _(c):
+    of = lambda when: F.count_if(F.expr(when))
+    rows = c.variant(*RAW).spans.groupBy("paper_id", "path").agg(of("kind = 'math'").alias("n_math"), of("kind = 'comment'").alias("n_comments"), of("kind = 'command' AND name = 'verb'").alias("n_verb"), of("kind = 'environment' AND complete").alias("n_environments"))
+    return c.sources.select("paper_id", "path").join(rows, ["paper_id", "path"], "left").fillna(0)
+
+
 @query("n02_strip_comments", sql("SELECT paper_id, path, md5(regexp_replace(content, '%[^\\r\\n]*', '', 'g')) AS digest FROM src"))
 def _(c):
     return c.sources.select("paper_id", "path", F.md5(tex.strip_comments(F.col("content"))).alias("digest"))
@@ -272,6 +284,17 @@ def _(c):
     return W.number_equations(c.included).select("paper_id", F.col("start").cast("long"), "label", "number")
 
 
+#: Pairs of labelled equations under one number.
+SUB = ((r"\\begin\{align\}a\\label\{eq:([0-9]+-[0-9]+)a\}", r"\\begin{subequations}\\label{par:$1}\\begin{align}a\\label{eq:$1a}"), (r"b\}\\end\{align\}", r"b}\\end{align}\\end{subequations}"))
+
+
+@query("w05_subequations", sql(f"""SELECT e.paper_id, l.a AS label, {O.NUMBER} || CASE WHEN l.a LIKE 'par:%' THEN '' WHEN l.a LIKE '%a' THEN 'a' ELSE 'b' END AS number FROM (
+ SELECT *, row_number() OVER (PARTITION BY paper_id, prefix ORDER BY file_ord, start) AS n FROM {O.placed('aenv', 't.*')} WHERE name IN ('align', 'equation')) e
+ JOIN acmd l ON l.name = 'label' AND l.paper_id = e.paper_id AND l.path = e.path AND (l.start BETWEEN e.start AND e.stop OR l.stop = e.start) WHERE e.name = 'align'""", O.CHAPTER, variant=SUB))
+def _(c):
+    return W.number_subequations(c.variant(*SUB).included).select("paper_id", "label", "number")
+
+
 @query("w06_number_float_labels", sql("SELECT f.paper_id, l.a AS label, coalesce(f.prefix || '.', '') || f.n AS number FROM flt f JOIN acmd l ON l.name = 'label' AND l.paper_id = f.paper_id AND l.path = f.path AND l.start BETWEEN f.start AND f.stop", O.CHAPTER, O.FLOATS))
 def _(c):
     return W.number_subfigures(c.included).select("paper_id", "label", "number")

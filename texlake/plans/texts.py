@@ -18,7 +18,7 @@ from ..streaming.pending import queue_of
 from . import oracles as O  # noqa: E741
 from .corpus import Corpus
 from .oracles import sql
-from .registry import query
+from .registry import LINE, query
 
 EDIT = "paper_id, path, start, stop, replacement"
 
@@ -62,6 +62,15 @@ def _(c):
     return edits(R.plan_column_specs(c.nodes))
 
 
+SPECS = ((r"\{l@\{\}S\[x\]r\}", r"{>{\\Small\\S}l!{x}S [y]@{z}p{\\Sx}}"),)
+
+
+@query("r05_column_spec_commands", sql("SELECT paper_id, path, '>{\\Small\\S}l!{x}rp{\\Sx}' AS replacement FROM env WHERE name = 'tabularx'"))
+def _(c):
+    v = c.variant(*SPECS)
+    return R.plan_column_specs(v.nodes).select("paper_id", "path", "replacement")
+
+
 @query("r06_filter_packages", sql("SELECT paper_id, path, start + length('\\usepackage{') AS start, stop - 1 AS stop, 'amsmath,' || split_part(a, ',', 3) AS replacement FROM arg WHERE name = 'usepackage' UNION ALL SELECT paper_id, path, start, stop, '' FROM arg WHERE name = 'RequirePackage'"))
 def _(c):
     return edits(R.plan_filter_packages(c.nodes))
@@ -83,12 +92,88 @@ def _(c):
     return edits(R.plan_headings(c.nodes, c.papers, c.included))
 
 
-@query("r11_theorems", sql("""SELECT paper_id, path, start, begin_end AS stop, '\\begin{quote}\\textbf{' || heading || ' ' || n || '.} ' AS replacement FROM thm UNION ALL SELECT paper_id, path, close, stop, '\\end{quote}' FROM thm""", O.THEOREMS.format(t="(SELECT e.*, f.file_ord FROM env e JOIN allfo f USING (paper_id, path))")))
+THEOREM_EDITS = """SELECT paper_id, path, start, begin_end AS stop, '\\begin{quote}' || chr(10) || '% TEXLAKE_THEOREM' || chr(10) || '\\textbf{' || heading || ' ' || n || '}\\textbf{.} ' AS replacement FROM thm
+ UNION ALL SELECT paper_id, path, close, stop, chr(10) || '\\end{quote}' FROM thm"""
+
+
+@query("r11_theorems", sql(THEOREM_EDITS, O.THEOREMS.format(t="(SELECT e.*, f.file_ord FROM env e JOIN allfo f USING (paper_id, path))")))
+def _(c):
+    return edits(R.plan_theorems(c.nodes, c.ordered, D.theorem_names(c.ordered, c.papers), c.sources))
+
+
+#: Lemmas with titles, claims as proofs.
+TITLED = ((r"\\begin\{lemma\}", r"\\begin{lemma}[Of \\emph{x}]"), (r"\\(begin|end)\{claim\}", r"\\$1{proof}"))
+
+
+@query("r11_titles_and_proofs", sql("""SELECT paper_id, path, start, begin_end + length('[Of \\emph{x}]') AS stop, '\\begin{quote}' || chr(10) || '% TEXLAKE_THEOREM' || chr(10) || '\\textbf{Lemma ' || n || '} \\textit{(Of \\emph{x})}\\textbf{.} ' AS replacement FROM thm WHERE name = 'lemma'
+ UNION ALL SELECT paper_id, path, close, stop, chr(10) || '\\end{quote}' FROM thm WHERE name = 'lemma'
+ UNION ALL SELECT paper_id, path, start, begin_end, '\\begin{quote}' || chr(10) || '% TEXLAKE_THEOREM' || chr(10) || '\\textit{Proof.} ' FROM env WHERE name = 'proof' UNION ALL SELECT paper_id, path, close, stop, ' \\hfill$\\square$' || chr(10) || '\\end{quote}' FROM env WHERE name = 'proof'""",
+ O.THEOREMS.format(t="(SELECT e.*, f.file_ord FROM env e JOIN allfo f USING (paper_id, path))"), variant=TITLED))
+def _(c):
+    v = c.variant(*TITLED)
+    rows = edits(R.plan_theorems(v.nodes, v.ordered, D.theorem_names(v.ordered, v.papers), v.sources))
+    return rows.where("replacement NOT LIKE '%{Theorem %'").join(v.environments.where("name = 'theorem'").select("paper_id", "path", F.col("end").cast("long").alias("stop")), ["paper_id", "path", "stop"], "left_anti").select("paper_id", "path", "start", "stop", "replacement")
+
+
+ITEMS = r"\\begin\{itemize\}", r"\\end\{itemize\}"
+WRAPPED = ((r"\\textsc\{([^{}]*)\}", r"\\texorpdfstring{$1}{z}"),)
+PAGES = ((ITEMS[0], r"\\begin{minipage}[t]{5cm}"), (ITEMS[1], r"\\end{minipage}"))
+CAPTIONED = ((ITEMS[0], r"\\begin{minipage}{5cm}\\captionof{table}{Cap}"), (ITEMS[1], r"\\end{minipage}"))
+CODE = ((ITEMS[0], r"\\begin{lstlisting}[language=C]"), (ITEMS[1], r"\\end{lstlisting}"), (r"\\textsc\{([^{}]*)\}", r"\\mintinline{py}{$1}"))
+NOTES = ((r"\\newcommand\{\\thing\}\[1\]\{<#1>\}", r"\\newcommand{\\atran}[1]{<#1>}\\newcounter{annotatec}\\newcommand{\\annotatez}{q}"),)
+
+
+def expected(*pairs: tuple[str, str], variant) -> str:
+    """The digest of each file of the plain corpus after some replacements, which the edits of the variant must give."""
+    text = "content"
+    for old, new in pairs:
+        text = f"regexp_replace({text}, '{old}', '{new}', 'g')"
+    return sql(f"SELECT paper_id, path, md5({text}) AS digest FROM plain", variant=variant)
+
+
+def digests(c: Corpus, plan) -> DataFrame:
+    return R.apply_edits(c.sources, plan(c.nodes)).select("paper_id", "path", F.md5("content").alias("digest"))
+
+
+@query("r02_unwrap_commands", expected((r"\\textsc\{([^{}]*)\}", r"\1"), variant=WRAPPED))
+def _(c):
+    return digests(c.variant(*WRAPPED), R.plan_unwrap_commands)
+
+
+@query("r03_unwrap_environments", expected((ITEMS[0], ""), (ITEMS[1], ""), variant=PAGES))
+def _(c):
+    return digests(c.variant(*PAGES), R.plan_unwrap_environments)
+
+
+@query("r10_captionof", expected((ITEMS[0], r"\\begin{table}\\caption{Cap}"), (ITEMS[1], r"\\end{table}"), variant=CAPTIONED))
 def _(c):
-    return edits(R.plan_theorems(c.nodes, c.ordered, D.theorem_names(c.ordered, c.papers)))
+    return digests(c.variant(*CAPTIONED), R.plan_captionof)
 
 
-@query("r12_algorithms")
+@query("r13_listings", expected((ITEMS[0], r"\\begin{lstlisting}"), (ITEMS[1], r"\\end{lstlisting}"), (r"\\textsc\{", r"\\texttt{"), variant=CODE))
+def _(c):
+    return digests(c.variant(*CODE), R.plan_listings)
+
+
+@query("r16_annotations", expected((r"\\newcommand\{\\thing\}\[1\]\{<#1>\}", r"\\newcommand{\\atran}[1]{#1}"), variant=NOTES))
+def _(c):
+    return digests(c.variant(*NOTES), R.plan_annotations)
+
+
+STEPS = """st AS (SELECT *, CASE command WHEN 'State' THEN CASE WHEN text = 'y' AND lag(command) OVER w = 'If' THEN 2 ELSE 1 END WHEN 'If' THEN 1 WHEN 'EndIf' THEN 1 ELSE 0 END AS indent FROM ln WINDOW w AS (PARTITION BY paper_id, path, body ORDER BY start)),
+pseudo AS (SELECT e.paper_id, e.path, e.start, e.stop, string_agg(s.line || ': ' || repeat('~~~~', CAST(s.indent AS INTEGER)) || CASE s.command WHEN 'For' THEN '\\textbf{for} i \\textbf{do}' WHEN 'If' THEN '\\textbf{if} b \\textbf{then}' WHEN 'EndIf' THEN '\\textbf{end if}' WHEN 'EndFor' THEN '\\textbf{end for}' ELSE s.text END, '\\\\' || chr(10) ORDER BY s.line) AS replacement
+ FROM env e JOIN st s ON s.paper_id = e.paper_id AND s.path = e.path AND s.body = e.start WHERE e.name = 'algorithmic' GROUP BY ALL)"""
+CALLED = ((r"\\State y\\EndIf", r"\\State \\Call{f}{\\Call{g}{x}, 1}\\EndIf"),)
+
+
+@query("r12_algorithm_calls", sql("SELECT paper_id, path, count(*) AS n FROM env WHERE name = 'algorithmic' GROUP BY ALL", variant=CALLED))
+def _(c):
+    v = c.variant(*CALLED)
+    rows = edits(R.plan_algorithms(v.nodes, v.ordered, v.sources))
+    return rows.where(F.contains("replacement", F.lit("~~~~~~~~\\operatorname{f}(\\operatorname{g}(x), 1)"))).groupBy("paper_id", "path").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("r12_algorithms", sql(f"SELECT {EDIT} FROM pseudo", LINE, STEPS))
 def _(c):
     return edits(R.plan_algorithms(c.nodes, c.ordered, c.sources))
 
@@ -130,7 +215,24 @@ def _(c):
     return R.filter_safety(plan).groupBy("paper_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("e04_rewrite_corpus")
+#: All edits of all rounds, in the places of the first text: none of them touch.
+ALL_EDITS = f"""ed AS (SELECT paper_id, path, start, CASE name WHEN 'vspace' THEN stop ELSE start + 1 + length(name) END AS stop, '' AS replacement, ['remove'] AS passes FROM arg WHERE name IN ('vspace', 'centering', 'noindent')
+ UNION ALL SELECT paper_id, path, start + length('\\usepackage{{'), stop - 1, 'amsmath,' || split_part(a, ',', 3), ['packages'] FROM arg WHERE name = 'usepackage' UNION ALL SELECT paper_id, path, start, stop, '', ['packages'] FROM arg WHERE name = 'RequirePackage'
+ UNION ALL SELECT paper_id, path, start, stop, '\\cite{{' || a || '}}', ['citations'] FROM arg WHERE name = 'citep'
+ UNION ALL SELECT paper_id, path, start, begin_end, '\\begin{{figure}}', ['rename'] FROM env WHERE name = 'figure*' UNION ALL SELECT paper_id, path, close, stop, '\\end{{figure}}', ['rename'] FROM env WHERE name = 'figure*'
+ UNION ALL SELECT paper_id, path, start, start + length('\\begin{{tabularx}}{{5cm}}{{l@{{}}S[x]r}}'), '\\begin{{tabular}}{{lrr}}', ['rename', 'column-specs'] FROM env WHERE name = 'tabularx' UNION ALL SELECT paper_id, path, close, stop, '\\end{{tabular}}', ['rename'] FROM env WHERE name = 'tabularx'
+ UNION ALL SELECT paper_id, path, start, start + 7, '\\text', ['symbols'] FROM arg WHERE name = 'textsc'
+ UNION ALL SELECT *, ['theorems'] FROM ({THEOREM_EDITS}) UNION ALL SELECT paper_id, path, start, stop, replacement, ['algorithms'] FROM pseudo
+ UNION ALL SELECT paper_id, path, start + 10, start + 10, '*', ['headings'] FROM arg WHERE name = 'paragraph' UNION ALL SELECT paper_id, path, start, start + 9, '', ['headings'] FROM cmd WHERE name = 'appendix'
+ UNION ALL SELECT paper_id, path, start + 1 + length(name), start + 1 + length(name), '*', ['headings'] FROM app UNION ALL SELECT paper_id, path, start + 2 + length(name), start + 2 + length(name), number || ' ', ['headings'] FROM app
+ UNION ALL SELECT a.paper_id, a.path, a.stop - 1, a.stop - 1, '.tex', ['inputs'] FROM arg a JOIN edge e ON e.paper_id = a.paper_id AND e.path = a.path AND e.start = a.start WHERE a.a NOT LIKE '%.tex'),
+pieces AS (SELECT e.*, substr(s.content, CAST(coalesce(lag(e.stop) OVER w, 0) + 1 AS BIGINT), CAST(e.start - coalesce(lag(e.stop) OVER w, 0) AS BIGINT)) || e.replacement AS piece FROM ed e JOIN src s USING (paper_id, path) WINDOW w AS (PARTITION BY e.paper_id, e.path ORDER BY e.start, e.stop)),
+joined AS (SELECT paper_id, path, string_agg(piece, '' ORDER BY start, stop) AS head, max(stop) AS last FROM pieces GROUP BY paper_id, path),
+turns AS (SELECT paper_id, path, count(DISTINCT p) AS passes FROM (SELECT paper_id, path, unnest(passes) AS p FROM ed) GROUP BY paper_id, path)"""
+
+
+@query("e04_rewrite_corpus", sql("""SELECT s.paper_id, s.path, md5(coalesce(j.head, '') || substr(s.content, CAST(coalesce(j.last, 0) + 1 AS BIGINT))) AS digest, coalesce(t.passes, 0) AS passes
+ FROM src s LEFT JOIN joined j USING (paper_id, path) LEFT JOIN turns t USING (paper_id, path)""", O.THEOREMS.format(t="(SELECT e.*, f.file_ord FROM env e JOIN allfo f USING (paper_id, path))"), O.APPENDIX, LINE, STEPS, ALL_EDITS))
 def _(c):
     after, log = R.rewrite_corpus(c.sources)
     counts = log.groupBy("paper_id", "path").agg(F.count(F.lit(1)).alias("passes"))
@@ -164,10 +266,8 @@ pg AS (SELECT paper_id, path, text, start, start + length(text) AS stop, CAST(ro
 
 
 def paragraphs(c: Corpus) -> DataFrame:
-    rows = G.paragraph_ranges(c.sources).join(c.sources, V.FILE)
-    text = F.substring(F.col("content"), F.col("start") + 1, F.col("end") - F.col("start"))
     number = F.row_number().over(Window.partitionBy(*V.FILE).orderBy("start")) - 1
-    return rows.select(*V.FILE, "start", "end", number.alias("chunk_id"), text.alias("text"))
+    return G.paragraph_ranges(c.sources, with_text=True).select(*V.FILE, "start", "end", number.alias("chunk_id"), "text")
 
 
 @query("g03_paragraph_ranges", sql("SELECT paper_id, path, start, stop FROM pg", PARAGRAPHS))
@@ -184,7 +284,26 @@ def _(c):
     return G.chunks(c.sources, c.spans).select("paper_id", "path", F.col("start").cast("long"), F.col("end").cast("long").alias("stop"))
 
 
-@query("g05_prose_chunks")
+def gone(text: str, *patterns: str) -> str:
+    for p in patterns:
+        text = f"regexp_replace({text}, '{p}', '', 'g')"
+    return text
+
+
+TOKENS = r"\\(begin|end)\{[^{}]*\}"
+#: What letters don't count in: comments, math, tokens, structural commands with their arguments, other commands' names.
+VISIBLE = (
+    r"%[^\n]*", r"\$[^$]*\$", TOKENS, r"\\title\{[^\n]*\}", r"\\author\{[^\n]*\}", r"\\graphicspath\{[^\n]*\}", r"\\newcommand\{[^{}]*\}(\[[0-9]\])?\{[^{}]*\}",
+    r"\\(section|subsection|paragraph|chapter|label|caption|includegraphics|input|include|documentclass|usepackage|RequirePackage|citep)(\[[^\]]*\])?\{[^{}]*\}", r"\\[A-Za-z@]+",
+)
+SHOWN = (r"%[^\n]*", TOKENS, r"\\(section|subsection|paragraph|chapter|label|input|include)\{[^{}]*\}", r"\\item", r"^\s+|\s+$")
+PROSE = f"""ck AS (SELECT p.paper_id, p.path, p.start, p.stop, p.chunk_id, substr(s.content, CAST(p.start + 1 AS BIGINT), CAST(p.stop - p.start AS BIGINT)) AS whole FROM (
+ SELECT paper_id, path, spot AS start, lead(spot) OVER w AS stop, CAST(row_number() OVER w - 1 AS INTEGER) AS chunk_id FROM pt WINDOW w AS (PARTITION BY paper_id, path ORDER BY spot)) p JOIN src s USING (paper_id, path) WHERE stop IS NOT NULL),
+prose AS (SELECT *, {gone("whole", *SHOWN)} AS text FROM ck WHERE length({gone("whole", *VISIBLE, "[^" + chr(92) + "p{L}]")}) >= 20
+ AND NOT EXISTS (SELECT 1 FROM sk WHERE sk.paper_id = ck.paper_id AND sk.path = ck.path AND sk.start <= ck.start AND ck.stop <= sk.stop))"""
+
+
+@query("g05_prose_chunks", sql("SELECT paper_id, path, start, chunk_id, md5(text) AS digest FROM prose WHERE text <> ''", PARAGRAPHS, POINTS, SKIP, PROSE))
 def _(c):
     return G.prose_chunks(c.sources, c.spans).select("paper_id", "path", F.col("start").cast("long"), "chunk_id", F.md5("text").alias("digest"))
 
@@ -239,6 +358,23 @@ def answers(c: Corpus) -> tuple[DataFrame, DataFrame]:
     return rows, G.parse_responses(G.translate_batches(G.build_prompts(said), lambda prompt: prompt, wait=0.0))
 
 
+@query("x01_translate_batches", sql("SELECT paper_id, path, batch, md5(string_agg('[' || chunk_id || ']' || chr(10) || prompt_text, chr(10) || chr(10) ORDER BY chunk_id) || ' done') AS digest FROM bt JOIN pt1 USING (paper_id, path, chunk_id) GROUP BY paper_id, path, batch", PARAGRAPHS, BATCHES, PROTECTED))
+def _(c):
+    prompts = G.build_prompts(G.pack_batches(G.protect_math(paragraphs(c)), 2000))
+    said = G.translate_batches(prompts, lambda prompt: prompt + " done", wait=0.0)
+    return said.where("error IS NULL").select("paper_id", "path", "batch", F.md5("raw").alias("digest"))
+
+
+HIDDEN = ((r"with \$y", r"5\\\$ \\\\\$y"),)
+
+
+@query("g10_protect_escaped", sql("""SELECT paper_id, path, chunk_id, CASE WHEN m = '' THEN text ELSE replace(text, m, chr(10214) || 'TL_MATH_0_' || left(sha256(m), 12) || chr(10215)) END AS prompt_text, m AS math
+ FROM (SELECT *, regexp_extract(text, '\\$y=[0-9]+\\$') AS m FROM pg) WHERE path <> 'main.tex'""", PARAGRAPHS, variant=HIDDEN))
+def _(c):
+    rows = G.protect_math(paragraphs(c.variant(*HIDDEN))).where("path <> 'main.tex'")
+    return rows.select("paper_id", "path", "chunk_id", "prompt_text", F.coalesce(F.get("replacements", F.lit(0))["math"], F.lit("")).alias("math"))
+
+
 @query("g12_parse_responses", sql("SELECT paper_id, path, chunk_id, md5(regexp_replace(prompt_text || CASE WHEN chunk_id % 5 = 0 THEN '}' ELSE '' END, '^\\s+|\\s+$', '', 'g')) AS digest FROM pt1 WHERE chunk_id % 3 <> 0", PARAGRAPHS, PROTECTED))
 def _(c):
     return answers(c)[1].select("paper_id", "path", "chunk_id", F.md5("translation").alias("digest"))
@@ -289,7 +425,7 @@ def _(c):
     return out.select("paper_id", F.col("file_ord").cast("long"), "chunk_id", F.md5("source").alias("source"), F.md5("target").alias("target"))
 
 
-@query("n05_literal_alpha", None)
+@query("n05_literal_alpha", sql(f"SELECT paper_id, path, length({gone('content', *VISIBLE, '[^' + chr(92) + 'p{L}]')}) AS letters, length({gone('content', *VISIBLE, '[^' + chr(92) + 'p{L}]')}) >= 20 AS prose FROM src"))
 def _(c):
     rows = c.sources.select("paper_id", "path", F.lit(0).alias("start"), F.length("content").alias("end"))
     return G.is_prose(rows, c.sources, c.spans).select("paper_id", "path", F.col("letters").cast("long"), "prose")
@@ -301,7 +437,7 @@ def _(c):
     return G.expand_macros(titles, "title", c.macros)
 
 
-@query("t01_pending_queue", None)
+@query("t01_pending_queue", sql("SELECT paper_id, path, chunk_id, sha256(text) AS digest FROM prose WHERE text <> ''", PARAGRAPHS, POINTS, SKIP, PROSE))
 def _(c):
     memory = c.sources.select("paper_id", F.lit("").alias("digest"))
     return queue_of(c.sources, memory).select("paper_id", "path", "chunk_id", "digest")
