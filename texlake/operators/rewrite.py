@@ -416,18 +416,20 @@ def rewrite_corpus(sources: DataFrame, rounds: int = 5) -> tuple[DataFrame, Data
     def context(nodes: DataFrame, current: DataFrame):
         papers = cut(discover.find_main(current, nodes), "papers")
         edges = cut(discover.include_edges(nodes, current), "edges")
-        order = discover.file_order(discover.include_order(edges, papers), current)
-        return papers, edges, cut(discover.in_order(nodes, order), "ordered")
+        files = discover.include_order(edges, papers)
+        return papers, edges, files
 
     def last(nodes: DataFrame, current: DataFrame) -> DataFrame:
-        papers, edges, ordered = context(nodes, current)
-        return plan_headings(nodes, papers, ordered).unionByName(plan_inputs(nodes, edges))
+        papers, edges, files = context(nodes, current)
+        included = cut(discover.in_order(nodes, files), "included")
+        return plan_headings(nodes, papers, included).unionByName(plan_inputs(nodes, edges))
 
     def third(nodes: DataFrame, current: DataFrame) -> DataFrame:
         return plan_column_specs(nodes).unionByName(plan_captionof(nodes))
 
     def fourth(nodes: DataFrame, current: DataFrame) -> DataFrame:
-        papers, _, ordered = context(nodes, current)
+        papers, _, files = context(nodes, current)
+        ordered = cut(discover.in_order(nodes, discover.file_order(files, current)), "ordered")
         parts = [plan_symbols(nodes, current), plan_theorems(nodes, ordered, discover.theorem_names(ordered, papers), current), plan_listings(nodes), plan_algorithms(nodes, ordered, current)]
         return reduce(DataFrame.unionByName, parts)
 
