@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import batches_of, free_name, list_column, partitions, written
+from .common import batches_of, drop, free_name, list_column, partitions, written
 
 STEM = 5
 #: Length that each term without a label's favour adds to a vector.
@@ -192,12 +192,13 @@ class NearestExamples:
         return np.where(np.isnan(share), self.none, score)
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = 20_000, k: int = 15, block: int = 64, least: float = 8.0) -> NearestExamples:
+def fit(docs: DataFrame, labels: DataFrame, examples: int = 20_000, k: int = 15, block: int = 64, least: float = 20.0) -> NearestExamples:
     """Learn from rows of ``labels`` (doc_id, toxic 0/1) and their texts.
 
     At most ``examples`` labels are used, those with the least hash of their doc_id (a fixed sample of any larger table);
     of one doc_id with several labels the greatest counts, with several texts the first in byte order. Terms count if
-    their chi-square is over ``least``, without a limit to their number; document frequencies come from all of ``docs``.
+    their chi-square is over ``least`` (20: by chance, one term in some 100,000), without a limit to their number; document
+    frequencies come from all of ``docs``.
     """
     spark = docs.sparkSession
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -250,8 +251,11 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 20_000, k: int = 15,
             share, _ = m.votes(*m.terms.vectors(hashes, owner, batch.num_rows), batch.num_rows, own)
             return pa.RecordBatch.from_arrays([pa.array(share), batch.column("toxic")], names=["share", "toxic"])
 
-        votes = _rows(without_itself, rows.repartition(partitions(spark)), "share double, toxic int").orderBy("share", "toxic").collect()  # two numbers an example
-        model.calibrate(np.array([r["share"] for r in votes], float), np.array([r["toxic"] for r in votes], np.int64))
+        votes = _rows(without_itself, rows.repartition(partitions(spark)), "share double, toxic int").collect()  # two numbers an example
+        share, toxic = np.array([r["share"] for r in votes], float), np.array([r["toxic"] for r in votes], np.int64)
+        order = np.lexsort((toxic, share))  # the same sums whatever came first
+        model.calibrate(share[order], toxic[order])
+        drop(rows)
     return model
 
 
