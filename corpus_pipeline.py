@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from texlake.functions.shipping import ship
-from texlake.llm.common import written
+from texlake.llm.common import drop, written
 from texlake.llm.decontaminate import without_benchmark
 from texlake.llm.jaccard_join import one_of_each_group
 from texlake.llm.packing import pack_documents
@@ -55,8 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole of ``documents``."""
+    """All stages over the whole of ``documents``; the result is what the last one, ``packing``, returns.
+
+    Nulls, empty and long texts, ties and repeated rows are as the stages' operators define them; an empty table gives an
+    empty result; further columns of ``documents`` pass through all stages but the last.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)

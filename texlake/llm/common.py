@@ -1,8 +1,7 @@
-"""Shared pieces of the operators: the shared folder, written tables, distinct texts, Arrow helpers."""
+"""Shared pieces of the operators: written tables, distinct texts, Arrow helpers."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,27 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (local tests), a new temporary one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="texlake-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: its lineage is cut, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..functions.shared import cut as written
+from ..functions.shared import drop, new_path
 
 
 def partitions(spark: SparkSession) -> int:
@@ -55,8 +35,11 @@ def distinct_texts(docs: DataFrame, name: str, text: str = "text") -> DataFrame:
     rows = docs.select(text_key(text).alias("key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
     found = rows.groupBy("key").agg(F.first("body").alias("body"), F.count(F.lit(1)).alias("copies"))
     table = f"{name}_{uuid.uuid4().hex}"
-    (found.repartition(n, "key").write.bucketBy(n, "key").sortBy("key").format("parquet").option("path", new_path(spark, name)).saveAsTable(table))
-    return spark.table(table)
+    path = new_path(spark, name)
+    found.repartition(n, "key").write.bucketBy(n, "key").sortBy("key").format("parquet").option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out._texlake_path, out._texlake_table = path, table
+    return out
 
 
 def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

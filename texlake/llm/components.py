@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop, written
 
 
 #: Links of sixteen bytes that one task takes at once.
@@ -35,7 +35,8 @@ def components(links: DataFrame) -> DataFrame:
     few = edges.count() <= FEW
     before = None
     while True:  # the steps grow with the logarithm of the longest chain
-        edges = written(_star(_star(edges.coalesce(1) if few else edges, True), False), "stars")
+        old, edges = edges, written(_star(_star(edges.coalesce(1) if few else edges, True), False), "stars")
+        drop(old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import batches_of, free_name, list_column, partitions, text_key, written
+from .common import batches_of, drop, free_name, list_column, partitions, text_key, written
 from .components import components
 
 #: Bands up to this size use one-deletion neighbourhoods.
@@ -229,7 +229,9 @@ def _named(docs: DataFrame, width: int, num: int, den: int, rounds: int) -> Data
     dealt = signs.repartition(n, "sign").sortWithinPartitions("sign", "node")
     shared = written(dealt.mapInArrow(_members, "sign long, node long"), "shared")
     members = written(_cheapest(shared, _spare_of_bands(num, den)), "members")
+    drop(shared)
     links = _links(docs, sets, members, width, num, den, rounds)
+    drop(members)
     nodes = sets.select("doc_id", "key", "node", "n_shingles")
     return nodes.join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
@@ -287,15 +289,18 @@ def _links(docs: DataFrame, sets: DataFrame, members: DataFrame, width: int, num
     now = members.withColumn("component", F.col("node"))
     for turn in range(rounds + 1):
         if turn < rounds:
-            pairs = now.join(_leads(now, turn), "sign").where("node <> l.node AND component <> l.component").select(F.col("l.node").alias("lead"), "node").distinct()
-            found = _measured(written(pairs, "pairs"), texts, width, num, den).where("linked").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+            pairs = written(now.join(_leads(now, turn), "sign").where("node <> l.node AND component <> l.component").select(F.col("l.node").alias("lead"), "node").distinct(), "pairs")
+            found = written(_measured(pairs, texts, width, num, den).where("linked").select(F.col("lead").alias("a"), F.col("node").alias("b")), "found")
+            drop(pairs)
         else:
             found = _further(now, texts, width, num, den)
-        labels = components(written(found, "found").unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        labels = components(found.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        drop(found, now)
         if turn < rounds:
             now = written(_unsettled(members, labels), "open")
             if now.isEmpty():
                 break
+    drop(picked, texts, now)
     return labels
 
 
@@ -352,4 +357,6 @@ def _further(now: DataFrame, texts: DataFrame, width: int, num: int, den: int) -
     found = low.join(high, ["lead", "e"]).where(ordered & enough & (F.col("component_a") != F.col("component_b")))
     last = written(found.select(F.col("node_a").alias("lead"), F.col("node_b").alias("node")).distinct(), "last")
     exact = _measured(last, texts, width, num, den).where("linked").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-    return near.unionByName(exact)
+    links = written(near.unionByName(exact), "found")
+    drop(pairs, apart, sized, last)
+    return links

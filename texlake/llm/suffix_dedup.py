@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import batches_of, distinct_texts, free_name, list_column, partitions, text_key, written
+from .common import batches_of, distinct_texts, drop, free_name, list_column, partitions, text_key, written
 
 HOT, BLOCK_ROWS = 4096, 4096
 #: Elements that are worked on at once, and bytes of text.
@@ -402,6 +402,7 @@ def _spans(texts: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     kept = places.join(again, "gram").groupBy("key").agg(F.collect_list(F.struct("gram", "at", "low", "high", (F.col("n") > HOT).alias("hot"))).alias("places"))
     around = texts.select("key", "body").join(kept, "key").mapInArrow(_contexts(lengths), "key binary, gram long, at long, low long, high long, bytes binary, windows array<long>")
     around = written(around, "contexts")
+    drop(found, again)
     calm = around.where("bytes IS NOT NULL").repartition(n, "gram").sortWithinPartitions("gram")
     spans = calm.mapInArrow(_bucket_repeats(lengths), "key binary, kind int, start long, end long")
     counted = around.where("windows IS NOT NULL").select("key", "gram", "low", F.posexplode("windows").alias("k", "window"))
