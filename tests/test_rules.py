@@ -108,3 +108,49 @@ def test_missing_document(spark):
     bodies, lost = G.document_body(src, nodes, papers, src.select("paper_id", "path").withColumn("file_ord", F.lit(1)))
     assert {r["paper_id"]: r["code"] for r in lost.collect()}["a"] == "missing-document"
     assert [(r["paper_id"], r["start"]) for r in bodies.collect()] == [("b", 16)]
+
+
+@pytest.mark.parametrize(
+    "text, out",
+    [
+        (r"a\\R b \R", r"a\\R b real"),
+        ("% \\R here\n\\R", "% \\R here\nreal"),
+        (r"\two{x}", r"\two{x}"),
+        (r"\one x \one{y{z}} \one", r"<x> <y{z}> \one"),
+        (r"\opt{b} \opt[c]{d}", "a-b c-d"),
+        (r"\op", r"\operatorname{arg}"),
+    ],
+)
+def test_macros(text, out):
+    macros = {"\\R": ("real", 0, None, False), "\\two": ("#1#3", 1, None, False), "\\one": ("<#1>", 1, None, False), "\\opt": ("#1-#2", 2, "a", False), "\\op": ("arg", 0, None, True)}
+    assert G.expand(text, macros) == out
+
+
+def test_theorems_once(spark):
+    text = "\\begin{theorem}[Of {a}]x\\end{theorem}\\begin{proof}y\\end{proof}"
+    mark = "\\begin{quote}\n% TEXLAKE_THEOREM\n"
+    names = spark.createDataFrame([("p", "theorem", "Theorem")], "paper_id string, environment string, label string")
+    plan = lambda n, s: R.plan_theorems(n, ordered(spark, n), names, s)
+    once = after(spark, text, plan)
+    assert once == f"{mark}\\textbf{{Theorem 1}} \\textit{{(Of {{a}})}}\\textbf{{.}} x\n\\end{{quote}}{mark}\\textit{{Proof.}} y \\hfill$\\square$\n\\end{{quote}}"
+    nested = once.replace("x\n", "x\\begin{theorem}z\\end{theorem}\n")
+    assert after(spark, nested, plan) == nested
+
+
+def test_calls():
+    assert R.calls_replaced(r"a \Call{f}{\Call{g}{x}, {1}} \Call{h} \Calls{i}{j}") == r"a \operatorname{f}(\operatorname{g}(x), {1}) \Call{h} \Calls{i}{j}"
+
+
+def test_configuration_line_of_many_blanks(spark):
+    assert after(spark, "a\n  \\hypersetup{x}" + " " * 500 + "\nb", R.plan_remove) == "a\nb"
+
+
+def test_responses_of_long_numbers(spark):
+    raw = spark.createDataFrame([("p", "m.tex", 0, "[0000000000012]\nzwölf\n[99999999999999]\nx\n[3]\ndrei")], "paper_id string, path string, batch int, raw string")
+    assert {(r["chunk_id"], r["translation"]) for r in G.parse_responses(raw).collect()} == {(12, "zwölf"), (3, "drei")}
+
+
+def test_verbatim_and_inline_code(spark):
+    text = "\\verb|$%{| $a$ \\begin{verbatim}50% \\end{verbatim} $b$ \\begin{lstlisting}[a=1]\n$ } \\end{lstlisting}\\section{x}"
+    got = [(r["kind"], r["name"]) for r in scan_spans(table(spark, text)).orderBy("start", "node_id").collect() if r["kind"] != "env_token"]
+    assert got == [("command", "verb"), ("math", None), ("environment", "verbatim"), ("math", None), ("environment", "lstlisting"), ("command", "section")]

@@ -133,7 +133,7 @@ def test_rewrite_is_idempotent(spark):
     assert "\\cite{a}" in content and "geometry" not in content and "minipage" not in content and "\\paragraph*{P}" in content and "hypersetup" not in content
 
 
-@pytest.mark.parametrize("spec, simple", [("l@{}S[x]r", "lrr"), ("{p{1cm}@{x}}c", "{p{1cm}}c"), ("l{", None), ("l}", None), ("", "")])
+@pytest.mark.parametrize("spec, simple", [("l@{}S[x]r", "lrr"), ("{p{1cm}@{x}}c", "{p{1cm}}c"), ("l{", None), ("l}", None), ("", ""), (r">{\Small\S}lS [a]!{x}", r">{\Small\S}lr!{x}")])
 def test_column_spec(spec, simple):
     assert R.column_spec(spec) == simple
 

@@ -240,7 +240,7 @@ def plan_theorems(nodes: DataFrame, ordered: DataFrame, names: DataFrame, source
     proofs = _named(nodes, "environment", ("proof",)).select(*FILE, "start", F.lit(None).cast("string").alias("heading"), F.lit(None).cast("int").alias("n"))
     rows = nodes.where("kind = 'environment'").join(numbered.unionByName(proofs), [*FILE, "start"])
     quotes = texts_of(nodes.where(f"kind = 'environment' AND name = 'quote' AND {TRUSTED}").select(*FILE, F.col("body_start").alias("start"), F.col("body_end").alias("end")), sources)
-    marked = quotes.where(F.ltrim("text").startswith(THEOREM_MARK)).select(*FILE, "start", "end")
+    marked = quotes.where(F.regexp_replace("text", r"\A\s+", "").startswith(THEOREM_MARK)).select(*FILE, "start", "end")
     rows = not_contained_in(outermost(rows, FILE, "node_id"), marked)
     bodies = texts_of(rows.select(*FILE, F.col("begin_token_end").alias("start"), F.col("body_end").alias("end")), sources).withColumnsRenamed({"start": "begin_token_end", "end": "body_end", "text": "_body"})
     rows = rows.join(bodies, [*FILE, "begin_token_end", "body_end"])
