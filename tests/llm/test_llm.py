@@ -197,6 +197,8 @@ def test_topk(spark):
         want |= {(ids[q], n + 1, ids[k], score[k]) for n, k in enumerate(best)}
     got = topk_search.top_k(table, table.where("vec_id % 50 = 0"), 5, segment=64, block=8, query_block=4)
     assert set(rows(got, "query_id", "rank", "vec_id", "score")) == want
+    huge = spark.createDataFrame([(0, [1e30]), (1, [1e30]), (2, [-1e30])], "vec_id long, embedding array<double>")
+    assert rows(topk_search.top_k(huge, huge.where("vec_id = 0"), 5), "rank", "vec_id", "score") == [(1, 1, 2**63 - 1), (2, 2, -(2**63))]
     few = table.where("vec_id IN (0, 1, 2)")
     assert topk_search.top_k(few, few.where("vec_id = 0"), 5).count() == 2
     assert topk_search.top_k(table.where("false"), table).count() == 0

@@ -238,8 +238,10 @@ def sample(training: DataFrame, per_language: int, windows: int) -> list[tuple[s
     usable = usable.where(F.col("text").rlike(r"[A-Za-z]|[^\x00-\x7F]"))
 
     def least(rows: DataFrame, most: int) -> DataFrame:
-        order = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-        return rows.withColumn("r", order).where(F.col("r") <= most).drop("r")
+        # a language's rows in parts first, then what is left of them
+        first = F.row_number().over(Window.partitionBy("lang", "part_of").orderBy("h"))
+        rows = rows.withColumn("part_of", F.pmod(F.xxhash64("h"), F.lit(16))).withColumn("r", first).where(F.col("r") <= most)
+        return rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= most).drop("r", "part_of")
 
     picked = least(usable.select("lang", F.xxhash64("text").alias("h")).distinct(), per_language)
     # two numbers for each of at most per_language rows a language
