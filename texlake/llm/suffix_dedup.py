@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import batches_of, distinct_texts, drop, free_name, list_column, partitions, text_key, written
+from .common import batches_of, distinct_texts, drop, free_name, fresh_worker, list_column, partitions, text_key, written
 
-HOT, BLOCK_ROWS = 4096, 4096
+HOT, BLOCK_ROWS = 4096, 2048
 #: Elements that are worked on at once, and bytes of text.
-_CHUNK, SLICE = 4_000_000, 1_500_000
+_CHUNK, SLICE = 4_000_000, 1_000_000
 
 
 class Scheme(NamedTuple):
@@ -88,6 +88,7 @@ def _anchors_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -
 
 def _anchors(lengths: tuple[int, ...]):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for whole in batches:
             for batch, data, offsets in batches_of(whole, "body", SLICE):
                 for kind, length in enumerate(lengths):
@@ -139,6 +140,7 @@ def _contexts(lengths: tuple[int, ...]):
                 yield (key, gram, None, int(start[a]), None, None, hashes[a:z])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             rows, hot, held, hot_held = [], [], 0, 0
             for key, body, places in zip(batch.column("key"), batch.column("body"), batch.column("places")):
@@ -158,7 +160,7 @@ def _contexts(lengths: tuple[int, ...]):
                         around = elements[kind][p["low"] : p["high"] + lengths[kind]].tobytes()
                         rows.append((key, p["gram"], p["at"], p["low"], p["high"], around, None))
                         held += len(around)
-                if held > 4_000_000:
+                if held > 2_000_000:
                     yield laid(rows)
                     rows, held = [], 0
                 if hot_held > 1_000_000:
@@ -305,6 +307,7 @@ def _bucket_repeats(lengths: tuple[int, ...]):
                 yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in r], pa.binary()), pa.array(np.full(len(r), kind, np.int32)), pa.array(low[r] + a, pa.int64()), pa.array(low[r] + z + length, pa.int64())], names=["key", "kind", "start", "end"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         keys, grams, at, low, rows = [], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
         for batch in batches:
             keys += batch.column("key").to_pylist()
@@ -341,6 +344,7 @@ def _cut(length: int, words: int | None, cut_words: bool):
     """Rows (key, body, copies, spans, word_spans): the digest of each text, and what is left of it."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         names = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_words", "kept", "whole"]
         kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
         for batch in batches:
