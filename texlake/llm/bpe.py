@@ -9,6 +9,8 @@ from array import array
 
 import numpy as np
 
+from .common import worker_cache
+
 #: Pre-tokens of a piece without white space but a leading blank, where it has only these letters and ASCII.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 _PLAIN = re.compile(f"[\x21-\x7e{_LETTERS}]+")
@@ -67,14 +69,16 @@ class PieceEncoder:
             if len(self.known) >= self.most:
                 self.known.clear()
             gc.disable()  # many small objects, no cycles
-            for k, x in enumerate(ids):
-                if x is None:
-                    ids[k] = self.known[pieces[k]] = self._piece(pieces[k])
-            gc.enable()
+            try:
+                for k, x in enumerate(ids):
+                    if x is None:
+                        ids[k] = self.known[pieces[k]] = self._piece(pieces[k])
+            finally:
+                gc.enable()
         return np.frombuffer(b"".join(ids), self.kind)
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[str, PieceEncoder] = worker_cache()
 
 
 def encoder(path: str) -> PieceEncoder:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -14,6 +16,27 @@ from ..functions.shared import cut as written
 from ..functions.shared import drop, new_path
 
 
+_caches: list[dict] = []
+
+
+def worker_cache() -> dict:
+    """A dictionary that a Python worker keeps between tasks of the same kind."""
+    _caches.append({})
+    return _caches[-1]
+
+
+def fresh_worker() -> None:
+    """Give back what tasks of another operator have kept in this worker: it lives on, and memory is shared by all."""
+    if any(_caches):
+        for held in _caches:
+            held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -65,7 +88,7 @@ def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def batches_of(batch: pa.RecordBatch, column: str, most: int = 3_000_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def batches_of(batch: pa.RecordBatch, column: str, most: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of an Arrow batch with the bytes and offsets of ``column``, bounded so that work arrays stay small."""
     flat, offsets = flat_bytes(batch.column(column))
     for i, j in slices(offsets, most):

@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import hashing
-from .common import batches_of, free_name
+from .common import batches_of, free_name, fresh_worker
+
+#: Bytes of benchmark text that go to the tasks at once, about.
+BLOCK_BYTES = 32_000_000
 
 _SPACE = " \t\n\x0b\x0c\r"
 
@@ -105,7 +108,8 @@ def _found(index: Index, batch: pa.RecordBatch, data: np.ndarray, offsets: np.nd
 def _blocks(benchmark: DataFrame, block: int) -> Iterator[list[tuple[int, str]]]:
     """The items, in bounded blocks."""
     items = benchmark.where("text IS NOT NULL").select("item_id", F.col("text").cast("string").alias("text"))
-    blocks = max(1, -(-items.count() // block))
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    blocks = max(1, -(-size["n"] // block), -(-(size["bytes"] or 0) // BLOCK_BYTES))
     number = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     for b in range(blocks):
         rows = items.where(number == b).collect()
@@ -120,7 +124,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, num: int
     item of fewer than ``width`` words is one shingle, its whole sequence. Null and empty texts contain nothing and are
     contained in nothing; repeated rows of either side give repeated pairs; extra columns are ignored; an empty table
     gives an empty result. Documents aren't shuffled. The benchmark goes to the tasks in blocks of ``block`` items, as
-    many passes over the documents as blocks, so its size is never assumed.
+    many passes over the documents as blocks, or more blocks if they would pass BLOCK_BYTES, so its size is never assumed.
     """
     spark = docs.sparkSession
     kinds = [frame.schema[c].dataType.simpleString() for frame, c in ((docs, "doc_id"), (benchmark, "item_id"))]
@@ -131,6 +135,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, num: int
         held = spark.sparkContext.broadcast(rows)
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            fresh_worker()
             index = Index(held.value, width, num, den)
             for whole in batches:
                 for batch, data, offsets in batches_of(whole, "body"):
@@ -150,12 +155,16 @@ def _bodies(docs: DataFrame, *columns: str, name: str = "body") -> DataFrame:
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 5, num: int = 80, den: int = 100, block: int = 50_000) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that contain no item of ``benchmark``, as ``contaminated`` finds them."""
+    """The rows of ``docs``, all columns as they are, that contain no item of ``benchmark``, as ``contaminated`` finds them.
+
+    Null and empty texts stay; repeated rows stay or go together; empty tables give an empty or the whole result.
+    """
     out, name = docs, free_name(docs.columns, "body")
     for rows in _blocks(benchmark, block):
         held = docs.sparkSession.sparkContext.broadcast(rows)
 
         def keep(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            fresh_worker()
             index = Index(held.value, width, num, den)
             for whole in batches:
                 for batch, data, offsets in batches_of(whole, name):

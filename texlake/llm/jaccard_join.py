@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import batches_of, drop, free_name, list_column, partitions, text_key, written
+from .common import batches_of, drop, free_name, fresh_worker, list_column, partitions, text_key, written
 from .components import components
 
 #: Bands up to this size use one-deletion neighbourhoods.
@@ -98,6 +98,7 @@ def signatures(values: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tup
 
 def _sets(width: int, num: int, den: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for whole in batches:
             seen: set[int] = set()
             for batch, data, offsets in batches_of(whole, "body", SLICE):
@@ -146,6 +147,7 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verify(width: int, num: int, den: int, with_elements: bool):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (lead, node, body) by lead, the lead's own row first; out come how far the others are from it."""
+        fresh_worker()
         own = np.zeros(0, np.uint64)
         for whole in batches:
             for batch, data, offsets in batches_of(whole, "body", SLICE):

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_cache
+
 
 class Counter:
     """Counts tokens as ``len(encode(text))`` does.
@@ -72,24 +74,29 @@ class Counter:
         return [next(found) if len(t) <= self.chunk or not self.plain else self._long(t) for t in texts]
 
 
-_counters: dict[tuple, Counter] = {}
+_counters: dict[tuple, Counter] = worker_cache()
+
+
+def counter(*key) -> Counter:
+    """This worker's counter for a model, kept between tasks."""
+    if key not in _counters:
+        _counters[key] = Counter(*key)
+    return _counters[key]
 
 
 def token_counts(docs: DataFrame, model: str, limit: int = 4096, chunk: int = 16_384, overlap: int = 256) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) of every row of ``docs`` (doc_id, text).
 
     Null texts count as empty (0 bytes, 0 tokens); repeated rows give repeated rows; extra columns are ignored. No
-    shuffle: each task encodes the texts it reads, and no more than a chunk of a huge one at once.
+    shuffle: each task encodes the texts it reads, a chunk of a huge one at once as long as overlaps can be spliced.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (model, chunk, overlap)
-        if key not in _counters:
-            _counters[key] = Counter(*key)
+        counts = counter(model, chunk, overlap).counts
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), pa.array(_counters[key].counts([t or "" for t in part.column("text").to_pylist()]), pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), pa.array(counts([t or "" for t in part.column("text").to_pylist()]), pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     rows = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import batches_of, drop, free_name, list_column, partitions, written
+from .common import batches_of, drop, free_name, fresh_worker, list_column, partitions, written
 
 STEM = 5
 #: Length that each term without a label's favour adds to a vector.
@@ -53,6 +53,7 @@ def _bodies(docs: DataFrame, *more, name: str = "body") -> DataFrame:
 
 def _rows(make, source: DataFrame, schema, name: str = "body") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for whole in batches:
             for batch, data, offsets in batches_of(whole, name, SLICE):
                 yield make(batch, *_terms(data, offsets))
@@ -292,8 +293,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, with_evidence: bool = False, **
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **parameters) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that score below ``threshold``; learning, nulls, empty tables and
-    repeated rows as in ``toxicity`` (rows that repeat stay or go together)."""
+    repeated rows as in ``toxicity`` (rows that repeat stay or go together). Without any label all rows stay."""
     model = fit(docs, labels.where(~_fold(F.col("doc_id"))), **parameters)
+    if not len(model.ids):
+        return docs
     held, name = docs.sparkSession.sparkContext.broadcast(model), free_name(docs.columns, "body")
 
     def keep(batch: pa.RecordBatch, hashes: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
