@@ -57,11 +57,11 @@ def test_rule(spark, rule, text, out):
 
 
 def test_tikz_needs_equal_counts(spark):
-    text = "\\begin{figure}\\begin{tikzpicture}x\\end{tikzpicture}\\caption{c}\\end{figure}"
+    text = "\\begin{figure}\\begin{tikzpicture}x\\label{in}\\end{tikzpicture}\\caption{c}\\label{out}\\end{figure}"
     nodes = ordered(spark, V.mark_opaque(nodes_of(scan_spans(table(spark, text)))))
     rows = lambda n: spark.createDataFrame([("p", 1, k, f"i{k}.png") for k in range(n)], "paper_id string, page int, ord int, image_ref string")
     edits, off = R.align_tikz(nodes, rows(1))
-    assert [r["replacement"] for r in edits.collect()] == ["\\includegraphics{i0.png}"] and off.count() == 0
+    assert [r["replacement"] for r in edits.collect()] == ["\n\\centering\n\\includegraphics[width=\\linewidth]{i0.png}\n\\label{in}\n"] and off.count() == 0
     edits, off = R.align_tikz(nodes, rows(2))
     assert edits.count() == 0 and [r["code"] for r in off.collect()] == ["figure-count-mismatch"]
 
@@ -154,3 +154,11 @@ def test_verbatim_and_inline_code(spark):
     text = "\\verb|$%{| $a$ \\begin{verbatim}50% \\end{verbatim} $b$ \\begin{lstlisting}[a=1]\n$ } \\end{lstlisting}\\section{x}"
     got = [(r["kind"], r["name"]) for r in scan_spans(table(spark, text)).orderBy("start", "node_id").collect() if r["kind"] != "env_token"]
     assert got == [("command", "verb"), ("math", None), ("environment", "verbatim"), ("math", None), ("environment", "lstlisting"), ("command", "section")]
+
+
+def test_titles():
+    from texlake.functions.macros import title_text
+
+    macros = {"\\R": ("real", 0, None, False), "\\N": ("\\thanks{n}", 0, None, False)}
+    raw = r"\Large A \emph{b \textbf{c}}\thanks{x {y} \footnote{z}} \\[2pt] \R\N\vspace*{1em} d\blfootnote{q}\smallskip \footnotetext{e} \\R"
+    assert title_text(raw, macros) == "A b c real d R"

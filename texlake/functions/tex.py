@@ -42,13 +42,3 @@ def letters(number: Column) -> Column:
 def slice_text(text: str, start: Column, end: Column) -> Column:
     """Characters from ``start`` to before ``end``, from 0."""
     return F.substring(F.col(text), start + 1, end - start)
-
-
-def clean_title(text: Column) -> Column:
-    """A title without notes, sizes and line breaks; commands unwrapped five times, braces dropped, blanks squeezed."""
-    text = F.regexp_replace(text, r"\\(?:footnote|thanks)\{[^{}]*\}", "")
-    text = F.regexp_replace(text, r"\\(?:tiny|scriptsize|footnotesize|small|normalsize|large|Large|LARGE|huge|Huge)\b", "")
-    text = F.regexp_replace(text, r"\\\\(?:\[[^\]]*\])?", " ")
-    for _ in range(5):
-        text = F.regexp_replace(text, r"\\[A-Za-z@]+\*?\{([^{}]*)\}", "$1")
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[{}]", ""), r"\s+", " "))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.macros import title_text
 from ..functions.scan import argument
 from ..functions.shared import cut
-from ..functions.tex import clean_title
 from .intervals import FILE
 
 #: Names of the environments that count as theorems.
@@ -144,13 +145,16 @@ def theorem_names(nodes: DataFrame, papers: DataFrame) -> DataFrame:
 
 
 def paper_title(nodes: DataFrame, papers: DataFrame, macros: DataFrame) -> DataFrame:
-    """paper_id, title: the first complete title of the main file, cleaned, with macros without parameters expanded."""
+    """paper_id, title: the first complete title of the main file, cleaned (``macros.title_text``), with macros expanded."""
     main = papers.select("paper_id", F.col("main_path").alias("path"))
     first = argument(nodes, "title").join(main, FILE).groupBy("paper_id").agg(F.min_by(F.try_element_at("arguments", F.lit(-1))["text"], "start").alias("title"))
-    simple = macros.where("parameter_count = 0").groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("name", "body"))).alias("macros"))
-    text = F.regexp_replace("title", r"\\(?:footnote|thanks)\{[^{}]*\}", "")
-    grown = F.aggregate("macros", text, lambda t, m: F.regexp_replace(t, F.concat(F.lit("\\"), m["name"], F.lit("(?![A-Za-z@])")), F.regexp_replace(m["body"], r"([\\$])", r"\\$1")))
-    return first.join(simple, "paper_id", "left").select("paper_id", clean_title(F.coalesce(grown, text)).alias("title"))
+    known = macros.groupBy("paper_id").agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("body", "parameter_count", "optional_default", "math_operator")))).alias("macros"))
+
+    @F.pandas_udf("string")
+    def shown(titles: pd.Series, tables: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None else title_text(t, {k: (v["body"], v["parameter_count"], v["optional_default"], v["math_operator"]) for k, v in dict(m or {}).items()}) for t, m in zip(titles, tables)])
+
+    return first.join(known, "paper_id", "left").select("paper_id", shown("title", "macros").alias("title"))
 
 
 def paper_authors(nodes: DataFrame, papers: DataFrame) -> DataFrame:

@@ -344,8 +344,17 @@ def align_tikz(ordered: DataFrame, captions: DataFrame) -> tuple[DataFrame, Data
     counts = own.groupBy("paper_id").agg(F.max("n").alias("a")).join(rows.groupBy("paper_id").agg(F.max("n").alias("b")), "paper_id", "full")
     off = counts.where("NOT (a <=> b)").select("paper_id", F.lit(None).cast("string").alias("path"), F.lit("tikz").alias("pass_name"), F.lit("figure-count-mismatch").alias("code"), F.concat(F.coalesce("a", F.lit(0)).cast("string"), F.lit(" figures, "), F.coalesce("b", F.lit(0)).cast("string"), F.lit(" captions")).alias("message"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
     pairs = own.join(counts.where("a = b").select("paper_id"), "paper_id", "left_semi").join(rows, ["paper_id", "n"])
-    drawn = ordered.where(f"kind = 'environment' AND name = 'tikzpicture' AND {TRUSTED}").join(pairs.select(*FILE, "f_start", "f_end", "image_ref"), FILE).where("f_start <= start AND end <= f_end")
-    return _edits(drawn, "start", "end", F.concat(F.lit("\\includegraphics{"), "image_ref", F.lit("}")), "tikz", "lossy"), off
+    figure = ordered.where("kind = 'environment'").select(*FILE, F.col("start").alias("f_start"), F.col("end").alias("f_end"), "body_start")
+    tails = held.groupBy(*FILE, "f_start").agg(F.max("start").alias("tail"))
+    drawings = ordered.where(f"kind = 'environment' AND name = 'tikzpicture' AND {TRUSTED}").select(*FILE, "start", "end")
+    rows = pairs.join(figure, [*FILE, "f_start", "f_end"]).join(tails, [*FILE, "f_start"])
+    drawn = rows.join(drawings, FILE).where("f_start <= start AND end <= f_end").select(*FILE, "f_start").distinct()
+    # labels from the drawing stay, those behind the last caption are not touched
+    inner = argument(ordered, "label").select(*FILE, "start", "arg").join(rows, FILE).where("body_start <= start AND start < tail AND arg <> ''")
+    labels = inner.groupBy(*FILE, "f_start").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "arg"))), lambda x: F.concat(F.lit("\\label{"), x["arg"], F.lit("}\n"))), "").alias("labels"))
+    rows = rows.join(drawn, [*FILE, "f_start"], "left_semi").join(labels, [*FILE, "f_start"], "left")
+    text = F.concat(F.lit("\n\\centering\n\\includegraphics[width=\\linewidth]{"), "image_ref", F.lit("}\n"), F.coalesce("labels", F.lit("")))
+    return _edits(rows, "body_start", "tail", text, "tikz", "lossy"), off
 
 
 def validate_edits(edits: DataFrame, sources: DataFrame, most: str = "lossy") -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import time
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -12,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.macros import expand
 from ..functions.scan import argument
 from ..functions.tex import balanced_braces
 from .discover import TRUSTED, first_by
@@ -274,70 +274,6 @@ def translate_batches(prompts: DataFrame, fn: Callable[[str], str], parallel: in
     return prompts.select(*FILE, "batch", "prompt").repartition(parallel).mapInArrow(ask, f"paper_id {kind}, path string, batch int, raw string, error string")
 
 
-def expand(text: str, macros: dict[str, tuple[str, int, str | None, bool]], depth: int = 5) -> str:
-    """``text`` with known macros expanded, the outermost first, until nothing changes or ``depth`` rounds are done.
-
-    Calls with too few arguments stay, as do those of macros whose body asks for more parameters than they have.
-    Comments and what follows ``\\\\`` are no calls.
-    """
-    if not macros:
-        return text
-    token = re.compile(r"%[^\r\n]*|(?P<name>" + "|".join(re.escape(n) + r"(?![A-Za-z@])" for n in sorted(macros, key=len, reverse=True)) + r")|\\(?s:.)")
-    single = re.compile(r"\\[A-Za-z@]+|\\(?s:.)|[^{}\[\]%\\]")
-
-    def group(at: int, opening: str, closing: str) -> int | None:
-        level, k = 0, at
-        while k < len(text):
-            if text[k] == "\\":
-                k += 2
-                continue
-            level += (text[k] == opening) - (text[k] == closing)
-            if level == 0:
-                return k
-            k += 1
-        return None
-
-    def values_of(k: int, count: int, default: str | None) -> tuple[list[str], int]:
-        """The arguments after a name (fewer than ``count`` if one is missing), and where they end."""
-        values: list[str] = []
-        if count and default is not None:
-            end = group(k, "[", "]") if text[k : k + 1] == "[" else None
-            values.append(default if end is None else text[k + 1 : end])
-            k = k if end is None else end + 1
-        while len(values) < count:
-            while text[k : k + 1].isspace():
-                k += 1
-            one = single.match(text, k)
-            end = group(k, "{", "}") if text[k : k + 1] == "{" else None
-            if end is not None:
-                values.append(text[k + 1 : end])
-                k = end + 1
-            elif one:
-                values.append(one.group())
-                k = one.end()
-            else:
-                break
-        return values, k
-
-    for _ in range(depth):
-        out, at = [], 0
-        for m in token.finditer(text):
-            if m.start() < at or m.group("name") is None:
-                continue
-            body, count, default, operator = macros[m.group("name")]
-            values, k = values_of(m.end(), count, default)
-            if len(values) < count or any(int(n) > count for n in re.findall(r"#([1-9])", body.replace("##", ""))):
-                continue
-            new = re.sub(r"##|#([1-9])", lambda r: "#" if r.group() == "##" else values[int(r.group(1)) - 1], body)  # noqa: B023
-            out += [text[at : m.start()], "\\operatorname{" + new + "}" if operator else new]
-            at = k
-        grown = "".join(out) + text[at:]
-        if grown == text:
-            break
-        text = grown
-    return text
-
-
 def expand_macros(df: DataFrame, column: str, macros: DataFrame, depth: int = 5) -> DataFrame:
     """``df`` (paper_id, ...) with the macros of its paper expanded in ``column``; malformed calls stay."""
     listed = macros.groupBy("paper_id").agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("body", "parameter_count", "optional_default", "math_operator")))).alias("_m"))
