@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-_CITES = ("parencite", "textcite", "autocite", "fullcite", "footcite", "citeauthor", "citetitle", "citep", "citet", "Citet", "Citep", "citealt", "citealp", "citenum", "citeyear")
+#: Commands that cite.
+CITES = ("parencite", "textcite", "autocite", "fullcite", "footcite", "citeauthor", "citetitle", "citep", "citet", "Citet", "Citep", "citealt", "citealp", "citenum", "citeyear")
 
 #: Arguments of commands ({ required, [ optional, * star).
 MACRO_ARGS = {
@@ -27,7 +28,7 @@ MACRO_ARGS = {
     "title": "[{", "todo": "*{", "usepackage": "[{", "usetikzlibrary": "*{", "vphantom": "*{", "vspace": "*{",
     "ref": "{", "eqref": "{", "autoref": "{", "Autoref": "{", "cref": "{", "Cref": "{", "cite": "[[{", "emph": "{", "textbf": "{", "textit": "{",
     "For": "{", "ForAll": "{", "If": "{", "ElsIf": "{", "While": "{", "Until": "{",
-    **{name: "*[[{" for name in _CITES},
+    **{name: "*[[{" for name in CITES},
 }
 #: Arguments of environments.
 ENV_ARGS = {

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scan import argument, nodes_of, scan_spans
+from ..functions.scan import CITES, argument, nodes_of, scan_spans
 from ..functions.shared import cut
 from . import discover, number
 from .discover import TRUSTED, first_by
@@ -39,7 +39,6 @@ STRIPPED_PACKAGES = (
     "comment", "wrapfig", "pifont", "fontawesome", "fontawesome5", "lipsum", "blindtext", "nicematrix", "babel", "etoolbox", "bm", "adjustbox",
     "changepage", "pdflscape", "afterpage", "fancyvrb", "minted",
 )
-CITES = ("parencite", "textcite", "autocite", "fullcite", "footcite", "citeauthor", "citetitle", "citep", "citet", "Citet", "Citep", "citealt", "citealp", "citenum", "citeyear")
 #: Dingbats by number.
 DINGS = {"51": "✓", "52": "✔", "55": "✗", "56": "✘"}
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.shared import cut
+from ..functions.shared import cut, new_path
 from ..operators import discover as D
 from ..operators import intervals as V
 from ..operators import number as W
@@ -27,6 +27,15 @@ def edits(rows: DataFrame) -> DataFrame:
     return rows.select("paper_id", "path", F.col("start").cast("long"), F.col("end").cast("long").alias("stop"), "replacement")
 
 
+@query("s01_read_sources", sql("SELECT 'paper_id=' || paper_id AS paper_id, md5(string_agg(content, chr(10) ORDER BY path) || chr(10)) AS digest FROM src GROUP BY paper_id"))
+def _(c):
+    # Spark writes a directory for each paper, with one file in it
+    tree = new_path(c.spark, "tree")
+    whole = c.sources.groupBy("paper_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "content"))), lambda x: x["content"]), "\n").alias("value"))
+    whole.repartition("paper_id").write.partitionBy("paper_id").text(tree)
+    return S.read_sources(c.spark, tree, "*.txt").select("paper_id", F.md5("content").alias("digest"))
+
+
 @query("s04_changed_files", sql("SELECT paper_id, path, md5(new) AS digest FROM (SELECT *, regexp_replace(content, '\\\\citep\\[see\\]', '\\\\cite', 'g') AS new FROM src) WHERE new <> content"))
 def _(c):
     return S.changed(c.sources, R.apply_edits(c.sources, R.plan_citations(c.nodes))).select("paper_id", "path", F.md5("content").alias("digest"))

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 SOURCES = "paper_id string, path string, content string"
 
 
-def read_sources(spark: SparkSession, root: str) -> DataFrame:
-    """All ``*.tex`` below per-paper directories of ``root``; bytes that are no UTF-8 become U+FFFD, line ends stay."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tex").option("recursiveFileLookup", True).load(root)
+def read_sources(spark: SparkSession, root: str, pattern: str = "*.tex") -> DataFrame:
+    """All files of a ``pattern`` below per-paper directories of ``root``; bytes that are no UTF-8 become U+FFFD, line ends stay."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
     below = F.regexp_extract("path", rf"{base}/(.*)$", 1)
     return files.select(
