@@ -214,14 +214,15 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     No pair is left out: members of a signature are compared with a lead in each of some ``rounds``, and those that then
     still stand in different components by what they have and lack against a common lead (``_further``).
     """
-    named = _named(docs, width, num, den, rounds)
+    named, _ = _named(docs, width, num, den, rounds)
     least = named.where("node IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = named.join(least, "component", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _named(docs: DataFrame, width: int, num: int, den: int, rounds: int) -> DataFrame:
-    """doc_id, key (text_key), node, n_shingles, component (the least node reachable; null without words) of every row."""
+def _named(docs: DataFrame, width: int, num: int, den: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, key (text_key), node, n_shingles, component (the least node reachable; null without words) of every row, and
+    the written table that this reads."""
     n = partitions(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -235,7 +236,7 @@ def _named(docs: DataFrame, width: int, num: int, den: int, rounds: int) -> Data
     links = _links(docs, sets, members, width, num, den, rounds)
     drop(members)
     nodes = sets.select("doc_id", "key", "node", "n_shingles")
-    return nodes.join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return nodes.join(links, "node", "left").withColumn("component", F.coalesce("component", "node")), sets
 
 
 def _cheapest(shared: DataFrame, spares: list[int]) -> DataFrame:
@@ -253,15 +254,17 @@ def one_of_each_group(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     It is one of the smallest doc_id and, of these, of the least text_key; null doc_ids come last. Of repeated rows (same
     doc_id, same text) any one stays. Rows without words have no group: repeated ones become one, those of null doc_id stay.
     """
-    named = _named(docs, width, num, den, rounds)
+    named, sets = _named(docs, width, num, den, rounds)
     # repeated rows are one row from here on
     counted = written(named.groupBy("component", "doc_id", "key").agg(F.count(F.lit(1)).alias("n")), "counted")
+    drop(sets)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     least = counted.where("component IS NOT NULL").groupBy("component").agg(F.min(place).alias("l"), F.count(F.lit(1)).alias("size")).where("size > 1")
     later = counted.join(least, "component").where(~(F.col("doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("key") == F.col("l.key"))))
     gone = later.select("doc_id", "key")
     repeated = counted.where("n > 1 AND (doc_id IS NOT NULL OR component IS NOT NULL)").select("doc_id", "key")
     gone, repeated = written(gone, "gone"), written(repeated, "repeated")
+    drop(counted)
     key, row, gone_id, gone_key = (free_name(docs.columns, name) for name in ("_key", "_row", "_gone_id", "_gone_key"))
     keyed = docs.withColumn(key, text_key())
 
