@@ -13,6 +13,7 @@ from . import licenses
 from .decontaminate import contaminated
 from .jaccard_join import jaccard_groups
 from .language_id import identify
+from .lexical_search import ranked_search
 from .licenses import scan
 from .packing import pack_documents
 from .suffix_dedup import suffix_dedup
@@ -77,11 +78,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), limit=4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_output, op3_decontamination, op4_topk_search, op5_language_id, op6_toxicity, op7_best_fit_packing, op8_license_scan, op9_jaccard_join, op10_token_counts)}
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_output, op3_decontamination, op4_topk_search, op5_language_id, op6_toxicity, op7_best_fit_packing, op8_license_scan, op9_jaccard_join, op10_token_counts, op13_ranked_search)}
 
 _LOW = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 _WORDS = f"list_filter(string_split_regex({_LOW}, '[ \\x09-\\x0D]+'), lambda x: x <> '')"
 
+_TERMS = f"list_filter(string_split_regex({_LOW}, '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
 
 def _values(rows) -> str:
     return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in row) + ")" for row in rows)
@@ -124,4 +131,10 @@ ORACLES: dict[str, str] = {
  l AS (SELECT a.r AS a, b.r AS b FROM s a JOIN s b ON a.s = b.s AND a.r <> b.r JOIN z x ON x.r = a.r JOIN z y ON y.r = b.r GROUP BY a.r, b.r HAVING 100 * count(*) >= 85 * (any_value(x.n) + any_value(y.n) - count(*))),
  reach AS (SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b)
  SELECT d.doc_id, coalesce(any_value(z.n), 0) AS n_shingles, least(d.doc_id, min(o.doc_id)) AS component_id FROM d LEFT JOIN z USING (r) LEFT JOIN reach ON reach.a = d.r LEFT JOIN d o ON o.r = reach.b GROUP BY d.r, d.doc_id""",
+    "op13_ranked_search": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents), b AS (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS t FROM benchmark),
+ s AS (SELECT r, doc_id, len(t) AS n FROM d WHERE len(t) > 0), z AS (SELECT count(*) AS docs, sum(n) AS terms FROM s), norm AS (SELECT r, doc_id, 50 + (50 * n * docs) // terms AS m FROM s, z),
+ p AS (SELECT r, x, count(*) AS tf FROM (SELECT r, unnest(t) AS x FROM d) GROUP BY r, x), v AS (SELECT x, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, z GROUP BY x),
+ a AS (SELECT DISTINCT q, item_id, unnest(t) AS x FROM b),
+ sums AS (SELECT q, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score FROM a JOIN v USING (x) JOIN p USING (x) JOIN norm USING (r) GROUP BY q, item_id, r, doc_id)
+ SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM sums WHERE score > 0 QUALIFY rank <= 50""",
 }
