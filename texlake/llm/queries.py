@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import licenses
 from .decontaminate import contaminated
+from .hard_negatives import hard_negatives
 from .jaccard_join import jaccard_groups
 from .language_id import identify
 from .lexical_search import ranked_search
@@ -78,11 +79,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), limit=4096)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END"))
+    return hard_negatives(rows, rows.where("vec_id % 100 = 0"), positives=5, negatives=10, low=30, high=90, scale=256)
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_output, op3_decontamination, op4_topk_search, op5_language_id, op6_toxicity, op7_best_fit_packing, op8_license_scan, op9_jaccard_join, op10_token_counts, op13_ranked_search)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_output, op3_decontamination, op4_topk_search, op5_language_id, op6_toxicity, op7_best_fit_packing, op8_license_scan, op9_jaccard_join, op10_token_counts, op12_hard_negatives, op13_ranked_search)}
 
 _LOW = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 _WORDS = f"list_filter(string_split_regex({_LOW}, '[ \\x09-\\x0D]+'), lambda x: x <> '')"
@@ -131,6 +137,11 @@ ORACLES: dict[str, str] = {
  l AS (SELECT a.r AS a, b.r AS b FROM s a JOIN s b ON a.s = b.s AND a.r <> b.r JOIN z x ON x.r = a.r JOIN z y ON y.r = b.r GROUP BY a.r, b.r HAVING 100 * count(*) >= 85 * (any_value(x.n) + any_value(y.n) - count(*))),
  reach AS (SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b)
  SELECT d.doc_id, coalesce(any_value(z.n), 0) AS n_shingles, least(d.doc_id, min(o.doc_id)) AS component_id FROM d LEFT JOIN z USING (r) LEFT JOIN reach ON reach.a = d.r LEFT JOIN d o ON o.r = reach.b GROUP BY d.r, d.doc_id""",
+    "op12_hard_negatives": """WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+ WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT a.r AS a, a.vec_id AS anchor_id, b.r AS b, b.vec_id, a.label = b.label AS same, CAST(coalesce(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+ p AS (SELECT a, anchor_id, b, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) <= 5)
+ SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score FROM p JOIN s ON s.a = p.a AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score QUALIFY rank <= 10""",
     "op13_ranked_search": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents), b AS (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS t FROM benchmark),
  s AS (SELECT r, doc_id, len(t) AS n FROM d WHERE len(t) > 0), z AS (SELECT count(*) AS docs, sum(n) AS terms FROM s), norm AS (SELECT r, doc_id, 50 + (50 * n * docs) // terms AS m FROM s, z),
  p AS (SELECT r, x, count(*) AS tf FROM (SELECT r, unnest(t) AS x FROM d) GROUP BY r, x), v AS (SELECT x, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, z GROUP BY x),
