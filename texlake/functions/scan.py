@@ -5,11 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .shared import spread
+
 #: Commands that cite.
 CITES = ("parencite", "textcite", "autocite", "fullcite", "footcite", "citeauthor", "citetitle", "citep", "citet", "Citet", "Citep", "citealt", "citealp", "citenum", "citeyear")
 
@@ -36,6 +39,8 @@ ENV_ARGS = {
     "longtable": "[{", "ltablex": "[{", "minipage": "[[[{", "minted": "[{", "NiceTabular": "[{[", "NiceTabular*": "[{[{[",
     "subequations": "", "subfigure": "[{", "tabu": "[{", "tabular": "{", "tabular*": "{", "tabularx": "[{{", "tabulary": "[{{",
     "tblr": "[{", "tikzpicture": "[", "wrapfigure": "[{{", "xltabular": "[{{",
+    "theorem": "[", "lemma": "[", "proposition": "[", "corollary": "[", "definition": "[", "example": "[", "remark": "[", "assumption": "[", "claim": "[",
+    "conjecture": "[", "observation": "[", "note": "[", "fact": "[", "property": "[", "condition": "[", "hypothesis": "[", "proof": "[",
 }
 #: Bodies that are text, not TeX.
 _RAW = {"verbatim", "lstlisting", "minted", "comment"}
@@ -76,127 +81,213 @@ def _tokens(text: str, env_args: dict[str, str]) -> list[tuple[int, int, str]]:
     out: list[tuple[int, int, str]] = []
     at, body, until = 0, -1, -1
     while True:
-        m = _TOKEN.search(text, at)
-        if body >= 0 and (m is None or m.start() >= body):
-            at, body = until, -1
-            continue
-        if m is None:
-            return out
-        out.append((m.start(), m.end(), m.group()))
-        at = m.end()
-        if m.group() == "\\begin" and body < 0:
-            named = _NAME.match(text, at)
-            name = named.group(1).strip() if named else ""
-            if name in _RAW:
-                body = named.end()
-                for kind in env_args.get(name, ""):
-                    arg = (_OPTION if kind == "[" else _GROUP).match(text, body)
-                    body = arg.end() if arg else body
-                until = text.find("\\end{" + name + "}", body)
-                until = len(text) if until < 0 else until
+        again = -1
+        for m in _TOKEN.finditer(text, at):
+            if 0 <= body <= m.start():
+                again = until
+                break
+            t = m.group()
+            out.append((m.start(), m.end(), t))
+            if t == "\\begin" and body < 0:
+                named = _NAME.match(text, m.end())
+                name = named.group(1).strip() if named else ""
+                if name in _RAW:
+                    body = named.end()
+                    for kind in env_args.get(name, ""):
+                        arg = (_OPTION if kind == "[" else _GROUP).match(text, body)
+                        body = arg.end() if arg else body
+                    until = text.find("\\end{" + name + "}", body)
+                    until = len(text) if until < 0 else until
+        else:
+            if body < 0:
+                return out
+            again = until
+        at, body = again, -1
 
 
-def scan_text(text: str, macro_args: dict[str, str] = MACRO_ARGS, env_args: dict[str, str] = ENV_ARGS) -> list[dict]:
-    """Spans of one file: commands, environments, math, comments and environment tokens, by start."""
+_CLOSING = {"$": "$", "$$": "$$", "\\(": "\\)", "\\[": "\\]"}
+
+
+def math_in(text: str) -> list[tuple[int, int, str, str | None]]:
+    """Math of a text by start: start, end, and the delimiters; the closing one of unclosed math is None."""
+    if "$" not in text and "\\(" not in text and "\\[" not in text:
+        return []
+    out, opened = [], None
+    for start, end, t in _tokens(text, ENV_ARGS):
+        if opened is None:
+            if t in _CLOSING:
+                opened = (t, start)
+        elif t == _CLOSING[opened[0]]:
+            out.append((opened[1], end, opened[0], t))
+            opened = None
+    if opened is not None:
+        out.append((opened[1], len(text), opened[0], None))
+    return out
+
+
+def scan_rows(text: str, macro_args: dict[str, str] = MACRO_ARGS, env_args: dict[str, str] = ENV_ARGS) -> list[list]:
+    """Spans of one file in the columns of SPANS, by start: commands, environments, math, comments and environment tokens.
+
+    An argument is (start, end, text, opening, closing, complete, opaque).
+    """
     tokens = _tokens(text, env_args)
     closing = _pairs(text, [t for t in tokens if len(t[2]) == 1])
     by_start = {t[0]: k for k, t in enumerate(tokens)}
-    spans: list[dict] = []
+    spans: list[list] = []
     n = len(text)
 
-    def argument(at: int, kind: str) -> tuple[dict | None, int]:
+    def argument(at: int, kind: str) -> tuple[tuple | None, int]:
         """The argument of a form at or after a place, and where it ends."""
         if kind == "*":
-            return (dict(start=at, end=at + 1, text="*", opening="", closing="", complete=True, opaque=False), at + 1) if text[at : at + 1] == "*" else (None, at)
+            return ((at, at + 1, "*", "", "", True, False), at + 1) if text[at : at + 1] == "*" else (None, at)
         p = _BLANK.match(text, at).end()
         opening = text[p : p + 1]
         if opening == ("[" if kind == "[" else "{"):
             end = closing.get(p)
             whole = end is not None
             stop = end + 1 if whole else n
-            return dict(start=p, end=stop, text=text[p + 1 : end if whole else n], opening=opening, closing="]" if kind == "[" else "}", complete=whole, opaque=not whole), stop
+            return (p, stop, text[p + 1 : end if whole else n], opening, "]" if kind == "[" else "}", whole, not whole), stop
         if kind == "[":
             return None, at
         if p >= n or opening in "}]%":
-            return dict(start=at, end=at, text="", opening="", closing="", complete=False, opaque=True), at
+            return (at, at, "", "", "", False, True), at
         k = by_start.get(p)
         stop = tokens[k][1] if k is not None and opening == "\\" else p + 1
-        return dict(start=p, end=stop, text=text[p:stop], opening="", closing="", complete=True, opaque=False), stop
+        return (p, stop, text[p:stop], "", "", True, False), stop
 
-    def arguments(at: int, spec: str) -> tuple[list[dict | None], int]:
+    def arguments(at: int, spec: str) -> tuple[list[tuple | None], int, bool]:
         found = []
         for kind in spec:
             a, at = argument(at, kind)
             found.append(a)
-            if a is not None and not a["complete"]:
-                break
-        return found, at
+            if a is not None and not a[5]:
+                return found, at, False
+        return found, at, True
 
-    open_envs: list[dict] = []
+    open_envs: list[list] = []
+    named: dict[str, int] = {}  # how many environments of a name are open
     math: tuple[str, int] | None = None
     masked = 0
     for start, end, t in tokens:
-        if t[0] == "%":
-            spans.append(dict(kind="comment", start=start, end=end, complete=True))
-        elif t in ("$", "$$", "\\(", "\\[", "\\)", "\\]"):
-            opens = {"$": "$", "$$": "$$", "\\(": "\\)", "\\[": "\\]"}
-            if math is None and t in opens:
-                math = (t, start)
-            elif math is not None and t == opens[math[0]]:
-                spans.append(dict(kind="math", start=math[1], end=end, display=t in ("$$", "\\]"), opening=math[0], closing=t, complete=True))
+        first = t[0]
+        if first == "%":
+            spans.append(["comment", 0, None, start, end, None, None, None, None, None, None, None, None, None, None, True, False])
+        elif t in _CLOSING or t == "\\)" or t == "\\]":
+            if math is None:
+                if t in _CLOSING:
+                    math = (t, start)
+            elif t == _CLOSING[math[0]]:
+                spans.append(["math", 0, None, math[1], end, None, None, None, None, None, None, None, t in ("$$", "\\]"), math[0], t, True, False])
                 math = None
+        elif first != "\\" or len(t) < 2:
+            continue
         elif t == "\\begin" or t == "\\end":
             m = _NAME.match(text, end)
             if m is None:
                 continue
-            name = m.group(1).strip()
-            spans.append(dict(kind="env_token", name=name, start=start, end=m.end(), complete=True))
+            name, stop = m.group(1).strip(), m.end()
+            spans.append(["env_token", 0, name, start, stop, None, None, None, None, None, None, None, None, None, None, True, False])
             if start < masked:
                 continue
             if t == "\\begin":
-                args, stop = arguments(m.end(), env_args.get(name, ""))
-                whole = all(a is None or a["complete"] for a in args)
-                env = dict(kind="environment", name=name, start=start, end=n, arguments=args, begin_token_end=m.end(), body_start=stop, body_end=n, complete=False, args_whole=whole)
+                args, body, whole = arguments(stop, env_args.get(name, ""))
+                # complete holds whether the arguments are, until the environment ends
+                env = ["environment", 0, name, start, n, args, None, None, stop, None, body, n, None, None, None, whole, True]
                 spans.append(env)
                 open_envs.append(env)
-            elif any(e["name"] == name for e in open_envs):
-                while open_envs[-1]["name"] != name:
-                    open_envs.pop()
-                env = open_envs.pop()
-                env |= dict(end=m.end(), end_token_start=start, body_end=start, complete=env["args_whole"])
+                named[name] = named.get(name, 0) + 1
+            elif named.get(name):
+                while True:
+                    env = open_envs.pop()
+                    named[env[2]] -= 1
+                    if env[2] == name:
+                        break
+                env[4], env[9], env[11], env[16] = stop, start, start, not env[15]
         elif t.startswith("\\verb") and not t[-1].isalpha():
-            spans.append(dict(kind="command", name="verb", start=start, end=end, arguments=[], command_token_end=end, command_post_space_end=end, complete=True))
-        elif t[0] == "\\" and len(t) > 1 and (t[1].isalpha() or t[1] == "@"):
-            args, stop = arguments(end, macro_args.get(t[1:], ""))
-            if t[1:] in _DEFINES:
+            spans.append(["command", 0, "verb", start, end, [], end, end, None, None, None, None, None, None, None, True, False])
+        elif t[1].isalpha() or t[1] == "@":
+            name = t[1:]
+            spec = macro_args.get(name)
+            args, stop, whole = arguments(end, spec) if spec else ([], end, True)
+            if name in _DEFINES:
                 masked = max(masked, stop)
-            whole = all(a is None or a["complete"] for a in args)
-            spans.append(dict(kind="command", name=t[1:], start=start, end=stop, arguments=args, command_token_end=end, command_post_space_end=_BLANK.match(text, end).end() if stop == end else end, complete=whole))
+            spans.append(["command", 0, name, start, stop, args, end, _BLANK.match(text, end).end() if stop == end else end, None, None, None, None, None, None, None, whole, not whole])
     if math is not None:
-        spans.append(dict(kind="math", start=math[1], end=n, display=math[0] in ("$$", "\\["), opening=math[0], closing=None, complete=False))
-    spans.sort(key=lambda s: (s["start"], -s["end"]))
+        spans.append(["math", 0, None, math[1], n, None, None, None, None, None, None, None, math[0] in ("$$", "\\["), math[0], None, False, False])
+    for env in open_envs:
+        env[15] = False
+    spans.sort(key=_PLACE)
     for k, s in enumerate(spans):
-        s["node_id"], s["opaque"] = k, not s["complete"] and s["kind"] in ("environment", "command")
+        s[1] = k
+        if s[16] and s[15]:  # an environment that another one's end has closed
+            s[15] = False
     return spans
 
 
-def scan_spans(sources: DataFrame, macro_args: dict[str, str] | None = None, env_args: dict[str, str] | None = None) -> DataFrame:
-    """All spans of all files: one narrow pass, null contents as empty. ``filter(kind = ...)`` gives a table of one kind."""
+def _PLACE(span: list) -> tuple[int, int]:
+    return span[3], -span[4]
+
+
+def scan_text(text: str, macro_args: dict[str, str] = MACRO_ARGS, env_args: dict[str, str] = ENV_ARGS) -> list[dict]:
+    """``scan_rows`` by name, without what a kind does not have."""
+    names = [c.split(":")[0] for c in ARGUMENT[len("struct<") : -1].split(",")]
+    out = []
+    for row in scan_rows(text, macro_args, env_args):
+        span = {c: x for c, x in zip(_COLUMNS, row) if x is not None or c in ("complete", "opaque")}
+        if "arguments" in span:
+            span["arguments"] = [a and dict(zip(names, a)) for a in span["arguments"]]
+        out.append(span)
+    return out
+
+
+def _argument_column(lists: list[list[tuple | None] | None], kind: pa.ListType) -> pa.Array:
+    """Lists of arguments as one Arrow column, from flat columns."""
+    ends, flat = [0], []
+    for args in lists:
+        if args:
+            flat += args
+        ends.append(len(flat))
+    none = (0, 0, None, None, None, None, None)
+    fields = list(kind.value_type)
+    parts = list(zip(*(none if a is None else a for a in flat))) or [()] * len(fields)
+    held = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(parts, fields)], fields=fields, mask=pa.array([a is None for a in flat], pa.bool_()))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), held, type=kind, mask=pa.array([x is None for x in lists], pa.bool_()))
+
+
+def scan_spans(sources: DataFrame, macro_args: dict[str, str] | None = None, env_args: dict[str, str] | None = None, forms: DataFrame | None = None) -> DataFrame:
+    """All spans of all files: one narrow pass, null contents as empty. ``filter(kind = ...)`` gives a table of one kind.
+
+    ``forms`` (paper_id, macro_args and env_args: maps of a name to its arguments, as from ``discover.own_forms``) are a paper's
+    own; the library's names keep theirs.
+    """
     macros, envs = MACRO_ARGS | (macro_args or {}), ENV_ARGS | (env_args or {})
     key = sources.schema["paper_id"].dataType
     schema = f"paper_id {key.simpleString()}, path string, {SPANS}"
     types = {f.name: to_arrow_type(f.dataType) for f in sources.sparkSession.createDataFrame([], schema).schema}
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, own = None, (macros, envs)
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
-                part, rows = batch.slice(i, 64).to_pylist(), []
-                for row in part:
-                    for s in scan_text(row["content"] or "", macros, envs):
-                        rows.append([row["paper_id"], row["path"], *(s.get(c) for c in _COLUMNS)])
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(types.values())], names=list(types))
+                part, rows, sizes = batch.slice(i, 64), [], []
+                given = part.column("_forms").to_pylist() if forms is not None else None
+                for k, text in enumerate(part.column("content").to_pylist()):
+                    if given is not None and given[k] != before:
+                        before = given[k]
+                        own = (dict(before["m"] or ()) | macros, dict(before["e"] or ()) | envs) if before else (macros, envs)
+                    found = scan_rows(text or "", *own)
+                    rows += found
+                    sizes.append(len(found))
+                at = pa.array(np.repeat(np.arange(part.num_rows), sizes))
+                columns = list(zip(*rows)) or [()] * len(_COLUMNS)
+                arrays = [part.column("paper_id").take(at), part.column("path").take(at)]
+                arrays += [_argument_column(x, types[c]) if c == "arguments" else pa.array(x, types[c]) for c, x in zip(_COLUMNS, columns)]
+                yield pa.RecordBatch.from_arrays(arrays, names=list(types))
 
-    return sources.select("paper_id", "path", "content").mapInArrow(scan, schema)
+    if forms is None:
+        return spread(sources.select("paper_id", "path", "content"), "paper_id", "path").mapInArrow(scan, schema)
+    given = forms.select("paper_id", F.struct(F.col("macro_args").alias("m"), F.col("env_args").alias("e")).alias("_forms"))
+    return spread(sources.select("paper_id", "path", "content"), "paper_id").join(given, "paper_id", "left").mapInArrow(scan, schema)
 
 
 def nodes_of(spans: DataFrame) -> DataFrame:

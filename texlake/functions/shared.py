@@ -35,6 +35,18 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return out
 
 
+def spread(df: DataFrame, *keys: str, per_core: int = 32 << 20) -> DataFrame:
+    """``df``, dealt out by ``keys`` over all cores if it is too small for as many splits of its own.
+
+    A file of one row group is one task, however many cores wait. What moves is at most ``per_core`` bytes a core; a
+    larger table has splits enough and stays where it is.
+    """
+    context = df.sparkSession.sparkContext
+    cores = context.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, *keys) if cores > 1 and size < cores * per_core else df
+
+
 def drop(*frames: DataFrame) -> None:
     """Delete the folders of written tables that nothing will read any more."""
     for frame in frames:

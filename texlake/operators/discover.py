@@ -52,24 +52,43 @@ def include_edges(nodes: DataFrame, sources: DataFrame) -> DataFrame:
     return first_by(there, [*FILE, "start"], "try").select(*FILE, "target", "start")
 
 
+def resolve_inputs(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """paper_id, path, start, target, root: trusted inputs (with ``.tex`` or without) that name one of the included ``files``.
+
+    Two roots are tried, and the first that has the file counts: 0, the input's own directory, and 1, the longest common
+    directory of the paper's files. All candidates meet the files in one equi-join.
+    """
+    wanted = argument(nodes, "input").unionByName(argument(nodes, "include")).where("arg <> ''").select(*FILE, "start", F.when(F.endswith("arg", F.lit(".tex")), F.col("arg")).otherwise(F.concat("arg", F.lit(".tex"))).alias("named"))
+    roots = F.array(directory(F.col("path")), F.when(F.col("common") == "", F.lit("")).otherwise(F.concat("common", F.lit("/"))))
+    tried = wanted.join(common_root(files).withColumnRenamed("root", "common"), "paper_id").select(*FILE, "start", "named", F.posexplode(roots).alias("root", "base"))
+    tried = tried.select(*FILE, "start", "root", normal_path(F.concat("base", "named")).alias("target"))
+    there = tried.join(files.select("paper_id", F.col("path").alias("target")), ["paper_id", "target"])
+    return first_by(there, [*FILE, "start"], "root").select(*FILE, "start", "target", "root")
+
+
 def include_order(edges: DataFrame, papers: DataFrame) -> DataFrame:
     """paper_id, path, file_ord: depth-first from the main file, each file once; cycles end.
 
-    Every round extends each file's best order path (the starts of the inputs that lead to it) by one edge and keeps
-    the least per file; the least simple path orders files as a depth-first walk does. Ends when no path changes.
+    The least simple path of inputs that leads to a file orders files as a depth-first walk does. The frontier, files
+    whose path the last round has found or bettered, is all that a round extends by an edge and writes; what is settled is
+    only compared. Ends when the frontier is empty.
     """
     hop = edges.withColumn("n", F.row_number().over(Window.partitionBy(*FILE).orderBy("start")))
     hop = hop.select("paper_id", F.col("path").alias("source"), "target", "n")
     empty = F.array().cast("array<int>")
-    state = papers.select("paper_id", F.col("main_path").alias("path"), empty.alias("order_path"), F.array("main_path").alias("seen"), F.lit(True).alias("fresh"))
+    frontier = papers.select("paper_id", F.col("main_path").alias("path"), empty.alias("order_path"), F.array("main_path").alias("seen"))
+    known = frontier.select(*FILE, "order_path")
     while True:  # ends: paths are simple, so there is a best one for each file
-        grown = state.where("fresh").withColumnRenamed("path", "source").join(hop, ["paper_id", "source"]).where(~F.array_contains("seen", F.col("target")))
-        grown = grown.select("paper_id", F.col("target").alias("path"), F.concat("order_path", F.array("n")).alias("order_path"), F.concat("seen", F.array("target")).alias("seen"), "fresh")
-        # of equal paths the old one stays, so a round without a better path leaves nothing fresh
-        state = cut(first_by(state.withColumn("fresh", F.lit(False)).unionByName(grown), FILE, "order_path", "fresh"), "order")
-        if state.where("fresh").isEmpty():
+        grown = frontier.withColumnRenamed("path", "source").join(hop, ["paper_id", "source"]).where(~F.array_contains("seen", F.col("target")))
+        grown = grown.select("paper_id", F.col("target").alias("path"), F.concat("order_path", F.array("n")).alias("order_path"), F.concat("seen", F.array("target")).alias("seen"))
+        best = known.groupBy(*FILE).agg(F.min("order_path").alias("_best"))
+        better = first_by(grown, FILE, "order_path").join(best, FILE, "left").where("_best IS NULL OR order_path < _best").drop("_best")
+        frontier = cut(better, "frontier")
+        if frontier.isEmpty():
             break
-    return state.select(*FILE, F.row_number().over(Window.partitionBy("paper_id").orderBy("order_path")).alias("file_ord"))
+        known = known.unionByName(frontier.select(*FILE, "order_path"))
+    settled = known.groupBy(*FILE).agg(F.min("order_path").alias("order_path"))
+    return settled.select(*FILE, F.row_number().over(Window.partitionBy("paper_id").orderBy("order_path")).alias("file_ord"))
 
 
 def file_order(files: DataFrame, sources: DataFrame) -> DataFrame:
@@ -105,6 +124,19 @@ def macro_definitions(nodes: DataFrame) -> DataFrame:
     return first_by(rows, ["paper_id", "name"], "file_ord", "start").select("paper_id", "name", body.alias("body"), "parameter_count", "optional_default", "math_operator")
 
 
+def own_forms(nodes: DataFrame) -> DataFrame:
+    """paper_id, macro_args, env_args: the argument forms of a paper's own macros and theorems, for ``scan_spans``.
+
+    A macro has as many arguments as its first definition says, the first one optional if it has a default; an environment
+    of a newtheorem takes an optional title. ``nodes`` have file_ord.
+    """
+    form = F.concat(F.when(F.col("optional_default").isNotNull(), "[").otherwise(""), F.repeat(F.lit("{"), F.col("parameter_count") - F.col("optional_default").isNotNull().cast("int")))
+    macros = macro_definitions(nodes).where("parameter_count > 0").groupBy("paper_id").agg(F.map_from_entries(F.collect_list(F.struct(F.substr("name", F.lit(2)), form))).alias("macro_args"))
+    own = nodes.where(f"kind = 'command' AND name = 'newtheorem' AND {TRUSTED}").select("paper_id", F.trim(F.get("arguments", F.lit(1))["text"]).alias("name")).where("name <> ''").distinct()
+    environments = own.groupBy("paper_id").agg(F.map_from_entries(F.collect_list(F.struct("name", F.lit("[")))).alias("env_args"))
+    return macros.join(environments, "paper_id", "full")
+
+
 def packages(nodes: DataFrame) -> DataFrame:
     """paper_id, package, ord: distinct names of package lists in first-seen order (of a file, usepackage comes first)."""
     rank = F.when(F.col("name") == "usepackage", 0).otherwise(1)

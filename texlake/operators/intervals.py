@@ -34,30 +34,51 @@ def merge_ranges(df: DataFrame, keys: list[str] = FILE) -> DataFrame:
     return breaks.withColumn("_i", island).groupBy(*keys, "_i").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_i")
 
 
-def _ranges(df: DataFrame, ranges: DataFrame, keys: list[str], how: str, on: str) -> DataFrame:
-    """Range join against merged ranges: those are disjoint, so a row meets few of them."""
-    r = ranges.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("start").alias("_s"), F.col("end").alias("_e"))
-    same = [F.col(k) == F.col(f"_{k}") for k in keys]
-    where = {"contained": (F.col("_s") <= F.col("start")) & (F.col("end") <= F.col("_e")), "overlapping": (F.col("start") < F.col("_e")) & (F.col("end") > F.col("_s"))}[on]
-    out = where
-    for s in same:
-        out = s & out
-    return df.join(r, out, how)
+def _swept(df: DataFrame, ranges: DataFrame, keys: list[str], ties_first: bool) -> DataFrame:
+    """``df`` with ``_reach``: the greatest end of the ranges that begin before each row's start (or, with ``ties_first``, at it).
+
+    Both sides in one order and a running maximum: linear in a file's rows and ranges, without a join.
+    """
+    marks = ranges.select(*keys, "start", F.col("end").alias("_e"), F.lit(False).alias("_q"))
+    both = df.withColumn("_q", F.lit(True)).unionByName(marks, allowMissingColumns=True)
+    order = (F.col("start"), F.col("_q") if ties_first else F.desc("_q"))
+    reach = F.max("_e").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("_reach", reach).where("_q").drop("_q", "_e")
 
 
 def contained_in(df: DataFrame, ranges: DataFrame, keys: list[str] = FILE) -> DataFrame:
     """Rows inside some range."""
-    return _ranges(df, outermost(ranges.select(*keys, "start", "end").distinct(), keys), keys, "left_semi", "contained")
+    return _swept(df, ranges, keys, True).where(F.col("_reach") >= F.col("end")).drop("_reach")
 
 
 def not_contained_in(df: DataFrame, ranges: DataFrame, keys: list[str] = FILE) -> DataFrame:
     """Rows inside no range."""
-    return _ranges(df, outermost(ranges.select(*keys, "start", "end").distinct(), keys), keys, "left_anti", "contained")
+    return _swept(df, ranges, keys, True).where(F.col("_reach").isNull() | (F.col("_reach") < F.col("end"))).drop("_reach")
 
 
 def not_overlapping(df: DataFrame, ranges: DataFrame, keys: list[str] = FILE) -> DataFrame:
-    """Rows that share no character with any range."""
-    return _ranges(df, merge_ranges(ranges, keys), keys, "left_anti", "overlapping")
+    """Rows that share no character with any range; an empty row is met by a range around its place."""
+    some = ranges.where("start < end")
+    behind = _swept(df, some, keys, False).where(F.col("_reach").isNull() | (F.col("_reach") <= F.col("start"))).drop("_reach")
+    # the next range that begins at or after a row's start must begin at or after its end
+    marks = some.select(*keys, "start", F.col("start").alias("_s"), F.lit(False).alias("_q"))
+    both = behind.withColumn("_q", F.lit(True)).unionByName(marks, allowMissingColumns=True)
+    ahead = F.min("_s").over(Window.partitionBy(*keys).orderBy(F.desc("start"), "_q").rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("_next", ahead).where("_q").where(F.col("_next").isNull() | (F.col("_next") >= F.col("end"))).drop("_next", "_q", "_s")
+
+
+def not_cut(points: DataFrame, ranges: DataFrame, keys: list[str] = FILE) -> DataFrame:
+    """Rows whose ``start`` is strictly inside no range of ``ranges``, which must be disjoint."""
+    return _swept(points, ranges, keys, False).where(F.col("_reach").isNull() | (F.col("_reach") <= F.col("start"))).drop("_reach")
+
+
+def with_container(df: DataFrame, ranges: DataFrame, *columns: str, keys: list[str] = FILE) -> DataFrame:
+    """The rows inside a range of ``ranges``, which must be disjoint, with that range's o_start, o_end and ``columns``."""
+    held = F.struct(F.col("start").alias("o_start"), F.col("end").alias("o_end"), *columns)
+    marks = ranges.select(*keys, "start", held.alias("_o"), F.lit(False).alias("_q"))
+    both = df.withColumn("_q", F.lit(True)).unionByName(marks, allowMissingColumns=True)
+    last = F.last("_o", True).over(Window.partitionBy(*keys).orderBy("start", "_q").rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("_o", last).where(F.col("_q") & (F.col("end") <= F.col("_o.o_end"))).select(*df.columns, "_o.*")
 
 
 def _kinds(df: DataFrame, columns: list[str]) -> str:
@@ -180,12 +201,7 @@ def adjacent_label(headings: DataFrame, labels: DataFrame, contents: DataFrame)
 def cut_points_to_ranges(points: DataFrame, forbid: DataFrame, keys: list[str] = FILE) -> DataFrame:
     """Ranges between neighbouring points; points inside ``forbid`` give way to its own ends."""
     merged = merge_ranges(forbid, keys)
-    inside = points.select(*keys, "at").distinct()
-    r = merged.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("start").alias("_s"), F.col("end").alias("_e"))
-    strictly = (F.col("_s") < F.col("at")) & (F.col("at") < F.col("_e"))
-    for k in keys:
-        strictly = (F.col(k) == F.col(f"_{k}")) & strictly
-    free = inside.join(r, strictly, "left_anti")
+    free = not_cut(points.select(*keys, F.col("at").alias("start")).distinct(), merged, keys).withColumnRenamed("start", "at")
     ends = merged.select(*keys, F.explode(F.array("start", "end")).alias("at"))
     every = free.unionByName(ends).distinct()
     return every.withColumn("end", F.lead("at").over(Window.partitionBy(*keys).orderBy("at"))).where("end IS NOT NULL").withColumnRenamed("at", "start")

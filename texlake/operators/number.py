@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.scan import argument
 from ..functions.tex import letters
 from .discover import TRUSTED, first_by
-from .intervals import FILE, contained_in, outermost
+from .intervals import FILE, contained_in, outermost, texts_of, with_container
 
 MATH = ("align", "equation", "eqnarray", "gather", "multline")
 #: What stands before a number, by the kind of its label.
@@ -81,10 +81,10 @@ def number_objects(nodes: DataFrame) -> DataFrame:
     return rows.withColumn("number", dotted("prefix", "n")).drop("n", "prefix", "chapter_group")
 
 
-def _inside(rows: DataFrame, outer: DataFrame, *columns: str) -> DataFrame:
-    """``rows`` joined to the disjoint ranges of ``outer`` that contain them (as o_start, o_end and ``columns``)."""
-    o = outer.select(*FILE, F.col("start").alias("o_start"), F.col("end").alias("o_end"), *columns)
-    return rows.join(o, FILE).where("o_start <= start AND end <= o_end")
+def in_floats(rows: DataFrame, objects: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` in floats, with o_start, o_end, float and ``columns``; one in a figure that is in a table is in both."""
+    each = rows.withColumn("float", F.explode(F.array(F.lit("figure"), F.lit("table"))))
+    return with_container(each, objects, *columns, keys=[*FILE, "float"])
 
 
 def float_labels(nodes: DataFrame) -> DataFrame:
@@ -93,8 +93,8 @@ def float_labels(nodes: DataFrame) -> DataFrame:
     The float's own label is the last one; others before the last caption are parts.
     """
     objects = number_objects(nodes)
-    labels = _inside(argument(nodes, "label").select(*FILE, "file_ord", "start", "end", F.col("arg").alias("label")), objects, "float", "number")
-    captions = _inside(argument(nodes, "caption").select(*FILE, "start", "end"), objects).groupBy(*FILE, "o_start").agg(F.max("start").alias("caption"))
+    labels = in_floats(argument(nodes, "label").select(*FILE, "file_ord", "start", "end", F.col("arg").alias("label")), objects, "number")
+    captions = in_floats(argument(nodes, "caption").select(*FILE, "start", "end"), objects).groupBy(*FILE, "o_start").agg(F.max("start").alias("caption"))
     rows = labels.join(captions, [*FILE, "o_start"], "left")
     last = F.row_number().over(Window.partitionBy(*FILE, "o_start").orderBy(F.desc("start"))) == 1
     return rows.withColumn("sub", ~last & (F.col("start") < F.coalesce("caption", F.lit(0)))).withColumn("own", last).where("own OR sub").drop("caption", "end", "o_end")
@@ -111,7 +111,7 @@ def number_subfigures(nodes: DataFrame) -> DataFrame:
 def _equations(nodes: DataFrame) -> DataFrame:
     """Numbered math environments outside subequations with their labels as an array, and the first number of each."""
     envs = nodes.where((F.col("kind") == "environment") & F.col("name").isin(*MATH) & F.expr(TRUSTED))
-    labels = _inside(argument(nodes, "label").select(*FILE, "start", "end", F.col("arg").alias("label")), envs.select(*FILE, "start", "end"))
+    labels = with_container(argument(nodes, "label").select(*FILE, "start", "end", F.col("arg").alias("label")), outermost(envs.select(*FILE, "start", "end")))
     listed = labels.groupBy(*FILE, "o_start").agg(F.array_sort(F.collect_list(F.struct("start", "label"))).alias("labels")).withColumnRenamed("o_start", "start")
     rows = envs.select(*FILE, "file_ord", "start", "end").join(listed, [*FILE, "start"], "left")
     groups = outermost(nodes.where(f"kind = 'environment' AND name = 'subequations' AND {TRUSTED}").select(*FILE, "start", "end"))
@@ -132,9 +132,9 @@ def number_equations(nodes: DataFrame) -> DataFrame:
 def number_subequations(nodes: DataFrame) -> DataFrame:
     """Labels in subequations: the parent has its environment's one number, the children that and a, b, ..."""
     groups = outermost(nodes.where(f"kind = 'environment' AND name = 'subequations' AND {TRUSTED}").select(*FILE, "start", "end"))
-    math = _inside(_equations(nodes).where("sub"), groups).withColumn("n", F.col("before") + 1).withColumn("number", dotted("prefix", "n"))
+    math = with_container(_equations(nodes).where("sub"), groups).withColumn("n", F.col("before") + 1).withColumn("number", dotted("prefix", "n"))
     first = math.groupBy(*FILE, "o_start").agg(F.min(F.struct("start", "number")).alias("m"))
-    heads = _inside(argument(nodes, "label").select(*FILE, "file_ord", "start", "end", F.col("arg").alias("label")), groups).join(first, [*FILE, "o_start"]).where("start < m.start")
+    heads = with_container(argument(nodes, "label").select(*FILE, "file_ord", "start", "end", F.col("arg").alias("label")), groups).join(first, [*FILE, "o_start"]).where("start < m.start")
     parent = first_by(heads, [*FILE, "o_start"], "start").select("paper_id", "file_ord", "start", "label", F.col("m.number").alias("number"))
     kids = math.where("labels IS NOT NULL").select("paper_id", "file_ord", "number", F.posexplode("labels").alias("pos", "l"))
     kids = kids.select("paper_id", "file_ord", F.col("l.start").alias("start"), F.col("l.label").alias("label"), F.concat("number", letters(F.col("pos") + 1)).alias("number"))
@@ -147,7 +147,7 @@ def number_theorems(nodes: DataFrame, names: DataFrame) -> DataFrame:
     proofs = nodes.where(f"kind = 'environment' AND name = 'proof' AND {TRUSTED}").withColumn("heading", F.lit("Proof"))
     rows = outermost(named.unionByName(proofs, allowMissingColumns=True), FILE, "node_id").where("name <> 'proof'")
     rows = rows.withColumn("n", F.row_number().over(_order("paper_id", "name")))
-    label = _inside(argument(nodes, "label").select(*FILE, "start", "end", F.col("arg").alias("label")), rows.select(*FILE, "start", "end")).groupBy(*FILE, "o_start").agg(F.min_by("label", "start").alias("label"))
+    label = with_container(argument(nodes, "label").select(*FILE, "start", "end", F.col("arg").alias("label")), rows.select(*FILE, "start", "end")).groupBy(*FILE, "o_start").agg(F.min_by("label", "start").alias("label"))
     out = rows.select(*FILE, "file_ord", "start", "end", F.col("name").alias("environment"), "heading", "n")
     return out.join(label.withColumnRenamed("o_start", "start"), [*FILE, "start"], "left")
 
@@ -155,7 +155,7 @@ def number_theorems(nodes: DataFrame, names: DataFrame) -> DataFrame:
 def number_algorithms(nodes: DataFrame) -> DataFrame:
     """paper_id, path, file_ord, start, end, n, label: outermost algorithms that hold a trusted algorithmic and nothing untrusted."""
     outer = outermost(nodes.where(f"kind = 'environment' AND name IN ('algorithm', 'algorithm*') AND {TRUSTED}"), FILE, "node_id").select(*FILE, "file_ord", "start", "end")
-    parts = _inside(nodes.where("(kind = 'environment' AND name = 'algorithmic') OR kind = 'command'").select(*FILE, "start", "end", "kind", "name", "complete", "opaque", "arguments"), outer)
+    parts = with_container(nodes.where("(kind = 'environment' AND name = 'algorithmic') OR kind = 'command'").select(*FILE, "start", "end", "kind", "name", "complete", "opaque", "arguments"), outer)
     good = parts.groupBy(*FILE, "o_start").agg(
         F.bool_and(F.expr(TRUSTED)).alias("ok"), F.bool_or(F.expr(f"kind = 'environment' AND {TRUSTED}")).alias("has"),
         F.min_by(F.when(F.col("name") == "label", F.try_element_at("arguments", F.lit(-1))["text"]), F.when(F.col("name") == "label", F.col("start"))).alias("label"),
@@ -167,11 +167,12 @@ def number_algorithms(nodes: DataFrame) -> DataFrame:
 def algorithm_lines(nodes: DataFrame, contents: DataFrame) -> DataFrame:
     """Pseudo-code lines: paper_id, path, body (where the algorithmic starts), line, command, text, indent."""
     bodies = outermost(nodes.where(f"kind = 'environment' AND name = 'algorithmic' AND {TRUSTED}").withColumn("end", F.col("body_end")), FILE, "node_id").select(*FILE, "start", "end")
-    rows = _inside(nodes.where((F.col("kind") == "command") & F.col("name").isin(*LINES)).select(*FILE, "start", "end", "name", "arguments"), bodies)
+    rows = with_container(nodes.where((F.col("kind") == "command") & F.col("name").isin(*LINES)).select(*FILE, "start", "end", "name", "arguments"), bodies)
     body = Window.partitionBy(*FILE, "o_start").orderBy("start")
-    rows = rows.withColumn("until", F.coalesce(F.lead("start").over(body), F.col("o_end"))).join(contents.select(*FILE, "content"), FILE)
-    text = F.trim(F.regexp_replace(F.substring(F.col("content"), F.col("end") + 1, F.col("until") - F.col("end")), r"\s+", " "))
-    rows = rows.withColumn("text", text).drop("content")
+    rows = rows.withColumn("until", F.coalesce(F.lead("start").over(body), F.col("o_end")))
+    tails = texts_of(rows.select(*FILE, F.col("end").alias("start"), F.col("until").alias("end")), contents)
+    tails = tails.select(*FILE, F.col("start").alias("end"), F.col("end").alias("until"), F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
+    rows = rows.join(tails, [*FILE, "end", "until"])
     opens, closes = F.col("name").isin(*OPENS).cast("int"), F.col("name").isin(*CLOSES).cast("int")
     so_far = body.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("level", F.sum(opens - closes).over(so_far) - opens)
@@ -249,7 +250,7 @@ def resolve_refs(nodes: DataFrame, numbers: DataFrame) -> DataFrame:
 
 def caption_text(nodes: DataFrame) -> DataFrame:
     """paper_id, path, start, text: the last caption of each float behind its name and number."""
-    rows = _inside(argument(nodes, "caption").select(*FILE, "start", "end", "arg"), number_objects(nodes), "float", "number")
+    rows = in_floats(argument(nodes, "caption").select(*FILE, "start", "end", "arg"), number_objects(nodes), "number")
     last = first_by(rows, [*FILE, "o_start"], F.desc("start"))
     return last.select(*FILE, "start", F.concat(F.initcap("float"), F.lit(" "), "number", F.lit(": "), "arg").alias("text"))
 

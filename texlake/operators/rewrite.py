@@ -17,7 +17,7 @@ from ..functions.scan import CITES, argument, nodes_of, scan_spans
 from ..functions.shared import cut
 from . import discover, number
 from .discover import TRUSTED, first_by
-from .intervals import FILE, contained_in, mark_opaque, not_contained_in, outermost, smallest_container, texts_of
+from .intervals import FILE, contained_in, mark_opaque, not_contained_in, not_cut, outermost, smallest_container, texts_of, with_container
 
 SAFETY = {"safe": 0, "lossy": 1, "fallback": 2}
 
@@ -189,9 +189,13 @@ def plan_symbols(nodes: DataFrame, sources: DataFrame) -> DataFrame:
     circled = [(str(n), chr(0x245F + n)) for n in range(1, 21)]
     table = [("ding", k, v) for k, v in DINGS.items()] + [("ding", str(171 + int(k)), v) for k, v in circled[:10]] + [("textcircled", k, v) for k, v in circled]
     known = F.broadcast(nodes.sparkSession.createDataFrame(table, "name string, code string, symbol string"))
-    rows = _named(nodes, "command", ("ding", "textcircled")).withColumn("code", F.trim(_last(nodes)["text"])).join(known, ["name", "code"]).join(sources, FILE)
-    around = (F.col("name") == "textcircled") & (F.substring(F.col("content"), F.col("start"), F.lit(1)) == "$") & (F.substring(F.col("content"), F.col("end") + 1, F.lit(1)) == "$") & (F.col("start") > 0)
-    shift = F.when(around, 1).otherwise(0)
+    rows = _named(nodes, "command", ("ding", "textcircled")).withColumn("code", F.trim(_last(nodes)["text"])).join(known, ["name", "code"])
+    # the characters around circled numbers
+    beside = rows.where("name = 'textcircled' AND start > 0").select(*FILE, F.explode(F.array(F.struct((F.col("start") - 1).alias("start"), F.col("start").alias("end")), F.struct(F.col("end").alias("start"), (F.col("end") + 1).alias("end")))).alias("r")).select(*FILE, "r.start", "r.end")
+    dollars = texts_of(beside, sources).where("text = '$'").select(*FILE, F.col("start").alias("_at"))
+    left, right = (dollars.select(*FILE, (F.col("_at") + k).alias(c), F.lit(True).alias(f"_{c}")) for k, c in ((1, "start"), (0, "end")))
+    rows = rows.join(left, [*FILE, "start"], "left").join(right, [*FILE, "end"], "left")
+    shift = F.when(F.col("_start") & F.col("_end") & (F.col("name") == "textcircled"), 1).otherwise(0)
     symbols = _edits(rows, F.col("start") - shift, F.col("end") + shift, F.col("symbol"), "symbols")
     capitals = _edits(_named(nodes, "command", ("textsc",)), "start", "command_token_end", "\\text", "symbols")
     return symbols.unionByName(capitals)
@@ -233,7 +237,8 @@ THEOREM_MARK = "% TEXLAKE_THEOREM"
 def plan_theorems(nodes: DataFrame, ordered: DataFrame, names: DataFrame, sources: DataFrame) -> DataFrame:
     """Theorems as marked quotes that begin with their bold heading, number and title, proofs as quotes that end in a square.
 
-    What already stands in a marked quote stays.
+    What already stands in a marked quote stays. Titles are the scanned optional arguments, so ``nodes`` must know the paper's own
+    environments (``scan_spans`` with forms); a theorem whose option never ends is untrusted and stays.
     """
     numbered = number.number_theorems(ordered, names).select(*FILE, "start", "heading", "n")
     proofs = _named(nodes, "environment", ("proof",)).select(*FILE, "start", F.lit(None).cast("string").alias("heading"), F.lit(None).cast("int").alias("n"))
@@ -241,16 +246,13 @@ def plan_theorems(nodes: DataFrame, ordered: DataFrame, names: DataFrame, source
     quotes = texts_of(nodes.where(f"kind = 'environment' AND name = 'quote' AND {TRUSTED}").select(*FILE, F.col("body_start").alias("start"), F.col("body_end").alias("end")), sources)
     marked = quotes.where(F.regexp_replace("text", r"\A\s+", "").startswith(THEOREM_MARK)).select(*FILE, "start", "end")
     rows = not_contained_in(outermost(rows, FILE, "node_id"), marked)
-    bodies = texts_of(rows.select(*FILE, F.col("begin_token_end").alias("start"), F.col("body_end").alias("end")), sources).withColumnsRenamed({"start": "begin_token_end", "end": "body_end", "text": "_body"})
-    rows = rows.join(bodies, [*FILE, "begin_token_end", "body_end"])
-    option = F.regexp_extract("_body", r"\A(\s*\[(?:[^\[\]{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\])", 1)
-    title = F.trim(F.regexp_replace(option, r"(?s)\A\s*\[(.*)\]\z", "$1"))
+    title = F.trim(F.coalesce(F.get("arguments", F.lit(0))["text"], F.lit("")))
     lead = F.concat(F.lit("\\begin{quote}\n" + THEOREM_MARK + "\n"))
     named = F.when(title != "", F.concat(F.lit(" \\textit{("), title, F.lit(")}"))).otherwise(F.lit(""))
     theorem = F.concat(lead, F.lit("\\textbf{"), "heading", F.lit(" "), F.col("n").cast("string"), F.lit("}"), named, F.lit("\\textbf{.} "))
     proof = F.concat(lead, F.lit("\\textit{"), F.when(title != "", title).otherwise(F.lit("Proof")), F.lit(".} "))
     finish = F.when(F.col("n").isNull(), F.lit(" \\hfill$\\square$\n\\end{quote}")).otherwise(F.lit("\n\\end{quote}"))
-    return _both_ends(rows, F.when(F.col("n").isNull(), proof).otherwise(theorem), finish, F.col("begin_token_end") + F.length(option), "theorems")
+    return _both_ends(rows, F.when(F.col("n").isNull(), proof).otherwise(theorem), finish, F.col("body_start"), "theorems")
 
 
 def calls_replaced(text: str) -> str:
@@ -297,8 +299,8 @@ def plan_algorithms(nodes: DataFrame, ordered: DataFrame, sources: DataFrame) ->
     shown = F.when(F.contains(shown, F.lit("\\Call")), called(shown)).otherwise(shown)
     text = F.concat(F.col("line").cast("string"), F.lit(": "), F.repeat(F.lit("~~~~"), F.col("indent").cast("int")), shown)
     whole = lines.select(*FILE, "body", "line", text.alias("t")).groupBy(*FILE, "body").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "t"))), lambda x: x["t"]).alias("ts"))
-    algorithms = number.number_algorithms(ordered).select(*FILE, F.col("start").alias("a_start"), F.col("end").alias("a_end"))
-    bodies = nodes.where(f"kind = 'environment' AND name = 'algorithmic' AND {TRUSTED}").join(algorithms, FILE).where("a_start <= start AND end <= a_end").withColumn("body", F.col("start"))
+    algorithms = number.number_algorithms(ordered).select(*FILE, "start", "end")
+    bodies = with_container(nodes.where(f"kind = 'environment' AND name = 'algorithmic' AND {TRUSTED}"), algorithms).withColumn("body", F.col("start"))
     return _edits(bodies.join(whole, [*FILE, "body"]), "start", "end", F.array_join("ts", "\\\\\n"), "algorithms", "lossy")
 
 
@@ -309,10 +311,10 @@ def plan_listings(nodes: DataFrame) -> DataFrame:
     return _edits(rows, "begin_token_end", "body_start", "", "listings").unionByName(inline)
 
 
-def plan_inputs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Inputs that resolve to a file get its ``.tex``."""
-    rows = nodes.where("kind = 'command' AND name IN ('input', 'include')").join(edges.select(*FILE, "start", "target"), [*FILE, "start"]).withColumn("a", _last(nodes))
-    rows = rows.where(~F.trim("a.text").endswith(".tex") & F.col("target").endswith(".tex"))
+def plan_inputs(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """Inputs that name one of the included ``files``, beside their own or below the common directory, get its ``.tex``."""
+    rows = nodes.where("kind = 'command' AND name IN ('input', 'include')").join(discover.resolve_inputs(nodes, files).select(*FILE, "start"), [*FILE, "start"]).withColumn("a", _last(nodes))
+    rows = rows.where(~F.trim("a.text").endswith(".tex"))
     return _edits(rows, F.col("a.end") - 1, F.col("a.end") - 1, ".tex", "inputs")
 
 
@@ -337,8 +339,8 @@ def align_tikz(ordered: DataFrame, captions: DataFrame) -> tuple[DataFrame, Data
     """
     figures = number.floats(ordered).where("float = 'figure'")
     captioned = contained_in(argument(ordered, "caption"), figures)
-    held = captioned.join(figures.select(*FILE, F.col("start").alias("f_start"), F.col("end").alias("f_end"), "file_ord").withColumnRenamed("file_ord", "_o"), FILE).where("f_start <= start AND end <= f_end")
-    own = held.select("paper_id", "path", F.col("_o").alias("file_ord"), "f_start", "f_end").distinct().withColumn("n", F.row_number().over(Window.partitionBy("paper_id").orderBy("file_ord", "f_start")))
+    held = with_container(captioned, figures.withColumn("_f", F.col("file_ord")), "_f").withColumnsRenamed({"o_start": "f_start", "o_end": "f_end"})
+    own = held.select("paper_id", "path", F.col("_f").alias("file_ord"), "f_start", "f_end").distinct().withColumn("n", F.row_number().over(Window.partitionBy("paper_id").orderBy("file_ord", "f_start")))
     rows = captions.withColumn("n", F.row_number().over(Window.partitionBy("paper_id").orderBy("page", "ord")))
     counts = own.groupBy("paper_id").agg(F.max("n").alias("a")).join(rows.groupBy("paper_id").agg(F.max("n").alias("b")), "paper_id", "full")
     off = counts.where("NOT (a <=> b)").select("paper_id", F.lit(None).cast("string").alias("path"), F.lit("tikz").alias("pass_name"), F.lit("figure-count-mismatch").alias("code"), F.concat(F.coalesce("a", F.lit(0)).cast("string"), F.lit(" figures, "), F.coalesce("b", F.lit(0)).cast("string"), F.lit(" captions")).alias("message"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
@@ -403,9 +405,7 @@ def settle(edits: DataFrame) -> DataFrame:
     w = Window.partitionBy(*FILE).orderBy("start", F.desc("end"), "_o")
     kept = kept.withColumn("_p", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))).where("_p IS NULL OR _p <= start").drop("_p")
     inserts = first_by(rows.where("start = end"), [*FILE, "start"], "_o")
-    ranges = kept.select(*FILE, F.col("start").alias("_s"), F.col("end").alias("_e"))
-    inside = (inserts["paper_id"] == ranges["paper_id"]) & (inserts["path"] == ranges["path"]) & (ranges["_s"] < inserts["start"]) & (inserts["start"] < ranges["_e"])
-    return kept.unionByName(inserts.join(ranges, inside, "left_anti")).drop("_o")
+    return kept.unionByName(not_cut(inserts, kept.select(*FILE, "start", "end"))).drop("_o")
 
 
 def rewrite_corpus(sources: DataFrame, rounds: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -430,7 +430,7 @@ def rewrite_corpus(sources: DataFrame, rounds: int = 5) -> tuple[DataFrame, Data
     def last(nodes: DataFrame, current: DataFrame) -> DataFrame:
         papers, edges, files = context(nodes, current)
         included = cut(discover.in_order(nodes, files), "included")
-        return plan_headings(nodes, papers, included).unionByName(plan_inputs(nodes, edges))
+        return plan_headings(nodes, papers, included).unionByName(plan_inputs(nodes, files))
 
     def third(nodes: DataFrame, current: DataFrame) -> DataFrame:
         return plan_column_specs(nodes).unionByName(plan_captionof(nodes))

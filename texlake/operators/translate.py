@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.macros import expand
-from ..functions.scan import argument
+from ..functions.scan import argument, math_in
 from ..functions.tex import balanced_braces
 from .discover import TRUSTED, first_by
 from .intervals import FILE, adjacent_label, cut_points_to_ranges, merge_ranges, not_contained_in, not_overlapping, outermost, slice_without
@@ -65,16 +66,27 @@ def skip_ranges(spans: DataFrame) -> DataFrame:
     return merge_ranges(envs.unionByName(spans.where("kind = 'math' AND (display OR NOT complete)").select(*FILE, "start", "end")))
 
 
+#: A line without anything to see, but for the line feed at its end; all blanks of Unicode count.
+BLANK_LINE = r"(?U)\A[^\S\r\n]*\r?\z"
+
+
 def paragraph_ranges(sources: DataFrame, with_text: bool = False) -> DataFrame:
-    """Paragraphs: what stands between blank lines; with their text, if asked for."""
-    gap = r"(?:\r\n|\n)[^\S\r\n]*(?:\r\n|\n)(?:[^\S\r\n]*(?:\r\n|\n))*"
-    gaps = F.transform(F.regexp_extract_all("content", F.lit(f"({gap})"), 1), lambda g: F.length(g))
-    # each part with its own gap before they become rows: a row holds no more than its paragraph
-    rows = sources.select(*FILE, F.posexplode(F.arrays_zip(F.split("content", gap).alias("text"), gaps.alias("gap"))).alias("k", "p"))
-    lengths = rows.select(*FILE, "k", F.col("p.text").alias("text"), F.length("p.text").alias("n"), F.coalesce("p.gap", F.lit(0)).alias("g"))
-    ahead = F.coalesce(F.sum(F.col("n") + F.col("g")).over(Window.partitionBy(*FILE).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    found = lengths.withColumn("start", ahead.cast("int")).withColumn("end", (F.col("start") + F.col("n")).cast("int")).where("n > 0")
-    return found.select(*FILE, "start", "end", *(["text"] if with_text else []))
+    """Paragraphs: what stands between blank lines; with their text, if asked for.
+
+    A file becomes its lines with running offsets, and the runs of lines between blank ones are its paragraphs: islands of a
+    window, whatever the number of lines or of blank ones in a row. A first or last line is never a gap.
+    """
+    lines = sources.select(*FILE, F.split(F.coalesce("content", F.lit("")), "\n").alias("_l")).select(*FILE, F.size("_l").alias("_n"), F.posexplode("_l").alias("k", "line"))
+    gap = (F.col("k") > 0) & (F.col("k") < F.col("_n") - 1) & F.col("line").rlike(BLANK_LINE)
+    w = Window.partitionBy(*FILE).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    placed = lines.withColumns({"gap": gap, "island": F.sum(gap.cast("int")).over(w), "stop": (F.sum(F.length("line") + 1).over(w) - 1).cast("int")}).where("NOT gap")
+    # a carriage return before a gap belongs to it
+    carriage = F.when((F.col("k") < F.col("_n") - 1) & F.col("line").endswith("\r"), 1).otherwise(0)
+    text = [F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("text")] if with_text else []
+    found = placed.groupBy(*FILE, "island").agg(F.min(F.col("stop") - F.length("line")).alias("start"), F.max(F.struct("k", "stop", "_n", carriage.alias("r"))).alias("z"), *text)
+    cut = F.when(F.col("z.k") < F.col("z._n") - 1, F.col("z.r")).otherwise(0)
+    found = found.withColumn("end", F.col("z.stop") - cut).where("start < end")
+    return found.select(*FILE, "start", "end", *([F.left("text", F.col("end") - F.col("start")).alias("text")] if with_text else []))
 
 
 def chunks(sources: DataFrame, spans: DataFrame) -> DataFrame:
@@ -150,27 +162,32 @@ def pack_batches(rows: DataFrame, most: int = 24_000) -> DataFrame:
     return rows.join(dealt, [*FILE, "chunk_id"])
 
 
-#: Math, and what hides dollars and brackets: escaped characters, inline code and comments.
-_MATH = r"\\verb(?![A-Za-z@])\*?([^A-Za-z\s*])[^\r\n]*?\1|%[^\r\n]*|\$\$(?:[^$\\]|\\[\s\S])+\$\$|\$(?:[^$\\]|\\[\s\S])+\$|\\\([\s\S]*?\\\)|\\\[[\s\S]*?\\\]|\\[\\$%]"
-
-
-def _is_math(found: Column) -> Column:
-    return found.startswith("$") | found.startswith("\\(") | found.startswith("\\[")
+@F.pandas_udf("prompt_text string, replacements array<struct<token:string,math:string>>")
+def _protected(texts: pd.Series) -> pd.DataFrame:
+    """Scans each text once and puts tokens at the places of its math."""
+    prompts, all_replacements = [], []
+    for text in texts:
+        pieces, replacements, at = [], [], 0
+        for k, (start, end, _, closing) in enumerate(math_in(text or "")):
+            if closing is not None:
+                math = text[start:end]
+                token = f"⟦TL_MATH_{k}_{hashlib.sha256(math.encode()).hexdigest()[:12]}⟧"
+                pieces += [text[at:start], token]
+                replacements.append({"token": token, "math": math})
+                at = end
+        prompts.append("".join(pieces) + text[at:] if text is not None else None)
+        all_replacements.append(replacements)
+    return pd.DataFrame({"prompt_text": prompts, "replacements": all_replacements})
 
 
 def protect_math(rows: DataFrame) -> DataFrame:
     """``rows`` (text) with prompt_text, complete math as marked tokens, and replacements array<struct<token, math>>.
 
-    Escaped dollars, ``\\\\`` before a dollar or bracket, inline code and comments are no math.
+    Math is what the scanner finds in the text: escaped dollars, inline code, comments and raw bodies are none, and what
+    begins without an end stays as it is. One pass over each text, whatever its length.
     """
-    token = lambda m, i: F.concat(F.lit("⟦TL_MATH_"), i.cast("string"), F.lit("_"), F.left(F.sha2(m, 256), F.lit(12)), F.lit("⟧"))
-    found = rows.withColumn("_found", F.regexp_extract_all("text", F.lit(_MATH), 0))
-    marked = found.withColumn("replacements", F.transform(F.filter("_found", _is_math), lambda m, i: F.struct(token(m, i).alias("token"), m.alias("math"))))
-    # the tokens in the order of what was found, hidden characters as they are
-    number = F.transform("_found", lambda m, i: F.size(F.filter(F.slice("_found", F.lit(1), i), _is_math)))
-    put = F.zip_with("_found", number, lambda m, n: F.when(_is_math(m), F.get("replacements", n)["token"]).otherwise(m))
-    pieces = F.zip_with(F.split("text", _MATH), put, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))
-    return marked.withColumn("prompt_text", F.array_join(pieces, "")).drop("_found")
+    marked = rows.withColumn("_p", _protected("text"))
+    return marked.select("*", "_p.prompt_text", "_p.replacements").drop("_p")
 
 
 def build_prompts(rows: DataFrame) -> DataFrame:

@@ -189,7 +189,7 @@ def _(c):
 
 @query("r14_inputs", sql("SELECT a.paper_id, a.path, a.stop - 1 AS start, a.stop - 1 AS stop, '.tex' AS replacement FROM arg a JOIN edge e ON e.paper_id = a.paper_id AND e.path = a.path AND e.start = a.start WHERE a.a NOT LIKE '%.tex'"))
 def _(c):
-    return edits(R.plan_inputs(c.nodes, c.edges))
+    return edits(R.plan_inputs(c.nodes, c.files))
 
 
 @query("r15_image_refs", sql("SELECT paper_id, path, stop - 4 AS start, stop - 1 AS stop, 'png' AS replacement FROM arg WHERE name = 'includegraphics' AND (paper_id + CAST(substr(a, 6, 1) AS INTEGER)) % 3 > 0"))
