@@ -114,16 +114,16 @@ class Tree:
                         todo.append((child, rows[alive]))
 
 
-def exact_scores(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """Integer inner products, in a type that holds them; beyond 64 bits the greatest or least number of 64 bits."""
+def exact_scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Integer inner products of all queries and rows, in a type that holds them; beyond 64 bits the greatest or least number of 64 bits."""
     width = max(rows.shape[1], queries.shape[1])
     rows, queries = _wide(rows, width), _wide(queries, width)
     size = float(np.abs(rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, width)
     if size < 2**53:
-        return (rows.astype(np.float64) @ queries.astype(np.float64).T).astype(np.int64)
+        return queries.astype(np.float64) @ rows.astype(np.float64).T
     if size < 2**63:
-        return rows @ queries.T
-    return np.clip(rows.astype(object) @ queries.astype(object).T, -(2**63), 2**63 - 1).astype(np.int64)
+        return queries @ rows.T
+    return np.clip(queries.astype(object) @ rows.astype(object).T, -(2**63), 2**63 - 1).astype(np.int64)
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -192,13 +192,15 @@ class Forest:
         gathered = rows.mapInArrow(spans, "node long, i long, j long, low double, high double").groupBy("node", "i", "j").agg(F.min("low"), F.max("high"))
         tree.know([tuple(r) for r in gathered.collect()])
         self.tree, self._place = tree, place
-        blocks = self._dealt(rows).mapInArrow(self._pack(block), "leaf long, ids binary, kinds binary, width int, data binary")
+        blocks = self._dealt(rows, self.n, 4 * block).mapInArrow(self._pack(block), "leaf long, ids binary, kinds binary, width int, data binary")
         self.blocks = written(blocks, "leaves")
 
-    def _dealt(self, rows: DataFrame) -> DataFrame:
-        """Rows by leaf; a leaf of very many rows is dealt over partitions by id."""
+    def _dealt(self, rows: DataFrame, n: int, most: int) -> DataFrame:
+        """Rows by leaf; a leaf of over ``most`` rows is dealt out in pieces."""
         placed = rows.mapInArrow(self._place, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", leaf long")
-        return placed.repartition(self.n, "leaf", F.pmod(F.xxhash64("vec_id"), F.lit(max(4, self.n // 16)))).sortWithinPartitions("leaf", "vec_id")
+        pieces = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / most).alias("pieces"))
+        dealt = placed.join(pieces, "leaf").withColumn("piece", F.pmod(F.xxhash64("vec_id"), F.col("pieces"))).select(*rows.columns, "leaf", "piece")
+        return dealt.repartition(n, "leaf", "piece").sortWithinPartitions("leaf", "vec_id").drop("piece")
 
     @staticmethod
     def _pack(block: int):
@@ -225,20 +227,21 @@ class Forest:
             fresh_worker()
             ids, labels, sample = known.value
             for whole in batches:
-                for a in range(0, whole.num_rows, 128):
-                    batch = whole.slice(a, 128)
+                for a in range(0, whole.num_rows, 256):
+                    batch = whole.slice(a, 256)
                     q, own, kinds = (batch.column(c).to_numpy() for c in ("q", "vec_id", "label"))
                     m = _matrix(batch.column("vector"))
                     width = max(len(x) for x in batch.column("low").to_pylist())
                     # absent windows hold no score
                     low, high = (np.array([x + [empty] * (width - len(x)) for x in batch.column(c).to_pylist()], np.int64).reshape(len(q), width) for c, empty in (("low", MOST), ("high", LEAST)))
                     # k good rows of the sample are a floor for the k-th
-                    s = exact_scores(sample, m)
-                    fits = (ids[:, None] != own) & ((labels[:, None] == kinds) == same)
-                    for w in range(width):
-                        inside = np.where(fits & (s >= low[:, w]) & (s <= high[:, w]), s, LEAST)
-                        if len(s) >= k:
-                            low[:, w] = np.maximum(low[:, w], np.partition(inside, len(s) - k, axis=0)[len(s) - k])
+                    s = exact_scores(m, sample)
+                    s = np.where((ids != own[:, None]) & ((labels == kinds[:, None]) == same), s, -np.inf if s.dtype == np.float64 else LEAST)
+                    for w in range(width if len(ids) >= k else 0):
+                        for j in range(len(s)):
+                            inside = s[j, (s[j] >= low[j, w]) & (s[j] <= high[j, w]) & (s[j] > LEAST)]
+                            if len(inside) >= k:
+                                low[j, w] = max(low[j, w], int(np.partition(inside, len(inside) - k)[len(inside) - k]))
                     square = (m.astype(np.float64) ** 2).sum(axis=1) + greatest
                     some = (low <= high).any(axis=1)
                     outer = np.sqrt(np.maximum(square - 2.0 * low.min(axis=1, initial=MOST), 0))
@@ -256,19 +259,26 @@ class Forest:
                     row = batch.slice(i, 1).to_pylist()[0]
                     ids, kinds, asked, own, of = (_numbers(row[c]) for c in ("ids", "kinds", "q", "own", "of"))
                     low, high = (_numbers(row[c], len(asked), -1) for c in ("low", "high"))
-                    s = exact_scores(_numbers(row["data"], len(ids), row["width"]), _numbers(row["asked"], len(asked), row["wide"]))
-                    fits = (ids[:, None] != own) & ((kinds[:, None] == of) == same)
+                    s = exact_scores(_numbers(row["asked"], len(asked), row["wide"]), _numbers(row["data"], len(ids), row["width"]))
+                    j, r = np.nonzero((s >= low.min(axis=1)[:, None]) & (s <= high.max(axis=1)[:, None]))
+                    good = (ids[r] != own[j]) & ((kinds[r] == of[j]) == same)
+                    j, r = j[good], r[good]
+                    s = s[j, r].astype(np.int64)
+                    order = np.lexsort((ids[r], -s, j))
+                    j, r, s = j[order], r[order], s[order]
                     out = []
-                    for j in range(len(asked)):
-                        at = np.flatnonzero(fits[:, j] & (s[:, j] >= low[j].min()) & (s[:, j] <= high[j].max()))
-                        at = at[np.lexsort((ids[at], -s[at, j]))]
-                        for w in range(low.shape[1]):
-                            best = at[(s[at, j] >= low[j, w]) & (s[at, j] <= high[j, w])][:k]
-                            out.append((np.full(len(best), asked[j]), np.full(len(best), w), ids[best], s[best, j]))
-                    columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
+                    for w in range(low.shape[1]):
+                        inside = np.flatnonzero((s >= low[j, w]) & (s <= high[j, w]))
+                        q = j[inside]
+                        first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
+                        rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+                        best = inside[rank < k]
+                        out.append((asked[j[best]], np.full(len(best), w), ids[r[best]], s[best]))
+                    columns = [np.concatenate(x) for x in zip(*out)]
                     yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names=["q", "w", "vec_id", "score"])
 
-        sent = self._dealt(asks).drop("leaf").mapInArrow(walk, _ASK)
+        tasks = max(1, min(self.n, -(-asks.count() // 256)))
+        sent = self._dealt(asks, tasks, 4096).drop("leaf").mapInArrow(walk, _ASK)
         sent = sent.select("leaf", "q", "own", F.col("kinds").alias("of"), F.col("width").alias("wide"), F.col("data").alias("asked"), "low", "high")
         found = self.blocks.join(sent, "leaf").drop("leaf").mapInArrow(score, "q long, w long, vec_id long, score long")
         rank = F.row_number().over(Window.partitionBy("q", "w").orderBy(F.desc("score"), "vec_id"))
