@@ -49,6 +49,14 @@ def title_text(raw: str, macros: dict[str, tuple[str, int, str | None, bool]]) -
     return " ".join(re.sub(r"[{}]", "", text).split())
 
 
+def filled(body: str, values: list[str], operator: bool = False) -> str | None:
+    """A macro's body with its parameters; None if it asks for more than there are."""
+    if any(int(n) > len(values) for n in re.findall(r"#([1-9])", body.replace("##", ""))):
+        return None
+    new = re.sub(r"##|#([1-9])", lambda r: "#" if r.group() == "##" else values[int(r.group(1)) - 1], body)
+    return "\\operatorname{" + new + "}" if operator else new
+
+
 def expand(text: str, macros: dict[str, tuple[str, int, str | None, bool]], depth: int = 5) -> str:
     """``text`` with known macros expanded, the outermost first, until nothing changes or ``depth`` rounds are done.
 
@@ -101,10 +109,10 @@ def expand(text: str, macros: dict[str, tuple[str, int, str | None, bool]], dept
                 continue
             body, count, default, operator = macros[m.group("name")]
             values, k = values_of(m.end(), count, default)
-            if len(values) < count or any(int(n) > count for n in re.findall(r"#([1-9])", body.replace("##", ""))):
+            new = filled(body, values, operator) if len(values) == count else None
+            if new is None:
                 continue
-            new = re.sub(r"##|#([1-9])", lambda r: "#" if r.group() == "##" else values[int(r.group(1)) - 1], body)  # noqa: B023
-            out += [text[at : m.start()], "\\operatorname{" + new + "}" if operator else new]
+            out += [text[at : m.start()], new]
             at = k
         grown = "".join(out) + text[at:]
         if grown == text:

@@ -265,12 +265,14 @@ def scan_spans(sources: DataFrame, macro_args: dict[str, str] | None = None, env
     schema = f"paper_id {key.simpleString()}, path string, {SPANS}"
     types = {f.name: to_arrow_type(f.dataType) for f in sources.sparkSession.createDataFrame([], schema).schema}
 
+    formed = forms is not None
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, own = None, (macros, envs)
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part, rows, sizes = batch.slice(i, 64), [], []
-                given = part.column("_forms").to_pylist() if forms is not None else None
+                given = part.column("_forms").to_pylist() if formed else None
                 for k, text in enumerate(part.column("content").to_pylist()):
                     if given is not None and given[k] != before:
                         before = given[k]
@@ -284,12 +286,18 @@ def scan_spans(sources: DataFrame, macro_args: dict[str, str] | None = None, env
                 arrays += [_argument_column(x, types[c]) if c == "arguments" else pa.array(x, types[c]) for c, x in zip(_COLUMNS, columns)]
                 yield pa.RecordBatch.from_arrays(arrays, names=list(types))
 
-    if forms is None:
+    if not formed:
         return spread(sources.select("paper_id", "path", "content"), "paper_id", "path").mapInArrow(scan, schema)
     given = forms.select("paper_id", F.struct(F.col("macro_args").alias("m"), F.col("env_args").alias("e")).alias("_forms"))
     return spread(sources.select("paper_id", "path", "content"), "paper_id").join(given, "paper_id", "left").mapInArrow(scan, schema)
 
 
+def rescan(sources: DataFrame, spans: DataFrame, forms: DataFrame) -> DataFrame:
+    """``spans`` with those of the papers that have own forms scanned again; the others stay as they are."""
+    own = forms.select("paper_id")
+    return spans.join(own, "paper_id", "left_anti").unionByName(scan_spans(sources.join(own, "paper_id", "left_semi"), forms=forms))
+
+
 def nodes_of(spans: DataFrame) -> DataFrame:
     """Commands and environments."""
     return spans.where("kind IN ('command', 'environment')")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.macros import title_text
-from ..functions.scan import argument
+from ..functions.scan import ENV_ARGS, MACRO_ARGS, argument
 from ..functions.shared import cut
 from .intervals import FILE
 
@@ -128,11 +128,11 @@ def own_forms(nodes: DataFrame) -> DataFrame:
     """paper_id, macro_args, env_args: the argument forms of a paper's own macros and theorems, for ``scan_spans``.
 
     A macro has as many arguments as its first definition says, the first one optional if it has a default; an environment
-    of a newtheorem takes an optional title. ``nodes`` have file_ord.
+    of a newtheorem takes an optional title. Names that the scan knows anyway are left out. ``nodes`` have file_ord.
     """
     form = F.concat(F.when(F.col("optional_default").isNotNull(), "[").otherwise(""), F.repeat(F.lit("{"), F.col("parameter_count") - F.col("optional_default").isNotNull().cast("int")))
-    macros = macro_definitions(nodes).where("parameter_count > 0").groupBy("paper_id").agg(F.map_from_entries(F.collect_list(F.struct(F.substr("name", F.lit(2)), form))).alias("macro_args"))
-    own = nodes.where(f"kind = 'command' AND name = 'newtheorem' AND {TRUSTED}").select("paper_id", F.trim(F.get("arguments", F.lit(1))["text"]).alias("name")).where("name <> ''").distinct()
+    macros = macro_definitions(nodes).where("parameter_count > 0").where(~F.substr("name", F.lit(2)).isin(*MACRO_ARGS)).groupBy("paper_id").agg(F.map_from_entries(F.collect_list(F.struct(F.substr("name", F.lit(2)), form))).alias("macro_args"))
+    own = nodes.where(f"kind = 'command' AND name = 'newtheorem' AND {TRUSTED}").select("paper_id", F.trim(F.get("arguments", F.lit(1))["text"]).alias("name")).where("name <> ''").where(~F.col("name").isin(*ENV_ARGS)).distinct()
     environments = own.groupBy("paper_id").agg(F.map_from_entries(F.collect_list(F.struct("name", F.lit("[")))).alias("env_args"))
     return macros.join(environments, "paper_id", "full")
 

@@ -13,8 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scan import CITES, argument, nodes_of, scan_spans
-from ..functions.shared import cut
+from ..functions.macros import filled
+from ..functions.scan import CITES, argument, nodes_of, rescan, scan_spans
+from ..functions.shared import cut, drop
 from . import discover, number
 from .discover import TRUSTED, first_by
 from .intervals import FILE, contained_in, mark_opaque, not_contained_in, not_cut, outermost, smallest_container, texts_of, with_container
@@ -255,6 +256,25 @@ def plan_theorems(nodes: DataFrame, ordered: DataFrame, names: DataFrame, source
     return _both_ends(rows, F.when(F.col("n").isNull(), proof).otherwise(theorem), finish, F.col("body_start"), "theorems")
 
 
+def plan_macro_calls(nodes: DataFrame, macros: DataFrame) -> DataFrame:
+    """The outermost trusted calls of a paper's own macros give way to their bodies, with the scanned arguments in them.
+
+    ``nodes`` are scanned with the papers' own forms; calls that lack an argument, and bodies that ask for more parameters than
+    they have, stay. Run again for calls inside.
+    """
+
+    @F.pandas_udf("string")
+    def bodies(body: pd.Series, values: pd.Series, operator: pd.Series) -> pd.Series:
+        return pd.Series([filled(b, list(v), o) for b, v, o in zip(body, values, operator)])
+
+    known = macros.select("paper_id", F.substr("name", F.lit(2)).alias("name"), "body", "parameter_count", "optional_default", "math_operator")
+    calls = outermost(nodes.where(f"kind = 'command' AND {TRUSTED}").join(known, ["paper_id", "name"]), FILE, "node_id")
+    texts = F.transform("arguments", lambda a, k: F.coalesce(a["text"], F.when(k == 0, F.col("optional_default"))))
+    rows = calls.withColumn("_values", texts).where((F.size("_values") == F.col("parameter_count")) & ~F.exists("_values", lambda v: v.isNull()))
+    rows = rows.withColumn("_new", bodies("body", "_values", "math_operator")).where("_new IS NOT NULL")
+    return _edits(rows, "start", "end", F.col("_new"), "macros")
+
+
 def calls_replaced(text: str) -> str:
     """``\\Call{name}{arguments}`` as an operator name and its arguments in brackets, inner calls likewise; incomplete ones stay."""
 
@@ -380,12 +400,8 @@ def filter_safety(edits: DataFrame, most: str = "lossy") -> DataFrame:
     return edits.where(F.col("safety").isin(*[k for k, v in SAFETY.items() if v <= SAFETY[most]]))
 
 
-def apply_edits(sources: DataFrame, edits: DataFrame) -> DataFrame:
-    """``sources`` with the edits of each file; a file with an edit that can't be applied stays as it is.
-
-    The pieces between edits and the replacements are joined once, so a file costs its length, not its edits times that.
-    Files without edits don't move.
-    """
+def _applied(sources: DataFrame, edits: DataFrame) -> DataFrame:
+    """``sources`` with ``_new``: the text after the edits of each file, null where none can be applied."""
     checked = edits if "reason" in edits.columns else validate_edits(edits, sources)
     item = F.struct(F.col("start").alias("s"), F.col("end").alias("e"), F.col("replacement").alias("r"))
     per_file = checked.groupBy(*FILE).agg(F.array_sort(F.collect_list(item)).alias("_e"), F.bool_and(F.col("reason").isNull()).alias("_ok")).where("_ok")
@@ -394,7 +410,16 @@ def apply_edits(sources: DataFrame, edits: DataFrame) -> DataFrame:
     texts = F.concat(F.transform("_e", lambda e: e["r"]), F.array(F.lit("")))
     pieces = F.transform(F.arrays_zip(begins.alias("b"), ends.alias("e"), texts.alias("r")), lambda p: F.concat(F.substring(F.col("content"), p["b"] + 1, p["e"] - p["b"]), p["r"]))
     joined = sources.join(per_file.select(*FILE, "_e"), FILE, "left")
-    return joined.withColumn("content", F.when(F.col("_e").isNotNull(), F.array_join(pieces, "")).otherwise(F.col("content"))).select(sources.columns)
+    return joined.withColumn("_new", F.when(F.col("_e").isNotNull(), F.array_join(pieces, ""))).drop("_e")
+
+
+def apply_edits(sources: DataFrame, edits: DataFrame) -> DataFrame:
+    """``sources`` with the edits of each file; a file with an edit that can't be applied stays as it is.
+
+    The pieces between edits and the replacements are joined once, so a file costs its length, not its edits times that.
+    Files without edits don't move.
+    """
+    return _applied(sources, edits).withColumn("content", F.coalesce("_new", "content")).select(sources.columns)
 
 
 def settle(edits: DataFrame) -> DataFrame:
@@ -408,56 +433,81 @@ def settle(edits: DataFrame) -> DataFrame:
     return kept.unionByName(not_cut(inserts, kept.select(*FILE, "start", "end"))).drop("_o")
 
 
+class Versions:
+    """A corpus and its spans while turns change it: what a turn leaves alone is neither scanned nor written again."""
+
+    def __init__(self, sources: DataFrame):
+        self.sources, self.spans, self.written = sources, cut(scan_spans(sources), "spans"), []
+        self.files, self.stale = sources.select(*FILE).count(), 0
+
+    def put(self, changed: DataFrame) -> DataFrame:
+        """Take over the new texts of some files; their keys."""
+        keys, scanned, n = changed.select(*FILE), cut(scan_spans(changed), "spans"), changed.count()
+        rest = [frame.join(keys, FILE, "left_anti") for frame in (self.sources, self.spans)]
+        self.written += [changed, scanned]
+        self.stale += n
+        if 2 * self.stale > self.files:
+            # most files are new: the others go to tables of their own, and the older ones are given up
+            kept = [cut(frame, "unchanged") for frame in rest]
+            drop(*self.written[:-2])
+            rest, self.written, self.stale = kept, [changed, scanned, *kept], 0
+        self.sources, self.spans = rest[0].unionByName(changed), rest[1].unionByName(scanned)
+        return keys
+
+
 def rewrite_corpus(sources: DataFrame, rounds: int = 5) -> tuple[DataFrame, DataFrame]:
     """The cleaned sources, and a log: pass_name, paper_id, path of every file that a pass changed, over ``rounds`` rounds.
 
-    Each round scans what the one before left. Wrappers inside wrappers go in turns of their round until none changes a file.
+    Each round works on what the one before left; only changed files are scanned and written again. Wrappers inside
+    wrappers go in turns, and a turn plans nothing but the files that the last one changed, until there are none.
     """
-    now, logs = sources, []
-
-    def turn(current: DataFrame, plan) -> DataFrame:
-        nodes = mark_opaque(nodes_of(cut(scan_spans(current), "spans")))
-        edits = cut(settle(plan(nodes, current)), "edits")
-        logs.append(edits.select("pass_name", *FILE).distinct())
-        return cut(apply_edits(current, filter_safety(edits)), "sources")
-
-    def context(nodes: DataFrame, current: DataFrame):
-        papers = cut(discover.find_main(current, nodes), "papers")
-        edges = cut(discover.include_edges(nodes, current), "edges")
-        files = discover.include_order(edges, papers)
-        return papers, edges, files
-
-    def last(nodes: DataFrame, current: DataFrame) -> DataFrame:
-        papers, edges, files = context(nodes, current)
+    now, logs = Versions(sources), []
+
+    def turn(plan, only: DataFrame | None = None) -> DataFrame:
+        spans = now.spans if only is None else now.spans.join(only, FILE, "left_semi")
+        edits = cut(settle(plan(mark_opaque(nodes_of(spans)))), "edits")
+        logs.append(cut(edits.select("pass_name", *FILE).distinct(), "log"))
+        touched = now.sources.join(edits.select(*FILE).distinct(), FILE, "left_semi")
+        changed = cut(_applied(touched, filter_safety(edits)).where("_new <> content").withColumn("content", F.col("_new")).drop("_new"), "sources")
+        keys = now.put(changed)
+        drop(edits)
+        return keys
+
+    def context(nodes: DataFrame):
+        papers = cut(discover.find_main(now.sources, nodes), "papers")
+        edges = cut(discover.include_edges(nodes, now.sources), "edges")
+        return papers, cut(discover.include_order(edges, papers), "files")
+
+    def last(nodes: DataFrame) -> DataFrame:
+        papers, files = context(nodes)
         included = cut(discover.in_order(nodes, files), "included")
         return plan_headings(nodes, papers, included).unionByName(plan_inputs(nodes, files))
 
-    def third(nodes: DataFrame, current: DataFrame) -> DataFrame:
-        return plan_column_specs(nodes).unionByName(plan_captionof(nodes))
-
-    def fourth(nodes: DataFrame, current: DataFrame) -> DataFrame:
-        papers, _, files = context(nodes, current)
-        ordered = cut(discover.in_order(nodes, discover.file_order(files, current)), "ordered")
-        parts = [plan_symbols(nodes, current), plan_theorems(nodes, ordered, discover.theorem_names(ordered, papers), current), plan_listings(nodes), plan_algorithms(nodes, ordered, current)]
+    def fourth(nodes: DataFrame) -> DataFrame:
+        papers, files = context(nodes)
+        order = cut(discover.file_order(files, now.sources), "order")
+        forms = cut(discover.own_forms(discover.in_order(nodes, order)).where("env_args IS NOT NULL"), "forms")
+        if not forms.isEmpty():  # theorems under a paper's own names have titles, too
+            nodes = mark_opaque(nodes_of(cut(rescan(now.sources, now.spans, forms), "spans")))
+        ordered = cut(discover.in_order(nodes, order), "ordered")
+        parts = [plan_symbols(nodes, now.sources), plan_theorems(nodes, ordered, discover.theorem_names(ordered, papers), now.sources), plan_listings(nodes), plan_algorithms(nodes, ordered, now.sources)]
         return reduce(DataFrame.unionByName, parts)
 
     plans = [
-        lambda n, s: reduce(DataFrame.unionByName, [plan_filter_packages(n), plan_remove(n, s), plan_annotations(n)]),
-        lambda n, s: plan_citations(n),
-        third,
+        lambda n: reduce(DataFrame.unionByName, [plan_filter_packages(n), plan_remove(n, now.sources), plan_annotations(n)]),
+        plan_citations,
+        lambda n: plan_column_specs(n).unionByName(plan_captionof(n)),
         fourth,
         last,
     ]
     for k, plan in enumerate(plans[:rounds]):
-        now = turn(now, plan)
+        turn(plan)
         if k == 2:
-            now = turn(now, lambda n, s: plan_rename_environments(n))
-            while True:
-                before = now
-                now = turn(now, lambda n, s: plan_unwrap_commands(n).unionByName(plan_unwrap_environments(n)))
-                if now.join(before.withColumnRenamed("content", "_c"), FILE).where("content <> _c").isEmpty():
-                    break
-    return now, reduce(DataFrame.unionByName, logs).distinct()
+            turn(plan_rename_environments)
+            wrapped = None
+            while wrapped is None or not wrapped.isEmpty():
+                wrapped = turn(lambda n: plan_unwrap_commands(n).unionByName(plan_unwrap_environments(n)), wrapped)
+    return now.sources, reduce(DataFrame.unionByName, logs).distinct()
 
 
 def all_or_nothing(before: DataFrame, after: DataFrame, failed: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scan import nodes_of, scan_spans
+from ..functions.scan import nodes_of, rescan, scan_spans
 from ..functions.shared import cut
 from ..operators import discover
 from ..operators.intervals import mark_opaque
@@ -70,6 +70,14 @@ class Corpus:
         """Nodes of all files, with file_ord."""
         return cut(discover.in_order(self.nodes, self.order), "ordered")
 
+    @cached_property
+    def own(self) -> Corpus:
+        """The same corpus, scanned again with the papers' own macros and theorems."""
+        forms = cut(discover.own_forms(self.ordered), "forms")
+        again = Corpus(self.spark, self.sf_dir, self.sources)
+        again.__dict__ |= {"spans": cut(rescan(self.sources, self.spans, forms), "spans"), "papers": self.papers, "files": self.files, "order": self.order}
+        return again
+
     @cached_property
     def macros(self) -> DataFrame:
         return discover.macro_definitions(self.ordered)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,6 +122,30 @@ def _(c):
     return rows.where("replacement NOT LIKE '%{Theorem %'").join(v.environments.where("name = 'theorem'").select("paper_id", "path", F.col("end").cast("long").alias("stop")), ["paper_id", "path", "stop"], "left_anti").select("paper_id", "path", "start", "stop", "replacement")
 
 
+#: Theorems and macros under names of the paper's own: titles with braces, calls with arguments.
+OWN = ((r"\\newtheorem\{claim\}\{Claim\}", r"\\newtheorem{lem}{Lem}"), (r"\\begin\{claim\}", r"\\begin{lem}[On \\emph{x}]"), (r"\\end\{claim\}", r"\\end{lem}"), (r"\\textsc\{", r"\\thing{"))
+
+
+@query("n01_own_forms", sql("""SELECT paper_id, path, start, 'thing' AS name, a AS arg, stop FROM arg WHERE name = 'thing' AND regexp_matches(p, '^thing\\{[^{}]*\\}')
+ UNION ALL SELECT paper_id, path, start, 'lem', 'On \\emph{x}', begin_end + length('[On \\emph{x}]') FROM env WHERE name = 'lem'""", variant=OWN))
+def _(c):
+    calls = c.variant(*OWN).own.nodes.where(f"name IN ('thing', 'lem') AND {D.TRUSTED}")
+    return calls.select("paper_id", "path", F.col("start").cast("long"), "name", F.get("arguments", F.lit(0))["text"].alias("arg"), F.coalesce("body_start", "end").cast("long").alias("stop"))
+
+
+@query("r11_own_theorems", sql("""SELECT paper_id, path, start, begin_end + length('[On \\emph{x}]') AS stop, '\\begin{quote}' || chr(10) || '% TEXLAKE_THEOREM' || chr(10) || '\\textbf{Lem ' || row_number() OVER (PARTITION BY paper_id ORDER BY file_ord, start) || '} \\textit{(On \\emph{x})}\\textbf{.} ' AS replacement
+ FROM env JOIN allfo USING (paper_id, path) WHERE name = 'lem'""", variant=OWN))
+def _(c):
+    v = c.variant(*OWN).own
+    return edits(R.plan_theorems(v.nodes, v.ordered, D.theorem_names(v.ordered, v.papers), v.sources)).where("replacement LIKE '%{Lem %'")
+
+
+@query("x02_macro_calls", sql("SELECT paper_id, path, start, stop, '<' || a || '>' AS replacement FROM arg WHERE name = 'thing' AND regexp_matches(p, '^thing\\{[^{}]*\\}')", variant=OWN))
+def _(c):
+    v = c.variant(*OWN).own
+    return edits(R.plan_macro_calls(v.nodes, v.macros).where("replacement LIKE '<%'"))
+
+
 ITEMS = r"\\begin\{itemize\}", r"\\end\{itemize\}"
 WRAPPED = ((r"\\textsc\{([^{}]*)\}", r"\\texorpdfstring{$1}{z}"),)
 PAGES = ((ITEMS[0], r"\\begin{minipage}[t]{5cm}"), (ITEMS[1], r"\\end{minipage}"))
@@ -192,6 +214,29 @@ def _(c):
     return edits(R.plan_inputs(c.nodes, c.files))
 
 
+#: Inputs that only the papers' common directory has.
+ROOTED = ((r"\\input\{body\}", r"\\input{sections/body}"), (r"\\input\{sections/intro\}", r"\\input{sections/intro}" + "\n" + r"\\input{sections/body.tex}"))
+
+
+@query("r14_second_root", sql("""SELECT a.paper_id, a.path, a.stop - 1 AS start, a.stop - 1 AS stop, '.tex' AS replacement FROM arg a WHERE a.name IN ('input', 'include') AND a.a NOT LIKE '%.tex'
+ AND EXISTS (SELECT 1 FROM fo f WHERE f.paper_id = a.paper_id AND f.path IN (a.a || '.tex', replace(regexp_extract(a.path, '^(.*/)?', 0) || a.a, 'sections/../', '') || '.tex'))""", variant=ROOTED))
+def _(c):
+    v = c.variant(*ROOTED)
+    return edits(R.plan_inputs(v.nodes, v.files))
+
+
+#: Wrappers four deep.
+DEEP = ((r"\\textsc\{([^{}]*)\}", r"\\hyperlink{a}{\\texorpdfstring{\\hyperref[b]{\\hypertarget{c}{$1}}}{z}}"),)
+
+
+@query("e04_deep_wrappers", sql("SELECT paper_id, path, len(regexp_extract_all(content, '\\\\textsc')) AS n FROM plain WHERE contains(content, '\\textsc')", variant=DEEP))
+def _(c):
+    after, _ = R.rewrite_corpus(c.variant(*DEEP).sources, rounds=3)
+    text = F.lit(r"\\hyper|\\texorpdfstring")
+    whole = c.sources.select("paper_id", "path", F.regexp_count("content", F.lit(r"\\textsc\{")).cast("long").alias("n")).where("n > 0")
+    return whole.join(after.where(F.regexp_count("content", text) == 0).select("paper_id", "path"), ["paper_id", "path"])
+
+
 @query("r15_image_refs", sql("SELECT paper_id, path, stop - 4 AS start, stop - 1 AS stop, 'png' AS replacement FROM arg WHERE name = 'includegraphics' AND (paper_id + CAST(substr(a, 6, 1) AS INTEGER)) % 3 > 0"))
 def _(c):
     known = c.papers.select("paper_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")).where("(paper_id + k) % 3 > 0").select("paper_id", F.concat(F.lit("src/fig/p"), "k", F.lit(".pdf")).alias("path"))
@@ -269,7 +314,7 @@ def _(c):
 
 #: Paragraphs with their places and texts.
 PARAGRAPHS = """pg0 AS (SELECT paper_id, path, unnest(parts) AS text, unnest(list_append(gaps, '')) AS gap, generate_subscripts(parts, 1) AS k FROM (
- SELECT paper_id, path, string_split_regex(content, '\\n[^\\S\\n]*\\n(?:[^\\S\\n]*\\n)*') AS parts, regexp_extract_all(content, '\\n[^\\S\\n]*\\n(?:[^\\S\\n]*\\n)*') AS gaps FROM src)),
+ SELECT paper_id, path, string_split_regex(content, '\\r?\\n[^\\S\\r\\n]*\\r?\\n(?:[^\\S\\r\\n]*\\r?\\n)*') AS parts, regexp_extract_all(content, '\\r?\\n[^\\S\\r\\n]*\\r?\\n(?:[^\\S\\r\\n]*\\r?\\n)*') AS gaps FROM src)),
 pg1 AS (SELECT *, CAST(sum(length(text) + length(gap)) OVER (PARTITION BY paper_id, path ORDER BY k) - length(text) - length(gap) AS BIGINT) AS start FROM pg0),
 pg AS (SELECT paper_id, path, text, start, start + length(text) AS stop, CAST(row_number() OVER (PARTITION BY paper_id, path ORDER BY start) - 1 AS INTEGER) AS chunk_id FROM pg1 WHERE length(text) > 0)"""
 
@@ -284,6 +329,15 @@ def _(c):
     return G.paragraph_ranges(c.sources).select("paper_id", "path", F.col("start").cast("long"), F.col("end").cast("long").alias("stop"))
 
 
+#: Thousands of blank lines with either line end, and lines of blanks.
+BLANKS = ((r"\\chapter\{Start\}", r"\\chapter{Start}" + " \r\n" + "\r\n" * 3000 + " \t\n" * 3000 + "\n" * 3000 + "Text\r\n\r\n"),)
+
+
+@query("g03_blank_lines", sql("SELECT paper_id, path, start, stop, md5(text) AS digest FROM pg", PARAGRAPHS, variant=BLANKS))
+def _(c):
+    return G.paragraph_ranges(c.variant(*BLANKS).sources, with_text=True).select("paper_id", "path", F.col("start").cast("long"), F.col("end").cast("long").alias("stop"), F.md5("text").alias("digest"))
+
+
 POINTS = """pt AS (SELECT DISTINCT paper_id, path, spot FROM (SELECT paper_id, path, unnest([start, stop]) AS spot FROM pg UNION ALL SELECT paper_id, path, unnest([start, start + 1 + length(name) + 2 + length(a)]) FROM arg WHERE name IN ('begin', 'end')
  UNION ALL SELECT paper_id, path, start FROM cmd WHERE name = 'item' UNION ALL SELECT paper_id, path, unnest([0, length(content)]) FROM src))"""
 
@@ -384,6 +438,15 @@ def _(c):
     return rows.select("paper_id", "path", "chunk_id", "prompt_text", F.coalesce(F.get("replacements", F.lit(0))["math"], F.lit("")).alias("math"))
 
 
+#: A dollar with a hundred thousand characters behind it, and a paragraph of displayed, inline and hidden math.
+STRAY = ((r"\\chapter\{Start\}", "\n\n" + r"\$5 " + "lost " * 20_000 + "\n\n" + r"\\verb|\$| \$\$a\$\$ % \$c" + "\n" + r" \$z\$" + "\n\n"),)
+
+
+@query("g10_protect_long", sql("""SELECT paper_id, path, chunk_id, md5(CASE WHEN contains(text, '\\verb') THEN replace(replace(text, '$$a$$', chr(10214) || 'TL_MATH_0_' || left(sha256('$$a$$'), 12) || chr(10215)), '$z$', chr(10214) || 'TL_MATH_1_' || left(sha256('$z$'), 12) || chr(10215)) ELSE prompt_text END) AS digest FROM pt1""", PARAGRAPHS, PROTECTED, variant=STRAY))
+def _(c):
+    return G.protect_math(paragraphs(c.variant(*STRAY))).select("paper_id", "path", "chunk_id", F.md5("prompt_text").alias("digest"))
+
+
 @query("g12_parse_responses", sql("SELECT paper_id, path, chunk_id, md5(regexp_replace(prompt_text || CASE WHEN chunk_id % 5 = 0 THEN '}' ELSE '' END, '^\\s+|\\s+$', '', 'g')) AS digest FROM pt1 WHERE chunk_id % 3 <> 0", PARAGRAPHS, PROTECTED))
 def _(c):
     return answers(c)[1].select("paper_id", "path", "chunk_id", F.md5("translation").alias("digest"))

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import spread
+
 SOURCES = "paper_id string, path string, content string"
 
 
@@ -100,7 +102,7 @@ def derive_sql(spark: bool, documents: str = "documents") -> str:
 def derive_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived corpus: every document of the ``documents`` table as a TeX file of one of the four paths of a paper."""
     view = "documents_" + uuid.uuid4().hex
-    spark.read.parquet(f"{sf_dir}/documents.parquet").createOrReplaceTempView(view)
+    spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id").createOrReplaceTempView(view)
     return spark.sql(derive_sql(True, view))
 
 
