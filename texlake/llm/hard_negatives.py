@@ -280,7 +280,8 @@ class Forest:
         tasks = max(1, min(self.n, -(-asks.count() // 256)))
         sent = self._dealt(asks, tasks, 4096).drop("leaf").mapInArrow(walk, _ASK)
         sent = sent.select("leaf", "q", "own", F.col("kinds").alias("of"), F.col("width").alias("wide"), F.col("data").alias("asked"), "low", "high")
-        found = self.blocks.join(sent, "leaf").drop("leaf").mapInArrow(score, "q long, w long, vec_id long, score long")
+        # a merge join: what the walk sends is far more than Spark would guess from the anchors, too much for a broadcast
+        found = self.blocks.join(sent.hint("merge"), "leaf").drop("leaf").mapInArrow(score, "q long, w long, vec_id long, score long")
         rank = F.row_number().over(Window.partitionBy("q", "w").orderBy(F.desc("score"), "vec_id"))
         return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
