@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.answers import AnswerLog
 from ..functions.macros import expand
 from ..functions.scan import argument, math_in
 from ..functions.tex import balanced_braces
@@ -162,22 +163,17 @@ def pack_batches(rows: DataFrame, most: int = 24_000) -> DataFrame:
     return rows.join(dealt, [*FILE, "chunk_id"])
 
 
-@F.pandas_udf("prompt_text string, replacements array<struct<token:string,math:string>>")
-def _protected(texts: pd.Series) -> pd.DataFrame:
-    """Scans each text once and puts tokens at the places of its math."""
-    prompts, all_replacements = [], []
-    for text in texts:
-        pieces, replacements, at = [], [], 0
-        for k, (start, end, _, closing) in enumerate(math_in(text or "")):
-            if closing is not None:
-                math = text[start:end]
-                token = f"⟦TL_MATH_{k}_{hashlib.sha256(math.encode()).hexdigest()[:12]}⟧"
-                pieces += [text[at:start], token]
-                replacements.append({"token": token, "math": math})
-                at = end
-        prompts.append("".join(pieces) + text[at:] if text is not None else None)
-        all_replacements.append(replacements)
-    return pd.DataFrame({"prompt_text": prompts, "replacements": all_replacements})
+def _tokens_for(text: str | None) -> tuple[str | None, list[dict[str, str]]]:
+    """A text, scanned once, with tokens at the places of its math; and what they stand for."""
+    pieces, replacements, at = [], [], 0
+    for k, (start, end, _, closing) in enumerate(math_in(text or "")):
+        if closing is not None:
+            math = text[start:end]
+            token = f"⟦TL_MATH_{k}_{hashlib.sha256(math.encode()).hexdigest()[:12]}⟧"
+            pieces += [text[at:start], token]
+            replacements.append({"token": token, "math": math})
+            at = end
+    return text if text is None else "".join(pieces) + text[at:], replacements
 
 
 def protect_math(rows: DataFrame) -> DataFrame:
@@ -186,8 +182,12 @@ def protect_math(rows: DataFrame) -> DataFrame:
     Math is what the scanner finds in the text: escaped dollars, inline code, comments and raw bodies are none, and what
     begins without an end stays as it is. One pass over each text, whatever its length.
     """
-    marked = rows.withColumn("_p", _protected("text"))
-    return marked.select("*", "_p.prompt_text", "_p.replacements").drop("_p")
+
+    @F.pandas_udf("prompt_text string, replacements array<struct<token:string,math:string>>")
+    def protected(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_tokens_for(t) for t in texts], columns=["prompt_text", "replacements"])
+
+    return rows.withColumn("_p", protected("text")).select("*", "_p.prompt_text", "_p.replacements").drop("_p")
 
 
 def build_prompts(rows: DataFrame) -> DataFrame:
@@ -264,21 +264,26 @@ def bilingual_rows(rows: DataFrame, translations: DataFrame, order: DataFrame) -
     return joined.select("paper_id", "file_ord", "chunk_id", F.col("text").alias("source"), F.col("translation").alias("target")).orderBy("paper_id", "file_ord", "chunk_id")
 
 
-def translate_batches(prompts: DataFrame, fn: Callable[[str], str], parallel: int = 5, tries: int = 3, wait: float = 1.0) -> DataFrame:
+def translate_batches(prompts: DataFrame, fn: Callable[[str], str], parallel: int = 5, tries: int = 3, wait: float = 1.0, log: str | None = None) -> DataFrame:
     """paper_id, path, batch, raw, error: ``fn`` of every prompt, up to ``tries`` times with growing waits; at most ``parallel`` at once.
 
-    Requests may repeat when a task does; results are keyed, so repeats change nothing.
+    With ``log``, a folder that all executors share, each answer is written down as soon as it is there. A task that runs
+    again, or a later job with the same log, asks only what has no answer yet; equal prompts are asked once. Failures are not
+    logged. Without a log, requests may repeat when a task does; results are keyed, so repeats change nothing.
     """
     kind = prompts.schema["paper_id"].dataType.simpleString()
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answers = AnswerLog(log) if log else None
         for batch in batches:
             raw, errors = [], []
             for prompt in batch.column("prompt").to_pylist():
-                answer, error = None, None
-                for k in range(tries):
+                answer, error = answers.get(prompt) if answers else None, None
+                for k in range(tries if answer is None else 0):
                     try:
                         answer, error = fn(prompt), None
+                        if answers and answer is not None:
+                            answer = answers.put(prompt, answer)
                         break
                     except Exception as e:  # what the user's function raises becomes a row
                         error = f"{type(e).__name__}: {e}"
@@ -288,7 +293,9 @@ def translate_batches(prompts: DataFrame, fn: Callable[[str], str], parallel: in
                 errors.append(error)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("paper_id", "path", "batch")), pa.array(raw, pa.string()), pa.array(errors, pa.string())], names=["paper_id", "path", "batch", "raw", "error"])
 
-    return prompts.select(*FILE, "batch", "prompt").repartition(parallel).mapInArrow(ask, f"paper_id {kind}, path string, batch int, raw string, error string")
+    # equal prompts meet in one task, and in the same one whenever it runs
+    dealt = prompts.where("prompt IS NOT NULL").select(*FILE, "batch", "prompt").repartition(parallel, F.xxhash64("prompt"))
+    return dealt.mapInArrow(ask, f"paper_id {kind}, path string, batch int, raw string, error string")
 
 
 def expand_macros(df: DataFrame, column: str, macros: DataFrame, depth: int = 5) -> DataFrame:

@@ -12,7 +12,7 @@ from ..operators import number as W
 from ..operators import rewrite as R
 from ..operators import translate as G
 from ..sources import corpus as S
-from ..streaming.pending import queue_of
+from ..streaming.pending import queue_of, stream_pending
 from . import oracles as O  # noqa: E741
 from .corpus import Corpus
 from .oracles import sql
@@ -39,6 +39,20 @@ def _(c):
     return S.changed(c.sources, R.apply_edits(c.sources, R.plan_citations(c.nodes))).select("paper_id", "path", F.md5("content").alias("digest"))
 
 
+@query("s02_archives", sql("SELECT CAST(paper_id AS VARCHAR) AS paper_id, path, md5(content) AS digest FROM src"))
+def _(c):
+    root = new_path(c.spark, "archives")
+    S.write_archives(c.sources, root)
+    return S.read_archives(c.spark, root).select("paper_id", "path", F.md5("content").alias("digest"))
+
+
+@query("s04_write_changed", sql("SELECT paper_id, path, md5(new) AS digest FROM (SELECT *, regexp_replace(content, '\\\\citep\\[see\\]', '\\\\cite', 'g') AS new FROM src) WHERE new <> content"))
+def _(c):
+    out = new_path(c.spark, "changed")
+    S.write_changed(c.sources, R.apply_edits(c.sources, R.plan_citations(c.nodes)), out)
+    return c.spark.read.parquet(out).select("paper_id", "path", F.md5("content").alias("digest"))
+
+
 @query("s05_report_diagnostics", sql("SELECT paper_id, path, 'references' AS pass_name, 'dangling-reference' AS code, label AS message, start FROM rf r WHERE NOT EXISTS (SELECT 1 FROM acmd l WHERE l.name = 'label' AND l.paper_id = r.paper_id AND l.a = r.label)", O.REFS))
 def _(c):
     dangling = W.dangling_refs(c.included).select("paper_id", "path", F.lit("references").alias("pass_name"), F.lit("dangling-reference").alias("code"), F.col("label").alias("message"), F.col("start").cast("long"), F.lit(None).cast("int").alias("end"))
@@ -428,6 +442,17 @@ def _(c):
     return said.where("error IS NULL").select("paper_id", "path", "batch", F.md5("raw").alias("digest"))
 
 
+@query("x01_answer_log", sql("SELECT paper_id, path, batch, md5(string_agg('[' || chunk_id || ']' || chr(10) || prompt_text, chr(10) || chr(10) ORDER BY chunk_id) || CASE WHEN batch % 2 = 0 THEN ' first' ELSE ' later' END) AS digest FROM bt JOIN pt1 USING (paper_id, path, chunk_id) GROUP BY paper_id, path, batch", PARAGRAPHS, BATCHES, PROTECTED))
+def _(c):
+    # what an earlier job has logged is not asked again; prompts carry their paper, so that none is equal to another
+    log = new_path(c.spark, "answers")
+    keyed = G.build_prompts(G.pack_batches(G.protect_math(paragraphs(c)), 2000)).withColumn("prompt", F.concat_ws("|", "paper_id", "path", "batch", "prompt"))
+    answer = lambda end: lambda prompt: prompt.split("|", 3)[3] + end
+    G.translate_batches(keyed.where("batch % 2 = 0"), answer(" first"), wait=0.0, log=log).write.format("noop").mode("overwrite").save()
+    said = G.translate_batches(keyed, answer(" later"), wait=0.0, log=log)
+    return said.where("error IS NULL").select("paper_id", "path", "batch", F.md5("raw").alias("digest"))
+
+
 HIDDEN = ((r"with \$y", r"5\\\$ \\\\\$y"),)
 
 
@@ -513,3 +538,15 @@ def _(c):
 def _(c):
     memory = c.sources.select("paper_id", F.lit("").alias("digest"))
     return queue_of(c.sources, memory).select("paper_id", "path", "chunk_id", "digest")
+
+
+@query("t01_stream", sql("SELECT DISTINCT CAST(paper_id AS VARCHAR) AS paper_id, sha256(text) AS digest FROM prose WHERE text <> '' AND paper_id % 5 > 0", PARAGRAPHS, POINTS, SKIP, PROSE))
+def _(c):
+    base = new_path(c.spark, "stream")
+    files = cut(c.sources.withColumn("paper_id", F.col("paper_id").cast("string")), "files")
+    queue_of(files.where("paper_id % 5 = 0"), files.select("paper_id", F.lit("").alias("digest"))).select("paper_id", "digest").write.parquet(f"{base}/memory")
+    # two drops, and the first one once more
+    for drop in ("paper_id % 2 = 0", "paper_id % 2 = 1", "paper_id % 2 = 0"):
+        files.where(drop).write.mode("append").parquet(f"{base}/in")
+        stream_pending(c.spark, f"{base}/in", f"{base}/memory", f"{base}/queue", f"{base}/checkpoint").awaitTermination()
+    return c.spark.read.parquet(f"{base}/queue").select("paper_id", "digest")

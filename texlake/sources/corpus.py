@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import io
-import tarfile
 import uuid
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.shared import spread
-
-SOURCES = "paper_id string, path string, content string"
+from .archives import SOURCES, read_archives, write_archives  # noqa: F401
 
 
 def read_sources(spark: SparkSession, root: str, pattern: str = "*.tex") -> DataFrame:
@@ -28,30 +23,6 @@ def read_sources(spark: SparkSession, root: str, pattern: str = "*.tex") -> Data
     )
 
 
-def read_archives(spark: SparkSession, root: str) -> DataFrame:
-    """The same from ``.tar.gz`` archives, one a paper; every member is read, in memory (one of over 2 GB is an error)."""
-
-    def laid(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["paper_id", "path", "content"])
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(batch.column("name"), batch.column("content")):
-                rows, held = [], 0
-                with tarfile.open(fileobj=io.BytesIO(data.as_py()), mode="r:*") as archive:
-                    for member in archive:
-                        if member.isfile() and member.name.endswith(".tex"):
-                            rows.append((name.as_py(), member.name.removeprefix("./"), archive.extractfile(member).read().decode("utf-8", "replace")))
-                            held += member.size
-                            if held > 16_000_000:
-                                yield laid(rows)
-                                rows, held = [], 0
-                yield laid(rows)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar.gz").option("recursiveFileLookup", True).load(root)
-    return files.select(F.regexp_extract("path", r"([^/]+)\.tar\.gz$", 1).alias("name"), "content").mapInArrow(unpack, SOURCES)
-
-
 #: One line of a document as TeX. x: the line, @i: its number from 0, D: the document.
 _LINE = r"""CASE @i % 16
  WHEN 0 THEN '\section{' || left(x, 30) || '}\label{sec:' || D || '-' || @i || '}'
