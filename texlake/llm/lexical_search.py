@@ -33,7 +33,7 @@ for _low, _high in (("0", "9"), ("A", "Z"), ("a", "z")):
     SEPARATES[ord(_low) : ord(_high) + 1] = False
 
 #: Documents and postings of a block at most, and its share of a stratum that goes to one task.
-BLOCK_DOCS, BLOCK_POSTINGS, PIECE = 4096, 500_000, 16_384
+BLOCK_DOCS, BLOCK_POSTINGS, PIECE = 4096, 500_000, 4096
 #: Bytes of the asked terms that go to the tasks at once; further items take further passes.
 TERM_BYTES = 32_000_000
 
