@@ -356,4 +356,4 @@ def _(c):
     return W.dangling_refs(c.included).select("paper_id", "path", F.col("start").cast("long"), "label")
 
 
-from . import texts  # noqa: E402, F401  adds its queries here
+from . import deep, texts  # noqa: E402, F401  add their queries here
