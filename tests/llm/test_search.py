@@ -239,3 +239,10 @@ def test_terms_of_one_hash_are_two(spark):
     docs, items = [(1, x), (2, y), (3, "word " * 1_500_000 + "z" * 5_000_000 + " last"), (4, "other")], [(1, x), (2, y), (3, "last word")]
     got = L.ranked_search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert ranks(got) == brute_ranks(docs, items, 50)
+
+
+def test_long_words_of_one_polynomial_stay_apart(spark):
+    from texlake.llm.jaccard_join import jaccard_groups
+
+    docs = spark.createDataFrame([(1, thue_morse(2048)), (2, thue_morse(2048, True)), (3, thue_morse(2048).upper())], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_groups(docs, width=4, num=85, den=100).collect()} == {1: 1, 2: 2, 3: 1}

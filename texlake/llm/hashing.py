@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -11,6 +13,8 @@ _tables: dict[int, np.ndarray] = {}
 #: ASCII white space, 0x20 and 0x09 to 0x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Words of more bytes are hashed with BLAKE2.
+LONG_WORD = 256
 #: Lower case for A-Z, every other byte as it is.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -71,20 +75,28 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SP
 def word_hashes(data: np.ndarray, offsets: np.ndarray, chunk: int = 4_000_000, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the (lower-cased) words of documents laid end to end, and each word's document.
 
-    A document longer than ``chunk`` is worked through in parts that end at white space.
+    A document longer than ``chunk`` is worked through in parts that end at white space. Words of over LONG_WORD bytes, for
+    which unequal ones of the same polynomial are known, have the BLAKE2 hash of their bytes.
     """
     starts, ends, owner = word_spans(data, offsets)
     if lower:
         data = LOWER[data]
+    hashes = _polynomials(data, starts, ends, chunk)
+    for j in np.flatnonzero(ends - starts > LONG_WORD):
+        hashes[j] = np.frombuffer(hashlib.blake2b(data[starts[j] : ends[j]], digest_size=8).digest(), "<u8")[0]
+    return hashes, owner
+
+
+def _polynomials(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk: int) -> np.ndarray:
     if len(data) <= chunk:
-        return Prefix(data).of(starts, ends), owner
+        return Prefix(data).of(starts, ends)
     out, i = [], 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + chunk, "right")))
         low = starts[i]
         out.append(Prefix(data[low : ends[j - 1]]).of(starts[i:j] - low, ends[i:j] - low))
         i = j
-    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), owner
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def shingles(words: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
