@@ -133,3 +133,12 @@ def test_sweeps_of_a_million_ranges(spark):
     assert V.not_overlapping(rows, ranges).count() == 1_000_000 - inside
     points = rows.select("paper_id", "path", F.col("start").alias("at"))
     assert V.cut_points_to_ranges(points, ranges).count() == 2_000_000 + sum(k % 7 > 5 for k in range(1_000_000)) - 1
+
+
+def test_configuration_lines(spark):
+    text = "\\hypersetup{a}\n x\n\t\\lstset{b} \r\n\\lstset{c} y\n\\lstset{d}\\lstset{e}\n" + "\\lstset{f}z" * 20_000 + "\n  \\lstset{g}"
+    src = sources(spark, text)
+    nodes = V.mark_opaque(nodes_of(scan_spans(src)))
+    found = V.alone_on_line(nodes.where("name IN ('hypersetup', 'lstset')"), src)
+    assert sorted((r["line_start"], r["line_end"]) for r in found.collect()) == [(0, 15), (18, 32)]
+    assert R.apply_edits(src, R.settle(R.plan_remove(nodes, src))).first()["content"] == " x\n y\n\n" + "z" * 20_000 + "\n  "

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -85,15 +86,18 @@ def _kinds(df: DataFrame, columns: list[str]) -> str:
     return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
+def _listed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("s"), F.col("end").cast("int").alias("e")))).alias(name))
+
+
 def texts_of(ranges: DataFrame, contents: DataFrame, keys: list[str] = FILE, cuts: DataFrame | None = None) -> DataFrame:
     """``ranges`` (different ones) with ``text``: their characters of the file, without what merged ``cuts`` cover.
 
     A file's content meets all its ranges at once, so a file costs its length and its ranges' lengths. Null contents are
     empty; ranges beyond a file's end stop there.
     """
-    listed = lambda df, name: df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("s"), F.col("end").cast("int").alias("e")))).alias(name))
-    files = listed(ranges.select(*keys, "start", "end").distinct(), "_r").join(contents.select(*keys, F.col("content").alias("_text")), keys)
-    files = files.join(listed(cuts, "_c"), keys, "left") if cuts is not None else files.withColumn("_c", F.expr("cast(null as array<struct<s:int,e:int>>)"))
+    files = _listed(ranges.select(*keys, "start", "end").distinct(), keys, "_r").join(contents.select(*keys, F.col("content").alias("_text")), keys)
+    files = files.join(_listed(cuts, keys, "_c"), keys, "left") if cuts is not None else files.withColumn("_c", F.expr("cast(null as array<struct<s:int,e:int>>)"))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,6 +124,33 @@ def texts_of(ranges: DataFrame, contents: DataFrame, keys: list[str] = FILE, cut
     return files.select(*keys, "_text", "_r", "_c").mapInArrow(pieces, f"{_kinds(ranges, keys)}, start int, end int, text string")
 
 
+_ALONE = re.compile(r"[ \t]*\r?\n")
+
+
+def alone_on_line(ranges: DataFrame, contents: DataFrame) -> DataFrame:
+    """The ranges of files that have a line of their own but for blanks, with line_start and line_end (behind its line end).
+
+    As in ``texts_of``, a file's content meets all its ranges at once; only the blanks around a range are read.
+    """
+    files = _listed(ranges.select(*FILE, "start", "end").distinct(), FILE, "_r").join(contents.select(*FILE, F.col("content").alias("_text")), FILE)
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                text, found = row.column("_text")[0].as_py() or "", []
+                for r in row.column("_r")[0].as_py():
+                    at, behind = r["s"], _ALONE.match(text, r["e"])
+                    while at and text[at - 1] in " \t":
+                        at -= 1
+                    if behind and (at == 0 or text[at - 1] == "\n"):
+                        found.append((r["s"], r["e"], at, behind.end()))
+                named = [row.column(c).take(pa.array([0] * len(found), pa.int32())) for c in FILE]
+                yield pa.RecordBatch.from_arrays([*named, *(pa.array([f[j] for f in found], pa.int32()) for j in range(4))], names=[*FILE, "start", "end", "line_start", "line_end"])
+
+    return files.select(*FILE, "_text", "_r").mapInArrow(lines, f"{_kinds(ranges, FILE)}, start int, end int, line_start int, line_end int")
+
+
 def slice_without(df: DataFrame, contents: DataFrame, ranges: DataFrame, keys: list[str] = FILE) -> DataFrame:
     """``df`` with ``text``: the file's characters of each row's range, with ``ranges`` cut out."""
     return df.join(texts_of(df, contents, keys, merge_ranges(ranges, keys)), [*keys, "start", "end"])

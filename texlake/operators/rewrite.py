@@ -18,7 +18,7 @@ from ..functions.scan import CITES, argument, nodes_of, rescan, scan_spans
 from ..functions.shared import cut, drop
 from . import discover, number
 from .discover import TRUSTED, first_by
-from .intervals import FILE, contained_in, mark_opaque, not_contained_in, not_cut, outermost, smallest_container, texts_of, with_container
+from .intervals import FILE, alone_on_line, contained_in, mark_opaque, not_contained_in, not_cut, outermost, smallest_container, texts_of, with_container
 
 SAFETY = {"safe": 0, "lossy": 1, "fallback": 2}
 
@@ -71,14 +71,9 @@ def _last(nodes: DataFrame) -> Column:
 def plan_remove(nodes: DataFrame, sources: DataFrame) -> DataFrame:
     """Noise commands, configuration and drawing environments go; configuration alone on its line takes the line."""
     gone = outermost(_named(nodes, "command", NO_ARG + WITH_ARG).unionByName(_named(nodes, "environment", REMOVED_ENVIRONMENTS)), FILE, "node_id")
-    config = outermost(_named(nodes, "command", CONFIG), FILE, "node_id").join(sources, FILE)
-    # what stands before and behind it on its own line, line end included
-    before = F.substring_index(F.substring(F.col("content"), F.lit(1), F.col("start")), "\n", -1)
-    alone = before.rlike(r"\A[ \t]*\z")
-    feed = F.expr("locate(chr(10), content, end + 1)")
-    after = F.when(feed > 0, F.regexp_extract(F.substring(F.col("content"), F.col("end") + 1, feed - F.col("end")), r"\A([ \t]*\r?\n)\z", 1)).otherwise("")
-    line = alone & (after != "")
-    lines = _edits(config, F.when(line, F.col("start") - F.length(before)).otherwise(F.col("start")), F.when(line, F.col("end") + F.length(after)).otherwise(F.col("end")), "", "remove")
+    config = outermost(_named(nodes, "command", CONFIG), FILE, "node_id").select(*FILE, "start", "end")
+    config = config.join(alone_on_line(config, sources), [*FILE, "start", "end"], "left")
+    lines = _edits(config, F.coalesce("line_start", "start"), F.coalesce("line_end", "end"), "", "remove")
     return _edits(gone, "start", "end", "", "remove").unionByName(not_contained_in(lines, gone.select(*FILE, "start", "end")))
 
 
