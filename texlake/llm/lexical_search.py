@@ -34,8 +34,8 @@ for _low, _high in (("0", "9"), ("A", "Z"), ("a", "z")):
 
 #: Documents and postings of a block at most, and its share of a stratum that goes to one task.
 BLOCK_DOCS, BLOCK_POSTINGS, PIECE = 4096, 500_000, 4096
-#: Bytes of the asked terms that go to the tasks at once; further items take further passes.
-TERM_BYTES = 32_000_000
+#: Bytes of the asked terms and items that go to the tasks at once; further items take further passes.
+TERM_BYTES, ITEMS = 32_000_000, 20_000
 
 
 def _parts(data: np.ndarray, offsets: np.ndarray, most: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -319,9 +319,9 @@ def _search(index: DataFrame, terms: np.ndarray, starts: np.ndarray, weights: np
 
 
 def _blocks_of_items(asked: DataFrame) -> Iterator[DataFrame]:
-    """The asked terms in blocks of items of at most some TERM_BYTES (one item is never split)."""
-    total = asked.agg(F.sum(F.octet_length("term") + 24)).first()[0] or 0
-    n = max(1, -(-total // TERM_BYTES))
+    """The asked terms in blocks of at most some TERM_BYTES and ITEMS (one item is never split)."""
+    total = asked.agg(F.sum(F.octet_length("term") + 24).alias("bytes"), F.count_distinct("q").alias("items")).first()
+    n = max(1, -(-(total["bytes"] or 0) // TERM_BYTES), -(-total["items"] // ITEMS))
     for b in range(n):
         yield asked.where(F.pmod(F.xxhash64("q"), F.lit(n)) == b)
 
@@ -335,7 +335,7 @@ def ranked_search(docs: DataFrame, items: DataFrame, k: int = 50) -> DataFrame:
     w * ((10^9 * tf) div (1000 * tf + 20 * m)) over an item's different terms. Equal scores go by ascending doc_id, null
     ids last. Null and empty texts have no term: they match nothing and are not counted. Repeated rows are documents and
     items each; texts of any length are whole; extra columns are ignored; empty tables give an empty result.
-    Items are asked in blocks whose terms have at most some 32 MB; each block is a pass over the documents.
+    Items are asked in blocks of at most some 20,000 whose terms have at most some 32 MB; each block is a pass over the documents.
     """
     spark: SparkSession = docs.sparkSession
     asked = _asked(items)
