@@ -14,7 +14,7 @@ duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="no test tables")
 
 
-@pytest.mark.parametrize("name", ["n01_scan_commands", "v02_merge_ranges", "d07_packages", "w03_number_objects", "e01_validate_edits", "g13_validate_translations"])
+@pytest.mark.parametrize("name", ["n01_scan_commands", "v02_merge_ranges", "d07_packages", "w03_number_objects", "e01_validate_edits", "g13_validate_translations", "n01_own_forms", "g03_blank_lines", "g10_protect_long", "r14_second_root", "s02_archives", "e01_all_reasons"])
 def test_oracle(spark, name):
     import __spark_entry__ as entry
 

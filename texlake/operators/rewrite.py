@@ -432,7 +432,8 @@ class Versions:
     """A corpus and its spans while turns change it: what a turn leaves alone is neither scanned nor written again."""
 
     def __init__(self, sources: DataFrame):
-        self.sources, self.spans, self.written = sources, cut(scan_spans(sources), "spans"), []
+        self.sources, self.spans = sources, cut(scan_spans(sources), "spans")
+        self.written = [self.spans]
         self.files, self.stale = sources.select(*FILE).count(), 0
 
     def put(self, changed: DataFrame) -> DataFrame:
