@@ -128,7 +128,8 @@ def math_in(text: str) -> list[tuple[int, int, str, str | None]]:
 def scan_rows(text: str, macro_args: dict[str, str] = MACRO_ARGS, env_args: dict[str, str] = ENV_ARGS) -> list[list]:
     """Spans of one file in the columns of SPANS, by start: commands, environments, math, comments and environment tokens.
 
-    An argument is (start, end, text, opening, closing, complete, opaque).
+    An argument is (start, end, text, opening, closing, complete, opaque). Commands and environments inside an opaque one
+    are opaque, as ``intervals.mark_opaque`` has it for other tables.
     """
     tokens = _tokens(text, env_args)
     closing = _pairs(text, [t for t in tokens if len(t[2]) == 1])
@@ -217,13 +218,20 @@ def scan_rows(text: str, macro_args: dict[str, str] = MACRO_ARGS, env_args: dict
     for env in open_envs:
         env[15] = False
     spans.sort(key=_PLACE)
+    reach = -1  # the farthest end of what is opaque so far: nodes up to there are opaque, too
     for k, s in enumerate(spans):
         s[1] = k
-        if s[16] and s[15]:  # an environment that another one's end has closed
-            s[15] = False
+        if s[16]:
+            s[15] = False  # also an environment that another one's end has closed
+            reach = max(reach, s[4])
+        elif reach >= s[4] and s[0] in _NODES:
+            s[16] = True
     return spans
 
 
+_NODES = ("command", "environment")
+
+
 def _PLACE(span: list) -> tuple[int, int]:
     return span[3], -span[4]
 

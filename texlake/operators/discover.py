@@ -76,7 +76,7 @@ def include_order(edges: DataFrame, papers: DataFrame) -> DataFrame:
     hop = edges.withColumn("n", F.row_number().over(Window.partitionBy(*FILE).orderBy("start")))
     hop = hop.select("paper_id", F.col("path").alias("source"), "target", "n")
     empty = F.array().cast("array<int>")
-    frontier = papers.select("paper_id", F.col("main_path").alias("path"), empty.alias("order_path"), F.array("main_path").alias("seen"))
+    frontier = cut(papers.select("paper_id", F.col("main_path").alias("path"), empty.alias("order_path"), F.array("main_path").alias("seen")), "frontier")
     known = frontier.select(*FILE, "order_path")
     while True:  # ends: paths are simple, so there is a best one for each file
         grown = frontier.withColumnRenamed("path", "source").join(hop, ["paper_id", "source"]).where(~F.array_contains("seen", F.col("target")))

@@ -18,7 +18,7 @@ from ..functions.scan import CITES, argument, nodes_of, rescan, scan_spans
 from ..functions.shared import cut, drop
 from . import discover, number
 from .discover import TRUSTED, first_by
-from .intervals import FILE, alone_on_line, contained_in, mark_opaque, not_contained_in, not_cut, outermost, smallest_container, texts_of, with_container
+from .intervals import FILE, alone_on_line, contained_in, not_contained_in, not_cut, outermost, smallest_container, texts_of, with_container
 
 SAFETY = {"safe": 0, "lossy": 1, "fallback": 2}
 
@@ -461,7 +461,7 @@ def rewrite_corpus(sources: DataFrame, rounds: int = 5) -> tuple[DataFrame, Data
 
     def turn(plan, only: DataFrame | None = None) -> DataFrame:
         spans = now.spans if only is None else now.spans.join(only, FILE, "left_semi")
-        edits = cut(settle(plan(mark_opaque(nodes_of(spans)))), "edits")
+        edits = cut(settle(plan(nodes_of(spans))), "edits")
         logs.append(cut(edits.select("pass_name", *FILE).distinct(), "log"))
         touched = now.sources.join(edits.select(*FILE).distinct(), FILE, "left_semi")
         changed = cut(_applied(touched, filter_safety(edits)).where("_new <> content").withColumn("content", F.col("_new")).drop("_new"), "sources")
@@ -484,7 +484,7 @@ def rewrite_corpus(sources: DataFrame, rounds: int = 5) -> tuple[DataFrame, Data
         order = cut(discover.file_order(files, now.sources), "order")
         forms = cut(discover.own_forms(discover.in_order(nodes, order)).where("env_args IS NOT NULL"), "forms")
         if not forms.isEmpty():  # theorems under a paper's own names have titles, too
-            nodes = mark_opaque(nodes_of(cut(rescan(now.sources, now.spans, forms), "spans")))
+            nodes = nodes_of(cut(rescan(now.sources, now.spans, forms), "spans"))
         ordered = cut(discover.in_order(nodes, order), "ordered")
         parts = [plan_symbols(nodes, now.sources), plan_theorems(nodes, ordered, discover.theorem_names(ordered, papers), now.sources), plan_listings(nodes), plan_algorithms(nodes, ordered, now.sources)]
         return reduce(DataFrame.unionByName, parts)

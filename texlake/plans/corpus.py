@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.scan import nodes_of, rescan, scan_spans
 from ..functions.shared import cut
 from ..operators import discover
-from ..operators.intervals import mark_opaque
 from ..sources.corpus import derive_sources
 
 
@@ -33,7 +32,7 @@ class Corpus:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return mark_opaque(nodes_of(self.spans))
+        return nodes_of(self.spans)
 
     @cached_property
     def environments(self) -> DataFrame:
@@ -44,7 +43,7 @@ class Corpus:
 
     @cached_property
     def papers(self) -> DataFrame:
-        return discover.find_main(self.sources, self.nodes)
+        return cut(discover.find_main(self.sources, self.nodes), "papers")
 
     @cached_property
     def edges(self) -> DataFrame:

@@ -22,7 +22,14 @@ BROKEN = ((r"\\begin\{itemize\}", r"\\begin{itemize}\\begin{broken}"),)
 @query("n03_unclosed_environments", sql("""SELECT paper_id, path, count(*) AS n FROM (SELECT paper_id, path, start FROM cmd WHERE name NOT IN ('begin', 'end') UNION ALL SELECT paper_id, path, start FROM env WHERE name <> 'broken') x
  WHERE NOT EXISTS (SELECT 1 FROM arg b WHERE b.name = 'begin' AND b.a = 'broken' AND b.paper_id = x.paper_id AND b.path = x.path AND b.start <= x.start) GROUP BY ALL""", variant=BROKEN))
 def _(c):
-    return V.mark_opaque(c.variant(*BROKEN).nodes).where(D.TRUSTED).groupBy("paper_id", "path").agg(F.count(F.lit(1)).alias("n"))
+    own = c.variant(*BROKEN).nodes.withColumn("opaque", ~F.col("complete"))
+    return V.mark_opaque(own).where(D.TRUSTED).groupBy("paper_id", "path").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("n01_opaque_nodes", sql("""SELECT paper_id, path, count(*) AS n FROM (SELECT paper_id, path, start FROM cmd WHERE name NOT IN ('begin', 'end') UNION ALL SELECT paper_id, path, start FROM env WHERE name <> 'broken') x
+ WHERE EXISTS (SELECT 1 FROM arg b WHERE b.name = 'begin' AND b.a = 'broken' AND b.paper_id = x.paper_id AND b.path = x.path AND b.start < x.start) GROUP BY ALL""", variant=BROKEN))
+def _(c):
+    return c.variant(*BROKEN).nodes.where("opaque AND name <> 'broken'").groupBy("paper_id", "path").agg(F.count(F.lit(1)).alias("n"))
 
 
 #: As many closing braces as opening ones, in the wrong order.

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tex
+from ..functions.scan import scan_spans
 from ..operators import discover as D
 from ..operators import intervals as V
 from ..operators import number as W
@@ -43,7 +44,7 @@ def _(c):
 
 @query("n01_scan_commands", sql(f"SELECT {KEY}, name, a AS arg, stop FROM arg WHERE name IN {FLAT}"))
 def _(c):
-    rows = c.spans.where(f"kind = 'command' AND name IN {FLAT}")
+    rows = scan_spans(c.sources).where(f"kind = 'command' AND name IN {FLAT}")
     return rows.select("paper_id", "path", F.col("start").cast("long"), "name", F.try_element_at("arguments", F.lit(-1))["text"].alias("arg"), F.col("end").cast("long").alias("stop"))
 
 
@@ -76,7 +77,7 @@ def _(c):
 
 @query("n03_mark_opaque", sql("SELECT paper_id, count(*) AS n FROM (SELECT paper_id FROM cmd WHERE name NOT IN ('begin', 'end') UNION ALL SELECT paper_id FROM env) GROUP BY 1"))
 def _(c):
-    return V.mark_opaque(c.nodes).where(D.TRUSTED).groupBy("paper_id").agg(F.count(F.lit(1)).alias("n"))
+    return V.mark_opaque(c.nodes.withColumn("opaque", ~F.col("complete"))).where(D.TRUSTED).groupBy("paper_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("n04_balanced_braces", sql("SELECT paper_id, path, length(replace(content, '{', '')) = length(replace(content, '}', '')) AS ok FROM src"))
