@@ -74,7 +74,7 @@ def include_order(edges: DataFrame, papers: DataFrame) -> DataFrame:
     only compared. Ends when the frontier is empty.
     """
     hop = edges.withColumn("n", F.row_number().over(Window.partitionBy(*FILE).orderBy("start")))
-    hop = hop.select("paper_id", F.col("path").alias("source"), "target", "n")
+    hop = cut(hop.select("paper_id", F.col("path").alias("source"), "target", "n"), "hops")
     empty = F.array().cast("array<int>")
     frontier = cut(papers.select("paper_id", F.col("main_path").alias("path"), empty.alias("order_path"), F.array("main_path").alias("seen")), "frontier")
     known = frontier.select(*FILE, "order_path")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scan import argument
+from ..functions.shared import cut
 from ..functions.tex import letters
 from .discover import TRUSTED, first_by
 from .intervals import FILE, contained_in, outermost, texts_of, with_container
@@ -53,9 +54,12 @@ def number_chapters(nodes: DataFrame) -> DataFrame:
     return rows.select(*FILE, "file_ord", "start", F.last(own, ignorenulls=True).over(_upto("paper_id")).alias("prefix"), F.sum("changed").over(_upto("paper_id")).alias("chapter_group"))
 
 
-def with_chapter(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``rows`` (paper_id, file_ord, start) with the prefix and group of the chapter that they stand in (null, 0 before any)."""
-    marks = number_chapters(nodes).select("paper_id", "file_ord", "start", "prefix", "chapter_group")
+def with_chapter(rows: DataFrame, nodes: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
+    """``rows`` (paper_id, file_ord, start) with the prefix and group of the chapter that they stand in (null, 0 before any).
+
+    ``chapters``, here and below: number_chapters of the nodes, where several passes need it.
+    """
+    marks = (number_chapters(nodes) if chapters is None else chapters).select("paper_id", "file_ord", "start", "prefix", "chapter_group")
     both = rows.withColumn("_row", F.lit(True)).unionByName(marks.withColumnsRenamed({"prefix": "_p", "chapter_group": "_g"}), allowMissingColumns=True)
     order = Window.partitionBy("paper_id").orderBy("file_ord", "start", F.coalesce("_row", F.lit(False))).rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumn("prefix", F.last("_p", True).over(order)).withColumn("chapter_group", F.coalesce(F.last("_g", True).over(order), F.lit(0)))
@@ -74,9 +78,9 @@ def floats(nodes: DataFrame) -> DataFrame:
     return outermost(kinds, [*FILE, "float"], "node_id")
 
 
-def number_objects(nodes: DataFrame) -> DataFrame:
+def number_objects(nodes: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
     """paper_id, path, file_ord, start, end, float, number of figures and tables: a counter per chapter and kind."""
-    rows = with_chapter(floats(nodes).select(*FILE, "file_ord", "start", "end", "float"), nodes)
+    rows = with_chapter(floats(nodes).select(*FILE, "file_ord", "start", "end", "float"), nodes, chapters)
     rows = rows.withColumn("n", F.row_number().over(_order("paper_id", "chapter_group", "float")))
     return rows.withColumn("number", dotted("prefix", "n")).drop("n", "prefix", "chapter_group")
 
@@ -87,12 +91,12 @@ def in_floats(rows: DataFrame, objects: DataFrame, *columns: str) -> DataFrame:
     return with_container(each, objects, *columns, keys=[*FILE, "float"])
 
 
-def float_labels(nodes: DataFrame) -> DataFrame:
+def float_labels(nodes: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
     """Labels in floats: paper_id, path, file_ord, start, label, float, number, o_start, sub (whether it is a part's).
 
     The float's own label is the last one; others before the last caption are parts.
     """
-    objects = number_objects(nodes)
+    objects = number_objects(nodes, chapters)
     labels = in_floats(argument(nodes, "label").select(*FILE, "file_ord", "start", "end", F.col("arg").alias("label")), objects, "number")
     captions = in_floats(argument(nodes, "caption").select(*FILE, "start", "end"), objects).groupBy(*FILE, "o_start").agg(F.max("start").alias("caption"))
     rows = labels.join(captions, [*FILE, "o_start"], "left")
@@ -100,15 +104,15 @@ def float_labels(nodes: DataFrame) -> DataFrame:
     return rows.withColumn("sub", ~last & (F.col("start") < F.coalesce("caption", F.lit(0)))).withColumn("own", last).where("own OR sub").drop("caption", "end", "o_end")
 
 
-def number_subfigures(nodes: DataFrame) -> DataFrame:
+def number_subfigures(nodes: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
     """Labels of floats with their numbers, parts with a, b, ...: paper_id, file_ord, start, label, number, prefix."""
-    rows = float_labels(nodes)
+    rows = float_labels(nodes, chapters)
     rank = F.row_number().over(Window.partitionBy(*FILE, "o_start", "sub").orderBy("start"))
     rows = rows.withColumn("number", F.when(F.col("sub"), F.concat("number", letters(rank))).otherwise(F.col("number")))
     return rows.select("paper_id", "file_ord", "start", "label", "number", F.initcap("float").alias("prefix"))
 
 
-def _equations(nodes: DataFrame) -> DataFrame:
+def equations(nodes: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
     """Numbered math environments outside subequations with their labels as an array, and the first number of each."""
     envs = nodes.where((F.col("kind") == "environment") & F.col("name").isin(*MATH) & F.expr(TRUSTED))
     labels = with_container(argument(nodes, "label").select(*FILE, "start", "end", F.col("arg").alias("label")), outermost(envs.select(*FILE, "start", "end")))
@@ -118,21 +122,24 @@ def _equations(nodes: DataFrame) -> DataFrame:
     sub = contained_in(rows.select(*FILE, "start", "end"), groups).withColumn("sub", F.lit(True))
     rows = rows.join(sub, [*FILE, "start", "end"], "left").withColumn("sub", F.coalesce("sub", F.lit(False)))
     taken = F.when(F.col("sub"), F.lit(1)).otherwise(F.greatest(F.lit(1), F.coalesce(F.size("labels"), F.lit(0))))
-    rows = with_chapter(rows.withColumn("taken", taken), nodes)
+    rows = with_chapter(rows.withColumn("taken", taken), nodes, chapters)
     return rows.withColumn("before", F.sum("taken").over(_upto("paper_id", "chapter_group")) - F.col("taken"))
 
 
-def number_equations(nodes: DataFrame) -> DataFrame:
-    """Labels of unstarred math environments: the i-th label of one that takes max(1, labels) numbers has the i-th."""
-    rows = _equations(nodes).where("NOT sub AND labels IS NOT NULL").select("paper_id", "file_ord", "prefix", "before", F.posexplode("labels").alias("pos", "l"))
+def number_equations(nodes: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """Labels of unstarred math environments: the i-th label of one that takes max(1, labels) numbers has the i-th.
+
+    ``found``, here and below: ``equations`` of the nodes, where both passes need it.
+    """
+    rows = (equations(nodes) if found is None else found).where("NOT sub AND labels IS NOT NULL").select("paper_id", "file_ord", "prefix", "before", F.posexplode("labels").alias("pos", "l"))
     rows = rows.withColumn("n", F.col("before") + F.col("pos") + 1)
     return rows.select("paper_id", "file_ord", F.col("l.start").alias("start"), F.col("l.label").alias("label"), dotted("prefix", "n").alias("number"), F.lit("Equation").alias("prefix"))
 
 
-def number_subequations(nodes: DataFrame) -> DataFrame:
+def number_subequations(nodes: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """Labels in subequations: the parent has its environment's one number, the children that and a, b, ..."""
     groups = outermost(nodes.where(f"kind = 'environment' AND name = 'subequations' AND {TRUSTED}").select(*FILE, "start", "end"))
-    math = with_container(_equations(nodes).where("sub"), groups).withColumn("n", F.col("before") + 1).withColumn("number", dotted("prefix", "n"))
+    math = with_container((equations(nodes) if found is None else found).where("sub"), groups).withColumn("n", F.col("before") + 1).withColumn("number", dotted("prefix", "n"))
     first = math.groupBy(*FILE, "o_start").agg(F.min(F.struct("start", "number")).alias("m"))
     heads = with_container(argument(nodes, "label").select(*FILE, "file_ord", "start", "end", F.col("arg").alias("label")), groups).join(first, [*FILE, "o_start"]).where("start < m.start")
     parent = first_by(heads, [*FILE, "o_start"], "start").select("paper_id", "file_ord", "start", "label", F.col("m.number").alias("number"))
@@ -217,7 +224,9 @@ def all_numbers(nodes: DataFrame, names: DataFrame) -> DataFrame:
     theorems = number_theorems(nodes, names).where("label IS NOT NULL").select("paper_id", "file_ord", "start", "label", F.col("n").cast("string").alias("number"), F.col("heading").alias("prefix"))
     algorithms = number_algorithms(nodes).where("label IS NOT NULL").select("paper_id", "file_ord", "start", "label", F.col("n").cast("string").alias("number"), F.lit("Algorithm").alias("prefix"))
     appendix = heading_labels(number_appendix(nodes), nodes.where("kind = 'command' AND name = 'label'"))
-    passes = [number_equations(nodes), number_subequations(nodes), number_subfigures(nodes), theorems, algorithms, appendix]
+    chapters = cut(number_chapters(nodes), "chapters")
+    found = cut(equations(nodes, chapters), "equations")
+    passes = [number_equations(nodes, found), number_subequations(nodes, found), number_subfigures(nodes, chapters), theorems, algorithms, appendix]
     ranked = [p.select("paper_id", "label", "number", "prefix", F.lit(k).alias("pass_rank"), "file_ord", "start") for k, p in enumerate(passes)]
     rows = reduce(DataFrame.unionByName, ranked)
     return first_by(rows, ["paper_id", "label"], F.desc("pass_rank"), F.desc("file_ord"), F.desc("start")).select("paper_id", "label", "number", "prefix")
