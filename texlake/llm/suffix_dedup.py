@@ -420,7 +420,10 @@ def _spans(texts: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     hot = hot.select("key", kind, "low", F.array_sort("ks").alias("ks")).select("key", "kind", "low", "ks", F.filter(F.transform("ks", lambda k, i: F.when((i == 0) | (F.get("ks", i - 1) != k - 1), i)), lambda i: i.isNotNull()).alias("heads"))
     size = F.get(F.array(*map(F.lit, lengths)), F.col("kind"))
     hot = hot.select("key", "kind", "low", "ks", "heads", F.posexplode("heads").alias("j", "head")).select("key", "kind", (F.col("low") + F.get("ks", F.col("head"))).alias("start"), (F.col("low") + F.get("ks", F.coalesce(F.get("heads", F.col("j") + 1), F.size("ks")) - 1) + size).alias("end"))
-    return spans.unionByName(hot).unionByName(known)
+    # the spans are few; the contexts, several times the texts, are gone before the texts move again
+    out = written(spans.unionByName(hot).unionByName(known), "spans")
+    drop(around)
+    return out
 
 
 def suffix_dedup(docs: DataFrame, length: int = 400, with_text: bool = False, words: int | None = None) -> DataFrame:
@@ -443,6 +446,7 @@ def without_repeats(docs: DataFrame, length: int = 400, words: int | None = None
     """The rows of ``docs`` with the columns they have, ``text`` without repeated passages and n_chars, if any, to match.
 
     Passages are those of ``dedup_texts``. Characters that a passage's border cuts go, too. Null texts stay null.
+    Repeated rows repeat each other's passages, so they lose all that is long enough; an empty table stays empty.
     """
     key, null, kept = (free_name(docs.columns, name) for name in ("_key", "_null", "_kept"))
     digest = dedup_texts(docs, length, words).select(F.col("key").alias(key), F.col("whole").alias(kept))
