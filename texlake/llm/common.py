@@ -37,6 +37,14 @@ def fresh_worker() -> None:
             trim(0)
 
 
+def text_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of at most ``rows`` rows, where the session does not say otherwise: rows are texts, and a batch is in
+    memory several times, in the JVM and in the worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(rows))
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
