@@ -148,7 +148,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity:
     ``end_id``; only longer ones are cut, their first piece being the shorter one. Full pieces are sequences at once.
     The rest go into groups of about ``group`` pieces: best fit and local search work inside a group, so no task grows
     with the input; the pieces of bins that stay underfull meet again, in new groups, in the next of ``rounds``.
-    Null and empty texts are documents of one token; rows that repeat are packed each; extra columns are ignored.
+    Null and empty texts are documents of one token; rows that repeat are packed each; extra columns are ignored; an empty
+    table has no pieces.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
