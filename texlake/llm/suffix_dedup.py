@@ -376,14 +376,14 @@ def _cut(length: int, words: int | None, cut_words: bool):
     return read
 
 
-def dedup_texts(docs: DataFrame, length: int = 400, words: int | None = None, cut_words: bool = True) -> DataFrame:
+def dedup_texts(docs: DataFrame, length: int = 400, words: int | None = None, cut_words: bool = True, early: bool = False) -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept_sha256, n_passages, n_passage_words, kept (bytes) and whole (its whole characters) of each different text of ``docs``.
 
     A byte goes if a ``length``-byte string that covers it starts at another place, too, in any text or its own; strings
     are judged on the input. ``length`` is at least 288 and at most 512. With ``words`` (40 to 64), passages of so many
     words (between ASCII white space, compared by 64-bit hashes) that stand at another place as well, however short they
     are, are counted (maximal runs and the words in them; else 0) and, with ``cut_words``, go from their first word to
-    their last.
+    their last. With ``early`` the spans are written, so that the search's tables are off the disk before the texts move.
     """
     lengths = (length, words) if words else (length,)
     for size, scheme in zip(lengths, SCHEMES):
@@ -391,13 +391,18 @@ def dedup_texts(docs: DataFrame, length: int = 400, words: int | None = None, cu
             raise ValueError("length must lie between 288 and 512 bytes, words between 40 and 64")
     texts = distinct_texts(docs, "suffix_texts")
     span = F.struct("start", "end")
-    spans = _spans(texts, lengths).groupBy("key").agg(F.collect_list(F.when(F.col("kind") == 0, span)).alias("spans"), F.collect_list(F.when(F.col("kind") == 1, span)).alias("word_spans"))
+    found, contexts = _spans(texts, lengths)
+    spans = found.groupBy("key").agg(F.collect_list(F.when(F.col("kind") == 0, span)).alias("spans"), F.collect_list(F.when(F.col("kind") == 1, span)).alias("word_spans"))
+    if early:
+        spans = written(spans, "spans")
+        drop(contexts)  # several times the texts: gone before those move again
     schema = "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_words long, kept binary, whole string"
     return texts.join(spans, "key", "left").mapInArrow(_cut(length, words, cut_words), schema)
 
 
-def _spans(texts: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
-    """key, kind, start, end: what windows that repeat in ``texts`` cover, of bytes (kind 0) and of words (kind 1)."""
+def _spans(texts: DataFrame, lengths: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
+    """key, kind, start, end: what windows that repeat in ``texts`` cover, of bytes (kind 0) and of words (kind 1); and the
+    written table that this reads."""
     n = partitions(texts.sparkSession)
     found = written(texts.select("key", "body").mapInArrow(_anchors(lengths), "key binary, gram array<long>, at array<long>, low array<long>, high array<long>"), "anchors")
     places = found.select("key", F.explode(F.arrays_zip("gram", "at", "low", "high")).alias("p")).select("key", "p.*")
@@ -420,10 +425,7 @@ def _spans(texts: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     hot = hot.select("key", kind, "low", F.array_sort("ks").alias("ks")).select("key", "kind", "low", "ks", F.filter(F.transform("ks", lambda k, i: F.when((i == 0) | (F.get("ks", i - 1) != k - 1), i)), lambda i: i.isNotNull()).alias("heads"))
     size = F.get(F.array(*map(F.lit, lengths)), F.col("kind"))
     hot = hot.select("key", "kind", "low", "ks", "heads", F.posexplode("heads").alias("j", "head")).select("key", "kind", (F.col("low") + F.get("ks", F.col("head"))).alias("start"), (F.col("low") + F.get("ks", F.coalesce(F.get("heads", F.col("j") + 1), F.size("ks")) - 1) + size).alias("end"))
-    # the spans are few; the contexts, several times the texts, are gone before the texts move again
-    out = written(spans.unionByName(hot).unionByName(known), "spans")
-    drop(around)
-    return out
+    return spans.unionByName(hot).unionByName(known), around
 
 
 def suffix_dedup(docs: DataFrame, length: int = 400, with_text: bool = False, words: int | None = None) -> DataFrame:
@@ -449,7 +451,7 @@ def without_repeats(docs: DataFrame, length: int = 400, words: int | None = None
     Repeated rows repeat each other's passages, so they lose all that is long enough; an empty table stays empty.
     """
     key, null, kept = (free_name(docs.columns, name) for name in ("_key", "_null", "_kept"))
-    digest = dedup_texts(docs, length, words).select(F.col("key").alias(key), F.col("whole").alias(kept))
+    digest = dedup_texts(docs, length, words, early=True).select(F.col("key").alias(key), F.col("whole").alias(kept))
     rows = docs.withColumns({key: text_key(), null: F.col("text").isNull()}).drop("text").join(digest, key)
     rows = rows.withColumn("text", F.when(~F.col(null), F.col(kept)))
     if "n_chars" in docs.columns:
