@@ -29,3 +29,15 @@ def test_prose_cuts_a_file_into_lines_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate posexplode") == 1
     assert found.count() == 2
+
+
+def test_stream_state_is_a_row_a_paper(spark, tmp_path):
+    from texlake.streaming.pending import stream_pending
+
+    text = "\n\n".join(f"Paragraph number {chr(97 + k)} has enough letters to be prose." for k in range(20))
+    inp, memory, out, check = (str(tmp_path / x) for x in ("in", "memory", "out", "check"))
+    spark.createDataFrame([("p", "a.tex", text), ("q", "a.tex", text)], SOURCES).write.parquet(inp)
+    query = stream_pending(spark, inp, memory, out, check)
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 2
+    assert spark.read.parquet(out).count() == 40
