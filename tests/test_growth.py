@@ -41,3 +41,18 @@ def test_stream_state_is_a_row_a_paper(spark, tmp_path):
     query.awaitTermination()
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 2
     assert spark.read.parquet(out).count() == 40
+
+
+def test_written_trees_are_read_again(spark, tmp_path):
+    import pytest
+
+    from texlake.sources import corpus as S
+
+    rows = [("p", "main.tex", "a\r\nü😀"), ("p", "sub/x.tex", "c"), ("q", "main.tex", "b" * 3_000_000)]
+    for root in (str(tmp_path / "one"), f"file://{tmp_path}/two"):
+        for _ in range(2):  # a second run replaces the first one's files
+            S.write_sources(spark.createDataFrame(rows, SOURCES), root)
+        assert sorted(map(tuple, S.read_sources(spark, root).collect())) == sorted((p, f, c or "") for p, f, c in rows)
+    assert sorted(x.name for x in (tmp_path / "one").rglob("*") if x.is_file()) == ["main.tex", "main.tex", "x.tex"]
+    with pytest.raises(Exception, match="no place below"):
+        S.write_sources(spark.createDataFrame([("p", "../x.tex", "a")], SOURCES), str(tmp_path / "one"))
