@@ -127,6 +127,33 @@ def test_bpe_equals_library():
         assert e.encode(t).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_bpe_other_white_space():
+    e = bpe.PieceEncoder(BPE)
+    r = random.Random(4)
+    parts = ["a", "b\u00df", "the", "s$$$", "'s", "1", " ", " ", "\n", ", x", ". ", "\t", "\x85", "\xa0", "\u2028", "\x1c", "\x1e", "\x1f", "\u65e5", "<|endoftext|>"]
+    for t in ["".join(r.choice(parts) for _ in range(r.randint(1, 9))) for _ in range(3000)]:
+        assert e.encode(t).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_bpe_keeps_words_in_use():
+    """A word that texts go on asking for is encoded once, however many others pass through a small memory."""
+
+    class Counting:
+        def __init__(self, model):
+            self.model, self.calls = model, []
+
+        def tokenize(self, word):
+            self.calls.append(word)
+            return self.model.tokenize(word)
+
+    e = bpe.PieceEncoder(BPE, most=50)
+    e.model = Counting(e.model)
+    for k in range(400):
+        e.encode(f"usual w{chr(97 + k % 26)}{chr(97 + k // 26)}q words")
+    assert e.model.calls.count("usual") == 1 and e.model.calls.count("\u0120words") == 1
+    assert len(e.known) + len(e.older) <= 60
+
+
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 5000])
 def test_blocks_round_trip(n):
     r = np.random.default_rng(n)
