@@ -2,8 +2,11 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -154,6 +157,25 @@ def test_bpe_keeps_words_in_use():
     assert len(e.known) + len(e.older) <= 60
 
 
+def test_fresh_worker_gives_freed_pages_back():
+    """Also where no cache is held: numpy and Arrow tasks leave freed pages behind that other workers and the JVM need."""
+    code = """if True:
+        import os
+        from texlake.llm import common
+
+        def megabytes():
+            return int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 1e6
+
+        held = [bytes([k % 255 + 1]) * 60_000 for k in range(4000)]
+        full = megabytes()
+        del held[:-1]
+        common.fresh_worker()
+        print(full - megabytes())"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=60, env=os.environ | {"PYTHONPATH": root})
+    assert float(done.stdout) > 150
+
+
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 5000])
 def test_blocks_round_trip(n):
     r = np.random.default_rng(n)

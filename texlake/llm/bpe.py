@@ -10,7 +10,7 @@ from array import array
 
 import numpy as np
 
-from .common import worker_cache
+from .common import fresh_worker, worker_cache
 
 #: Pre-tokens of a piece without white space but a leading blank, where it has only these letters and ASCII.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ſ"
@@ -41,7 +41,7 @@ class PieceEncoder:
     bounds the memory: when half of it is full, what has not been asked for since the half before it goes.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -115,5 +115,6 @@ _encoders: dict[str, PieceEncoder] = worker_cache()
 def encoder(path: str) -> PieceEncoder:
     """This worker's encoder for a vocabulary file, kept between tasks."""
     if path not in _encoders:
+        fresh_worker()
         _encoders[path] = PieceEncoder(path)
     return _encoders[path]

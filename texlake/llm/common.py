@@ -26,15 +26,18 @@ def worker_cache() -> dict:
 
 
 def fresh_worker() -> None:
-    """Give back what tasks of another operator have kept in this worker: it lives on, and memory is shared by all."""
+    """Give back what earlier tasks have left in this worker: it lives on, and memory is shared by all.
+
+    What is kept for tasks of another kind goes, and so do freed pages that the allocators hold, whoever has used them.
+    """
     if any(_caches):
         for held in _caches:
             held.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def text_batches(spark: SparkSession, rows: int = 2000) -> None:

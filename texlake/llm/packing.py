@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import partitions, written
+from .common import fresh_worker, partitions, written
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -126,6 +126,7 @@ def _pieces(vocabulary: str, end_id: int, capacity: int):
 
 def _pack_group(capacity: int):
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        fresh_worker()
         rows = rows.sort_values("item", ignore_index=True)
         sizes = rows["length"].tolist()
         bins = local_search(best_fit(sizes, capacity), sizes, capacity)
