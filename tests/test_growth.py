@@ -56,3 +56,13 @@ def test_written_trees_are_read_again(spark, tmp_path):
     assert sorted(x.name for x in (tmp_path / "one").rglob("*") if x.is_file()) == ["main.tex", "main.tex", "x.tex"]
     with pytest.raises(Exception, match="no place below"):
         S.write_sources(spark.createDataFrame([("p", "../x.tex", "a")], SOURCES), str(tmp_path / "one"))
+
+
+def test_answers_are_asked_of_written_prompts(spark):
+    """Both jobs of x01_answer_log read the same prompts: neither finds the paragraphs and their math again."""
+    from texlake.plans.registry import QUERIES
+
+    found = QUERIES["x01_answer_log"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan and plan.count("MapInArrow") == 1
+    assert found.count() > 0
