@@ -111,6 +111,18 @@ def test_difference_cover():
         assert {(a - b) % n for a in c for b in c} == set(range(n)) and 2 * scheme.pack % n == 0
 
 
+def test_block_repeats_takes_no_step_per_row(monkeypatch):
+    scheme = suffix_dedup.BYTES
+    same = bytes(range(256)) * 2
+    rows = [same[k % 5 : k % 5 + 402] + bytes([k % 251]) for k in range(3000)]
+    calls, real = [], np.flatnonzero
+    monkeypatch.setattr(np, "flatnonzero", lambda x: calls.append(1) or real(x))
+    # buckets of one row but for the last, whose two rows share all windows but their last ones
+    who, start, end = suffix_dedup.block_repeats(np.minimum(np.arange(3000), 2998), np.full(3000, 3), [*rows[:2998], same[:402] + b"x", same[:402] + b"y"], 400, scheme)
+    assert (who.tolist(), start.tolist(), end.tolist()) == ([2998, 2999], [0, 0], [2, 2])
+    assert len(calls) < 100
+
+
 def test_suffix_digest_counts_passages(spark):
     r = random.Random(21)
     short = [r.choice("abcdefgh") + str(r.randrange(10)) for _ in range(60)]

@@ -22,11 +22,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import batches_of, distinct_texts, drop, free_name, fresh_worker, list_column, partitions, text_key, written
+from .common import batches_of, distinct_texts, drop, free_name, fresh_worker, list_column, partitions, slices, text_key, written
 
 HOT, BLOCK_ROWS = 4096, 2048
 #: Elements that are worked on at once, and bytes of text.
@@ -139,37 +140,40 @@ def _contexts(lengths: tuple[int, ...]):
             else:
                 yield (key, gram, None, int(start[a]), None, None, hashes[a:z])
 
+    def calm_rows(batch: pa.RecordBatch, of: np.ndarray, columns: list[np.ndarray], text: bytes, begin: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i, j in slices(np.concatenate([[0], np.cumsum(end - begin)]), 2_000_000):
+            around = pa.array([text[a:z] for a, z in zip(begin[i:j].tolist(), end[i:j].tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(of[i:j])), *(pa.array(x[i:j]) for x in columns), around, pa.nulls(j - i, kinds[-1])], names=names)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh_worker()
-        for batch in batches:
-            rows, hot, held, hot_held = [], [], 0, 0
-            for key, body, places in zip(batch.column("key"), batch.column("body"), batch.column("places")):
-                key, data = key.as_py(), np.frombuffer(body.as_py(), np.uint8)
-                elements: dict[int, np.ndarray] = {0: data}
-                hashes: dict[int, np.ndarray] = {}
-                for p in places.as_py():
-                    kind = p["gram"] & 1
-                    if kind not in elements:
-                        elements[kind] = _word_elements(data, np.array([0, len(data)]))[0]
-                    if p["hot"]:
-                        if kind not in hashes:
-                            hashes[kind] = hashing.Prefix(elements[kind]).all_of(lengths[kind]).view(np.int64)
-                        hot.append((key, p["gram"], p["low"], hashes[kind][p["low"] : p["high"] + 1]))
-                        hot_held += p["high"] - p["low"] + 1
-                    else:
-                        around = elements[kind][p["low"] : p["high"] + lengths[kind]].tobytes()
-                        rows.append((key, p["gram"], p["at"], p["low"], p["high"], around, None))
-                        held += len(around)
-                if held > 2_000_000:
-                    yield laid(rows)
-                    rows, held = [], 0
-                if hot_held > 1_000_000:
-                    yield laid(list(hot_rows(hot)))
-                    hot, hot_held = [], 0
+        for whole in batches:
+            hot, hot_held = [], 0
+            for batch, data, offsets in batches_of(whole, "body", SLICE):
+                places = batch.column("places")
+                of = np.repeat(np.arange(batch.num_rows), pc.list_value_length(places).to_numpy(zero_copy_only=False))
+                gram, at, low, high, often = (pc.list_flatten(places).field(c).to_numpy(zero_copy_only=False) for c in ("gram", "at", "low", "high", "hot"))
+                for kind, length in enumerate(lengths):
+                    mine = gram & 1 == kind
+                    if not mine.any():
+                        continue
+                    elements, base = _word_elements(data, offsets) if kind else (data, offsets)
+                    k = np.flatnonzero(mine & ~often)
+                    begin, wide = base[of[k]] + low[k], elements.itemsize
+                    yield from calm_rows(batch, of[k], [x[k] for x in (gram, at, low, high)], elements.tobytes(), begin * wide, (begin + high[k] - low[k] + length) * wide)
+                    k = np.flatnonzero(mine & often)
+                    if len(k):
+                        hashes = hashing.Prefix(elements).all_of(length).view(np.int64)
+                        begin = base[of[k]] + low[k]
+                        size = high[k] - low[k] + 1
+                        for key, g, first, b, n in zip(batch.column("key").take(pa.array(of[k])).to_pylist(), gram[k].tolist(), low[k].tolist(), begin.tolist(), size.tolist()):
+                            hot.append((key, g, first, hashes[b : b + n]))
+                            hot_held += n
+                            if hot_held > 1_000_000:
+                                yield laid(list(hot_rows(hot)))
+                                hot, hot_held = [], 0
             if hot:
-                rows += hot_rows(hot)
-            if rows:
-                yield laid(rows)
+                yield laid(list(hot_rows(hot)))
 
     return read
 
@@ -269,30 +273,33 @@ def block_repeats(grams: np.ndarray, at: np.ndarray, rows: list[bytes], length:
     often = np.bincount(of) > 1
     bucket = np.unique(grams[first], return_inverse=True)[1]
     alone = np.bincount(bucket)[bucket] == 1
-    laid = [np.frombuffer(rows[k], np.uint8 if scheme == BYTES else np.uint64) for k in first]
-    sizes = np.array([len(r) for r in laid], np.int64) - length + 1
-    found = [np.full(n, bool(o)) for n, o in zip(sizes, often)]
+    kind = np.dtype(np.uint8 if scheme == BYTES else np.uint64)
+    sizes = np.array([len(rows[k]) for k in first], np.int64) // kind.itemsize - length + 1
+    base = np.cumsum(sizes) - sizes  # the windows of all rows lie end to end
+    found = np.repeat(often, sizes)
     tried = np.flatnonzero(~alone)
     if len(tried):
-        maybe = _candidates([laid[k] for k in tried], length)
-        parts = np.split(maybe, np.cumsum(sizes[tried])[:-1])
-        some = [j for j, part in enumerate(parts) if part.any()]
-        if some:
+        laid = [np.frombuffer(rows[k], kind) for k in first[tried]]
+        maybe = _candidates(laid, length)
+        some = np.logical_or.reduceat(maybe, np.cumsum(sizes[tried]) - sizes[tried])
+        if some.any():
             picked = tried[some]
             left = length - scheme.gram
             left += -left % scheme.cover_size
-            exact = repeated_windows([laid[k] for k in picked], at[first[picked]], length, np.concatenate([parts[j] for j in some]), scheme)
+            exact = repeated_windows([laid[j] for j in np.flatnonzero(some)], at[first[picked]], length, maybe[np.repeat(some, sizes[tried])], scheme)
             for k, row in zip(picked, exact):
                 begin = left - at[first[k]]
-                found[k] |= row[begin : begin + sizes[k]]
-    who, starts, ends = [], [], []
-    edges = [np.flatnonzero(np.diff(np.concatenate([[False], f, [False]]).astype(np.int8))) for f in found]
-    for k, e in enumerate(of):
-        for a, z in zip(edges[e][::2], edges[e][1::2]):
-            who.append(k)
-            starts.append(a)
-            ends.append(z - 1)
-    return np.array(who, np.int64), np.array(starts, np.int64), np.array(ends, np.int64)
+                found[base[k] : base[k] + sizes[k]] |= row[begin : begin + sizes[k]]
+    edge = np.zeros(len(found) + 1, bool)
+    edge[base] = edge[-1] = True
+    starts = np.flatnonzero(found & (edge[:-1] | ~np.concatenate([[False], found[:-1]])))
+    ends = np.flatnonzero(found & (edge[1:] | ~np.concatenate([found[1:], [False]])))
+    row = np.searchsorted(base, starts, "right") - 1
+    runs = np.bincount(row, minlength=len(known))
+    each = runs[of]
+    who = np.repeat(np.arange(len(of)), each)
+    run = np.arange(len(who)) - np.repeat(np.cumsum(each) - each, each) + (np.cumsum(runs) - runs)[of[who]]
+    return who, starts[run] - base[row[run]], ends[run] - base[row[run]]
 
 
 def _bucket_repeats(lengths: tuple[int, ...]):
