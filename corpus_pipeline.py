@@ -18,6 +18,10 @@ from texlake.llm.suffix_dedup import without_repeats
 from texlake.llm.toxicity import without_toxic
 
 
+#: Pieces that a worker of the last stage remembers: after four stages an executor has less memory to spare than in a job of its own.
+KNOWN = 200_000
+
+
 def _ready(spark: SparkSession) -> None:
     ship(spark)
     text_batches(spark)
@@ -56,7 +60,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 tokens: a row for each piece. Null and empty texts are the end token alone; repeated rows are packed each; an empty table has no pieces."""
     _ready(spark)
-    return pack_documents(docs, vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024)
+    return pack_documents(docs, vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024, known=KNOWN)
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("decontamination", decontamination), ("packing", packing)]

@@ -89,3 +89,19 @@ def test_empty_tables(spark, corpus, tmp_path):
     some = spark.read.parquet(f"{base}/documents.parquet").where(F.col("doc_id") < 20)
     assert corpus_pipeline.toxicity(spark, some, str(tmp_path)).count() == 20
     assert corpus_pipeline.decontamination(spark, some, str(tmp_path)).count() == 20
+
+
+def test_last_stage_remembers_fewer_pieces_and_packs_the_same(spark):
+    import corpus_pipeline
+    from texlake.llm import bpe, packing
+    from texlake.llm.queries import vocabulary
+
+    path = vocabulary("byte_bpe_50k.json")
+    small = bpe.encoder(path, 4)
+    texts = [" ".join(f"w{k}x{j}" for j in range(30)) for k in range(6)]
+    ids = [small.encode(t).tolist() for t in texts]
+    assert ids == [bpe.encoder(path).encode(t).tolist() for t in texts] and small is not bpe.encoder(path)
+    assert corpus_pipeline.KNOWN < bpe.MOST
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    packed = [sorted(map(tuple, packing.pack_documents(docs, path, known=n).select("doc_id", "piece", "start", "length", "ids_crc32").collect())) for n in (4, bpe.MOST)]
+    assert packed[0] == packed[1]

@@ -109,12 +109,15 @@ class PieceEncoder:
         return np.frombuffer(b"".join(ids), self.kind)
 
 
-_encoders: dict[str, PieceEncoder] = worker_cache()
+_encoders: dict[tuple[str, int], PieceEncoder] = worker_cache()
 
+#: Pieces that an encoder remembers: some 130 bytes each.
+MOST = 600_000
 
-def encoder(path: str) -> PieceEncoder:
+
+def encoder(path: str, most: int = MOST) -> PieceEncoder:
     """This worker's encoder for a vocabulary file, kept between tasks."""
-    if path not in _encoders:
+    if (path, most) not in _encoders:
         fresh_worker()
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+        _encoders[path, most] = PieceEncoder(path, most)
+    return _encoders[path, most]

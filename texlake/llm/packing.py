@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoder
+from .bpe import MOST, encoder
 from .common import fresh_worker, partitions, written
 
 
@@ -104,9 +104,9 @@ def local_search(bins: list[list[int]], sizes: list[int], capacity: int, most_ro
     return bins
 
 
-def _pieces(vocabulary: str, end_id: int, capacity: int):
+def _pieces(vocabulary: str, end_id: int, capacity: int, most: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
+        encode = encoder(vocabulary, most).encode
         end, task, at = np.array([end_id], "<u4"), TaskContext.get().partitionId(), 0
         for batch in batches:
             rows = []
@@ -142,20 +142,21 @@ def _pack_group(capacity: int):
     return pack
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024, group: int = 2048, rounds: int = 3) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024, group: int = 2048, rounds: int = 3, known: int = MOST) -> DataFrame:
     """Pack every row of ``docs`` (doc_id, text) into sequences of at most ``capacity`` tokens.
 
     Returns one row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. A document is its ids and
     ``end_id``; only longer ones are cut, their first piece being the shorter one. Full pieces are sequences at once.
     The rest go into groups of about ``group`` pieces: best fit and local search work inside a group, so no task grows
     with the input; the pieces of bins that stay underfull meet again, in new groups, in the next of ``rounds``.
+    ``known`` bounds the memory of the tasks that encode (``PieceEncoder``), the ids are the same.
     Null and empty texts are documents of one token; rows that repeat are packed each; extra columns are ignored; an empty
     table has no pieces.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     names = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
-    pieces = written(rows.mapInArrow(_pieces(vocabulary, end_id, capacity), f"{names}, item long"), "pieces")
+    pieces = written(rows.mapInArrow(_pieces(vocabulary, end_id, capacity, known), f"{names}, item long"), "pieces")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     done = [pieces.where(F.col("length") == capacity).select(*columns[:5], F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     left = pieces.where(F.col("length") < capacity)
