@@ -66,3 +66,34 @@ def test_answers_are_asked_of_written_prompts(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "ArrowEvalPython" not in plan and plan.count("MapInArrow") == 1
     assert found.count() > 0
+
+
+def test_own_forms_write_definitions_of_the_first_scan_alone(spark, monkeypatch):
+    from collections import Counter
+
+    from texlake.functions.scan import scan_spans
+    from texlake.plans import registry  # noqa: F401
+    from texlake.plans import corpus as C
+
+    written, real = [], C.cut
+    monkeypatch.setattr(C, "cut", lambda df, name="cut": written.append((name, real(df, name))) or written[-1][1])
+    c = C.Corpus(spark, "/root/testdata/sf0.001")
+    own = c.own.spans
+    first, again = [df for name, df in written if name == "spans"]
+    names = {r["name"] for r in first.select("name").distinct().collect()}
+    assert names and names <= {*C.STRUCTURE, *C.DEFINITIONS}
+    # as they are in the whole table, and scanned again as ``rescan`` does it
+    keep = {"math", "label", "figure*"}
+    rows = lambda df: Counter(tuple(map(str, r)) for r in df.collect())
+    assert rows(scan_spans(c.sources, keep=keep)) == rows(scan_spans(c.sources).where("kind = 'math' OR (kind IN ('command', 'environment') AND name IN ('math', 'label', 'figure*'))"))
+    whole = C.Corpus(spark, "/root/testdata/sf0.001", c.sources)
+    assert whole.spans and rows(whole.own.spans) == rows(own) == rows(again)
+
+
+def test_answers_are_taken_apart_in_more_tasks_than_ask(spark):
+    from texlake.operators import translate as G
+
+    raw = spark.createDataFrame([(1, "m.tex", k, f"[{k}]\na {k}", None) for k in range(40)], "paper_id long, path string, batch int, raw string, error string").coalesce(1)
+    found = G.parse_responses(raw)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.rindex("RepartitionByExpression") and found.count() == 40
