@@ -127,6 +127,7 @@ def _(c):
 @query("g18_interleaved_texts", sql("""SELECT paper_id, path, md5(string_agg(text || CASE WHEN text = '' THEN '' ELSE chr(10) || chr(10) || '% TEXLAKE_TRANSLATION_BEGIN ' || h || chr(10) || '<' || text || '>' || chr(10) || '% TEXLAKE_TRANSLATION_END ' || h || chr(10) END || gap, '' ORDER BY k)) AS digest
  FROM (SELECT *, sha256(regexp_replace(text, '(\\r\\n|\\r|\\n)$', '')) AS h FROM pg0) GROUP BY paper_id, path""", PARAGRAPHS))
 def _(c):
+    c = c.only(*G.HEADINGS, *G.SKIPPED, "label", "math")
     rows = paragraphs(c).withColumn("digest", G.chunk_digest(F.col("text"))).withColumn("translation", F.concat(F.lit("<"), "text", F.lit(">")))
     none = c.papers.select("paper_id", F.lit("").alias("title"), F.lit("").alias("translation")).where("false")
     plan = G.interleave(c.sources, rows, G.headings(c.included, G.skip_ranges(c.spans)), none, c.commands("label"))
