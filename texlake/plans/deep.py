@@ -108,7 +108,7 @@ DRAWN = ((r"\\centering\\includegraphics\[width=1cm\]\{fig/p[0-9]\.pdf\}", r"\\b
  FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY file_ord, start) AS n FROM env JOIN allfo USING (paper_id, path) WHERE name = 'figure*') e
  JOIN arg k ON k.name = 'caption' AND k.paper_id = e.paper_id AND k.path = e.path AND k.start BETWEEN e.start AND e.stop""", variant=DRAWN))
 def _(c):
-    v = c.variant(*DRAWN)
+    v = c.variant(*DRAWN).only("figure", "figure*", "table", "table*", "wrapfigure", "caption", "label", "tikzpicture")
     counts = v.sources.groupBy("paper_id").agg(F.sum(F.regexp_count("content", F.lit(r"\\begin\{figure\*\}"))).cast("int").alias("n")).where("n > 0")
     captions = counts.select("paper_id", F.lit(1).alias("page"), F.explode(F.sequence(F.lit(1), F.col("n"))).alias("ord")).withColumn("image_ref", F.concat(F.lit("page"), "ord", F.lit(".png")))
     return edits(R.align_tikz(v.ordered, captions)[0])
