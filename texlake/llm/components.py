@@ -12,15 +12,17 @@ from .common import drop, written
 FEW = 50_000
 
 
+def _ties(*ends: tuple[str, str]):
+    """A row of (a, b) for each of the ends: of one plan, where a union would have the whole of it twice."""
+    return F.inline(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ends]))
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step: each node's (smaller or larger) neighbours are tied to its least neighbour."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    both = edges.select(_ties(("a", "b"), ("b", "a"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
     tied = both.join(least, "a")
-    if large:
-        out = tied.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        out = tied.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+    out = tied.where(F.col("b") > F.col("a")).select(_ties(("b", "m"))) if large else tied.select(_ties(("b", "m"), ("a", "m")))
     return out.where(F.col("a") != F.col("b")).distinct()
 
 
@@ -35,8 +37,9 @@ def components(links: DataFrame) -> DataFrame:
     few = edges.count() <= FEW
     before = None
     while True:  # the steps grow with the logarithm of the longest chain
-        old, edges = edges, written(_star(_star(edges.coalesce(1) if few else edges, True), False), "stars")
-        drop(old)
+        for large in (True, False):  # written between the two, which keeps plans small
+            old, edges = edges, written(_star(edges.coalesce(1) if few else edges, large), "stars")
+            drop(old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break

@@ -96,28 +96,39 @@ def signatures(values: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tup
     return signs & ~np.uint64(63) | scheme[by].astype(np.uint64), owner[by]
 
 
-def _sets(width: int, num: int, den: int):
+def _shingled(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Parts of the batches with their shingles, the row of each, and of each row the size, the node, and whether its set is new to the batch."""
+    fresh_worker()
+    for whole in batches:
+        seen: set[int] = set()
+        for batch, data, offsets in batches_of(whole, "body", SLICE):
+            words, owner = hashing.word_hashes(data, offsets)
+            values, who = hashing.distinct_pairs(*hashing.shingles(words, owner, width))
+            sizes = np.bincount(who, minlength=batch.num_rows).astype(np.int64)
+            sums = np.zeros(batch.num_rows, np.uint64)
+            np.add.at(sums, who, hashing.mix(values + np.uint64(0x632BE59BD9B4E019)))
+            node = hashing.mix(sums + sizes.astype(np.uint64)).view(np.int64)
+            new = np.zeros(batch.num_rows, bool)
+            for k in np.flatnonzero(sizes):
+                if int(node[k]) not in seen:
+                    seen.add(int(node[k]))
+                    new[k] = True
+            yield batch, values, who, sizes, node, new
+
+
+def _sets(width: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fresh_worker()
-        for whole in batches:
-            seen: set[int] = set()
-            for batch, data, offsets in batches_of(whole, "body", SLICE):
-                words, owner = hashing.word_hashes(data, offsets)
-                values, who = hashing.distinct_pairs(*hashing.shingles(words, owner, width))
-                sizes = np.bincount(who, minlength=batch.num_rows).astype(np.int64)
-                sums = np.zeros(batch.num_rows, np.uint64)
-                np.add.at(sums, who, hashing.mix(values + np.uint64(0x632BE59BD9B4E019)))
-                node = hashing.mix(sums + sizes.astype(np.uint64)).view(np.int64)
-                new = np.zeros(batch.num_rows, bool)
-                for k in np.flatnonzero(sizes):  # equal sets of a batch sign once
-                    if int(node[k]) not in seen:
-                        seen.add(int(node[k]))
-                        new[k] = True
-                signs, by = signatures(values[new[who]], np.where(new, sizes, 0), num, den)
-                order = np.argsort(by, kind="stable")
-                lists = list_column(signs[order].view(np.int64), np.bincount(by, minlength=batch.num_rows), pa.int64())
-                empty = sizes == 0
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(node, pa.int64(), mask=empty), pa.array(sizes, pa.int64()), lists], names=["doc_id", "key", "node", "n_shingles", "signs"])
+        for batch, _, _, sizes, node, _ in _shingled(batches, width):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(node, pa.int64(), mask=sizes == 0), pa.array(sizes, pa.int64())], names=["doc_id", "key", "node", "n_shingles"])
+
+    return read
+
+
+def _signs(width: int, num: int, den: int):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, values, who, sizes, node, new in _shingled(batches, width):  # equal sets of a batch sign once
+            signs, by = signatures(values[new[who]], np.where(new, sizes, 0), num, den)
+            yield pa.RecordBatch.from_arrays([pa.array(signs.view(np.int64)), pa.array(node[by])], names=["sign", "node"])
 
     return read
 
@@ -227,8 +238,9 @@ def _named(docs: DataFrame, width: int, num: int, den: int, rounds: int) -> tupl
     kind = docs.schema["doc_id"].dataType
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text_key().alias("key"), text.cast("binary").alias("body"))
-    sets = written(rows.mapInArrow(_sets(width, num, den), f"doc_id {kind.simpleString()}, key binary, node long, n_shingles long, signs array<long>"), "sets")
-    signs = sets.select("node", F.explode("signs").alias("sign"))
+    sets = written(rows.mapInArrow(_sets(width), f"doc_id {kind.simpleString()}, key binary, node long, n_shingles long"), "sets")
+    # signatures are eight times as many bytes as the sets without them: shuffled, never written, though texts are cut into words again
+    signs = rows.select("body").mapInArrow(_signs(width, num, den), "sign long, node long")
     dealt = signs.repartition(n, "sign").sortWithinPartitions("sign", "node")
     shared = written(dealt.mapInArrow(_members, "sign long, node long"), "shared")
     members = written(_cheapest(shared, _spare_of_bands(num, den)), "members")
