@@ -97,3 +97,20 @@ def test_answers_are_taken_apart_in_more_tasks_than_ask(spark):
     found = G.parse_responses(raw)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.rindex("RepartitionByExpression") and found.count() == 40
+
+
+def test_subequations_write_the_spans_they_read_alone(spark, monkeypatch):
+    from texlake.plans import corpus, registry
+
+    written = {}
+    cut = corpus.cut
+
+    def recorded(df, name="cut"):
+        written[name] = cut(df, name)
+        return written[name]
+
+    monkeypatch.setattr(corpus, "cut", recorded)
+    registry.QUERIES["w05_subequations"](spark, "/root/testdata/sf0.001")
+    names = {(r["kind"], r["name"]) for r in written["spans"].select("kind", "name").distinct().collect()}
+    assert ("environment", "subequations") in names and ("command", "label") in names
+    assert not {"ref", "section", "figure*", None} & {n for _, n in names}
