@@ -114,3 +114,12 @@ def test_subequations_write_the_spans_they_read_alone(spark, monkeypatch):
     names = {(r["kind"], r["name"]) for r in written["spans"].select("kind", "name").distinct().collect()}
     assert ("environment", "subequations") in names and ("command", "label") in names
     assert not {"ref", "section", "figure*", None} & {n for _, n in names}
+
+
+def test_letters_read_the_spans_once(spark):
+    src = spark.createDataFrame([("p", "a", r"Some \emph{words} and \label{x}$m$ here % no")], SOURCES)
+    spans = scan_spans(src, keep=("command", "comment", "math", "env_token"))
+    rows = src.select("paper_id", "path", F.lit(0).alias("start"), F.length("content").alias("end"))
+    found = G.letters_in(rows, src, spans)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow scan") == 1
+    assert [r["letters"] for r in found.collect()] == [len("Somewordsandhere")] == [r["letters"] for r in G.letters_in(rows, src, scan_spans(src)).collect()]
