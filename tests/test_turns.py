@@ -32,13 +32,21 @@ def test_scan_for_some_names(names):
     for seed in range(2000):
         text = odd(seed)
         whole = [r[:1] + r[2:] for r in S.scan_rows(text) if r[0] in ("command", "environment") and r[2] in names]
-        some = S.scan_rows(text, only=names)
+        some = S.scan_rows(text, only=frozenset(names))
         assert whole == [r[:1] + r[2:] for r in some] and [r[1] for r in some] == list(range(len(some)))
         assert not some or T.mentions(names).search(text)
         found += len(some)
     assert found > 1000
 
 
+def test_scan_for_some_names_and_all_that_is_untrusted():
+    names = frozenset(R.NUMBERING)
+    for seed in range(2000):
+        text = odd(seed)
+        whole = [r[:1] + r[2:] for r in S.scan_rows(text) if r[0] in ("command", "environment") and (r[16] or r[2] in names)]
+        assert whole == [r[:1] + r[2:] for r in S.scan_rows(text, only=names, untrusted=True)]
+
+
 def test_settled_is_settle(spark):
     r = random.Random(1)
     rows = [("p", f"f{k}", a := r.randrange(12), a + r.randrange(5), r.choice("xy"), r.choice("pq"), "safe") for k in range(60) for _ in range(r.randrange(1, 9))]

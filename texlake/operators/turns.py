@@ -89,12 +89,12 @@ def mentions(names: Collection[str]) -> re.Pattern:
     return re.compile(rf"\\(?:{either})(?![A-Za-z@])|\\begin\s*\{{\s*(?:{either})\s*\}}")
 
 
-def turned(files: DataFrame, keep: Collection[str], edits: Column | None = None, how: dict[str, Callable[[str, tuple], tuple | None]] | None = None, again: bool = False) -> DataFrame:
+def turned(files: DataFrame, keep: Collection[str], edits: Column | None = None, how: dict[str, Callable[[str, tuple], tuple | None]] | None = None, again: bool = False, untrusted: bool = False) -> DataFrame:
     """``files`` (paper_id, path, content) after a turn, with ``nodes`` of the names in ``keep`` and ``passes``, those that had
     edits in a file in this turn or before, and ``changed``: whether this turn did.
 
     Without ``edits`` the files are scanned alone. A file without edits keeps its nodes, unless ``again``; one that names
-    nothing in ``keep`` has none and is not scanned.
+    nothing in ``keep`` has none and is not scanned. With ``untrusted`` also opaque nodes of other names are kept.
     """
     key = files.schema["paper_id"].dataType
     rows = files.withColumn("edits", F.lit(None).cast(_EDITS) if edits is None else edits)
@@ -130,7 +130,7 @@ def turned(files: DataFrame, keep: Collection[str], edits: Column | None = None,
                         continue
                     pick.append(len(texts) + len(ends) - 1)
                     if named is not None and new and named.search(new):
-                        found += scan_rows(new, only=names)
+                        found += scan_rows(new, only=names, untrusted=untrusted)
                     ends.append(len(found))
                 nodes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(span_arrays(found, types), fields=[pa.field(n, t) for n, t in types.items()]))
                 nodes = nodes.cast(kind)
